@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .toxicity import toxicity
+
+
+def held_out(modulus: int, rest: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +25,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(4, 2))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op4_exact_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_quality_classifier, op4_exact_dedup, op8_toxicity, op9_quality_rules)}
