@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .piece_codec import encode
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 
 
@@ -33,6 +35,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0))
 
@@ -41,5 +47,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_quality_classifier, op4_exact_dedup, op8_toxicity, op9_quality_rules)}
+    found = (
+        op1_mix_sources, op2_simhash, op3_quality_classifier, op4_exact_dedup, op5_suffix_dedup,
+        op8_toxicity, op9_quality_rules, op10_piece_codec,
+    )
+    return {f.__name__: f for f in found}
