@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import table
+from .chat_format import SCHEMAS, calls_of_turns, link_tool_calls
 from .chunk_dedup import chunk_dedup
 from .exact_dedup import exact_dedup
 from .mixing import mix
@@ -40,6 +41,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*calls_of_turns(table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -58,7 +63,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
-        op1_mix_sources, op2_simhash, op3_quality_classifier, op4_exact_dedup, op5_suffix_dedup, op7_chunk_dedup,
-        op8_toxicity, op9_quality_rules, op10_piece_codec,
+        op1_mix_sources, op2_simhash, op3_quality_classifier, op4_exact_dedup, op5_suffix_dedup,
+        op6_chat_format, op7_chunk_dedup, op8_toxicity, op9_quality_rules, op10_piece_codec,
     )
     return {f.__name__: f for f in found}
