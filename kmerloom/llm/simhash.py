@@ -1,12 +1,17 @@
 """SimHash near-dedup with sharded vantage-point trees.
 
-Fingerprints are split into byte-wide blocks.  Each level of the tree picks a vantage point
-for one block and sends a fingerprint to the ring of its distance to that point.  Distances
-add up over blocks, so the triangle bound prunes jointly: two fingerprints within radius r
-lie in rings whose differences, summed over all levels, are at most r.  The top levels name
-shards: a fingerprint lives in one shard and is sent as a query to the shards whose rings
-its ball overlaps (one side of each pair of shards only).  The lower levels are the tree
-inside a shard.  Every surviving pair is compared exactly.
+Each level of a tree takes a few bits of the fingerprint, picks a vantage point for them and
+sends a fingerprint to the ring of its distance to that point.  Distances add up over levels,
+so the triangle bound prunes jointly: two fingerprints within radius r lie in rings whose
+differences, summed over all levels, are at most r.  The top levels name shards: a fingerprint
+lives in one shard and is sent as a query to the shards whose rings its ball overlaps (one
+side of each pair of shards only).  The lower levels are the tree inside a shard.  Every
+surviving pair is compared exactly, in all 64 bits.
+
+Up to radius 2 one tree spans the 64 bits in levels of a byte.  For a larger radius r there
+are r // 3 + 1 trees over disjoint parts of the bits, in levels of one bit: two fingerprints
+within r agree up to 2 bits in one part.  Work grows with the square of the number of
+fingerprints over 2 ** (64 // trees), so the radius sets the price.
 
 A shard returns the minimum spanning forest of its links, never all pairs, which keeps
 connectivity and stays linear in the size of a group of copies.
@@ -23,9 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
 
-#: One vantage point (a byte) for each block.
-VANTAGE = (0x5A, 0xC3, 0x96, 0x3C, 0xA5, 0x69, 0xF0, 0x0F)
-POP8 = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+VANTAGE = 0x0FF069A53C96C35A
+Level = tuple[int, int]  # (lowest bit, number of bits)
+
 #: Fingerprints that one shard should hold, and candidate pairs compared at once.
 SHARD_ROWS, CHUNK = 20_000, 400_000
 
@@ -54,18 +59,35 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
 
 
-def rings(fp: np.ndarray, blocks: range) -> np.ndarray:
-    """Distance of each block of the fingerprints to its vantage point: (n, blocks)."""
-    b = fp.view(np.uint8).reshape(-1, 8)
-    return np.stack([POP8[b[:, k] ^ VANTAGE[k]] for k in blocks], axis=1).astype(np.int64) if len(blocks) else np.zeros((len(fp), 0), np.int64)
+def trees(radius: int) -> list[tuple[list[Level], int]]:
+    """(levels, radius) of each tree whose searches together find every pair within ``radius``."""
+    if radius <= 2:
+        return [([(8 * i, 8) for i in range(8)], radius)]
+    n = radius // 3 + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    return [([(at, 1) for at in range(lo, hi)], radius // n) for lo, hi in zip(edges, edges[1:])]
+
+
+def rings(fp: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """Distance of each level's bits to its vantage point: (n, levels)."""
+    x = fp ^ np.uint64(VANTAGE)
+    out = np.zeros((len(fp), len(levels)), np.int64)
+    for i, (at, bits) in enumerate(levels):
+        out[:, i] = np.bitwise_count(x >> np.uint64(at) & np.uint64((1 << bits) - 1))
+    return out
+
 
+def scales(levels: list[Level]) -> np.ndarray:
+    """Weights that turn ring numbers into one cell number."""
+    return np.cumprod([1, *(bits + 1 for _, bits in levels)])[:-1].astype(np.int64)
 
-def moves(levels: int, radius: int) -> np.ndarray:
-    """All ring differences over ``levels`` levels whose absolute values add up to at most radius."""
-    out = [()]
-    for _ in range(levels):
-        out = [(*m, d) for m in out for d in range(-radius, radius + 1) if sum(map(abs, m)) + abs(d) <= radius]
-    return np.array(out, dtype=np.int64).reshape(len(out), levels)
+
+def moves(levels: list[Level], reach: int) -> np.ndarray:
+    """All ring differences over ``levels`` whose absolute values add up to at most ``reach``."""
+    out = [((), 0)]
+    for _, bits in levels:
+        out = [((*m, d), used + abs(d)) for m, used in out for d in range(-min(bits, reach - used), min(bits, reach - used) + 1)]
+    return np.array([m for m, _ in out], dtype=np.int64).reshape(len(out), len(levels))
 
 
 def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -94,22 +116,29 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def shard_links(home: np.ndarray, query: np.ndarray, top: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forest of links within radius among ``home`` and between ``home`` and ``query`` (unique uint64)."""
-    fine = range(top, 8)
-    scale = 9 ** np.arange(len(fine), dtype=np.int64)
-    key = rings(home, fine) @ scale
-    order = np.argsort(key, kind="stable")
-    home, key = home[order], key[order]
+def shard_links(home: np.ndarray, query: np.ndarray, levels: list[Level], reach: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest of links within ``radius`` among ``home`` and between ``home`` and ``query``
+    (unique uint64) whose rings on the lower ``levels`` differ by at most ``reach``."""
+    scale, most = scales(levels), np.array([bits for _, bits in levels])
+    order = np.argsort(rings(home, levels) @ scale, kind="stable")
+    home = home[order]
+    key = rings(home, levels) @ scale
     nodes = np.concatenate([home, query])
-    probe = np.concatenate([rings(home, fine), rings(query, fine)])
+    probe = rings(nodes, levels)
     start = np.arange(len(nodes))
+    if len(query):  # nearly sorted searches stay in cache
+        start[len(home) :] = len(home) + np.argsort(probe[len(home) :] @ scale, kind="stable")
+        probe = probe[start]
     found: list[tuple[np.ndarray, ...]] = []
     held = 0
-    for m in moves(len(fine), radius):
-        at = probe + m
-        ok = np.flatnonzero(((at >= 0) & (at <= 8)).all(axis=1))
-        k = at[ok] @ scale
+    cell = probe @ scale
+    column = np.ascontiguousarray(probe.T)
+    for m in moves(levels, reach):
+        ok = np.ones(len(cell), bool)
+        for i in np.flatnonzero(m):
+            ok &= column[i] + m[i] >= 0 if m[i] < 0 else column[i] + m[i] <= most[i]
+        ok = np.flatnonzero(ok)
+        k = cell[ok] + m @ scale
         lo, hi = np.searchsorted(key, k, "left"), np.searchsorted(key, k, "right")
         hit = hi > lo
         ok, lo, hi = start[ok[hit]], lo[hit], hi[hit]
@@ -138,37 +167,49 @@ def _thin(found: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]
     return a[keep], b[keep], d[keep]
 
 
-def top_levels(n: int, radius: int) -> int:
-    """Levels that name shards, so that the fullest ring of each keeps shards near SHARD_ROWS."""
-    return min(6, max(1, math.ceil(math.log(max(1, n / SHARD_ROWS)) / math.log(8 / 2.2))))
+def top_levels(n: int, levels: list[Level]) -> int:
+    """How many levels name shards, so that a shard holds about SHARD_ROWS of n fingerprints.
+    The middle ring of b bits holds one in sqrt(pi * b / 2) of them."""
+    cells, top = 1.0, 1
+    for top, (_, bits) in enumerate(levels, 1):
+        cells *= max(2.0, math.sqrt(math.pi * bits / 2))
+        if n / cells <= SHARD_ROWS:
+            break
+    return min(top, len(levels) - 1)
 
 
 def hamming_forest(fps: DataFrame, radius: int, n: int | None = None) -> DataFrame:
     """(fp, other, distance): links that connect all distinct fingerprints within ``radius``."""
     n = fps.count() if n is None else n
-    top = top_levels(n, radius)
-    delta = moves(top, radius)
-    delta = delta[[tuple(m) >= (0,) * top for m in delta.tolist()]]  # one side of each pair of shards
-    scale = 9 ** np.arange(top, dtype=np.int64)
+    plans = []
+    for levels, reach in trees(radius):
+        top = top_levels(n, levels)
+        delta = moves(levels[:top], reach)
+        plans.append((levels[:top], levels[top:], reach, delta[[tuple(m) >= (0,) * top for m in delta.tolist()]]))  # one side of each pair of shards
 
     def spread(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
-            r = rings(np.ascontiguousarray(fp), range(top))
-            for m in delta:
-                at = r + m
-                ok = ((at >= 0) & (at <= 8)).all(axis=1)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(at[ok] @ scale), pa.array(fp[ok]), pa.array(np.full(ok.sum(), not m.any()))], names=["shard", "fp", "home"])
+            own = np.ascontiguousarray(fp).view(np.uint64)
+            for tree, (top, _, _, delta) in enumerate(plans):
+                r, scale, most = rings(own, top), scales(top), np.array([bits for _, bits in top])
+                for m in delta:
+                    at = r + m
+                    ok = ((at >= 0) & (at <= most)).all(axis=1)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(ok.sum(), tree, np.int32)), pa.array(at[ok] @ scale), pa.array(fp[ok]), pa.array(np.full(ok.sum(), not m.any()))], names=["tree", "shard", "fp", "home"]
+                        )
 
     def search(t: pa.Table) -> pa.Table:
         fp = t.column("fp").to_numpy().view(np.uint64)
         home = t.column("home").to_numpy()
-        a, b, d = shard_links(fp[home], fp[~home], top, radius)
+        _, fine, reach, _ = plans[t.column("tree")[0].as_py()]
+        a, b, d = shard_links(fp[home], fp[~home], fine, reach, radius)
         return pa.table({"fp": a.view(np.int64), "other": b.view(np.int64), "distance": d.astype(np.int32)})
 
-    sent = fps.select("fp").mapInArrow(spread, "shard long, fp long, home boolean")
-    return sent.groupBy("shard").applyInArrow(search, "fp long, other long, distance int")
+    sent = fps.select("fp").mapInArrow(spread, "tree int, shard long, fp long, home boolean")
+    return sent.groupBy("tree", "shard").applyInArrow(search, "fp long, other long, distance int")
 
 
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -214,3 +255,53 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own.join(of_fp.join(least_, "component").select("fp", "component_id"), "fp")
         .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def jaccard_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 11, similarity: float = 0.8
+) -> DataFrame:
+    """(id, component): rows in groups of near duplicates, with the smallest id of the group.
+
+    Candidates are fingerprints of ``width``-word shingles within ``radius`` bits, linked by a
+    minimum spanning forest (closest pairs first) and, for equal fingerprints, a star around
+    the smallest id; so their number is linear in the documents.  A link counts only if the
+    Jaccard similarity of the two shingle sets is ``similarity`` or more.  Texts without words
+    are equal to each other.  Ids identify rows; null ids are in no group.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
+    own = materialize(fingerprints(rows, "id", "t", width), "near-fp").distinct()
+    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "near-distinct")
+    links = hamming_forest(fps, radius).select("fp", "other").distinct()
+    far = links.join(fps, "fp").select("other", F.col("least").alias("a")).join(fps.withColumnRenamed("fp", "other"), "other").select("a", F.col("least").alias("b"))
+    same = own.join(fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
+    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def shingle_sets(batches):
+        import xxhash
+
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                w = (t or b"").lower().split()
+                grams = map(b" ".join, zip(*(w[i:] for i in range(width)))) if len(w) > width else [b" ".join(w)]
+                out.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(42)), dtype=np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "grams"])
+
+    sets = materialize(
+        rows.join(involved, "id", "left_semi").select("id", F.col("t").cast("binary").alias("t")).mapInArrow(shingle_sets, "id long, grams binary").dropDuplicates(["id"]), "near-grams"
+    )
+
+    def verify(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    good = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return components(good, "near-components").select(F.col("node").alias(id_col), "component")
