@@ -2,13 +2,14 @@
 
 * Examples: a sample of at most ``max_examples`` training labels (smallest hash of the id).
 * Terms: words (runs of letters, lower-cased) and beginnings of words (inflected languages)
-  that are significantly more frequent in toxic examples; equal texts count once.  At most
-  ``max_terms``.
+  that are significantly and several times more frequent in toxic examples; equal texts count
+  once, and of beginnings found in the same texts the longest stays.  At most ``max_terms``.
 * Vectors: ln(1 + occurrences in a hundred words) * idf over those terms in the whole text,
   and a constant component, so that one chance hit in a long text stays near the origin; unit
   length.  Document frequencies are counted over all documents.
 * Search: for every term, postings in blocks of example numbers with the block's largest
-  weight.  Blocks are visited by falling upper bound and the search stops when no bound
+  weight.  Examples are numbered by their heaviest term, so that blocks differ and bounds are
+  tight.  Blocks are visited by falling upper bound and the search stops when no bound
   reaches the k-th best cosine, so the k nearest are exact.
 * Score: votes weighted by 1 / (distance + a constant), shrunk towards the rate of toxic
   examples without any term (the score of texts without one); the nearest examples are
@@ -63,6 +64,9 @@ class Index:
     @classmethod
     def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
         idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
+        heavy = [max(zip(w[:-1], t[:-1]))[::-1] for t, w in (unit(row, idf) for row in rows)]
+        order = sorted(range(len(rows)), key=lambda e: (int(heavy[e][0]), -heavy[e][1], ids[e]))
+        ids, labels, rows = [ids[e] for e in order], [labels[e] for e in order], [rows[e] for e in order]
         blocks = max(1, -(-len(ids) // BLOCK))
         lists: list[list[tuple[int, float]]] = [[] for _ in idf]
         for e, row in enumerate(rows):
@@ -73,7 +77,7 @@ class Index:
         peak = np.zeros((len(idf), blocks))
         for t, (e, w) in enumerate(postings):
             np.maximum.at(peak[t], e // BLOCK, w)
-        return cls(np.asarray(ids, dtype=np.int64), np.asarray(labels), base, idf, postings, offsets, peak)
+        return cls(np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), base, idf, postings, offsets, peak)
 
     def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
@@ -109,9 +113,10 @@ def unit(row: Row, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, w / np.sqrt(w @ w)
 
 
-def select_terms(sample: DataFrame, max_terms: int, least_docs: int = 3, least_z: float = 5.0) -> list[str]:
+def select_terms(sample: DataFrame, max_terms: int, least_docs: int = 3, least_z: float = 5.0, least_lift: float = 3.0) -> list[str]:
     """Terms whose document frequency in toxic examples exceeds that in the others by a z of
-    ``least_z`` (pooled proportions), over distinct texts; best first, ties by term."""
+    ``least_z`` (pooled proportions) and by the factor ``least_lift``, over distinct texts; best
+    first, ties by term."""
 
     def run(batches):
         for b in batches:
@@ -126,8 +131,11 @@ def select_terms(sample: DataFrame, max_terms: int, least_docs: int = 3, least_z
     df = once.mapInArrow(run, "term string, y long").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
     p = F.col("c") / n
     z = (F.col("a") / pos - (F.col("c") - F.col("a")) / (n - pos)) / F.sqrt(p * (1 - p) * (1.0 / pos + 1.0 / (n - pos)))
-    best = df.filter(F.col("a") >= least_docs).filter("c < %d" % n).withColumn("z", z).filter(F.col("z") >= least_z)
-    return [r.term for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
+    best = df.filter((F.col("a") >= least_docs) & (F.col("c") < n)).withColumn("z", z).filter(F.col("z") >= least_z)
+    best = best.filter(F.col("a") * (n - pos) >= least_lift * pos * (F.col("c") - F.col("a")))
+    found = {r.term: (r.a, r.c) for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
+    doubled = {f for t, n_ in found.items() for f in forms(t.rstrip("*")) if f != t and found.get(f) == n_}
+    return [t for t in found if t not in doubled]
 
 
 def term_rates(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
