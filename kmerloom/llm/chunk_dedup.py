@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .suffix_dedup import SHARD_BYTES, blocks
+from .suffix_dedup import blocks, expand
 
 GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
 #: Blocks whose digests one salt of a shard gathers.
 SALT_BLOCKS = 4096
+#: Bytes of text whose digests one shard gathers.
+SHARD_BYTES = 16 << 20
 PLACE = np.dtype([("id", "<i8"), ("block", "<i8"), ("doc", "<i4"), ("at", "<i4")])
 
 
@@ -59,8 +61,8 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if least < 32:
         raise ValueError("least must be 32 or more")
     packed = blocks(docs, id_col, text_col)
-    total, n_blocks = packed.agg(F.sum(F.length("data")), F.count("*")).first()
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (4 * SHARD_BYTES)))
+    total, n_blocks = packed.agg(F.sum("bytes"), F.count("*")).first()
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // SHARD_BYTES))
     salts = max(1, -(-n_blocks // salt_blocks))
 
     def split(data: bytes, sizes: bytes):
@@ -79,6 +81,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def offer(batches):
         for b in batches:
             for block, ids, sizes, data in zip(*(b.column(i).to_pylist() for i in range(4))):
+                data = expand(data)
                 own = np.frombuffer(ids, np.int64).tolist()
                 best: dict[bytes, tuple] = {}
                 for key, d, at, _ in split(data, sizes):
@@ -151,6 +154,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def cut(batches):
         for b in batches:
             for ids, sizes, data, gone in zip(*(b.column(i).to_pylist() for i in range(4))):
+                data = expand(data)
                 own, size = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
                 off = np.concatenate([[0], np.cumsum(size)]).tolist()
                 drop = {x[i : i + 16] for x in gone or () for i in range(0, len(x), 16)}

@@ -25,11 +25,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
 
-BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 20, 1 << 18, 16 << 20, 50_000
+BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 20, 1 << 18, 3 << 20, 50_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) >> np.uint64(17))
 
@@ -224,9 +225,18 @@ def _unpack(binary: bytes | None, dtype) -> np.ndarray:
     return np.frombuffer(binary or b"", dtype)
 
 
+def squeeze(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.decompress(data) if data else b""
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, sizes, data): documents packed in order of arrival.  Written once, so block
-    and row numbers stay what they are when a task is repeated."""
+    """(block, ids, sizes, bytes, data): documents packed in order of arrival, their texts
+    compressed.  Written once, so block and row numbers stay what they are when a task is
+    repeated."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -236,7 +246,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array([seq]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([b"".join(data)], pa.binary())], names=["block", "ids", "sizes", "data"]
+                [pa.array([seq]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([held]), pa.array([squeeze(b"".join(data))])],
+                names=["block", "ids", "sizes", "bytes", "data"],
             )
 
         for b in batches:
@@ -253,7 +264,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    return materialize(rows.mapInArrow(run, "block long, ids binary, sizes binary, data binary"), "suffix-blocks")
+    return materialize(rows.mapInArrow(run, "block long, ids binary, sizes binary, bytes long, data binary"), "text-blocks")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -266,13 +277,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     packed = blocks(docs, id_col, text_col)
-    total = packed.agg(F.sum(F.length("data"))).first()[0] or 0
+    total = packed.agg(F.sum("bytes")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
 
     def values(batches):
         for b in batches:
-            for block, sizes, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = np.frombuffer(data.as_buffer(), np.uint8)
+            for block, sizes, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                text = np.frombuffer(expand(data), np.uint8)
                 v, _, _, _, folds = runs(text, np.concatenate([[0], np.cumsum(_unpack(sizes, np.int64))]), length)
                 v, at = np.unique(v, return_inverse=True)
                 n = np.bincount(at, weights=1 + folds, minlength=len(v)).astype(np.int64)
@@ -306,6 +317,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for b in batches:
             for block, ids, sizes, data, answer in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if answer is None:  # nothing in this block repeats
+                    continue
+                data = expand(data)
                 v = np.concatenate([_unpack(x["v"], np.uint64) for x in answer])
                 split = np.concatenate([_unpack(x["split"], np.int32) for x in answer])
                 by = np.argsort(v)
@@ -334,7 +348,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         else:
                             seen.add(seg)
                             sent.setdefault(shard, []).append((int(ids[d]), d, s, k, seg))
-                rows = [(shard, block, *(np.array([y[i] for y in x], np.int64).tobytes() for i in range(4)), b"".join(y[4] for y in x)) for shard, x in sent.items()]
+                rows = [(shard, block, *(np.array([y[i] for y in x], np.int64).tobytes() for i in range(4)), squeeze(b"".join(y[4] for y in x))) for shard, x in sent.items()]
                 if marks:
                     m = np.array(marks, np.int64)
                     rows.append((-1 - block % shards, block, b"", m[:, 0].tobytes(), m[:, 1].tobytes(), m[:, 2].tobytes(), b""))
@@ -348,7 +362,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.table({"block": t.column("block"), "doc": t.column("doc"), "lo": t.column("first"), "hi": t.column("n")})
         block, ids, docs_, first, n, segs = [], [], [], [], [], []
         for b, i, d, f, k, data in zip(*(t.column(c).to_pylist() for c in ("block", "id", "doc", "first", "n", "data"))):
-            k = _unpack(k, np.int64)
+            k, data = _unpack(k, np.int64), expand(data)
             block.append(np.full(len(k), b, np.int64))
             for into, x in ((ids, i), (docs_, d), (first, f)):
                 into.append(_unpack(x, np.int64))
@@ -381,8 +395,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 into.append(value)
         return pa.table({c: pa.array(x, pa.int64() if c == "block" else pa.binary()) for c, x in zip(names, out)})
 
+    # both joins are left joins of the same columns, so that they share one exchange of the blocks
     marks = (
-        packed.join(answers, "block").select("block", "ids", "sizes", "data", "answers")
+        packed.join(answers, "block", "left").select("block", "ids", "sizes", "data", "answers")
         .mapInArrow(segments, "shard long, block long, id binary, doc binary, first binary, n binary, data binary")
         .groupBy("shard").applyInArrow(sort, "block long, doc binary, lo binary, hi binary")
         .groupBy("block").agg(F.collect_list(F.struct("doc", "lo", "hi")).alias("marks"))
@@ -390,7 +405,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches):
         for b in batches:
-            for ids, sizes, data, mark in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for _, ids, sizes, data, mark in zip(*(b.column(i).to_pylist() for i in range(5))):
+                data = expand(data)
                 ids, size = _unpack(ids, np.int64), _unpack(sizes, np.int64)
                 off = np.concatenate([[0], np.cumsum(size)])
                 doc, lo, hi = (np.concatenate([_unpack(m[c], np.int64) for m in mark or ()] or [np.zeros(0, np.int64)]) for c in ("doc", "lo", "hi"))
@@ -410,6 +426,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    return packed.join(marks, "block", "left").select("ids", "sizes", "data", "marks").mapInArrow(
+    return packed.join(marks, "block", "left").select("block", "ids", "sizes", "data", "marks").mapInArrow(
         cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
