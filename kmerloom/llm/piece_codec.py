@@ -20,6 +20,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
@@ -153,9 +154,9 @@ def unpack(s: str) -> Matrix:
     return {(c, t): frozenset((i, u) for i, u in x) for c, t, x in json.loads(s)}
 
 
-def _slices(texts: list[str], most: int = 1_000_000):
-    """Bounds of slices with about ``most`` characters, so that ids take bounded memory."""
-    size = np.cumsum([len(t) for t in texts])
+def _slices(texts: pa.Array, most: int = 1_000_000):
+    """Bounds of slices with about ``most`` bytes of text, so that ids take bounded memory."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
@@ -179,12 +180,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def whole(batches):
         codec = Codec(proto)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for at, to in _slices(texts):
-                ids = codec.encode(texts[at:to])
+            for at, to in _slices(b.column(1)):
+                texts = b.column(1).slice(at, to - at).to_pylist()
+                ids = codec.encode(texts)
                 back = codec.decode(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, to - at), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([x == y for x, y in zip(back, texts[at:to])])],
+                    [b.column(0).slice(at, to - at), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([x == y for x, y in zip(back, texts)])],
                     names=["id", "n_tokens", "token_ids", "round_trip"],
                 )
 

@@ -58,7 +58,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            x = [statistics(t) for t in b.column(1).to_pylist()]
+            x = [statistics(t.as_py()) for t in b.column(1)]
             flat = np.concatenate(x) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * K, pa.int32()), pa.array(flat))], names=["id", "x"]

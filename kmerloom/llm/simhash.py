@@ -53,7 +53,7 @@ def fingerprint(text: bytes | None, width: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            fp = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, fp long")
@@ -282,8 +282,8 @@ def jaccard_near_duplicates(
 
         for b in batches:
             out = []
-            for t in b.column(1).to_pylist():
-                w = (t or b"").lower().split()
+            for t in b.column(1):
+                w = (t.as_py() or b"").lower().split()
                 grams = map(b" ".join, zip(*(w[i:] for i in range(width)))) if len(w) > width else [b" ".join(w)]
                 out.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(42)), dtype=np.uint64)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "grams"])

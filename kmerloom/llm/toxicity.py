@@ -119,16 +119,32 @@ def select_terms(sample: DataFrame, max_terms: int, least_docs: int = 3, least_z
     first, ties by term."""
 
     def run(batches):
+        def rows():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "a", "c"]
+            )
+            seen.clear()
+            return out
+
+        seen: dict[str, list[int]] = {}
         for b in batches:
-            out = [(w, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {f for w in set(words(t)) for f in forms(w)}]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([y for _, y in out], pa.int64())], names=["term", "y"])
+            for t, y in zip(b.column(0), b.column(1)):
+                y = y.as_py()
+                for f in {f for w in set(words(t.as_py())) for f in forms(w)}:
+                    x = seen.setdefault(f, [0, 0])
+                    x[0] += y
+                    x[1] += 1
+                if len(seen) > 200_000:  # sums of parts; bounded memory
+                    yield rows()
+        if seen:
+            yield rows()
 
     once = sample.groupBy("text").agg(F.max("y").alias("y"))
     size = once.agg(F.count("*"), F.sum("y")).first()
     n, pos = size[0] or 0, size[1] or 0
     if not pos or pos == n:
         return []
-    df = once.mapInArrow(run, "term string, y long").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("c"))
+    df = once.mapInArrow(run, "term string, a long, c long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("c").cast("double").alias("c"))
     p = F.col("c") / n
     z = (F.col("a") / pos - (F.col("c") - F.col("a")) / (n - pos)) / F.sqrt(p * (1 - p) * (1.0 / pos + 1.0 / (n - pos)))
     best = df.filter((F.col("a") >= least_docs) & (F.col("c") < n)).withColumn("z", z).filter(F.col("z") >= least_z)
@@ -148,13 +164,13 @@ def term_rates(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
         memo: dict[str, list[int]] = {}
         for b in batches:
             ts, rs = [], []
-            for t in b.column(at).to_pylist():
-                found = words(t)
+            for t in b.column(at):
+                found = words(t.as_py())
                 seen: dict[int, int] = {}
                 for w, n in Counter(found).items():
                     own = memo.get(w)
                     if own is None:
-                        if len(memo) > 500_000:
+                        if len(memo) > 200_000:
                             memo.clear()
                         own = memo[w] = [number[f] for f in forms(w) if f in number]
                     for i in own:
@@ -206,7 +222,7 @@ def toxicity(
             for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 key = (tuple(t), tuple(c))
                 if key not in memo:
-                    if len(memo) > 100_000:
+                    if len(memo) > 20_000:
                         memo.clear()
                     memo[key] = index.score(list(zip(t, c)), k)
                 s, found = memo[key]
