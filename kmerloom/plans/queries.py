@@ -14,6 +14,7 @@ from ..params import SketchParams
 from ..session import scratch, spread
 from ..sources import sequences as files, sketch_files, tables
 from ..streaming.registers import streaming_minima
+from . import experiment
 
 K = 21
 #: A small sketch whose registers SQL can follow, and the same with other positions or seeds.
@@ -337,6 +338,15 @@ def synthetic_pairs(spark, d):
     return kmers.truth_rows(pairs.select("pair_id", "file1", "file2", "mutation_count", "genome_length"), sets)
 
 
+def accuracy_experiment(spark, d):
+    """Seeded pairs, exact truth and both estimates: one row per replicate, k, size and pair."""
+    return experiment.run(spark, experiment.Experiment(replicates=2, pairs=10, ks=(21, 31), sizes=(1024, 4096)))
+
+
+def accuracy_macro(spark, d):
+    return experiment.analyse(accuracy_experiment(spark, d), experiment.Experiment())["macro"]
+
+
 def schedule(spark, d):
     return simulate.schedule(spark, 20, [21, 31, 64], [2048, 8192, 32768], 2000, 100000, 0)
 
@@ -420,7 +430,7 @@ def queries() -> dict:
         unsigned_mod, nt_hash_kmer, oph_bucket_min, oph_nonempty_count, oph_densify, oph_registers_kernel, oph_match_estimate, bit_position_value,
         bit_position_stripe, bit_position_mix, odd_sketch_words, odd_sketch_kernel, seeded_sketch, hamming_popcount, odd_estimate, dist_all_to_all,
         dist_bipartite, dist_pairlist, sketch_documents, eval_pairlist, seeded_eval, bbit_estimate, jaccard_binning, pooled_rmse, pooled_rmse_bins,
-        macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, observation_checks, synthetic_pairs, schedule, sketch_binary_roundtrip,
+        macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, observation_checks, synthetic_pairs, accuracy_experiment, accuracy_macro, schedule, sketch_binary_roundtrip,
         fasta_parse, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, missing_pair_check, last_row_by_key,
         part_set_jaccard, streaming_registers,
     )
