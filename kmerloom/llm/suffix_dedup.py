@@ -10,6 +10,8 @@ starts earlier in the corpus.
 3. Segments: the text under each run of candidate windows goes to the shard of its value.
    Equal segments of a block travel once; their later copies are marked at once.  A value
    with very many segments is split further by the content of whole windows.
+   Blocks are dealt to salts: counts and equal segments are merged per salt before they are
+   merged per shard, so no task gathers one row from every block of the corpus.
 4. Suffix array: a shard sorts its window suffixes in two stages.  Only suffixes smaller than
    their successors are sorted directly (eight bytes a round, ties only); the others are
    induced by scanning the buckets of first bytes.  Neighbours in the array with a common
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize
 
 BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 20, 1 << 18, 3 << 20, 50_000
+#: Blocks whose rows one salt of a shard gathers.
+SALT_BLOCKS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7) >> np.uint64(17))
 
@@ -267,7 +271,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(rows.mapInArrow(run, "block long, ids binary, sizes binary, bytes long, data binary"), "text-blocks")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, salt_blocks: int = SALT_BLOCKS) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
     Earlier means a smaller id, then (rows of one id, repeated rows) the order of the packed
@@ -277,8 +281,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     packed = blocks(docs, id_col, text_col)
-    total = packed.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    total, n_blocks = packed.agg(F.sum("bytes"), F.count("*")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // SHARD_BYTES))
+    salts = max(1, -(-n_blocks // salt_blocks))
+    names = ["shard", "salt", "block", "id", "doc", "first", "n", "data"]
 
     def values(batches):
         for b in batches:
@@ -293,23 +299,42 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(v)]]) if len(v) else np.zeros(1, np.int64)
                 keep = [(int(shard[x]), v[x:y].tobytes(), np.minimum(n[x:y], 2**31 - 1).astype(np.int32).tobytes()) for x, y in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keep], pa.int64()), pa.array([block] * len(keep), pa.int64()), pa.array([k[1] for k in keep], pa.binary()), pa.array([k[2] for k in keep], pa.binary())],
-                    names=["shard", "block", "v", "n"],
+                    [pa.array([k[0] for k in keep], pa.int64()), pa.array([block % salts] * len(keep), pa.int64()), pa.array([block] * len(keep), pa.int64()), pa.array([k[1] for k in keep], pa.binary()), pa.array([k[2] for k in keep], pa.binary())],
+                    names=["shard", "salt", "block", "v", "n"],
                 )
 
-    def repeated(t: pa.Table) -> pa.Table:
-        block, vs, ns = t.column("block").to_numpy(), [_unpack(x, np.uint64) for x in t.column("v").to_pylist()], [_unpack(x, np.int32) for x in t.column("n").to_pylist()]
-        u, inverse = np.unique(np.concatenate(vs), return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate(ns), minlength=len(u)).astype(np.int64)
-        out, at = [], 0
-        for b, v in zip(block, vs):
-            c = count[inverse[at : at + len(v)]]
-            at += len(v)
+    def count(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        v = np.concatenate([_unpack(x, np.uint64) for x in t.column("v").to_pylist()])
+        n = np.concatenate([_unpack(x, np.int32) for x in t.column("n").to_pylist()])
+        u, at = np.unique(v, return_inverse=True)
+        return u, np.minimum(np.bincount(at, weights=n, minlength=len(u)), 2**31 - 1).astype(np.int32)
+
+    def per_salt(t: pa.Table) -> pa.Table:
+        u, n = count(t)
+        return pa.table({"shard": t.column("shard")[:1], "salt": t.column("salt")[:1], "v": pa.array([u.tobytes()]), "n": pa.array([n.tobytes()])})
+
+    def per_shard(t: pa.Table) -> pa.Table:
+        """For every salt the corpus counts of its own values."""
+        u, n = count(t)
+        own = [n[np.searchsorted(u, _unpack(x, np.uint64))].tobytes() for x in t.column("v").to_pylist()]
+        return pa.table({"shard": t.column("shard"), "salt": t.column("salt"), "v": t.column("v"), "n": pa.array(own, pa.binary())})
+
+    def repeated(offers: pa.Table, counts: pa.Table) -> pa.Table:
+        """To each block its values that repeat anywhere, and into how many parts they are split."""
+        u, n = count(counts)
+        out = []
+        for b, x in zip(offers.column("block").to_pylist(), offers.column("v").to_pylist()):
+            v = _unpack(x, np.uint64)
+            c = n[np.searchsorted(u, v)]
             if (c > 1).any():
-                out.append((int(b), v[c > 1].tobytes(), np.maximum(1, c[c > 1] // HOT_SEGMENTS).astype(np.int32).tobytes()))
+                out.append((b, v[c > 1].tobytes(), np.maximum(1, c[c > 1] // HOT_SEGMENTS).astype(np.int32).tobytes()))
         return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.binary()), "split": pa.array([o[2] for o in out], pa.binary())})
 
-    found = packed.select("block", "sizes", "data").mapInArrow(values, "shard long, block long, v binary, n binary").groupBy("shard").applyInArrow(repeated, "block long, v binary, split binary")
+    offers = packed.select("block", "sizes", "data").mapInArrow(values, "shard long, salt long, block long, v binary, n binary")
+    sums = offers.groupBy("shard", "salt").applyInArrow(per_salt, "shard long, salt long, v binary, n binary")
+    if salts > 1:
+        sums = sums.groupBy("shard").applyInArrow(per_shard, "shard long, salt long, v binary, n binary")
+    found = offers.groupBy("shard", "salt").cogroup(sums.groupBy("shard", "salt")).applyInArrow(repeated, "block long, v binary, split binary")
     answers = found.groupBy("block").agg(F.collect_list(F.struct("v", "split")).alias("answers"))
 
     def segments(batches):
@@ -348,60 +373,80 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         else:
                             seen.add(seg)
                             sent.setdefault(shard, []).append((int(ids[d]), d, s, k, seg))
-                rows = [(shard, block, *(np.array([y[i] for y in x], np.int64).tobytes() for i in range(4)), squeeze(b"".join(y[4] for y in x))) for shard, x in sent.items()]
+                rows = [(shard, block % salts, block, *(np.array([y[i] for y in x], np.int64).tobytes() for i in range(4)), squeeze(b"".join(y[4] for y in x))) for shard, x in sent.items()]
                 if marks:
                     m = np.array(marks, np.int64)
-                    rows.append((-1 - block % shards, block, b"", m[:, 0].tobytes(), m[:, 1].tobytes(), m[:, 2].tobytes(), b""))
+                    rows.append((-1 - block % shards, block % salts, block, b"", m[:, 0].tobytes(), m[:, 1].tobytes(), m[:, 2].tobytes(), b""))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.binary()) for i in range(7)], names=["shard", "block", "id", "doc", "first", "n", "data"]
+                    [pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.binary()) for i in range(8)], names=names
                 )
 
-    def sort(t: pa.Table) -> pa.Table:
-        names = ["block", "doc", "lo", "hi"]
-        if t.column("shard")[0].as_py() < 0:  # marks made on the way
-            return pa.table({"block": t.column("block"), "doc": t.column("doc"), "lo": t.column("first"), "hi": t.column("n")})
-        block, ids, docs_, first, n, segs = [], [], [], [], [], []
+    def gather(t: pa.Table):
+        """Segments of a shard in order of place, the earliest of equal ones apart from the rest:
+        columns (id, block, doc, first, n), texts, numbers of the earliest, numbers of later copies."""
+        cols, segs = [[] for _ in range(5)], []
         for b, i, d, f, k, data in zip(*(t.column(c).to_pylist() for c in ("block", "id", "doc", "first", "n", "data"))):
             k, data = _unpack(k, np.int64), expand(data)
-            block.append(np.full(len(k), b, np.int64))
-            for into, x in ((ids, i), (docs_, d), (first, f)):
-                into.append(_unpack(x, np.int64))
-            n.append(k)
+            for into, x in zip(cols, (_unpack(i, np.int64), np.full(len(k), b, np.int64), _unpack(d, np.int64), _unpack(f, np.int64), k)):
+                into.append(x)
             at = np.concatenate([[0], np.cumsum(k - 1 + length)]).tolist()
             segs += [data[x:y] for x, y in zip(at, at[1:])]
-        block, ids, docs_, first, n = map(np.concatenate, (block, ids, docs_, first, n))
-        by = np.lexsort((first, docs_, block, ids))
-        kept: dict[bytes, int] = {}
+        cols = [np.concatenate(x) for x in cols]
+        first: dict[bytes, int] = {}
         only, again = [], []
-        for i in by.tolist():  # equal segments once; later copies are repeats throughout
-            (again if kept.setdefault(segs[i], i) != i else only).append(i)
-        only = np.array(only, np.int64)
+        for i in np.lexsort(cols[3::-1]).tolist():
+            (again if first.setdefault(segs[i], i) != i else only).append(i)
+        return cols, segs, np.array(only, np.int64), np.array(again, np.int64)
+
+    def by_block(block: np.ndarray):
+        """Slices of one block in an array of sorted blocks."""
+        return zip(*(lambda c: (c, c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist())) if len(block) else ()
+
+    def collapse(t: pa.Table) -> pa.Table:
+        """Of one salt: the earliest of equal segments go on, later copies become marks."""
+        shard, salt = (t.column(c)[0].as_py() for c in ("shard", "salt"))
+        if shard < 0:
+            return t.select(names)
+        (ids, block, doc, first, n), segs, only, again = gather(t)
+        rows = []
+        only, again = only[np.argsort(block[only], kind="stable")], again[np.argsort(block[again], kind="stable")]
+        for x, y in by_block(block[only]):
+            o = only[x:y]
+            rows.append((shard, salt, int(block[o[0]]), *(c[o].tobytes() for c in (ids, doc, first, n)), squeeze(b"".join(segs[i] for i in o))))
+        for x, y in by_block(block[again]):
+            o = again[x:y]
+            rows.append((-1 - shard, salt, int(block[o[0]]), b"", doc[o].tobytes(), first[o].tobytes(), (first[o] + n[o] - 1).tobytes(), b""))
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(names)})
+
+    def sort(t: pa.Table) -> pa.Table:
+        out_names = ["block", "doc", "lo", "hi"]
+        if t.column("shard")[0].as_py() < 0:  # marks made on the way
+            return pa.table({"block": t.column("block"), "doc": t.column("doc"), "lo": t.column("first"), "hi": t.column("n")})
+        (ids, block, docs_, first, n), segs, only, again = gather(t)
         s, w = repeats([segs[i] for i in only], n[only], [ids[only], block[only], docs_[only], first[only]], length)
         s = only[s]
         o = np.lexsort((w, s))
         s, w = s[o], w[o]
         head = np.concatenate([[True], (s[1:] != s[:-1]) | (w[1:] != w[:-1] + 1)]) if len(s) else np.zeros(0, bool)
         i, j = np.flatnonzero(head), np.flatnonzero(np.append(head[1:], True)) if len(s) else np.zeros(0, np.int64)
-        again = np.array(again, np.int64)
         seg = np.concatenate([s[i], again])
         lo = np.concatenate([first[s[i]] + w[i], first[again]])
         hi = np.concatenate([first[s[i]] + w[j], first[again] + n[again] - 1])
         out = [[], [], [], []]
         by = np.argsort(block[seg], kind="stable")
         seg, lo, hi = seg[by], lo[by], hi[by]
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(block[seg])) + 1, [len(seg)]]) if len(seg) else np.zeros(1, np.int64)
-        for x, y in zip(cut, cut[1:]):
+        for x, y in by_block(block[seg]):
             for into, value in zip(out, (int(block[seg[x]]), docs_[seg[x:y]].tobytes(), lo[x:y].tobytes(), hi[x:y].tobytes())):
                 into.append(value)
-        return pa.table({c: pa.array(x, pa.int64() if c == "block" else pa.binary()) for c, x in zip(names, out)})
+        return pa.table({c: pa.array(x, pa.int64() if c == "block" else pa.binary()) for c, x in zip(out_names, out)})
 
     # both joins are left joins of the same columns, so that they share one exchange of the blocks
-    marks = (
-        packed.join(answers, "block", "left").select("block", "ids", "sizes", "data", "answers")
-        .mapInArrow(segments, "shard long, block long, id binary, doc binary, first binary, n binary, data binary")
-        .groupBy("shard").applyInArrow(sort, "block long, doc binary, lo binary, hi binary")
-        .groupBy("block").agg(F.collect_list(F.struct("doc", "lo", "hi")).alias("marks"))
-    )
+    schema = "shard long, salt long, block long, id binary, doc binary, first binary, n binary, data binary"
+    sent = packed.join(answers, "block", "left").select("block", "ids", "sizes", "data", "answers").mapInArrow(segments, schema)
+    if salts > 1:
+        sent = sent.groupBy("shard", "salt").applyInArrow(collapse, schema)
+    marks = sent.groupBy("shard").applyInArrow(sort, "block long, doc binary, lo binary, hi binary")
+    marks = marks.groupBy("block").agg(F.collect_list(F.struct("doc", "lo", "hi")).alias("marks"))
 
     def cut(batches):
         for b in batches:

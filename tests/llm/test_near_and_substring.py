@@ -131,14 +131,14 @@ def substring_texts():
     return out + out[20:26]
 
 
-@pytest.mark.parametrize("block,hot,length", [(1 << 20, 50_000, 100), (600, 50_000, 100), (600, 2, 100), (700, 50_000, 48)])
-def test_suffix_dedup(spark, monkeypatch, block, hot, length):
-    """Also with many small blocks, and with values split as if they were very frequent."""
+@pytest.mark.parametrize("block,hot,length,salt", [(1 << 20, 50_000, 100, 4096), (600, 50_000, 100, 4096), (600, 2, 100, 4096), (700, 50_000, 48, 3), (600, 3, 100, 4)])
+def test_suffix_dedup(spark, monkeypatch, block, hot, length, salt):
+    """Also with many small blocks, several salts, and values split as if very frequent."""
     monkeypatch.setattr(sd, "BLOCK_BYTES", block)
     monkeypatch.setattr(sd, "HOT_SEGMENTS", hot)
     rows = [(i, t, "x") for i, t in enumerate(substring_texts())]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit(1)).repartition(3)
-    got = sd.suffix_dedup(df, length=length)
+    got = sd.suffix_dedup(df, length=length, salt_blocks=salt)
     want = brute_removed([(i, (t or "").encode()) for i, t, _ in rows], length)
     assert sorted(map(tuple, got.drop("kept").collect())) == want
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.collect())
