@@ -34,8 +34,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage, survives lost executors and, unlike ``checkpoint()``, computes the
-    last stage once.
+    last stage once.  The files stay until the folder is emptied, since results are lazy;
+    `discard` removes those of a loop's earlier rounds.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
