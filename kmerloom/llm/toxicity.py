@@ -234,6 +234,8 @@ def toxicity(
                 names=[id_col, "held_out", "score", "predicted", "evidence"],
             )
 
-    return rates.select(id_col, held_out.alias("held_out"), "terms", "rates").mapInArrow(
+    # the table of rates is small and read in few tasks, but searching it is work: deal it out
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rates.repartition(tasks).select(id_col, held_out.alias("held_out"), "terms", "rates").mapInArrow(
         run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>"
     )
