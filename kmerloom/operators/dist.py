@@ -123,5 +123,6 @@ def evaluate_pairs(pairs: DataFrame, seqs: DataFrame, p: SketchParams, id_col: s
 def format_dist(dist: DataFrame) -> DataFrame:
     """path1, path2 and the estimate with six significant digits, without trailing zeros."""
     text = F.format_string("%.6g", F.col("jaccard"))
-    digits = F.when(F.col("jaccard") == 0, F.lit("0")).otherwise(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    digits = F.when(F.col("jaccard") == 0, F.lit("0")).otherwise(short)
     return dist.select("path1", "path2", digits.alias("jaccard"))
