@@ -79,6 +79,7 @@ def densify(reg: np.ndarray, p: SketchParams) -> np.ndarray:
     return out
 
 
+# The primes of XXH64.
 _P = [U(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)]
 
 

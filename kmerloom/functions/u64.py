@@ -85,6 +85,7 @@ def universal(x: Column, a: int, b: int, buckets: int) -> Column:
     return bucket_of(x * const(a) + const(b), buckets)
 
 
+# The primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
 
 

@@ -140,6 +140,7 @@ def densified(p: SketchParams, buckets: int, attempts: int = 2000) -> str:
     )
 
 
+# The primes of XXH64.
 _P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
 
 
