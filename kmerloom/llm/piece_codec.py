@@ -174,6 +174,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     gives no rows.  A text that holds U+2581 is encoded as if that were a blank, as the
     library does, and so has round_trip false.
     """
+    if chunk < reach:
+        raise ValueError("chunk must be at least reach")
     proto = open(model, "rb").read()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -193,9 +195,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     small = rows.filter(F.length("text") <= chunk).mapInArrow(whole, schema)
     big = rows.filter(F.length("text") > chunk)
     norm = big.select("id", F.contains("text", F.lit(BLANK)).alias("literal"), F.monotonically_increasing_id().alias("row"), F.concat(F.lit(BLANK), F.translate("text", " ", BLANK)).alias("norm"))
-    parts = norm.select("id", "row", "literal", "norm", F.length("norm").alias("end"), F.explode(F.sequence(F.lit(0), F.floor((F.length("norm") - 1) / chunk).cast("int"))).alias("k"))
-    base = F.greatest(F.lit(0), F.col("k") * chunk - reach)
-    parts = parts.select("id", "row", "end", "k", base.alias("base"), "literal", F.expr(f"substring(norm, greatest(0, k * {chunk} - {reach}) + 1, {chunk} + {2 * reach})").alias("part"))
+    # one pass cuts a text; a chunk borrows its context from its neighbours
+    cut = norm.select("id", "row", "literal", F.length("norm").alias("end"), F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("c"))
+    side = lambda f, i: F.coalesce(f(F.get("c", i), F.lit(reach)), F.lit(""))
+    whole_parts = F.transform("c", lambda x, i: F.concat(side(F.right, i - 1), x, side(F.left, i + 1)))
+    parts = cut.select("id", "row", "literal", "end", F.posexplode(whole_parts).alias("k", "part"))
+    parts = parts.select("id", "row", "end", "k", F.greatest(F.lit(0), F.col("k") * chunk - reach).alias("base"), "literal", "part")
     parts = materialize(parts.repartition("row", "k"), "piece-parts")  # spread the chunks, keep row numbers
 
     def matrix(batches):

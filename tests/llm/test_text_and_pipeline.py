@@ -46,7 +46,7 @@ def test_combine_is_associative(codec):
 
 
 def test_encode_and_decode(spark, codec, data):
-    rows = [(1, None, ""), (2, "", ""), (3, "x  y\n", ""), (None, "null id", ""), (4, "word " * 3000, ""), (4, "word " * 3000, ""), (5, "with ▁ itself " * 40, "")]
+    rows = [(1, None, ""), (2, "", ""), (3, "x  y\n", ""), (None, "null id", ""), (4, "word " * 3000, ""), (4, "word " * 3000, ""), (5, "with ▁ itself " * 40, ""), (6, "😀é\n word" * 100, "")]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = pcod.encode(docs, chunk=200)
     by = {(r.doc_id, r.n_tokens): r for r in got.collect()}
