@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequences import canonical_kmers, is_acgt
+from ..session import small
 
 
 def explode_kmers(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
@@ -17,11 +18,21 @@ def explode_kmers(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "s
     return seqs.select(id_col, F.posexplode(canonical_kmers(F.col(seq_col), k)).alias("pos", "kmer"))
 
 
-def kmer_sets(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq", acgt_only: bool = False) -> DataFrame:
+def kmer_sets(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq", acgt_only: bool = False, whole: bool = False) -> DataFrame:
     """(id, kmer): distinct canonical k-mers; windows with other characters stay or go (their
-    canonical form holds such a character too)."""
-    rows = explode_kmers(seqs, k, id_col, seq_col).select(id_col, "kmer")
-    return (rows.filter(is_acgt(F.col("kmer"))) if acgt_only else rows).distinct()
+    canonical form holds such a character too).
+
+    ``whole`` says that every id has one row: then a row's own distinct k-mers are the set and
+    nothing is shuffled.  Otherwise rows of one id are merged.
+    """
+    rows = seqs.select(id_col, F.explode(F.array_distinct(canonical_kmers(F.col(seq_col), k))).alias("kmer"))
+    rows = rows.filter(is_acgt(F.col("kmer"))) if acgt_only else rows
+    return rows if whole else rows.distinct()
+
+
+def whole_set_sizes(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
+    """(id, n) of tables with one row per id, counted in the row (0 where there is none)."""
+    return seqs.select(id_col, F.size(F.array_distinct(canonical_kmers(F.col(seq_col), k))).cast("long").alias("n"))
 
 
 def set_sizes(sets: DataFrame, id_col: str = "id") -> DataFrame:
@@ -58,14 +69,16 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame, id_col: str = "id") -> Data
     return out.withColumn("jaccard", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")))
 
 
-def jaccard_bipartite(queries: DataFrame, base: DataFrame, id_col: str = "id", exclude: Column | None = None) -> DataFrame:
+def jaccard_bipartite(queries: DataFrame, base: DataFrame, id_col: str = "id", exclude: Column | None = None, base_sizes: DataFrame | None = None) -> DataFrame:
     """(query, db, inter, n1, n2, jaccard) of query and base sets that share an element.
-    ``exclude`` is a condition on query and db that removes pairs (equal base names, say)."""
+    ``exclude`` is a condition on query and db that removes pairs (equal base names, say);
+    ``base_sizes`` are (id, n) rows where they are known.  The queries are broadcast if a count
+    finds them small; otherwise both sides are shuffled by k-mer."""
     q, d = (x.select(F.col(id_col).alias(name), "kmer") for x, name in ((queries, "query"), (base, "db")))
-    joined = q.join(d, "kmer")
+    joined = d.join(small(q), "kmer")
     inter = (joined if exclude is None else joined.filter(~exclude)).groupBy("query", "db").agg(F.count("*").alias("inter"))
     n1 = set_sizes(queries, id_col).select(F.col(id_col).alias("query"), F.col("n").alias("n1"))
-    n2 = set_sizes(base, id_col).select(F.col(id_col).alias("db"), F.col("n").alias("n2"))
+    n2 = (set_sizes(base, id_col) if base_sizes is None else base_sizes).select(F.col(id_col).alias("db"), F.col("n").alias("n2"))
     return inter.join(n1, "query").join(n2, "db").select("query", "db", "inter", "n1", "n2", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")).alias("jaccard"))
 
 

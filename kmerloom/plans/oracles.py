@@ -262,6 +262,7 @@ SELECT id1, id2, inter, x.n AS n1, y.n AS n2, round(inter::DOUBLE / (x.n + y.n -
         "kmer_revcomp": f"SELECT id, {rc('seq')} AS rc FROM ({docs})",
         "kmer_canonical": f"SELECT kmer, count(*) AS n FROM {windows(docs, 5)} GROUP BY kmer",
         "kmer_distinct_count": f"SELECT s.id, greatest(length(seq) - {K - 1}, 0)::BIGINT AS n_windows, coalesce(n, 0)::BIGINT AS n_distinct FROM ({docs}) s LEFT JOIN (SELECT id, count(*) AS n FROM {sets(docs, K)} GROUP BY id) USING (id)",
+        "kmer_set_sizes": f"SELECT id, count(*) AS n FROM {sets(bench, K)} GROUP BY id",
         "kmer_non_acgt_filter": "SELECT kmer, count(*) AS n FROM " + sets("SELECT doc_id AS id, upper(text) AS seq FROM documents", 4, " WHERE regexp_full_match(kmer, '[ACGTacgt]+')") + " GROUP BY kmer",
         "exact_jaccard_all_pairs": all_pairs(sets(bench, K)),
         "exact_jaccard_bipartite": bipartite(sets(bench, 31), sets(docs, 31)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def session(app: str = "kmerloom", **conf: str) -> SparkSession:
@@ -31,3 +31,9 @@ def spread(df: DataFrame) -> DataFrame:
     Tables with as many partitions as cores stay where they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` marked for broadcast if a count finds at most ``rows`` rows; else as it is, so that
+    a join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
