@@ -14,11 +14,14 @@ within r agree up to 2 bits in one part.  Work grows with the square of the numb
 fingerprints over 2 ** (64 // trees), so the radius sets the price.
 
 A shard returns the minimum spanning forest of its links, never all pairs, which keeps
-connectivity and stays linear in the size of a group of copies.
+connectivity and stays linear in the size of a group of copies.  Where links must also pass a
+Jaccard threshold the forest is only a first pass, and an exact prefix-filtered search finds
+the pairs that it leaves apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
@@ -33,23 +36,34 @@ Level = tuple[int, int]  # (lowest bit, number of bits)
 
 #: Fingerprints that one shard should hold, and candidate pairs compared at once.
 SHARD_ROWS, CHUNK = 20_000, 400_000
+#: Texts sampled for frequent shingles, how many of these are told apart, and prefix entries in a bucket.
+SAMPLE, COMMON, ENTRIES = 4_000, 20_000, 250_000
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a UTF-8 text."""
+def hashes(text: bytes | None, width: int) -> np.ndarray:
+    """64-bit hashes of the word shingles of a UTF-8 text, in order; none for a text without words."""
     import xxhash
 
     words = (text or b"").lower().split()  # bytes.lower folds A-Z only; bytes.split cuts at \x20 \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(42)), dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(42)), dtype=np.uint64)
+
+
+def fold(h: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes; zero of none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 8192):
         ones += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, width: int) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a UTF-8 text."""
+    return fold(hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -258,36 +272,132 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def jaccard_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 11, similarity: float = 0.8
-) -> DataFrame:
-    """(id, component): rows in groups of near duplicates, with the smallest id of the group.
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the shingles most frequent in a sample of about SAMPLE texts, by hash.
+    They only order shingles, so the sample decides how many candidates there are, not which links are found."""
 
-    Candidates are fingerprints of ``width``-word shingles within ``radius`` bits, linked by a
-    minimum spanning forest (closest pairs first) and, for equal fingerprints, a star around
-    the smallest id; so their number is linear in the documents.  A link counts only if the
-    Jaccard similarity of the two shingle sets is ``similarity`` or more.  Texts without words
-    are equal to each other.  Ids identify rows; null ids are in no group.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
-    own = materialize(fingerprints(rows, "id", "t", width), "near-fp").distinct()
-    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "near-distinct")
-    links = hamming_forest(fps, radius).select("fp", "other").distinct()
-    far = links.join(fps, "fp").select("other", F.col("least").alias("a")).join(fps.withColumnRenamed("fp", "other"), "other").select("a", F.col("least").alias("b"))
-    same = own.join(fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
+    def run(batches):
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t.as_py(), width)).view(np.int64))], names=["h"])
+
+    part = max(1, rows.count() // SAMPLE)
+    seen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.col("t").cast("binary").alias("t")).mapInArrow(run, "h long")
+    top = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rarest(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The prefix of a shingle set (sorted) in the order of (frequency, hash): two sets of Jaccard
+    ``similarity`` or more have a shingle in common within both prefixes."""
+    if not len(grams):
+        return grams
+    rank = np.zeros(len(grams), np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], grams), len(common[0]) - 1)
+        rank = np.where(common[0][at] == grams, common[1][at], 0)
+    size = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1
+    return grams[np.argsort(rank, kind="stable")[:size]]
+
+
+def profiles(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(id, fp, n, digest, prefix): SimHash, and size, digest and prefix of the set of shingles."""
+    common = common_shingles(rows, width)
+
+    def run(batches):
+        for b in batches:
+            fp, n, digest, prefix = [], [], [], []
+            for t in b.column(1):
+                h = hashes(t.as_py(), width)
+                grams = np.unique(h)
+                fp.append(fold(h))
+                n.append(len(grams))
+                digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
+                prefix.append(rarest(grams, common, similarity).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())],
+                names=["id", "fp", "n", "digest", "prefix"],
+            )
+
+    return rows.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id long, fp long, n int, digest binary, prefix binary")
+
+
+#: An element of a prefix: shingle, its set (id, component found so far, size) and its place there.
+ENTRY = np.dtype([("gram", "u8"), ("id", "i8"), ("comp", "i8"), ("n", "i4"), ("place", "i4")])
+
+
+def meetings(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids (smaller, larger) of different components that share a shingle in ``x`` and
+    that sizes and places do not rule out.
+
+    Nothing of the required Jaccard is lost: the first shingle in common has at most
+    min(size - place) in common from there on."""
+    x = x[np.lexsort((x["id"], x["comp"], x["gram"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = x["gram"][1:] != x["gram"][:-1]
+    run = new.copy()
+    run[1:] |= x["comp"][1:] != x["comp"][:-1]
+    ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], len(x)), np.diff(np.append(np.flatnonzero(first), len(x))))
+    at, end = ends(run), ends(new)  # partners of an entry: from the end of its component to that of its shingle
+    i = np.flatnonzero(at < end)
+    at, end = at[i], end[i]
+    found: set[tuple[int, int]] = set()
+    size = np.cumsum(end - at)
+    cut = 0
+    while cut < len(i):  # expand ranges to pairs in bounded pieces
+        stop = max(cut + 1, int(np.searchsorted(size, (size[cut - 1] if cut else 0) + CHUNK, "right")))
+        m = end[cut:stop] - at[cut:stop]
+        a = x[np.repeat(i[cut:stop], m)]
+        b = x[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(at[cut:stop], m)]
+        least_ = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6
+        ok = np.minimum(a["n"] - a["place"], b["n"] - b["place"]) >= least_
+        a, b = a["id"][ok], b["id"][ok]
+        found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+        cut = stop
+    out = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of rows (id, component, n, prefix) of different components that can have
+    Jaccard ``similarity``, by prefix filtering; shingles are dealt to buckets by their hash."""
+    entries = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    buckets = max(16, entries // 8 // ENTRIES)
+
+    def deal(batches):
+        for b in batches:
+            prefix = [np.frombuffer(p.as_py(), np.uint64) for p in b.column(3)]
+            size = np.array([len(p) for p in prefix])
+            if not size.sum():
+                continue
+            x = np.empty(size.sum(), ENTRY)
+            x["gram"] = np.concatenate(prefix)
+            for name, c in zip(("id", "comp", "n"), b.columns):
+                x[name] = np.repeat(c.to_numpy(), size)
+            x["place"] = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            bucket = (x["gram"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            x, bucket = x[order], bucket[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([p.tobytes() for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "entries"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, b = meetings(np.concatenate([np.frombuffer(e.as_py(), ENTRY) for e in t.column("entries")]), similarity)
+        return pa.table({"a": a, "b": b})
+
+    dealt = nodes.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket long, entries binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have Jaccard ``similarity`` or more."""
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def shingle_sets(batches):
-        import xxhash
-
         for b in batches:
-            out = []
-            for t in b.column(1):
-                w = (t.as_py() or b"").lower().split()
-                grams = map(b" ".join, zip(*(w[i:] for i in range(width)))) if len(w) > width else [b" ".join(w)]
-                out.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, itertools.repeat(42)), dtype=np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "grams"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashes(t.as_py(), width)).tobytes() for t in b.column(1)], pa.binary())], names=["id", "grams"])
 
     sets = materialize(
         rows.join(involved, "id", "left_semi").select("id", F.col("t").cast("binary").alias("t")).mapInArrow(shingle_sets, "id long, grams binary").dropDuplicates(["id"]), "near-grams"
@@ -304,5 +414,35 @@ def jaccard_near_duplicates(
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    good = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def jaccard_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 11, similarity: float = 0.8
+) -> DataFrame:
+    """(id, component): rows in groups of near duplicates, with the smallest id of the group.
+
+    Rows are linked if the Jaccard similarity of their sets of ``width``-word shingles is
+    ``similarity`` or more; every such link counts.  Equal sets collapse to the smallest id.
+    SimHash then joins most groups at little cost: fingerprints within ``radius`` bits are linked
+    by a minimum spanning forest (closest pairs first), equal ones by a star, and each of
+    these links is checked.  Whatever that leaves apart is searched exactly: pairs of different
+    groups that share a shingle in the prefixes of their sets are checked, all of them.  So
+    ``radius`` sets only the work left to the second search.  Texts without words are equal to
+    each other.  Ids identify rows; null ids are in no group.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
+    own = materialize(profiles(rows, width, similarity), "near-profiles")
+    least_ = own.groupBy("digest").agg(F.min("id").alias("a"))
+    star = materialize(own.join(least_, "digest").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "near-equal")
+    sets = own.join(star.select(F.col("b").alias("id")), "id", "left_anti")
+    fps = materialize(sets.groupBy("fp").agg(F.min("id").alias("least")), "near-distinct")
+    links = hamming_forest(fps, radius).select("fp", "other").distinct()
+    far = links.join(fps, "fp").select("other", F.col("least").alias("a")).join(fps.withColumnRenamed("fp", "other"), "other").select("a", F.col("least").alias("b"))
+    same = sets.join(fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
+    near = components(similar(rows, pairs, width, similarity).unionByName(star), "near-components")
+    nodes = sets.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "prefix")
+    rest = materialize(prefix_pairs(nodes, similarity), "near-rest")
+    good = similar(rows, rest, width, similarity).unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
     return components(good, "near-components").select(F.col("node").alias(id_col), "component")

@@ -107,6 +107,45 @@ def test_near_duplicates(spark):
     assert got[31] == 30
 
 
+def swapped(words, at, tag):
+    """``words`` with those at the places ``at`` replaced."""
+    return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def brute_near(rows, similarity=0.8):
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {i: grams(t) for i, t, _ in rows}
+    comp = brute_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+    return {i: c for i, c in comp.items() if i != c}
+
+
+def near_rows():
+    """Pairs on both sides of 0.8, in a crowd of texts that share passages and fall short of it."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 99999)}"
+    common = [word() for _ in range(40)]
+    out = []
+    for g in range(40):
+        base = [word() for _ in range(rnd.choice([30, 60, 150, 400]))] + common * (g % 2)
+        out.append(base)
+        for v in range(3):
+            out.append(swapped(base, rnd.sample(range(len(base)), max(1, round(len(base) * rnd.choice([0.01, 0.02, 0.03, 0.05])))), f"g{g}v{v}x"))
+        out.append(base[: round(len(base) * rnd.choice([0.75, 0.82, 0.9]))])
+    return [(i, " ".join(t), "") for i, t in enumerate(out)] + [(1000, "", ""), (1001, None, ""), (1002, "a b", ""), (1003, "A  b", "")]
+
+
+@pytest.mark.parametrize("fold", [sh.fold, lambda h: int(np.bitwise_xor.reduce(h) & np.uint64(15))])
+def test_near_duplicates_lose_no_pair(spark, monkeypatch, fold):
+    """Also where fingerprints tell nothing, so that unrelated texts crowd into the radius."""
+    monkeypatch.setattr(sh, "fold", fold)
+    rows = near_rows()
+    got = {r.doc_id: r.component for r in sh.jaccard_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_near(rows)
+
+
 def brute_removed(docs, n):
     seen, out = set(), []
     for i, t in docs:
