@@ -1,23 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-* Examples: a sample of at most ``max_examples`` training labels (smallest hash of the id).
-* Terms: words (runs of letters, lower-cased) and beginnings of words (inflected languages)
-  that are significantly and several times more frequent in toxic examples; equal texts count
-  once, and of beginnings found in the same texts the longest stays.  At most ``max_terms``.
-* Vectors: ln(1 + occurrences in a hundred words) * idf over those terms in the whole text,
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+
+* Examples: a sample of at most ``max_examples`` training labels (smallest hash of the id), all
+  of them indexed, clean ones too.
+* Terms: every word (run of letters, lower-cased) of the examples.  Words and beginnings of words
+  (inflected languages) that are significantly and several times more frequent in toxic
+  examples count in full, at most ``max_terms``; the others are scaled by ORDINARY, so that
+  they decide where no such term does.  Equal texts count once, and of beginnings found in the
+  same texts the longest stays.
+* Vectors: ln(1 + occurrences in a hundred words) * idf over the terms in the whole text,
   and a constant component, so that one chance hit in a long text stays near the origin; unit
   length.  Document frequencies are counted over all documents.
-* Search: for every term, postings in blocks of example numbers with the block's largest
-  weight.  Examples are numbered by their heaviest term, so that blocks differ and bounds are
-  tight.  Blocks are visited by falling upper bound and the search stops when no bound
-  reaches the k-th best cosine, so the k nearest are exact.
+* Search: the postings of all terms of a text are added up over all examples, so the k
+  nearest are exact.
 * Score: votes weighted by 1 / (distance + a constant), shrunk towards the rate of toxic
-  examples without any term (the score of texts without one); the nearest examples are
-  returned as evidence.
+  examples without any toxic term (the score of texts without a known word); the nearest
+  examples are returned as evidence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -29,10 +31,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 64
-
-
 STEMS = range(3, 9)
+#: Weight of words that are not selected, as a part of that of selected terms.
+ORDINARY = 0.3
 #: Weight of the constant component.
 CONSTANT = 2.0
 
@@ -51,52 +52,37 @@ Row = list[tuple[int, float]]  # (term, occurrences in a hundred words)
 
 @dataclass
 class Index:
-    """Unit vectors of examples, inverted: per term ids, weights, and the largest weight per block."""
+    """Unit vectors of examples, inverted: numbers and weights of the examples of each term."""
 
     ids: np.ndarray
     labels: np.ndarray
     base: float
     idf: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    offsets: np.ndarray  # (terms, blocks + 1) into the postings
-    peak: np.ndarray  # (terms, blocks)
+    start: np.ndarray  # (terms + 1) into the postings
+    examples: np.ndarray
+    weights: np.ndarray
 
     @classmethod
     def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
         idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
-        heavy = [max(zip(w[:-1], t[:-1]))[::-1] for t, w in (unit(row, idf) for row in rows)]
-        order = sorted(range(len(rows)), key=lambda e: (int(heavy[e][0]), -heavy[e][1], ids[e]))
-        ids, labels, rows = [ids[e] for e in order], [labels[e] for e in order], [rows[e] for e in order]
-        blocks = max(1, -(-len(ids) // BLOCK))
-        lists: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for e, row in enumerate(rows):
-            for t, w in zip(*unit(row, idf)):
-                lists[t].append((e, w))
-        postings = [(np.array([e for e, _ in x], dtype=np.int64), np.array([w for _, w in x])) for x in lists]
-        offsets = np.array([np.searchsorted(e, np.arange(blocks + 1) * BLOCK) for e, _ in postings], dtype=np.int64).reshape(len(idf), blocks + 1)
-        peak = np.zeros((len(idf), blocks))
-        for t, (e, w) in enumerate(postings):
-            np.maximum.at(peak[t], e // BLOCK, w)
-        return cls(np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), base, idf, postings, offsets, peak)
+        units = [unit(row, idf) for row in rows]
+        t = np.concatenate([t for t, _ in units] or [np.zeros(0, np.int64)])
+        w = np.concatenate([w for _, w in units] or [np.zeros(0)])
+        e = np.repeat(np.arange(len(units), dtype=np.int32), [len(t) for t, _ in units])
+        order = np.argsort(t, kind="stable")
+        start = np.searchsorted(t[order], np.arange(len(idf) + 1))
+        return cls(np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), base, idf, start, e[order], w[order])
 
     def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
         terms, weights = unit(row, self.idf)
-        if not len(terms):
-            return []
-        bound = weights @ self.peak[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] + 1e-12 < best[-1][0]):
-                break
-            cos = np.zeros(BLOCK)
-            for t, q in zip(terms, weights):
-                lo, hi = self.offsets[t, b], self.offsets[t, b + 1]
-                e, w = self.postings[t]
-                cos[e[lo:hi] - b * BLOCK] += q * w[lo:hi]
-            best += [(float(cos[i]), int(b * BLOCK + i)) for i in np.flatnonzero(cos)]
-            best = sorted(best, key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
+        cos = np.zeros(len(self.ids))
+        for lo, hi, q in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), weights.tolist()):
+            cos[self.examples[lo:hi]] += q * self.weights[lo:hi]
+        least = np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-9 if len(cos) > k else 0.0
+        near = np.flatnonzero((cos > 0) & (cos >= least))
+        near = near[np.lexsort((near, -np.round(cos[near], 12)))][:k]
+        return list(zip(cos[near].tolist(), near.tolist()))
 
     def score(self, row: Row, k: int, near: float = 0.1, pull: float = 2.0) -> tuple[float, list[tuple[float, int]]]:
         found = self.nearest(row, k)
@@ -106,10 +92,11 @@ class Index:
 
 
 def unit(row: Row, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not row:
+    if not len(row):
         return np.zeros(0, np.int64), np.zeros(0)
-    t = np.array([i for i, _ in row] + [len(idf) - 1])
-    w = np.log1p([n for _, n in row] + [1.0]) * idf[t]
+    x = np.asarray(row)
+    t = np.append(x[:, 0].astype(np.int64), len(idf) - 1)
+    w = np.log1p(np.append(x[:, 1], 1.0)) * idf[t]
     return t, w / np.sqrt(w @ w)
 
 
@@ -154,16 +141,26 @@ def select_terms(sample: DataFrame, max_terms: int, least_docs: int = 3, least_z
     return [t for t in found if t not in doubled]
 
 
-def term_rates(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., terms array<int>, rates array<double>) of rows (keep..., text)."""
+def vocabulary(sample: DataFrame) -> list[str]:
+    """All words of the examples, in order."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0) for w in words(t.as_py())}), pa.string())], names=["word"])
+
+    return sorted(sample.select("text").mapInArrow(run, "word string").distinct().toArrow().column("word").to_pylist())
+
+
+def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
+    """(keep..., size int, terms array<int>, counts array<int>) of rows (keep..., text); size in words."""
     number = {w: i for i, w in enumerate(terms)}
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", terms array<int>, rates array<double>"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", size int, terms array<int>, counts array<int>"
     at = len(keep)
 
     def run(batches):
         memo: dict[str, list[int]] = {}
         for b in batches:
-            ts, rs = [], []
+            size, ts, ns = [], [], []
             for t in b.column(at):
                 found = words(t.as_py())
                 seen: dict[int, int] = {}
@@ -175,13 +172,41 @@ def term_rates(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
                         own = memo[w] = [number[f] for f in forms(w) if f in number]
                     for i in own:
                         seen[i] = seen.get(i, 0) + n
+                size.append(len(found))
                 ts.append(sorted(seen))
-                rs.append([100 * seen[i] / len(found) for i in ts[-1]])
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(ts, pa.list_(pa.int32())), pa.array(rs, pa.list_(pa.float64()))], names=[*keep, "terms", "rates"])
+                ns.append([seen[i] for i in ts[-1]])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:at], pa.array(size, pa.int32()), pa.array(ts, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=[*keep, "size", "terms", "counts"]
+            )
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def vectors(size, terms, counts) -> list[np.ndarray]:
+    """Arrays of (term, occurrences in a hundred words) from Arrow columns of `term_counts`."""
+    if not len(size):
+        return []
+    held = np.diff(terms.offsets.to_numpy())
+    rate = 100 * counts.flatten().to_numpy() / np.repeat(size.to_numpy(), held)
+    return np.split(np.column_stack([terms.flatten().to_numpy(), rate]), np.cumsum(held)[:-1])
+
+
+def frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
+    """The number of rows that hold each term."""
+
+    def run(batches):
+        df = np.zeros(n_terms, np.int64)
+        for b in batches:
+            df += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
+        t = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["t", "c"])
+
+    got = counted.select("terms").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(n_terms)
+    out[got.column("t").to_numpy()] = got.column("c").to_numpy()
+    return out
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_examples: int = 20_000, max_terms: int = 1_000, k: int = 15, threshold: float = 0.5,
@@ -190,8 +215,9 @@ def toxicity(
 
     ``held_out`` is a condition on the id; held-out labels are never read.  The sample of
     examples is bounded by ``max_examples``; terms, document frequencies and scores cover whole
-    texts of all rows.  Texts without a selected term (null and empty ones too) have no
-    neighbour and score the rate of toxic examples among such texts.  Repeated rows score
+    texts of all rows.  Every text with a word of any example is searched; others (null and
+    empty ones too) have no neighbour and score the rate of toxic examples without a selected
+    term.  The driver holds the words of the examples and their index.  Repeated rows score
     alike, labels without a document and null labels are ignored, an empty table gives no
     rows, and without labels every score is one half of one.
     """
@@ -201,41 +227,41 @@ def toxicity(
         .groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_examples)
     )
     sample = materialize(rows.join(F.broadcast(chosen), id_col), "toxicity-sample")  # at most max_examples ids are sent
-    terms = select_terms(sample, max_terms)
-    rates = materialize(term_rates(rows, terms, [id_col]), "toxicity-rates")
-    n = rates.count()
-    df = np.zeros(len(terms))
-    for r in rates.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("c")).collect():  # at most max_terms rows
-        df[r.t] = r.c
-    idf = np.log((1 + n) / (1 + df)) + 1
-    # examples with equal vectors and labels stay separate votes; those without a term only set the base rate
-    ex = term_rates(sample, terms, [id_col, "y"]).orderBy(id_col).collect()
-    bare = [r.y for r in ex if not r.terms]
-    base = (sum(bare) + 0.5) / (len(bare) + 1)
-    ex = [r for r in ex if r.terms]
-    index = Index.build([r[id_col] for r in ex], [r.y for r in ex], [list(zip(r.terms, r.rates)) for r in ex], idf, base)
+    chosen_terms = select_terms(sample, max_terms)
+    held = set(chosen_terms)
+    terms = chosen_terms + [w for w in vocabulary(sample) if w not in held]
+    counted = materialize(term_counts(rows, terms, [id_col]), "toxicity-counts")
+    idf = np.log((1 + counted.count()) / (1 + frequencies(counted, len(terms)))) + 1
+    idf[len(chosen_terms) :] *= ORDINARY
+    # examples with equal vectors and labels stay separate votes
+    ex = term_counts(sample, terms, [id_col, "y"]).toArrow().sort_by(id_col).combine_chunks()
+    ids, y = ex.column(id_col).to_numpy(), ex.column("y").to_numpy()
+    vecs = vectors(*(pa.concat_arrays(ex.column(c).chunks) if ex.num_rows else [] for c in ("size", "terms", "counts")))
+    bare = np.array([not (v[:, 0] < len(chosen_terms)).any() for v in vecs], bool)
+    base = float((y[bare].sum() + 0.5) / (bare.sum() + 1))
+    index = Index.build(ids, y, vecs, idf, base)
 
     def run(batches):
-        memo: dict[tuple, tuple[float, list[tuple[float, int]]]] = {}
+        memo: dict[bytes, tuple[float, list[tuple[float, int]]]] = {}
         for b in batches:
             scores, proof = [], []
-            for t, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                key = (tuple(t), tuple(c))
+            for v in vectors(*b.columns[2:]):
+                key = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
                 if key not in memo:
                     if len(memo) > 20_000:
                         memo.clear()
-                    memo[key] = index.score(list(zip(t, c)), k)
+                    memo[key] = index.score(v, k)
                 s, found = memo[key]
                 scores.append(s)
                 proof.append([int(index.ids[e]) for _, e in found])
             s = np.array(scores)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(proof, pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array(proof, pa.list_(pa.int64()))],
                 names=[id_col, "held_out", "score", "predicted", "evidence"],
             )
 
-    # the table of rates is small and read in few tasks, but searching it is work: deal it out
+    # the table of counts is read in few tasks, but searching it is work: deal it out
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rates.repartition(tasks).select(id_col, held_out.alias("held_out"), "terms", "rates").mapInArrow(
+    return counted.repartition(tasks).select(id_col, held_out.alias("held_out"), "size", "terms", "counts").mapInArrow(
         run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>"
     )

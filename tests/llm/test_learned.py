@@ -62,6 +62,17 @@ def test_nearest_is_exact():
     assert index.nearest([], 15) == [] and index.score([], 15)[0] == pytest.approx(0.1)
 
 
+def test_every_example_is_indexed_and_every_text_searched(spark):
+    """Texts without a selected term find their nearest examples over all words, clean ones too."""
+    rnd = np.random.default_rng(3)
+    texts = [" ".join("word" + chr(97 + i // 26) + chr(97 + i % 26) for i in rnd.integers(0, 500, 60)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(60)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in tx.toxicity(docs, labels, F.col("doc_id") >= 100).collect()}
+    assert all(got[100 + i].evidence[0] == i and len(got[100 + i].evidence) == 15 for i in range(60))
+    assert got[107].score > max(got[100 + i].score for i in range(60) if i != 7)
+
+
 def test_counts(spark):
     rows = [(1, "a b c a b c x"), (2, "l\nl\n\nm l\n \n"), (3, None), (4, "é#b $$ A!"), (5, "q q q q")]
     got = {r.doc_id: r for r in counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
