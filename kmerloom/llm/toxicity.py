@@ -64,14 +64,23 @@ class Index:
 
     @classmethod
     def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
+        pairs = np.concatenate([np.asarray(row, float).reshape(-1, 2) for row in rows] or [np.zeros((0, 2))])
+        return cls.of(ids, labels, np.array([len(row) for row in rows], np.int64), pairs[:, 0].astype(np.int32), pairs[:, 1], idf, base)
+
+    @classmethod
+    def of(cls, ids, labels, held: np.ndarray, t: np.ndarray, rate: np.ndarray, idf: np.ndarray, base: float) -> Index:
+        """The index of rows of ``held`` entries each, all entries in one array; made in few copies."""
         idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
-        units = [unit(row, idf) for row in rows]
-        t = np.concatenate([t for t, _ in units] or [np.zeros(0, np.int64)])
-        w = np.concatenate([w for _, w in units] or [np.zeros(0)])
-        e = np.repeat(np.arange(len(units), dtype=np.int32), [len(t) for t, _ in units])
+        w = np.log1p(rate)
+        w *= idf[t]
+        e = np.repeat(np.arange(len(held), dtype=np.int32), held)
+        some = np.flatnonzero(held)
+        norm = np.sqrt(np.bincount(e, w * w, minlength=len(held)) + CONSTANT**2)
+        w /= norm[e]
         order = np.argsort(t, kind="stable")
-        start = np.searchsorted(t[order], np.arange(len(idf) + 1))
-        return cls(np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), base, idf, start, e[order], w[order])
+        start = np.searchsorted(t[order], np.arange(len(idf)))
+        e, w = np.append(e[order], some.astype(np.int32)), np.append(w[order], CONSTANT / norm[some])
+        return cls(np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), base, idf, np.append(start, len(e)), e, w)
 
     def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
@@ -234,12 +243,16 @@ def toxicity(
     idf = np.log((1 + counted.count()) / (1 + frequencies(counted, len(terms)))) + 1
     idf[len(chosen_terms) :] *= ORDINARY
     # examples with equal vectors and labels stay separate votes
-    ex = term_counts(sample, terms, [id_col, "y"]).toArrow().sort_by(id_col).combine_chunks()
+    ex = term_counts(sample, terms, [id_col, "y"]).orderBy(id_col).toArrow()
+    flat = lambda name: np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in ex.column(name).chunks)])
     ids, y = ex.column(id_col).to_numpy(), ex.column("y").to_numpy()
-    vecs = vectors(*(pa.concat_arrays(ex.column(c).chunks) if ex.num_rows else [] for c in ("size", "terms", "counts")))
-    bare = np.array([not (v[:, 0] < len(chosen_terms)).any() for v in vecs], bool)
+    held = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in ex.column("terms").chunks)])
+    t, rate = flat("terms"), flat("counts") * 100 / np.repeat(ex.column("size").to_numpy(), held)
+    del ex
+    bare = np.bincount(np.repeat(np.arange(len(held)), held)[t < len(chosen_terms)], minlength=len(held)) == 0
     base = float((y[bare].sum() + 0.5) / (bare.sum() + 1))
-    index = Index.build(ids, y, vecs, idf, base)
+    index = Index.of(ids, y, held, t, rate, idf, base)
+    del t, rate
 
     def run(batches):
         memo: dict[bytes, tuple[float, list[tuple[float, int]]]] = {}
