@@ -159,6 +159,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return voted.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"),
+        base.alias("base_failed"), posterior(model).alias("posterior"),
         (~base & (posterior(model) >= keep)).alias("kept"),
     )

@@ -54,7 +54,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("posterior")  # the SQL has no such column
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,12 @@ def test_rules(spark):
     assert good > 0.97 and bad < 0.2
 
 
+def test_posterior_is_returned(spark):
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)).capitalize()
+    got = quality_rules(spark.createDataFrame([(i, good) for i in range(20)] + [(50, "#$% ABC!!! " * 60)], "doc_id long, text string")).collect()
+    assert all(0 <= r.posterior <= 1 and r.kept == (not r.base_failed and r.posterior >= 0.5) for r in got)
+
+
 def test_em_recovers_accuracies(spark):
     rnd = np.random.default_rng(1)
     y = rnd.random(20000) < 0.8
