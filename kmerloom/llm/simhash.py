@@ -10,7 +10,8 @@ surviving pair is compared exactly, in all 64 bits.
 
 Up to radius 2 one tree spans the 64 bits in levels of a byte.  For a larger radius r there
 are r // 3 + 1 trees over disjoint parts of the bits, in levels of one bit: two fingerprints
-within r agree up to 2 bits in one part.  Work grows with the square of the number of
+within r agree up to 2 bits in one part.  A ring of one bit is that bit, so this is
+multi-index bit probing.  Work grows with the square of the number of
 fingerprints over 2 ** (64 // trees), so the radius sets the price.
 
 A shard returns the minimum spanning forest of its links, never all pairs, which keeps
