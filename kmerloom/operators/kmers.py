@@ -1,8 +1,7 @@
 """Exact k-mer sets and their similarity.
 
 Pairs are found through an inverted index (a join on the k-mer), so only pairs that share one
-are counted; pairs without a common k-mer have similarity 0 and are added where a full result
-is asked for.
+are counted; pairs without a common k-mer have similarity 0 and no row, except in `jaccard_pairs`.
 """
 
 from __future__ import annotations
@@ -82,10 +81,14 @@ def jaccard_bipartite(queries: DataFrame, base: DataFrame, id_col: str = "id", e
     return inter.join(n1, "query").join(n2, "db").select("query", "db", "inter", "n1", "n2", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")).alias("jaccard"))
 
 
-def nearest(pairs: DataFrame, order: str = "db") -> DataFrame:
-    """(query, nn, jaccard): the best base entry of each query, ties to the smaller ``order``."""
+def nearest(pairs: DataFrame, order: str = "db", queries: DataFrame | None = None) -> DataFrame:
+    """(query, nn, jaccard): the best base entry of each query, ties to the smaller ``order``.
+    Of ``queries`` (query) each keeps a row: without a pair nn is null and jaccard 0."""
     w = Window.partitionBy("query").orderBy(F.desc("jaccard"), order)
-    return pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("query", F.col("db").alias("nn"), "jaccard")
+    best = pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("query", F.col("db").alias("nn"), "jaccard")
+    if queries is None:
+        return best
+    return queries.select("query").distinct().join(best, "query", "left").select("query", "nn", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))
 
 
 def truth_rows(pair_info: DataFrame, sets: DataFrame) -> DataFrame:

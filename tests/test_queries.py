@@ -40,3 +40,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert e.oracle_sql().keys() <= e.queries().keys()
+
+
+def test_nearest_keeps_every_query(spark):
+    from kmerloom.operators import kmers
+
+    pairs = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.5)], "query long, db long, jaccard double")
+    got = kmers.nearest(pairs, queries=spark.createDataFrame([(1,), (4,)], "query long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 0.5), (4, None, 0.0)]
