@@ -1,285 +1,508 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 * Examples: a sample of at most ``max_examples`` training labels (smallest hash of the id), all
   of them indexed, clean ones too.
-* Terms: every word (run of letters, lower-cased) of the examples.  Words and beginnings of words
-  (inflected languages) that are significantly and several times more frequent in toxic
-  examples count in full, at most ``max_terms``; the others are scaled by ORDINARY, so that
+* Terms: every word (run of letters, lower-cased) of the examples, known by its 64-bit hash.  Words
+  and beginnings of words (inflected languages) that are significantly and several times
+  more frequent in toxic examples count in full; the others are scaled by ORDINARY, so that
   they decide where no such term does.  Equal texts count once, and of beginnings found in the
   same texts the longest stays.
 * Vectors: ln(1 + occurrences in a hundred words) * idf over the terms in the whole text,
   and a constant component, so that one chance hit in a long text stays near the origin; unit
   length.  Document frequencies are counted over all documents.
-* Search: the postings of all terms of a text are added up over all examples, so the k
-  nearest are exact.
+* Search: examples are ordered so that similar ones share a block, and a block keeps the largest
+  weight of each of the most common terms.  The postings of all other terms are added up;
+  with the block's largest weights they bound every cosine in it.  Blocks are scored in full
+  while their bound reaches the k-th best cosine, so the k nearest are exact.
 * Score: votes weighted by 1 / (distance + a constant), shrunk towards the rate of toxic
-  examples without any toxic term (the score of texts without a known word); the nearest
-  examples are returned as evidence.
+  examples without any toxic term (the score of texts without a known word), then calibrated by
+  a logistic curve fitted to the votes of examples that are left out of their own search.
+  Examples tied at the k-th place share the votes that are left, so their ids decide nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+import sys
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import spread
 from .common import materialize
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Bytes that end a word: all of ASCII but letters; other characters count as letters, except MARKS.
+_BLANKED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
+MARKS = " ¡¿«»–—‘’“”„…"
+_TO_BLANK = {ord(c): " " for c in MARKS}
 STEMS = range(3, 9)
 #: Weight of words that are not selected, as a part of that of selected terms.
 ORDINARY = 0.3
 #: Weight of the constant component.
 CONSTANT = 2.0
+#: Terms held densely, examples in a block, queries searched together, slices of the table of frequencies.
+COMMON, BLOCK, TOGETHER, SLICES = 512, 128, 64, 16
+#: Rounding of single precision: bounds are widened by it, and cosines closer than TIE are tied.
+SLACK, TIE = 1e-4, 1e-9
 
 
-def words(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    text = (text or "").lower()
+    if not text.isascii():
+        text = text.translate(_TO_BLANK)
+    return text.encode(errors="replace").translate(_BLANKED).split()
 
 
-def forms(word: str) -> list[str]:
+def forms(word: bytes) -> list[bytes]:
     """The terms of a word: itself and its proper beginnings, marked with a star."""
-    return [word, *(word[:n] + "*" for n in STEMS if n < len(word))]
+    letters = word.decode()
+    return [word, *(letters[:n].encode() + b"*" for n in STEMS if n < len(letters))]
 
 
-Row = list[tuple[int, float]]  # (term, occurrences in a hundred words)
+def key(term: bytes) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(term)
 
-@dataclass
-class Index:
-    """Unit vectors of examples, inverted: numbers and weights of the examples of each term."""
 
-    ids: np.ndarray
-    labels: np.ndarray
-    base: float
-    idf: np.ndarray
-    start: np.ndarray  # (terms + 1) into the postings
-    examples: np.ndarray
-    weights: np.ndarray
+class Terms:
+    """Numbers of terms: the place of a term's hash among all of them, sorted."""
 
-    @classmethod
-    def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
-        pairs = np.concatenate([np.asarray(row, float).reshape(-1, 2) for row in rows] or [np.zeros((0, 2))])
-        return cls.of(ids, labels, np.array([len(row) for row in rows], np.int64), pairs[:, 0].astype(np.int32), pairs[:, 1], idf, base)
+    def __init__(self, keys: np.ndarray, stems: dict[bytes, int]):
+        self.keys, self.stems, self.memo = keys, stems, {}
 
-    @classmethod
-    def of(cls, ids, labels, held: np.ndarray, t: np.ndarray, rate: np.ndarray, idf: np.ndarray, base: float) -> Index:
-        """The index of rows of ``held`` entries each, all entries in one array; made in few copies."""
-        idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
-        w = np.log1p(rate)
-        w *= idf[t]
-        e = np.repeat(np.arange(len(held), dtype=np.int32), held)
-        some = np.flatnonzero(held)
-        norm = np.sqrt(np.bincount(e, w * w, minlength=len(held)) + CONSTANT**2)
-        w /= norm[e]
-        order = np.argsort(t, kind="stable")
-        start = np.searchsorted(t[order], np.arange(len(idf)))
-        e, w = np.append(e[order], some.astype(np.int32)), np.append(w[order], CONSTANT / norm[some])
-        return cls(np.array(ids, dtype=np.int64), np.array(labels, dtype=np.int64), base, idf, np.append(start, len(e)), e, w)
+    def _number(self, missing: list[bytes]) -> None:
+        if len(self.memo) > 150_000:
+            self.memo.clear()
+        k = np.fromiter(map(key, missing), np.uint64, len(missing))
+        at = np.minimum(np.searchsorted(self.keys, k), max(0, len(self.keys) - 1))
+        known = self.keys[at] == k if len(self.keys) else np.zeros(len(k), bool)
+        for w, i, own in zip(missing, at.tolist(), known.tolist()):
+            more = [self.stems[f] for f in forms(w)[1:] if f in self.stems] if self.stems else []
+            self.memo[w] = (i, *more) if own else tuple(more)
+
+    def count(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+        """(words, numbers of the terms in the text, how often each occurs)."""
+        found = words(text)
+        seen = Counter(found)
+        if missing := [w for w in seen if w not in self.memo]:
+            self._number(missing)
+            missing = [w for w in seen if w not in self.memo]  # only if the memo was cleared
+            if missing:
+                self._number(missing)
+        own = [self.memo[w] for w in seen]
+        flat = np.fromiter(chain.from_iterable(own), np.int64)
+        n = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter(map(len, own), np.int64, len(own)))
+        t, at = np.unique(flat, return_inverse=True)
+        return len(found), t, np.bincount(at, n, minlength=len(t)).astype(np.int64)
 
-    def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
-        terms, weights = unit(row, self.idf)
-        cos = np.zeros(len(self.ids))
-        for lo, hi, q in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), weights.tolist()):
-            cos[self.examples[lo:hi]] += q * self.weights[lo:hi]
-        least = np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-9 if len(cos) > k else 0.0
-        near = np.flatnonzero((cos > 0) & (cos >= least))
-        near = near[np.lexsort((near, -np.round(cos[near], 12)))][:k]
-        return list(zip(cos[near].tolist(), near.tolist()))
-
-    def score(self, row: Row, k: int, near: float = 0.1, pull: float = 2.0) -> tuple[float, list[tuple[float, int]]]:
-        found = self.nearest(row, k)
-        w = np.array([1 / (1 - c + near) for c, _ in found])
-        y = self.labels[[e for _, e in found]] if found else np.zeros(0)
-        return float((w @ y + pull * self.base) / (w.sum() + pull)), found
+
+Row = list[tuple[int, float]]  # (term, occurrences in a hundred words)
 
 
 def unit(row: Row, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of the unit vector of a row; the last of ``idf`` is the constant component."""
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0)
-    x = np.asarray(row)
+    x = np.asarray(row, float)
     t = np.append(x[:, 0].astype(np.int64), len(idf) - 1)
     w = np.log1p(np.append(x[:, 1], 1.0)) * idf[t]
     return t, w / np.sqrt(w @ w)
 
 
-def select_terms(sample: DataFrame, max_terms: int, least_docs: int = 3, least_z: float = 5.0, least_lift: float = 3.0) -> list[str]:
-    """Terms whose document frequency in toxic examples exceeds that in the others by a z of
-    ``least_z`` (pooled proportions) and by the factor ``least_lift``, over distinct texts; best
-    first, ties by term."""
+def in_blocks(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows of ``x`` in which each run of ``size`` rows is similar: halves are split
+    at the median of the main direction (power iteration) until they fit."""
 
-    def run(batches):
-        def rows():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["term", "a", "c"]
-            )
-            seen.clear()
-            return out
+    def split(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= size:
+            return [rows]
+        part = x[rows] - x[rows].mean(axis=0)
+        v = np.cos(np.arange(x.shape[1], dtype=np.float32))
+        for _ in range(6):
+            v = part.T @ (part @ v)
+            v /= np.linalg.norm(v) + np.float32(1e-20)
+        half = -(-len(rows) // (2 * size)) * size  # whole blocks on the left
+        by = np.argsort(part @ v, kind="stable")
+        return split(rows[np.sort(by[:half])]) + split(rows[np.sort(by[half:])])
 
-        seen: dict[str, list[int]] = {}
-        for b in batches:
-            for t, y in zip(b.column(0), b.column(1)):
-                y = y.as_py()
-                for f in {f for w in set(words(t.as_py())) for f in forms(w)}:
-                    x = seen.setdefault(f, [0, 0])
-                    x[0] += y
-                    x[1] += 1
-                if len(seen) > 200_000:  # sums of parts; bounded memory
-                    yield rows()
-        if seen:
-            yield rows()
-
-    once = sample.groupBy("text").agg(F.max("y").alias("y"))
+    return np.concatenate(split(np.arange(len(x)))) if len(x) else np.zeros(0, np.int64)
+
+
+class Index:
+    """Unit vectors of examples: whole rows, postings of rare terms, and blocks of common ones."""
+
+    def __init__(self, ids, labels, held: np.ndarray, t: np.ndarray, rate: np.ndarray, idf: np.ndarray, base: float):
+        """Examples of ``held`` terms each; ``t`` and ``rate`` are the terms and their occurrences
+        in a hundred words, example after example.  Examples without a term are never found."""
+        self.ids, self.labels, self.base = np.array(ids, np.int64), np.array(labels, np.int64), base
+        self.idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
+        n, v = len(held), len(self.idf)
+        w = np.log1p(rate) * self.idf[t]
+        e = np.repeat(np.arange(n, dtype=np.int32), held)
+        norm = np.sqrt(np.bincount(e, w * w, minlength=n) + CONSTANT**2)
+        w = (w / norm[e]).astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(held)])
+        self.terms, self.weights = t.astype(np.int32), w
+        self.constant = np.where(held > 0, CONSTANT / norm, 0.0)
+        df = np.bincount(t, minlength=v)
+        df[-1] = n
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.column = np.full(v, -1, np.int32)
+        self.column[common] = np.arange(len(common), dtype=np.int32)
+        if self.column[-1] < 0:
+            self.column[-1] = self.column[common[-1]]
+            self.column[common[-1]] = -1
+        self.blocks = -(-n // BLOCK)
+        dense = np.zeros((n, len(common)), np.float32)
+        col = self.column[t]
+        own = col >= 0
+        dense[e[own], col[own]] = w[own]
+        dense[:, self.column[-1]] = self.constant
+        self.order = in_blocks(dense, BLOCK)  # block place -> example
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n, dtype=np.int32)
+        self.place = place
+        self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
+        self.dense[:n] = dense[self.order]
+        del dense
+        self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1) if n else self.dense
+        rare = np.flatnonzero(~own)
+        rare = rare[np.argsort(t[rare], kind="stable")]
+        self.rare_start = np.searchsorted(t[rare], np.arange(v + 1))
+        self.rare_place, self.rare_weight = place[e[rare]], w[rare]
+        self.scratch = np.zeros(v)
+
+    @classmethod
+    def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
+        pairs = np.concatenate([np.asarray(row, float).reshape(-1, 2) for row in rows] or [np.zeros((0, 2))])
+        return cls(ids, labels, np.array([len(row) for row in rows], np.int64), pairs[:, 0].astype(np.int32), pairs[:, 1], idf, base)
+
+    def _rare(self, t: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
+        """Adds the postings of the rare ones among the terms to ``out``, by block place."""
+        lo, hi = self.rare_start[t], self.rare_start[t + 1]
+        n = hi - lo
+        some = n > 0
+        lo, n, w = lo[some], n[some], w[some]
+        if len(n):
+            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            out += np.bincount(self.rare_place[at], self.rare_weight[at] * np.repeat(w, n), minlength=len(out))
+
+    def _bounded(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines by block place, -1 in pruned blocks; a bound that the k-th best reaches)."""
+        n = len(rows)
+        flat, x = np.zeros((n, len(self.dense)), np.float32), np.zeros((n, self.dense.shape[1]), np.float32)
+        for i, (t, w) in enumerate(rows):
+            col = self.column[t]
+            x[i, col[col >= 0]] = w[col >= 0]
+            self._rare(t, w, flat[i])
+        cos = flat.reshape(n, self.blocks, BLOCK)
+        bound = cos.max(axis=2) + x @ self.most.T
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                q = np.flatnonzero(wanted[:, b])
+                cos[q, b] += x[q] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
+
+        first = min(self.blocks, 1 + -(-(k + 1) // BLOCK))
+        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        done = np.zeros(bound.shape, bool)
+        np.put_along_axis(done, best, True, axis=1)
+        visit(done)
+        for i, e in enumerate(skip):
+            if e is not None and done[i, self.place[e] // BLOCK]:
+                flat[i, self.place[e]] = -1
+        seen = np.take_along_axis(cos, best[:, :, None], axis=1).reshape(n, -1)
+        kth = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] if seen.shape[1] > k else np.zeros(n, np.float32)
+        more = (bound >= kth[:, None] - SLACK) & ~done
+        visit(more)
+        cos[~(done | more)] = -1
+        for i, e in enumerate(skip):
+            if e is not None:
+                flat[i, self.place[e]] = -1
+        return flat, np.maximum(kth, 0)
+
+    def search(self, rows: list[Row], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per row (cosines, examples) of the k examples of largest positive cosine and all tied with
+        the last of them, by cosine and number.  ``skip`` names an example to leave out of each."""
+        out: list = []
+        skip = skip or [None] * len(rows)
+        vectors = [unit(row, self.idf) for row in rows]
+        for at in range(0, len(rows), TOGETHER):
+            part = vectors[at : at + TOGETHER]
+            if not self.blocks:
+                out += [(np.zeros(0), np.zeros(0, np.int64))] * len(part)
+                continue
+            flat, kth = self._bounded(part, k, skip[at : at + TOGETHER])
+            for (t, w), cos, least in zip(part, flat, kth):
+                near = np.flatnonzero((cos >= least - SLACK) & (cos > 0)) if len(t) else np.zeros(0, np.int64)
+                if len(near) > k:
+                    c = cos[near]
+                    near = near[c >= np.partition(c, len(c) - k)[len(c) - k] - SLACK]
+                near = self.order[near]
+                exact = self._exact(t, w, near)
+                by = np.lexsort((near, -np.round(exact, 12)))
+                near, exact = near[by], exact[by]
+                if len(near) > k:
+                    keep = exact >= exact[k - 1] - TIE
+                    near, exact = near[keep], exact[keep]
+                out.append((exact, near))
+        return out
+
+    def _exact(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Cosines in double precision from the rows of the examples."""
+        if not len(examples):
+            return np.zeros(0)
+        lo, n = self.start[examples], self.start[examples + 1] - self.start[examples]
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        self.scratch[t] = w
+        got = np.add.reduceat(self.scratch[self.terms[at]] * self.weights[at], np.cumsum(n) - n)
+        self.scratch[t] = 0
+        return got + w[-1] * self.constant[examples]
+
+    def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
+        """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
+        cos, near = self.search([row], k)[0]
+        return list(zip(cos[:k].tolist(), near[:k].tolist()))
+
+    def vote(self, cos: np.ndarray, near: np.ndarray, k: int, close: float = 0.1, pull: float = 2.0) -> float:
+        w = 1 / (1 - cos + close)
+        if len(cos) > k:
+            tied = cos <= cos[k - 1] + TIE
+            w[tied] *= (k - (~tied).sum()) / tied.sum()
+        return float((w @ self.labels[near] + pull * self.base) / (w.sum() + pull))
+
+    def score(self, row: Row, k: int) -> tuple[float, list[tuple[float, int]]]:
+        cos, near = self.search([row], k)[0]
+        return self.vote(cos, near, k), list(zip(cos[:k].tolist(), near[:k].tolist()))
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """probability = logistic(slope * log odds of the vote + shift)."""
+
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def __call__(self, vote: np.ndarray) -> np.ndarray:
+        v = np.clip(vote, 1e-9, 1 - 1e-9)
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -500, 500)))
+
+    @classmethod
+    def fit(cls, vote: np.ndarray, y: np.ndarray, prior: float = 1.0) -> Calibration:
+        """Newton steps on the log likelihood with a normal prior around the identity, which is also
+        what no votes give."""
+        v = np.clip(np.asarray(vote, float), 1e-9, 1 - 1e-9)
+        x = np.column_stack([np.log(v / (1 - v)), np.ones(len(v))])
+        start = beta = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior * np.eye(2), x.T @ (p - y) + prior * (beta - start))
+            beta = beta - step * min(1.0, 1.0 / max(1e-9, np.abs(step).max()))
+            if np.abs(step).max() < 1e-9:
+                break
+        return cls(float(max(beta[0], 0.0)), float(beta[1]))
+
+
+def select_terms(sample: DataFrame, least_docs: int = 3, least_z: float = 5.0, least_lift: float = 3.0) -> list[bytes]:
+    """Terms whose document frequency in toxic examples exceeds that in the others by a z of
+    ``least_z`` (pooled proportions) and by the factor ``least_lift``, over distinct texts; best
+    first, ties by term.  Only terms of ``least_docs`` toxic examples or more are counted in the others."""
+
+    def counter(wanted: set[bytes] | None):
+        def run(batches):
+            seen: Counter = Counter()
+            for b in batches:
+                for t in b.column(0):
+                    found = {f for w in set(words(t.as_py())) for f in forms(w)}
+                    seen.update(found if wanted is None else found & wanted)
+                if len(seen) > 300_000:  # sums of parts; bounded memory
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+                    seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+        return run
+
+    def counts(texts: DataFrame, wanted: set[bytes] | None, least: int) -> dict[bytes, int]:
+        got = spread(texts.select("text")).mapInArrow(counter(wanted), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        return {bytes(r.term): r.n for r in got.collect()}
+
+    once = materialize(sample.groupBy("text").agg(F.max("y").alias("y")), "toxicity-texts")
     size = once.agg(F.count("*"), F.sum("y")).first()
     n, pos = size[0] or 0, size[1] or 0
     if not pos or pos == n:
         return []
-    df = once.mapInArrow(run, "term string, a long, c long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("c").cast("double").alias("c"))
-    p = F.col("c") / n
-    z = (F.col("a") / pos - (F.col("c") - F.col("a")) / (n - pos)) / F.sqrt(p * (1 - p) * (1.0 / pos + 1.0 / (n - pos)))
-    best = df.filter((F.col("a") >= least_docs) & (F.col("c") < n)).withColumn("z", z).filter(F.col("z") >= least_z)
-    best = best.filter(F.col("a") * (n - pos) >= least_lift * pos * (F.col("c") - F.col("a")))
-    found = {r.term: (r.a, r.c) for r in best.orderBy(F.desc("z"), "term").limit(max_terms).collect()}
-    doubled = {f for t, n_ in found.items() for f in forms(t.rstrip("*")) if f != t and found.get(f) == n_}
-    return [t for t in found if t not in doubled]
-
-
-def vocabulary(sample: DataFrame) -> list[str]:
-    """All words of the examples, in order."""
+    a = counts(once.filter("y = 1"), None, least_docs)
+    c = counts(once.filter("y = 0"), set(a), 1)
+    found: dict[bytes, tuple] = {}
+    for t, x in a.items():
+        other = c.get(t, 0)
+        p = (x + other) / n
+        if x + other < n and x * (n - pos) >= least_lift * pos * other:
+            z = (x / pos - other / (n - pos)) / np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
+            if z >= least_z:
+                found[t] = (-z, x, x + other)
+    doubled = {f for t in found for f in forms(t.rstrip(b"*")) if f != t and f in found and found[f][1:] == found[t][1:]}
+    return sorted((t for t in found if t not in doubled), key=lambda t: (found[t][0], t))
+
+
+def vocabulary(sample: DataFrame) -> np.ndarray:
+    """Hashes of all words of the examples."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in b.column(0) for w in words(t.as_py())}), pa.string())], names=["word"])
+            for t in b.column(0):
+                seen.update(words(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(key, seen), np.uint64, len(seen)).view(np.int64))], names=["h"])
 
-    return sorted(sample.select("text").mapInArrow(run, "word string").distinct().toArrow().column("word").to_pylist())
+    got = sample.select("text").mapInArrow(run, "h long").distinct().toArrow().column("h").to_numpy()
+    return np.sort(np.ascontiguousarray(got).view(np.uint64))
 
 
-def term_counts(docs: DataFrame, terms: list[str], keep: list[str]) -> DataFrame:
-    """(keep..., size int, terms array<int>, counts array<int>) of rows (keep..., text); size in words."""
-    number = {w: i for i, w in enumerate(terms)}
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", size int, terms array<int>, counts array<int>"
-    at = len(keep)
+def frequencies(docs: DataFrame, make_terms, n_terms: int) -> np.ndarray:
+    """The number of rows that hold each term.  A task sends one array in SLICES parts; parts
+    are summed up per salt of tasks before they are summed up per slice."""
+    edges = [n_terms * i // SLICES for i in range(SLICES + 1)]
 
     def run(batches):
-        memo: dict[str, list[int]] = {}
-        for b in batches:
-            size, ts, ns = [], [], []
-            for t in b.column(at):
-                found = words(t.as_py())
-                seen: dict[int, int] = {}
-                for w, n in Counter(found).items():
-                    own = memo.get(w)
-                    if own is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        own = memo[w] = [number[f] for f in forms(w) if f in number]
-                    for i in own:
-                        seen[i] = seen.get(i, 0) + n
-                size.append(len(found))
-                ts.append(sorted(seen))
-                ns.append([seen[i] for i in ts[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:at], pa.array(size, pa.int32()), pa.array(ts, pa.list_(pa.int32())), pa.array(ns, pa.list_(pa.int32()))], names=[*keep, "size", "terms", "counts"]
-            )
+        from pyspark import TaskContext
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+        df, terms = np.zeros(n_terms, np.int32), make_terms()
+        for b in batches:
+            for t in b.column(0):
+                df[terms.count(t.as_py())[1]] += 1
+        if df.any():
+            salt = TaskContext.get().partitionId() % salts
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int64()), pa.array([df[lo:hi].astype(np.int64).tobytes() for lo, hi in zip(edges, edges[1:])])], names=["slice", "salt", "n"])
 
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("n"))
+        return pa.table({"slice": t.column("slice")[:1], "salt": t.column("salt")[:1], "n": pa.array([total.tobytes()])})
 
-def vectors(size, terms, counts) -> list[np.ndarray]:
-    """Arrays of (term, occurrences in a hundred words) from Arrow columns of `term_counts`."""
-    if not len(size):
-        return []
-    held = np.diff(terms.offsets.to_numpy())
-    rate = 100 * counts.flatten().to_numpy() / np.repeat(size.to_numpy(), held)
-    return np.split(np.column_stack([terms.flatten().to_numpy(), rate]), np.cumsum(held)[:-1])
+    salts = max(1, docs.rdd.getNumPartitions() // 256)
+    got = docs.select("text").mapInArrow(run, "slice int, salt long, n binary")
+    if salts > 1:
+        got = got.groupBy("slice", "salt").applyInArrow(add, "slice int, salt long, n binary")
+    parts = {r.slice: np.frombuffer(r.n, np.int64) for r in got.groupBy("slice").applyInArrow(add, "slice int, salt long, n binary").collect()}
+    return np.concatenate([parts.get(i, np.zeros(hi - lo, np.int64)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
 
 
-def frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
-    """The number of rows that hold each term."""
+def packed_examples(sample: DataFrame, id_col: str, make_terms) -> list[bytes]:
+    """The vectors of the examples (id, y, size, held; terms, counts), compressed, one or more for each task."""
 
     def run(batches):
-        df = np.zeros(n_terms, np.int64)
+        terms = make_terms()
         for b in batches:
-            df += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
-        t = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["t", "c"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                got = [terms.count(t) for t in part.column(2).to_pylist()]
+                head = np.column_stack([part.column(0).to_numpy(), part.column(1).to_numpy(), [g[0] for g in got], [len(g[1]) for g in got]]).astype(np.int64)
+                body = [zlib.compress(np.concatenate([np.zeros(0), *(g[i] for g in got)]).astype(np.int32).tobytes(), 1) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (head.tobytes(), *body)], names=["head", "terms", "counts"])
+
+    return [tuple(map(bytes, r)) for r in sample.select(id_col, "y", "text").mapInArrow(run, "head binary, terms binary, counts binary").collect()]
+
 
-    got = counted.select("terms").mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(n_terms)
-    out[got.column("t").to_numpy()] = got.column("c").to_numpy()
-    return out
+def unpacked(chunks: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(head rows by id, terms, counts) of `packed_examples`, in the order of the ids."""
+    heads = [np.frombuffer(h, np.int64).reshape(-1, 4) for h, _, _ in chunks]
+    head = np.concatenate([np.zeros((0, 4), np.int64), *heads])
+    t, n = (np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(zlib.decompress(c[i]), np.int32) for c in chunks)]) for i in (1, 2))
+    by = np.lexsort((head[:, 1], head[:, 0]))
+    start = np.cumsum(head[:, 3]) - head[:, 3]
+    held = head[by, 3]
+    at = np.arange(held.sum()) + np.repeat(start[by] - (np.cumsum(held) - held), held)
+    return head[by], t[at], n[at]
 
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 20_000, max_terms: int = 1_000, k: int = 15, threshold: float = 0.5,
+    max_examples: int = 20_000, calibrate: int = 4_000, k: int = 15, threshold: float = 0.5,
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, evidence (ids of the nearest examples).
 
     ``held_out`` is a condition on the id; held-out labels are never read.  The sample of
-    examples is bounded by ``max_examples``; terms, document frequencies and scores cover whole
-    texts of all rows.  Every text with a word of any example is searched; others (null and
-    empty ones too) have no neighbour and score the rate of toxic examples without a selected
-    term.  The driver holds the words of the examples and their index.  Repeated rows score
-    alike, labels without a document and null labels are ignored, an empty table gives no
-    rows, and without labels every score is one half of one.
+    examples is bounded by ``max_examples``, and the first ``calibrate`` of them, in that order,
+    fit the calibration; document frequencies and scores cover whole texts of all rows.  Every
+    text with a word of any example is searched; others (null and empty ones too) have no
+    neighbour and score the calibrated rate of toxic examples without a selected term.  The
+    driver holds the hashes of the examples' words and the compressed examples, both bounded by the sample.
+    Repeated rows score alike.  Of a labelled id that several rows have, the smallest text is the
+    example; of contradictory labels 1 counts.  Labels without a document and null labels are
+    ignored, an empty table gives no rows, and without labels every score is one half.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")))
     chosen = (
         labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("long").alias("y")).filter(F.col("y").isin(0, 1)).filter(~held_out)
-        .groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_examples)
+        .filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_examples)
     )
-    sample = materialize(rows.join(F.broadcast(chosen), id_col), "toxicity-sample")  # at most max_examples ids are sent
-    chosen_terms = select_terms(sample, max_terms)
-    held = set(chosen_terms)
-    terms = chosen_terms + [w for w in vocabulary(sample) if w not in held]
-    counted = materialize(term_counts(rows, terms, [id_col]), "toxicity-counts")
-    idf = np.log((1 + counted.count()) / (1 + frequencies(counted, len(terms)))) + 1
-    idf[len(chosen_terms) :] *= ORDINARY
-    # examples with equal vectors and labels stay separate votes
-    ex = term_counts(sample, terms, [id_col, "y"]).toArrow()
-    ex = ex.take(pa.array(np.lexsort((ex.column("y").to_numpy(), ex.column(id_col).to_numpy()))))
-    flat = lambda name: np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in ex.column(name).chunks)])
-    ids, y, size = (ex.column(c).to_numpy() for c in (id_col, "y", "size"))
-    held = np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in ex.column("terms").chunks)])
-    t, n = flat("terms"), flat("counts")
-    del ex
-    bare = np.bincount(np.repeat(np.arange(len(held)), held)[t < len(chosen_terms)], minlength=len(held)) == 0
-    base = float((y[bare].sum() + 0.5) / (bare.sum() + 1))
-    packed = [zlib.compress(x.tobytes(), 1) for x in (t, n)]  # tasks invert it: a third of the index or less is sent
-    del t, n
+    own = rows.join(F.broadcast(chosen), id_col)  # at most max_examples ids are sent
+    sample = materialize(own.groupBy(id_col).agg(F.min("text").alias("text"), F.max("y").alias("y")), "toxicity-sample")
+    selected = select_terms(sample)
+    seen = vocabulary(sample)
+    chosen_keys = np.fromiter(map(key, selected), np.uint64, len(selected))
+    keys = np.union1d(seen, chosen_keys)
+    full = np.zeros(len(keys), bool)
+    full[np.searchsorted(keys, chosen_keys)] = True
+    stems = {t: int(np.searchsorted(keys, np.uint64(key(t)))) for t in selected if t.endswith(b"*")}
+    make_terms = lambda: Terms(keys, stems)
+    total = rows.count()
+    idf = np.log((1 + total) / (1 + frequencies(rows, make_terms, len(keys)))) + 1
+    idf[~full] *= ORDINARY
+    chunks = packed_examples(sample, id_col, make_terms)
+    token = uuid.uuid4().hex
+    known, bare, bare_toxic = 0, 0, 0
+    for h, t, _ in chunks:
+        head, terms = np.frombuffer(h, np.int64).reshape(-1, 4), np.frombuffer(zlib.decompress(t), np.int32)
+        none = np.bincount(np.repeat(np.arange(len(head)), head[:, 3])[full[terms]], minlength=len(head)) == 0
+        known, bare, bare_toxic = known + len(head), bare + int(none.sum()), bare_toxic + int(head[none, 1].sum())
+    base = (bare_toxic + 0.5) / (bare + 1)
+
+    def index() -> Index:
+        """The index, built once in each worker and kept while no other one is asked for."""
+        kept = getattr(sys, "_kmerloom_examples", None)
+        if kept is None or kept[0] != token:
+            sys._kmerloom_examples = None
+            head, t, n = unpacked(chunks)
+            rate = 100 * n / np.repeat(np.maximum(head[:, 2], 1), head[:, 3])
+            kept = sys._kmerloom_examples = (token, Index(head[:, 0], head[:, 1], head[:, 3], t, rate, idf, base))
+        return kept[1]
+
+    def vector(terms: Terms, text: str | None) -> np.ndarray:
+        size, t, n = terms.count(text)
+        return np.column_stack([t, 100 * n / max(size, 1)])
+
+    def left_out(batches):
+        found, terms = index(), make_terms()
+        for b in batches:
+            at = np.searchsorted(found.ids, b.column(0).to_numpy()).tolist()
+            got = found.search([vector(terms, t) for t in b.column(2).to_pylist()], k, at)
+            yield pa.RecordBatch.from_arrays([pa.array([found.vote(*g, k) for g in got], pa.float64()), b.column(1)], names=["vote", "y"])
+
+    part = sample.join(F.broadcast(chosen.select(id_col).limit(calibrate)), id_col, "left_semi") if known > calibrate else sample
+    votes = spread(part.select(id_col, "y", "text")).mapInArrow(left_out, "vote double, y long").toArrow()
+    curve = Calibration.fit(votes.column("vote").to_numpy(), votes.column("y").to_numpy())
 
     def run(batches):
-        memo: dict[bytes, tuple[float, list[tuple[float, int]]]] = {}
-        t, n = (np.frombuffer(zlib.decompress(x), np.int32) for x in packed)
-        index = Index.of(ids, y, held, t, 100 * n / np.repeat(size, held), idf, base)
-        del t, n
+        found, terms = index(), make_terms()
         for b in batches:
-            scores, proof = [], []
-            for v in vectors(*b.columns[2:]):
-                key = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
-                if key not in memo:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[key] = index.score(v, k)
-                s, found = memo[key]
-                scores.append(s)
-                proof.append([int(index.ids[e]) for _, e in found])
-            s = np.array(scores)
+            texts = b.column(2).to_pylist()
+            once = list(dict.fromkeys(texts))  # copies are searched once
+            votes, proof = {}, {}
+            for at in range(0, len(once), 512):
+                some = once[at : at + 512]
+                for t, (cos, near) in zip(some, found.search([vector(terms, t) for t in some], k)):
+                    votes[t], proof[t] = found.vote(cos, near, k), found.ids[near[:k]].tolist()
+            s = curve(np.array([votes[t] for t in texts], float))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array(proof, pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([proof[t] for t in texts], pa.list_(pa.int64()))],
                 names=[id_col, "held_out", "score", "predicted", "evidence"],
             )
 
-    # the table of counts is read in few tasks, but searching it is work: deal it out
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return counted.repartition(tasks).select(id_col, held_out.alias("held_out"), "size", "terms", "counts").mapInArrow(
-        run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>"
-    )
+    return rows.select(id_col, held_out.alias("held_out"), "text").mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>")
