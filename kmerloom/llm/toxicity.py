@@ -38,24 +38,24 @@ from .common import materialize
 
 #: Bytes that end a word: all of ASCII but letters; other characters count as letters, except MARKS.
 _BLANKED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
-MARKS = " ¡¿«»–—‘’“”„…"
-_TO_BLANK = {ord(c): " " for c in MARKS}
+MARKS = [c.encode() for c in "\xa0¡¿«»–—‘’“”„…"]
 STEMS = range(3, 9)
 #: Weight of words that are not selected, as a part of that of selected terms.
 ORDINARY = 0.3
 #: Weight of the constant component.
 CONSTANT = 2.0
 #: Terms held densely, examples in a block, queries searched together, slices of the table of frequencies.
-COMMON, BLOCK, TOGETHER, SLICES = 512, 128, 64, 16
+COMMON, BLOCK, TOGETHER, SLICES = 512, 16, 64, 16
 #: Rounding of single precision: bounds are widened by it, and cosines closer than TIE are tied.
-SLACK, TIE = 1e-4, 1e-9
+SLACK, TIE = 1e-5, 1e-8
 
 
 def words(text: str | None) -> list[bytes]:
-    text = (text or "").lower()
-    if not text.isascii():
-        text = text.translate(_TO_BLANK)
-    return text.encode(errors="replace").translate(_BLANKED).split()
+    raw = (text or "").lower().encode(errors="replace")
+    if not raw.isascii():
+        for mark in MARKS:
+            raw = raw.replace(mark, b" ")
+    return raw.translate(_BLANKED).split()
 
 
 def forms(word: bytes) -> list[bytes]:
@@ -74,32 +74,41 @@ class Terms:
     """Numbers of terms: the place of a term's hash among all of them, sorted."""
 
     def __init__(self, keys: np.ndarray, stems: dict[bytes, int]):
-        self.keys, self.stems, self.memo = keys, stems, {}
+        self.keys, self.stems = keys, stems
+        self.memo: dict[bytes, int] = {}  # word -> number, -1 of words that are no terms
+        self.more: dict[bytes, list[int]] = {}  # word -> numbers of its beginnings that are terms
 
     def _number(self, missing: list[bytes]) -> None:
-        if len(self.memo) > 150_000:
-            self.memo.clear()
         k = np.fromiter(map(key, missing), np.uint64, len(missing))
         at = np.minimum(np.searchsorted(self.keys, k), max(0, len(self.keys) - 1))
         known = self.keys[at] == k if len(self.keys) else np.zeros(len(k), bool)
-        for w, i, own in zip(missing, at.tolist(), known.tolist()):
-            more = [self.stems[f] for f in forms(w)[1:] if f in self.stems] if self.stems else []
-            self.memo[w] = (i, *more) if own else tuple(more)
+        self.memo.update(zip(missing, np.where(known, at, -1).tolist()))
+        if self.stems:
+            for w in missing:
+                if found := [self.stems[f] for f in forms(w)[1:] if f in self.stems]:
+                    self.more[w] = found
 
     def count(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
         """(words, numbers of the terms in the text, how often each occurs)."""
         found = words(text)
         seen = Counter(found)
+        if len(self.memo) > 200_000:
+            self.memo.clear()
+            self.more.clear()
         if missing := [w for w in seen if w not in self.memo]:
             self._number(missing)
-            missing = [w for w in seen if w not in self.memo]  # only if the memo was cleared
-            if missing:
-                self._number(missing)
-        own = [self.memo[w] for w in seen]
-        flat = np.fromiter(chain.from_iterable(own), np.int64)
-        n = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), np.fromiter(map(len, own), np.int64, len(own)))
-        t, at = np.unique(flat, return_inverse=True)
-        return len(found), t, np.bincount(at, n, minlength=len(t)).astype(np.int64)
+        t = np.fromiter(map(self.memo.__getitem__, seen), np.int64, len(seen))
+        n = np.fromiter(seen.values(), np.int64, len(seen))
+        stems: Counter = Counter()
+        for w in seen.keys() & self.more.keys():
+            for i in self.more[w]:
+                stems[i] += seen[w]
+        own = t >= 0
+        t, n = t[own], n[own]
+        if stems:
+            t, n = np.append(t, list(stems)), np.append(n, list(stems.values()))
+        by = np.argsort(t)
+        return len(found), t[by], n[by]
 
 
 Row = list[tuple[int, float]]  # (term, occurrences in a hundred words)
@@ -135,135 +144,116 @@ def in_blocks(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class Index:
-    """Unit vectors of examples: whole rows, postings of rare terms, and blocks of common ones."""
+    """Unit vectors of examples: postings of rare terms, and blocks of common ones."""
 
-    def __init__(self, ids, labels, held: np.ndarray, t: np.ndarray, rate: np.ndarray, idf: np.ndarray, base: float):
-        """Examples of ``held`` terms each; ``t`` and ``rate`` are the terms and their occurrences
-        in a hundred words, example after example.  Examples without a term are never found."""
+    def __init__(self, ids, labels, size: np.ndarray, held: np.ndarray, t: np.ndarray, n: np.ndarray, idf: np.ndarray, base: float):
+        """Examples of ``size`` words and ``held`` terms each; ``t`` and ``n`` are the terms and their
+        occurrences, example after example.  Examples without a term are never found."""
         self.ids, self.labels, self.base = np.array(ids, np.int64), np.array(labels, np.int64), base
         self.idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
-        n, v = len(held), len(self.idf)
-        w = np.log1p(rate) * self.idf[t]
-        e = np.repeat(np.arange(n, dtype=np.int32), held)
-        norm = np.sqrt(np.bincount(e, w * w, minlength=n) + CONSTANT**2)
-        w = (w / norm[e]).astype(np.float32)
-        self.start = np.concatenate([[0], np.cumsum(held)])
-        self.terms, self.weights = t.astype(np.int32), w
-        self.constant = np.where(held > 0, CONSTANT / norm, 0.0)
+        many, v = len(held), len(self.idf)
+        e = np.repeat(np.arange(many, dtype=np.int32), held)
+        w, norm = np.empty(len(t), np.float32), np.full(many, CONSTANT**2)
+        for at in range(0, len(t), 1 << 19):  # pieces keep temporary arrays small
+            cut = slice(at, at + (1 << 19))
+            x = np.log1p(100 * n[cut] / np.maximum(size[e[cut]], 1)) * self.idf[t[cut]]
+            w[cut] = x
+            norm += np.bincount(e[cut], x * x, minlength=many)
+        norm = np.sqrt(norm).astype(np.float32)
+        w /= norm[e]
         df = np.bincount(t, minlength=v)
-        df[-1] = n
+        df[-1] = many + 1
         common = np.argsort(-df, kind="stable")[:COMMON]
         self.column = np.full(v, -1, np.int32)
         self.column[common] = np.arange(len(common), dtype=np.int32)
-        if self.column[-1] < 0:
-            self.column[-1] = self.column[common[-1]]
-            self.column[common[-1]] = -1
-        self.blocks = -(-n // BLOCK)
-        dense = np.zeros((n, len(common)), np.float32)
+        self.blocks = -(-many // BLOCK)
         col = self.column[t]
-        own = col >= 0
-        dense[e[own], col[own]] = w[own]
-        dense[:, self.column[-1]] = self.constant
-        self.order = in_blocks(dense, BLOCK)  # block place -> example
-        place = np.empty(n, np.int32)
-        place[self.order] = np.arange(n, dtype=np.int32)
-        self.place = place
+        own = np.flatnonzero((col >= 0) & (col < 128))
+        part = np.zeros((many, min(128, len(common))), np.float32)
+        part[e[own], col[own]] = w[own]
+        self.order = in_blocks(part, BLOCK)  # block place -> example
+        del part
+        self.place = np.empty(many, np.int32)
+        self.place[self.order] = np.arange(many, dtype=np.int32)
+        at = self.place[e]
+        del e
+        own = np.flatnonzero(col >= 0)
         self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        self.dense[:n] = dense[self.order]
-        del dense
-        self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1) if n else self.dense
-        rare = np.flatnonzero(~own)
+        self.dense[at[own], col[own]] = w[own]
+        self.dense[self.place, self.column[-1]] = np.where(held > 0, CONSTANT / norm, 0.0)
+        self.dense = self.dense.reshape(self.blocks, BLOCK, len(common))
+        self.most = self.dense.max(axis=1)
+        rare = np.flatnonzero(col < 0)
+        del col, own
         rare = rare[np.argsort(t[rare], kind="stable")]
         self.rare_start = np.searchsorted(t[rare], np.arange(v + 1))
-        self.rare_place, self.rare_weight = place[e[rare]], w[rare]
-        self.scratch = np.zeros(v)
+        self.rare = np.empty((len(rare), 2), np.int32)  # place, bits of the weight
+        at = at[rare]
+        self.rare[:, 0], self.rare[:, 1] = at % BLOCK * self.blocks + at // BLOCK, w[rare].view(np.int32)
+        self.rare = self.rare.view(np.int64).ravel()
 
     @classmethod
     def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
+        """An index of rows whose occurrences are given in a hundred words."""
         pairs = np.concatenate([np.asarray(row, float).reshape(-1, 2) for row in rows] or [np.zeros((0, 2))])
-        return cls(ids, labels, np.array([len(row) for row in rows], np.int64), pairs[:, 0].astype(np.int32), pairs[:, 1], idf, base)
+        return cls(ids, labels, np.full(len(rows), 100), np.array([len(row) for row in rows], np.int64), pairs[:, 0].astype(np.int32), pairs[:, 1], idf, base)
 
-    def _rare(self, t: np.ndarray, w: np.ndarray, out: np.ndarray) -> None:
-        """Adds the postings of the rare ones among the terms to ``out``, by block place."""
+    def _rare(self, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The sum of the postings of the rare ones among the terms: (BLOCK, blocks)."""
         lo, hi = self.rare_start[t], self.rare_start[t + 1]
-        n = hi - lo
-        some = n > 0
-        lo, n, w = lo[some], n[some], w[some]
-        if len(n):
-            at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-            out += np.bincount(self.rare_place[at], self.rare_weight[at] * np.repeat(w, n), minlength=len(out))
-
-    def _bounded(self, rows: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines by block place, -1 in pruned blocks; a bound that the k-th best reaches)."""
-        n = len(rows)
-        flat, x = np.zeros((n, len(self.dense)), np.float32), np.zeros((n, self.dense.shape[1]), np.float32)
-        for i, (t, w) in enumerate(rows):
-            col = self.column[t]
-            x[i, col[col >= 0]] = w[col >= 0]
-            self._rare(t, w, flat[i])
-        cos = flat.reshape(n, self.blocks, BLOCK)
-        bound = cos.max(axis=2) + x @ self.most.T
-
-        def visit(wanted: np.ndarray) -> None:
-            for b in np.flatnonzero(wanted.any(axis=0)):
-                q = np.flatnonzero(wanted[:, b])
-                cos[q, b] += x[q] @ self.dense[b * BLOCK : (b + 1) * BLOCK].T
-
-        first = min(self.blocks, 1 + -(-(k + 1) // BLOCK))
-        best = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        done = np.zeros(bound.shape, bool)
-        np.put_along_axis(done, best, True, axis=1)
-        visit(done)
-        for i, e in enumerate(skip):
-            if e is not None and done[i, self.place[e] // BLOCK]:
-                flat[i, self.place[e]] = -1
-        seen = np.take_along_axis(cos, best[:, :, None], axis=1).reshape(n, -1)
-        kth = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k] if seen.shape[1] > k else np.zeros(n, np.float32)
-        more = (bound >= kth[:, None] - SLACK) & ~done
-        visit(more)
-        cos[~(done | more)] = -1
-        for i, e in enumerate(skip):
-            if e is not None:
-                flat[i, self.place[e]] = -1
-        return flat, np.maximum(kth, 0)
+        some = np.flatnonzero(hi > lo)
+        lo, hi = lo[some], hi[some]
+        found = np.concatenate([self.rare[:0], *(self.rare[i:j] for i, j in zip(lo.tolist(), hi.tolist()))])
+        place, weight = found.view(np.int32)[::2], found.view(np.float32)[1::2]
+        return np.bincount(place, weight * np.repeat(w[some], hi - lo), minlength=self.blocks * BLOCK).reshape(BLOCK, self.blocks)
 
     def search(self, rows: list[Row], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per row (cosines, examples) of the k examples of largest positive cosine and all tied with
         the last of them, by cosine and number.  ``skip`` names an example to leave out of each."""
         out: list = []
-        skip = skip or [None] * len(rows)
-        vectors = [unit(row, self.idf) for row in rows]
         for at in range(0, len(rows), TOGETHER):
-            part = vectors[at : at + TOGETHER]
-            if not self.blocks:
-                out += [(np.zeros(0), np.zeros(0, np.int64))] * len(part)
-                continue
-            flat, kth = self._bounded(part, k, skip[at : at + TOGETHER])
-            for (t, w), cos, least in zip(part, flat, kth):
-                near = np.flatnonzero((cos >= least - SLACK) & (cos > 0)) if len(t) else np.zeros(0, np.int64)
-                if len(near) > k:
-                    c = cos[near]
-                    near = near[c >= np.partition(c, len(c) - k)[len(c) - k] - SLACK]
-                near = self.order[near]
-                exact = self._exact(t, w, near)
-                by = np.lexsort((near, -np.round(exact, 12)))
-                near, exact = near[by], exact[by]
-                if len(near) > k:
-                    keep = exact >= exact[k - 1] - TIE
-                    near, exact = near[keep], exact[keep]
-                out.append((exact, near))
+            part = [unit(row, self.idf) for row in rows[at : at + TOGETHER]]
+            x = np.zeros((len(part), self.dense.shape[2]))
+            for i, (t, w) in enumerate(part):
+                col = self.column[t]
+                x[i, col[col >= 0]] = w[col >= 0]
+            common = x.astype(np.float32) @ self.most.T
+            for i, (t, w) in enumerate(part):
+                out.append(self._best(self._rare(t, w), common[i], x[i], k, skip[at + i] if skip else None) if len(t) and self.blocks else (np.zeros(0), np.zeros(0, np.int64)))
         return out
 
-    def _exact(self, t: np.ndarray, w: np.ndarray, examples: np.ndarray) -> np.ndarray:
-        """Cosines in double precision from the rows of the examples."""
-        if not len(examples):
-            return np.zeros(0)
-        lo, n = self.start[examples], self.start[examples + 1] - self.start[examples]
-        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        self.scratch[t] = w
-        got = np.add.reduceat(self.scratch[self.terms[at]] * self.weights[at], np.cumsum(n) - n)
-        self.scratch[t] = 0
-        return got + w[-1] * self.constant[examples]
+    def _best(self, rare: np.ndarray, common: np.ndarray, x: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples, from the sums of rare terms, the blocks' bounds of the common
+        ones and the weights of the common ones in the query."""
+        bound, short = rare.max(axis=0) + common, x.astype(np.float32)
+        gone = -1 if skip is None else self.place[skip]
+
+        def visit(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cos = rare[:, blocks].T.ravel() + self.dense[blocks].reshape(-1, len(x)) @ short
+            places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            keep = (cos > 0) & (places != gone)
+            return cos[keep], places[keep]
+
+        def kth(cos: np.ndarray) -> float:
+            return np.partition(cos, len(cos) - k)[len(cos) - k] - SLACK if len(cos) > k else 0.0
+
+        cos, places, at, some = np.zeros(0), np.zeros(0, np.int64), 0, -(-4 * (k + 1) // BLOCK)
+        left = np.argsort(-bound)
+        while len(left) and bound[left[0]] >= kth(cos):  # most promising blocks first, more each time
+            more, others = visit(left[:some])
+            cos, places = np.append(cos, more), np.append(places, others)
+            left, some = left[some:], 3 * some
+            least = kth(cos)
+            left = left[: np.searchsorted(-bound[left], -least, "right")]
+        places = places[cos >= kth(cos)]
+        exact = rare[places % BLOCK, places // BLOCK] + self.dense.reshape(-1, len(x))[places].astype(float) @ x
+        near = self.order[places]
+        by = np.lexsort((near, -np.round(exact, 9)))
+        near, exact = near[by], exact[by]
+        if len(near) > k:
+            keep = exact >= exact[k - 1] - TIE
+            near, exact = near[keep], exact[keep]
+        return exact, near
 
     def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
@@ -365,7 +355,31 @@ def vocabulary(sample: DataFrame) -> np.ndarray:
     return np.sort(np.ascontiguousarray(got).view(np.uint64))
 
 
-def frequencies(docs: DataFrame, make_terms, n_terms: int) -> np.ndarray:
+def pack(size: int, t: np.ndarray, n: np.ndarray) -> bytes:
+    """A text's size, sorted terms (as differences) and counts, compressed."""
+    return zlib.compress(np.concatenate([[size], np.diff(t, prepend=0), n]).astype(np.int32).tobytes(), 1)
+
+
+def unpack(b: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    x = np.frombuffer(zlib.decompress(b), np.int32)
+    half = len(x) // 2 + 1
+    return int(x[0]), np.cumsum(x[1:half], dtype=np.int64), x[half:]
+
+
+def term_counts(docs: DataFrame, make_terms, keep: list[str]) -> DataFrame:
+    """(keep..., packed) of rows (keep..., text)."""
+    at = len(keep)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "packed binary"
+
+    def run(batches):
+        terms = make_terms()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([pack(*terms.count(t.as_py())) for t in b.column(at)], pa.binary())], names=[*keep, "packed"])
+
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
     """The number of rows that hold each term.  A task sends one array in SLICES parts; parts
     are summed up per salt of tasks before they are summed up per slice."""
     edges = [n_terms * i // SLICES for i in range(SLICES + 1)]
@@ -373,10 +387,10 @@ def frequencies(docs: DataFrame, make_terms, n_terms: int) -> np.ndarray:
     def run(batches):
         from pyspark import TaskContext
 
-        df, terms = np.zeros(n_terms, np.int32), make_terms()
+        df = np.zeros(n_terms, np.int32)
         for b in batches:
-            for t in b.column(0):
-                df[terms.count(t.as_py())[1]] += 1
+            for x in b.column(0):
+                df[unpack(x.as_py())[1]] += 1
         if df.any():
             salt = TaskContext.get().partitionId() % salts
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int64()), pa.array([df[lo:hi].astype(np.int64).tobytes() for lo, hi in zip(edges, edges[1:])])], names=["slice", "salt", "n"])
@@ -385,8 +399,8 @@ def frequencies(docs: DataFrame, make_terms, n_terms: int) -> np.ndarray:
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("n"))
         return pa.table({"slice": t.column("slice")[:1], "salt": t.column("salt")[:1], "n": pa.array([total.tobytes()])})
 
-    salts = max(1, docs.rdd.getNumPartitions() // 256)
-    got = docs.select("text").mapInArrow(run, "slice int, salt long, n binary")
+    salts = max(1, counted.rdd.getNumPartitions() // 256)
+    got = counted.select("packed").mapInArrow(run, "slice int, salt long, n binary")
     if salts > 1:
         got = got.groupBy("slice", "salt").applyInArrow(add, "slice int, salt long, n binary")
     parts = {r.slice: np.frombuffer(r.n, np.int64) for r in got.groupBy("slice").applyInArrow(add, "slice int, salt long, n binary").collect()}
@@ -452,8 +466,8 @@ def toxicity(
     full[np.searchsorted(keys, chosen_keys)] = True
     stems = {t: int(np.searchsorted(keys, np.uint64(key(t)))) for t in selected if t.endswith(b"*")}
     make_terms = lambda: Terms(keys, stems)
-    total = rows.count()
-    idf = np.log((1 + total) / (1 + frequencies(rows, make_terms, len(keys)))) + 1
+    counted = materialize(term_counts(rows.withColumn("held_out", held_out), make_terms, [id_col, "held_out"]), "toxicity-counts")
+    idf = np.log((1 + counted.count()) / (1 + frequencies(counted, len(keys)))) + 1
     idf[~full] *= ORDINARY
     chunks = packed_examples(sample, id_col, make_terms)
     token = uuid.uuid4().hex
@@ -470,19 +484,17 @@ def toxicity(
         if kept is None or kept[0] != token:
             sys._kmerloom_examples = None
             head, t, n = unpacked(chunks)
-            rate = 100 * n / np.repeat(np.maximum(head[:, 2], 1), head[:, 3])
-            kept = sys._kmerloom_examples = (token, Index(head[:, 0], head[:, 1], head[:, 3], t, rate, idf, base))
+            kept = sys._kmerloom_examples = (token, Index(*head.T, t, n, idf, base))
         return kept[1]
 
-    def vector(terms: Terms, text: str | None) -> np.ndarray:
-        size, t, n = terms.count(text)
+    def vector(size: int, t: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.column_stack([t, 100 * n / max(size, 1)])
 
     def left_out(batches):
         found, terms = index(), make_terms()
         for b in batches:
             at = np.searchsorted(found.ids, b.column(0).to_numpy()).tolist()
-            got = found.search([vector(terms, t) for t in b.column(2).to_pylist()], k, at)
+            got = found.search([vector(*terms.count(t)) for t in b.column(2).to_pylist()], k, at)
             yield pa.RecordBatch.from_arrays([pa.array([found.vote(*g, k) for g in got], pa.float64()), b.column(1)], names=["vote", "y"])
 
     part = sample.join(F.broadcast(chosen.select(id_col).limit(calibrate)), id_col, "left_semi") if known > calibrate else sample
@@ -490,14 +502,14 @@ def toxicity(
     curve = Calibration.fit(votes.column("vote").to_numpy(), votes.column("y").to_numpy())
 
     def run(batches):
-        found, terms = index(), make_terms()
+        found = index()
         for b in batches:
             texts = b.column(2).to_pylist()
             once = list(dict.fromkeys(texts))  # copies are searched once
             votes, proof = {}, {}
             for at in range(0, len(once), 512):
                 some = once[at : at + 512]
-                for t, (cos, near) in zip(some, found.search([vector(terms, t) for t in some], k)):
+                for t, (cos, near) in zip(some, found.search([vector(*unpack(t)) for t in some], k)):
                     votes[t], proof[t] = found.vote(cos, near, k), found.ids[near[:k]].tolist()
             s = curve(np.array([votes[t] for t in texts], float))
             yield pa.RecordBatch.from_arrays(
@@ -505,4 +517,5 @@ def toxicity(
                 names=[id_col, "held_out", "score", "predicted", "evidence"],
             )
 
-    return rows.select(id_col, held_out.alias("held_out"), "text").mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>")
+    # the table of counts is read in few tasks, but searching it is work: deal it out
+    return spread(counted).select(id_col, "held_out", "packed").mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>")
