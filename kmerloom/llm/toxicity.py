@@ -27,10 +27,10 @@ import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import spread
@@ -75,55 +75,51 @@ class Terms:
 
     def __init__(self, keys: np.ndarray, stems: dict[bytes, int]):
         self.keys, self.stems = keys, stems
-        self.memo: dict[bytes, int] = {}  # word -> number, -1 of words that are no terms
-        self.more: dict[bytes, list[int]] = {}  # word -> numbers of its beginnings that are terms
-
-    def _number(self, missing: list[bytes]) -> None:
-        k = np.fromiter(map(key, missing), np.uint64, len(missing))
-        at = np.minimum(np.searchsorted(self.keys, k), max(0, len(self.keys) - 1))
-        known = self.keys[at] == k if len(self.keys) else np.zeros(len(k), bool)
-        self.memo.update(zip(missing, np.where(known, at, -1).tolist()))
-        if self.stems:
-            for w in missing:
-                if found := [self.stems[f] for f in forms(w)[1:] if f in self.stems]:
-                    self.more[w] = found
+        self.heads = {s[: STEMS[0]] for s in stems}  # first bytes of words that can have a stem
 
     def count(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
         """(words, numbers of the terms in the text, how often each occurs)."""
+        import xxhash
+
         found = words(text)
         seen = Counter(found)
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-            self.more.clear()
-        if missing := [w for w in seen if w not in self.memo]:
-            self._number(missing)
-        t = np.fromiter(map(self.memo.__getitem__, seen), np.int64, len(seen))
-        n = np.fromiter(seen.values(), np.int64, len(seen))
-        stems: Counter = Counter()
-        for w in seen.keys() & self.more.keys():
-            for i in self.more[w]:
-                stems[i] += seen[w]
-        own = t >= 0
+        k = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
+        n = np.fromiter(seen.values(), np.int32, len(seen))
+        by = np.argsort(k)  # sorted searches stay in cache
+        k, n = k[by], n[by]
+        t = np.searchsorted(self.keys, k)
+        own = np.flatnonzero(self.keys[np.minimum(t, len(self.keys) - 1)] == k) if len(self.keys) else np.zeros(0, np.int64)
         t, n = t[own], n[own]
+        stems: Counter = Counter()
+        if self.stems:
+            for w in [w for w in seen if w[: STEMS[0]] in self.heads]:
+                for f in forms(w)[1:]:
+                    if f in self.stems:
+                        stems[self.stems[f]] += seen[w]
         if stems:
             t, n = np.append(t, list(stems)), np.append(n, list(stems.values()))
-        by = np.argsort(t)
-        return len(found), t[by], n[by]
+            by = np.argsort(t)
+            t, n = t[by], n[by]
+        return len(found), t, n
 
 
 Row = list[tuple[int, float]]  # (term, occurrences in a hundred words)
 
 
-def unit(row: Row, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights) of the unit vector of a row; the last of ``idf`` is the constant component."""
-    if not len(row):
+def weigh(t: np.ndarray, rate: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of a unit vector; the last of ``idf`` is the constant component."""
+    if not len(t):
         return np.zeros(0, np.int64), np.zeros(0)
-    x = np.asarray(row, float)
-    t = np.append(x[:, 0].astype(np.int64), len(idf) - 1)
-    w = np.log1p(np.append(x[:, 1], 1.0)) * idf[t]
+    t = np.append(t, len(idf) - 1)
+    w = np.log1p(np.append(rate, 1.0)) * idf[t]
     return t, w / np.sqrt(w @ w)
 
 
+def unit(row: Row, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.asarray(row, float).reshape(-1, 2)
+    return weigh(x[:, 0].astype(np.int64), x[:, 1], idf)
+
+
 def in_blocks(x: np.ndarray, size: int) -> np.ndarray:
     """An order of the rows of ``x`` in which each run of ``size`` rows is similar: halves are split
     at the median of the main direction (power iteration) until they fit."""
@@ -207,12 +203,12 @@ class Index:
         place, weight = found.view(np.int32)[::2], found.view(np.float32)[1::2]
         return np.bincount(place, weight * np.repeat(w[some], hi - lo), minlength=self.blocks * BLOCK).reshape(BLOCK, self.blocks)
 
-    def search(self, rows: list[Row], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per row (cosines, examples) of the k examples of largest positive cosine and all tied with
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per unit vector (terms, weights) the (cosines, examples) of the k examples of largest positive cosine and all tied with
         the last of them, by cosine and number.  ``skip`` names an example to leave out of each."""
         out: list = []
-        for at in range(0, len(rows), TOGETHER):
-            part = [unit(row, self.idf) for row in rows[at : at + TOGETHER]]
+        for at in range(0, len(vectors), TOGETHER):
+            part = vectors[at : at + TOGETHER]
             x = np.zeros((len(part), self.dense.shape[2]))
             for i, (t, w) in enumerate(part):
                 col = self.column[t]
@@ -257,7 +253,7 @@ class Index:
 
     def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
-        cos, near = self.search([row], k)[0]
+        cos, near = self.search([unit(row, self.idf)], k)[0]
         return list(zip(cos[:k].tolist(), near[:k].tolist()))
 
     def vote(self, cos: np.ndarray, near: np.ndarray, k: int, close: float = 0.1, pull: float = 2.0) -> float:
@@ -268,7 +264,7 @@ class Index:
         return float((w @ self.labels[near] + pull * self.base) / (w.sum() + pull))
 
     def score(self, row: Row, k: int) -> tuple[float, list[tuple[float, int]]]:
-        cos, near = self.search([row], k)[0]
+        cos, near = self.search([unit(row, self.idf)], k)[0]
         return self.vote(cos, near, k), list(zip(cos[:k].tolist(), near[:k].tolist()))
 
 
@@ -356,12 +352,13 @@ def vocabulary(sample: DataFrame) -> np.ndarray:
 
 
 def pack(size: int, t: np.ndarray, n: np.ndarray) -> bytes:
-    """A text's size, sorted terms (as differences) and counts, compressed."""
-    return zlib.compress(np.concatenate([[size], np.diff(t, prepend=0), n]).astype(np.int32).tobytes(), 1)
+    """A text's size, sorted terms (as differences) and counts, compressed byte plane by byte plane."""
+    x = np.concatenate([[size], np.diff(t, prepend=0), n]).astype("<i4").view(np.uint8)
+    return zstandard.compress(x.reshape(-1, 4).T.tobytes(), 1)
 
 
 def unpack(b: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    x = np.frombuffer(zlib.decompress(b), np.int32)
+    x = np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view("<i4").ravel()
     half = len(x) // 2 + 1
     return int(x[0]), np.cumsum(x[1:half], dtype=np.int64), x[half:]
 
@@ -487,14 +484,14 @@ def toxicity(
             kept = sys._kmerloom_examples = (token, Index(*head.T, t, n, idf, base))
         return kept[1]
 
-    def vector(size: int, t: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.column_stack([t, 100 * n / max(size, 1)])
+    def vector(found: Index, size: int, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return weigh(t, 100 * n / max(size, 1), found.idf)
 
     def left_out(batches):
         found, terms = index(), make_terms()
         for b in batches:
             at = np.searchsorted(found.ids, b.column(0).to_numpy()).tolist()
-            got = found.search([vector(*terms.count(t)) for t in b.column(2).to_pylist()], k, at)
+            got = found.search([vector(found, *terms.count(t)) for t in b.column(2).to_pylist()], k, at)
             yield pa.RecordBatch.from_arrays([pa.array([found.vote(*g, k) for g in got], pa.float64()), b.column(1)], names=["vote", "y"])
 
     part = sample.join(F.broadcast(chosen.select(id_col).limit(calibrate)), id_col, "left_semi") if known > calibrate else sample
@@ -509,7 +506,7 @@ def toxicity(
             votes, proof = {}, {}
             for at in range(0, len(once), 512):
                 some = once[at : at + 512]
-                for t, (cos, near) in zip(some, found.search([vector(*unpack(t)) for t in some], k)):
+                for t, (cos, near) in zip(some, found.search([vector(found, *unpack(t)) for t in some], k)):
                     votes[t], proof[t] = found.vote(cos, near, k), found.ids[near[:k]].tolist()
             s = curve(np.array([votes[t] for t in texts], float))
             yield pa.RecordBatch.from_arrays(

@@ -107,3 +107,94 @@ def test_em_recovers_accuracies(spark):
     m = fit_em(df, 4)
     assert isinstance(m, Model) and abs(m.good - 0.8) < 0.02 and abs(m.on_good[0] - 0.9) < 0.02 and abs(m.on_bad[3] - 0.95) < 0.03
     assert len({r.name for r in RULES}) == len(RULES)
+
+
+def corpus(rnd, n, toxic=0.2):
+    """Texts over shared words; toxic ones hold some of a few words of their own."""
+    bad = ["vilea", "vileb", "vilec", "viled"]
+    out = []
+    for i in range(n):
+        t = ["word" + chr(97 + j // 26) + chr(97 + j % 26) for j in rnd.integers(0, 300, rnd.integers(5, 60))]
+        y = int(rnd.random() < toxic)
+        if y and rnd.random() < 0.9:
+            t[: len(t) // 3] = rnd.choice(bad, len(t) // 3).tolist()
+        out.append((i, " ".join(t), y))
+    return out
+
+
+def test_toxicity_is_dense_brute_force(spark):
+    """The whole operator against dense cosines: terms, idf, votes with shared ties, calibration."""
+    rnd = np.random.default_rng(9)
+    rows = corpus(rnd, 400)
+    rows += [(400 + i, t, y) for i, (_, t, y) in enumerate(rows[:80])] + [(500, None, 0), (501, "", 0), (504, "unseen alone", 0)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i % 5], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in tx.toxicity(docs, labels, F.col("doc_id") % 4 == 0).collect()}
+    train = [(i, t, y) for i, t, y in rows if i % 5 and i % 4]
+    sample = spark.createDataFrame([(t, y) for _, t, y in train], "text string, y long")
+    chosen = tx.select_terms(sample)
+    assert chosen and all(t.startswith(b"vile") for t in chosen)
+    bag = lambda t: [f for w in tx.words(t) for f in tx.forms(w)]
+    vocab = sorted({w for _, t, _ in train for w in tx.words(t)} | set(chosen))
+    at = {w: i for i, w in enumerate(vocab)}
+
+    def count(t):
+        x, found = np.zeros(len(vocab)), tx.words(t)
+        for f in bag(t):
+            if f in at and (not f.endswith(b"*") or f in chosen):
+                x[at[f]] += 1
+        return 100 * x / max(1, len(found))
+
+    every = np.array([count(t) for _, t, _ in rows])
+    idf = np.log((1 + len(rows)) / (1 + (every > 0).sum(axis=0))) + 1
+    idf[[w not in chosen for w in vocab]] *= tx.ORDINARY
+    v = np.column_stack([np.log1p(every) * idf, np.where((every > 0).any(axis=1), tx.CONSTANT, 0)])
+    v /= np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    number = {i: k for k, (i, _, _) in enumerate(rows)}
+    ex = np.array([number[i] for i, _, _ in train])
+    y = np.array([y for _, _, y in train])
+    bare = ~(every[ex][:, [at[w] for w in chosen]] > 0).any(axis=1)
+    base = (y[bare].sum() + 0.5) / (bare.sum() + 1)
+
+    def vote(k, skip=None):
+        c = v[ex] @ v[k]
+        ok = (c > 0) & (np.arange(len(ex)) != (-1 if skip is None else skip))
+        c, lab = c[ok], y[ok]
+        if len(c) > 15:
+            least = np.sort(c)[-15]
+            above, tied = c > least + 1e-7, np.abs(c - least) <= 1e-7
+            w = np.where(above, 1.0, np.where(tied, (15 - above.sum()) / tied.sum(), 0.0))
+        else:
+            w = np.ones(len(c))
+        w = w / (1 - c + 0.1)
+        return (w @ lab + 2 * base) / (w.sum() + 2)
+
+    curve = tx.Calibration.fit(np.array([vote(k, j) for j, k in enumerate(ex)]), y)
+    for i, t, _ in rows:
+        assert got[i].score == pytest.approx(float(curve(np.array([vote(number[i])]))[0]), abs=1e-5)
+        assert got[i].predicted == int(got[i].score >= 0.5)
+    assert got[500].evidence == [] and got[500].score == got[501].score == got[504].score
+
+
+def test_calibration():
+    rnd = np.random.default_rng(2)
+    p = rnd.random(20000)
+    y = (rnd.random(20000) < p**2).astype(int)  # votes that are too high
+    curve = tx.Calibration.fit(p, y)
+    fitted = curve(p)
+    for lo in (0.1, 0.3, 0.5, 0.7):
+        m = (fitted >= lo) & (fitted < lo + 0.2)
+        assert abs(fitted[m].mean() - y[m].mean()) < 0.06
+    none = tx.Calibration.fit(np.zeros(0), np.zeros(0))
+    assert none(np.array([0.5]))[0] == pytest.approx(0.5)
+
+
+def test_ties_and_contradictory_labels(spark):
+    """Ids decide nothing among copies; of contradictory labels 1 counts."""
+    docs = spark.createDataFrame([(i, "same words here") for i in range(40)] + [(100, "same words here")], "doc_id long, text string")
+    one = spark.createDataFrame([(i, int(i < 10)) for i in range(40)], "doc_id long, toxic int")
+    two = spark.createDataFrame([(i, int(i >= 30)) for i in range(40)], "doc_id long, toxic int")
+    a, b = (tx.toxicity(docs, x, F.col("doc_id") >= 100).filter("doc_id = 100").first().score for x in (one, two))
+    assert a == pytest.approx(b)
+    both = one.unionByName(one.withColumn("toxic", F.lit(0)))
+    assert tx.toxicity(docs, both, F.col("doc_id") >= 100).filter("doc_id = 100").first().score == pytest.approx(a)
