@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize
 
 BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, HOT_SEGMENTS = 1 << 20, 1 << 18, 3 << 20, 50_000
+#: The number that stands for a null id.
+NO_ID = -(2**63)
 #: Blocks whose rows one salt of a shard gathers.
 SALT_BLOCKS = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -238,8 +240,8 @@ def expand(data: bytes) -> bytes:
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, sizes, bytes, data): documents packed in order of arrival, their texts
-    compressed.  Written once, so block and row numbers stay what they are when a task is
+    """(block, ids, nulls, sizes, bytes, data): documents packed in order of arrival, their texts
+    compressed; a null id counts as the smallest number and is marked in nulls.  Written once, so block and row numbers stay what they are when a task is
     repeated."""
 
     def run(batches):
@@ -250,8 +252,9 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def flush():
             return pa.RecordBatch.from_arrays(
-                [pa.array([seq]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([held]), pa.array([squeeze(b"".join(data))])],
-                names=["block", "ids", "sizes", "bytes", "data"],
+                [pa.array([seq]), pa.array([np.array([NO_ID if i is None else i for i in ids], np.int64).tobytes()]), pa.array([np.array([i is None for i in ids]).tobytes()]),
+                 pa.array([np.array(sizes, np.int64).tobytes()]), pa.array([held]), pa.array([squeeze(b"".join(data))])],
+                names=["block", "ids", "nulls", "sizes", "bytes", "data"],
             )
 
         for b in batches:
@@ -267,8 +270,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if ids:
             yield flush()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
-    return materialize(rows.mapInArrow(run, "block long, ids binary, sizes binary, bytes long, data binary"), "text-blocks")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    return materialize(rows.mapInArrow(run, "block long, ids binary, nulls binary, sizes binary, bytes long, data binary"), "text-blocks")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, salt_blocks: int = SALT_BLOCKS) -> DataFrame:
@@ -450,7 +453,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(batches):
         for b in batches:
-            for _, ids, sizes, data, mark in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for ids, nulls, sizes, data, mark in zip(*(b.column(i).to_pylist() for i in range(5))):
                 data = expand(data)
                 ids, size = _unpack(ids, np.int64), _unpack(sizes, np.int64)
                 off = np.concatenate([[0], np.cumsum(size)])
@@ -467,10 +470,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept = raw[off[d] : off[d + 1]][~g].tobytes() if n else data[off[d] : off[d + 1]]
                     out.append((int(size[d]), n, int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0, hashlib.sha256(kept).hexdigest(), kept))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=ids == -(2**63)), *(pa.array([o[i] for o in out], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[i]) for i in range(5))],
+                    [pa.array(ids, mask=np.frombuffer(nulls, bool)), *(pa.array([o[i] for o in out], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())[i]) for i in range(5))],
                     names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    return packed.join(marks, "block", "left").select("block", "ids", "sizes", "data", "marks").mapInArrow(
+    return packed.join(marks, "block", "left").select("ids", "nulls", "sizes", "data", "marks").mapInArrow(
         cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

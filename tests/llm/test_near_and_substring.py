@@ -211,20 +211,21 @@ def test_null_and_repeated_ids(spark):
 def brute_chunks(docs):
     gear, seen, out = cd.GEAR.tolist(), set(), []
     for i, t in docs:
-        h = start = n = removed = gone = 0
+        h = start = removed = gone = 0
         kept, chunks = b"", []
         for e, b in enumerate(t, 1):
             h = ((h << 1) + gear[b]) & 0xFFFFFFFF
-            if (e - start >= 48 and h < 1 << 26) or e - start >= 512:
+            if (e - start >= 32 and h < 1 << 27) or e - start >= 256:
                 chunks.append(t[start:e])
                 start = e
         chunks += [t[start:]] * (start < len(t))
-        for c in chunks:
-            if c in seen:
-                removed, gone = removed + 1, gone + len(c)
+        for again, part in itertools.groupby([(c, c in seen or c in chunks[:k]) for k, c in enumerate(chunks)], key=lambda x: x[1]):
+            part = [c for c, _ in part]
+            if again and sum(map(len, part)) >= 100:
+                removed, gone = removed + len(part), gone + sum(map(len, part))
             else:
-                seen.add(c)
-                kept += c
+                kept += b"".join(part)
+        seen.update(chunks)
         out.append((i, len(t), len(chunks), removed, gone, hashlib.sha256(kept).hexdigest()))
     return out
 
@@ -235,7 +236,31 @@ def test_chunk_dedup(spark, monkeypatch, salt_blocks):
     rnd = random.Random(6)
     passage = "".join(rnd.choice("abcdefgh ") for _ in range(900))
     rows = [(i, "".join(rnd.choice("ijklmnop ") for _ in range(rnd.randint(0, 700))) + passage[rnd.randint(0, 3) :], "") for i in range(30)] + [(40, None, ""), (41, "", "")]
-    got = cd.chunk_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), salt_blocks=salt_blocks)
-    want = brute_chunks([(i, (t or "").encode()) for i, t, _ in rows])
+    rows += [(50 + i, "a line that two texts end with" if i < 2 else passage[:90], "") for i in range(4)]  # short texts stay whole
+    rows += [(60, "é" * 60_000, ""), (61, "é" * 60_000 + passage, ""), (-(2**63), passage, "")]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("keys", F.lit(1)).withColumn("block", F.lit("clash"))
+    got = cd.chunk_dedup(docs.repartition(3), salt_blocks=salt_blocks)
+    want = brute_chunks(sorted((i, (t or "").encode()) for i, t, _ in rows))
     assert sorted(map(tuple, got.drop("kept").collect())) == want
-    assert sum(r[4] for r in want) > 15_000  # shifted passages are found
+    assert sum(r[4] for r in want) > 15_000 and all(r[4] == 0 for r in want if 50 <= r[0] < 60)  # shifted passages are found
+
+
+def test_smallest_id_is_not_null(spark):
+    t = "".join(random.Random(1).choices("abcdef", k=400))
+    df = spark.createDataFrame([(-(2**63), t, ""), (None, "other", "")], SCHEMA)
+    for run in (sd.suffix_dedup, cd.chunk_dedup):
+        assert {r.doc_id for r in run(df).collect()} == {-(2**63), None}
+
+
+def test_passages_of_fifty_words_are_caught(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = []
+    for i in range(150):
+        p = text(51)
+        rows += [(2 * i, f"{text(80)} {p} {text(60)}", ""), (2 * i + 1, f"{text(30)} {p} {text(99)}", "")]
+    rows += [(1000 + i, text(150) + " the end of it", "") for i in range(150)]
+    got = {r.doc_id: r.n_removed_chunks for r in cd.chunk_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[2 * i + 1] > 0 for i in range(150)) >= 135
+    assert not any(got[2 * i] for i in range(150)) and not any(got[1000 + i] for i in range(150))
