@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +48,18 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
     path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def attach(rows: DataFrame, values: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``values``, a materialized table with one row for each ``key`` and the
+    number ``n`` of rows that have it.
+
+    Keys with more than a thousandth of these rows are broadcast, and fewer than a thousand keys
+    can have that many; so no task gathers the rows of a frequent key."""
+    total = values.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) * 1000 > total
+    hot = values.filter(often)
+    if not hot.limit(1).count():
+        return rows.join(values, key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.filter(~often), key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)

@@ -1,18 +1,21 @@
 """SimHash near-dedup with sharded vantage-point trees.
 
-Each level of a tree takes a few bits of the fingerprint, picks a vantage point for them and
-sends a fingerprint to the ring of its distance to that point.  Distances add up over levels,
-so the triangle bound prunes jointly: two fingerprints within radius r lie in rings whose
-differences, summed over all levels, are at most r.  The top levels name shards: a fingerprint
-lives in one shard and is sent as a query to the shards whose rings its ball overlaps (one
-side of each pair of shards only).  The lower levels are the tree inside a shard.  Every
-surviving pair is compared exactly, in all 64 bits.
-
-Up to radius 2 one tree spans the 64 bits in levels of a byte.  For a larger radius r there
-are r // 3 + 1 trees over disjoint parts of the bits, in levels of one bit: two fingerprints
-within r agree up to 2 bits in one part.  A ring of one bit is that bit, so this is
-multi-index bit probing.  Work grows with the square of the number of
-fingerprints over 2 ** (64 // trees), so the radius sets the price.
+A tree splits fingerprints by their Hamming distance to a vantage point: those within the
+median distance go left, the others right.  Vantage points (the candidate that spreads
+distances most) and medians come from a bounded sample of the fingerprints; every fingerprint
+is placed.  A tree has a fixed number of levels and its leaves are shards, so how often a
+fingerprint is sent does not depend on how many there are.  A fingerprint lives in one shard.
+By the triangle inequality two fingerprints within radius r have distances to any vantage
+point that differ by r at most: a fingerprint of a left branch whose ball crosses the median is
+sent into the right branch as a query, and a query enters every branch that its ball
+overlaps.  Shards with many fingerprints are cut in tiles, which are searched by all that would
+search the shard.  Inside a shard the same bound is applied to the distances of groups of
+bits, summed up, and every surviving pair is compared exactly, in all 64 bits.
+
+Up to radius 2 one tree measures all 64 bits, in groups of a byte inside a shard.  For a larger
+radius r there are r // 3 + 1 trees over disjoint parts of the bits, in groups of one bit: two
+fingerprints within r agree up to 2 bits in one part.  Work inside a shard grows with the
+square of its fingerprints over 2 ** (64 // trees), so the radius sets the price.
 
 A shard returns the minimum spanning forest of its links, never all pairs, which keeps
 connectivity and stays linear in the size of a group of copies.  Where links must also pass a
@@ -30,13 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialize
+from .common import attach, discard, materialize
 
-VANTAGE = 0x0FF069A53C96C35A
 Level = tuple[int, int]  # (lowest bit, number of bits)
 
-#: Fingerprints that one shard should hold, and candidate pairs compared at once.
-SHARD_ROWS, CHUNK = 20_000, 400_000
+#: Fingerprints sampled for the trees, candidates for each vantage point, levels of one tree and of several.
+SEEDS, CANDIDATES, DEEP, SHALLOW = 2_000, 12, 6, 4
+#: Fingerprints in a tile of a shard, and candidate pairs compared at once.
+TILE_ROWS, CHUNK = 1_000_000, 400_000
 #: Texts sampled for frequent shingles, how many of these are told apart, and prefix entries in a bucket.
 SAMPLE, COMMON, ENTRIES = 4_000, 20_000, 250_000
 
@@ -83,9 +87,9 @@ def trees(radius: int) -> list[tuple[list[Level], int]]:
     return [([(at, 1) for at in range(lo, hi)], radius // n) for lo, hi in zip(edges, edges[1:])]
 
 
-def rings(fp: np.ndarray, levels: list[Level]) -> np.ndarray:
-    """Distance of each level's bits to its vantage point: (n, levels)."""
-    x = fp ^ np.uint64(VANTAGE)
+def rings(fp: np.ndarray, levels: list[Level], vantage: int) -> np.ndarray:
+    """Distance of each level's bits to those of the vantage point: (n, levels)."""
+    x = fp ^ np.uint64(vantage)
     out = np.zeros((len(fp), len(levels)), np.int64)
     for i, (at, bits) in enumerate(levels):
         out[:, i] = np.bitwise_count(x >> np.uint64(at) & np.uint64((1 << bits) - 1))
@@ -131,15 +135,15 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def shard_links(home: np.ndarray, query: np.ndarray, levels: list[Level], reach: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_links(home: np.ndarray, query: np.ndarray, levels: list[Level], vantage: int, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forest of links within ``radius`` among ``home`` and between ``home`` and ``query``
-    (unique uint64) whose rings on the lower ``levels`` differ by at most ``reach``."""
+    (unique uint64) whose rings on the ``levels`` differ by at most ``reach``."""
     scale, most = scales(levels), np.array([bits for _, bits in levels])
-    order = np.argsort(rings(home, levels) @ scale, kind="stable")
+    order = np.argsort(rings(home, levels, vantage) @ scale, kind="stable")
     home = home[order]
-    key = rings(home, levels) @ scale
+    key = rings(home, levels, vantage) @ scale
     nodes = np.concatenate([home, query])
-    probe = rings(nodes, levels)
+    probe = rings(nodes, levels, vantage)
     start = np.arange(len(nodes))
     if len(query):  # nearly sorted searches stay in cache
         start[len(home) :] = len(home) + np.argsort(probe[len(home) :] @ scale, kind="stable")
@@ -182,49 +186,99 @@ def _thin(found: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]
     return a[keep], b[keep], d[keep]
 
 
-def top_levels(n: int, levels: list[Level]) -> int:
-    """How many levels name shards, so that a shard holds about SHARD_ROWS of n fingerprints.
-    The middle ring of b bits holds one in sqrt(pi * b / 2) of them."""
-    cells, top = 1.0, 1
-    for top, (_, bits) in enumerate(levels, 1):
-        cells *= max(2.0, math.sqrt(math.pi * bits / 2))
-        if n / cells <= SHARD_ROWS:
-            break
-    return min(top, len(levels) - 1)
+class Tree:
+    """A vantage-point tree over the bits of ``levels``; leaves are numbered from 0.  Two
+    fingerprints that differ by ``reach`` of these bits at most meet in one leaf."""
+
+    def __init__(self, sample: np.ndarray, levels: list[Level], reach: int, depth: int):
+        self.levels, self.reach, self.leaves = levels, reach, 0
+        self.mask = np.uint64(sum(((1 << bits) - 1) << at for at, bits in levels))
+        self.root = self._grow(sample, depth)
+        self.vantage = self.root[0] if isinstance(self.root, tuple) else 0
+
+    def _away(self, fp: np.ndarray, vantage: int) -> np.ndarray:
+        return np.bitwise_count((fp ^ np.uint64(vantage)) & self.mask).astype(np.int64)
+
+    def _grow(self, sample: np.ndarray, depth: int) -> tuple | int:
+        """(vantage point, median distance, left, right), or the number of a leaf."""
+        if depth and len(sample) > 4:
+            picks = sample[:: max(1, len(sample) // CANDIDATES)]
+            away = [self._away(sample, int(v)) for v in picks]
+            best = max(range(len(picks)), key=lambda i: (float(away[i].std()), -i))
+            d, median = away[best], int(np.median(away[best]))
+            left = d <= median
+            if not left.all():
+                return int(picks[best]), median, self._grow(sample[left], depth - 1), self._grow(sample[~left], depth - 1)
+        self.leaves += 1
+        return self.leaves - 1
+
+    def visits(self, fp: np.ndarray, queries: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(leaf, places of the fingerprints sent there, whether they live there)."""
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def down(node, rows: np.ndarray, home: np.ndarray) -> None:
+            if not len(rows):
+                return
+            if not isinstance(node, tuple):
+                out.append((node, rows, home))
+                return
+            vantage, median, left, right = node
+            d = self._away(fp[rows], vantage)
+            lives_left = home & (d <= median)
+            to_left = lives_left | (~home & (d - self.reach <= median))
+            to_right = d + self.reach > median if queries else home & ~lives_left
+            down(left, rows[to_left], home[to_left])
+            down(right, rows[to_right], (home & ~lives_left)[to_right])
+
+        down(self.root, np.arange(len(fp)), np.ones(len(fp), bool))
+        return out
+
+
+def hamming_forest(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, other, distance): links that connect all distinct fingerprints within ``radius``."""
+    seeds = [r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SEEDS).collect()]
+    sample = np.array(seeds, np.int64).view(np.uint64)
+    parts = trees(radius)
+    grown = [Tree(sample, levels, reach, DEEP if len(parts) == 1 else SHALLOW) for levels, reach in parts]
 
+    def count(batches):
+        n = [np.zeros(t.leaves, np.int64) for t in grown]
+        for b in batches:
+            own = np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
+            for tree, t in enumerate(grown):
+                for leaf, rows, _ in t.visits(own, queries=False):
+                    n[tree][leaf] += len(rows)
+        for tree, x in enumerate(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["tree", "shard", "n"])
 
-def hamming_forest(fps: DataFrame, radius: int, n: int | None = None) -> DataFrame:
-    """(fp, other, distance): links that connect all distinct fingerprints within ``radius``."""
-    n = fps.count() if n is None else n
-    plans = []
-    for levels, reach in trees(radius):
-        top = top_levels(n, levels)
-        delta = moves(levels[:top], reach)
-        plans.append((levels[:top], levels[top:], reach, delta[[tuple(m) >= (0,) * top for m in delta.tolist()]]))  # one side of each pair of shards
+    # one row for each shard, of which there is a fixed number, reaches the driver
+    homes = fps.select("fp").mapInArrow(count, "tree int, shard int, n long").groupBy("tree", "shard").agg(F.sum("n").alias("n")).collect()
+    tiles = {(r.tree, r.shard): -(-r.n // TILE_ROWS) or 1 for r in homes}
 
     def spread(batches):
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False)
             own = np.ascontiguousarray(fp).view(np.uint64)
-            for tree, (top, _, _, delta) in enumerate(plans):
-                r, scale, most = rings(own, top), scales(top), np.array([bits for _, bits in top])
-                for m in delta:
-                    at = r + m
-                    ok = ((at >= 0) & (at <= most)).all(axis=1)
-                    if ok.any():
+            for tree, t in enumerate(grown):
+                for leaf, rows, home in t.visits(own):
+                    n = tiles.get((tree, leaf), 1)
+                    mine = (own[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                    for tile in range(n):
+                        # a fingerprint of this shard searches the tiles behind its own, a query all
+                        go = np.flatnonzero(~home | (mine <= tile))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(ok.sum(), tree, np.int32)), pa.array(at[ok] @ scale), pa.array(fp[ok]), pa.array(np.full(ok.sum(), not m.any()))], names=["tree", "shard", "fp", "home"]
+                            [pa.array(np.full(len(go), x, np.int32)) for x in (tree, leaf, tile)] + [pa.array(fp[rows[go]]), pa.array((home & (mine == tile))[go])], names=["tree", "shard", "tile", "fp", "home"]
                         )
 
     def search(t: pa.Table) -> pa.Table:
         fp = t.column("fp").to_numpy().view(np.uint64)
         home = t.column("home").to_numpy()
-        _, fine, reach, _ = plans[t.column("tree")[0].as_py()]
-        a, b, d = shard_links(fp[home], fp[~home], fine, reach, radius)
+        tree = grown[t.column("tree")[0].as_py()]
+        a, b, d = shard_links(fp[home], fp[~home], tree.levels, tree.vantage, tree.reach, radius)
         return pa.table({"fp": a.view(np.int64), "other": b.view(np.int64), "distance": d.astype(np.int32)})
 
-    sent = fps.select("fp").mapInArrow(spread, "tree int, shard long, fp long, home boolean")
-    return sent.groupBy("tree", "shard").applyInArrow(search, "fp long, other long, distance int")
+    sent = fps.select("fp").mapInArrow(spread, "tree int, shard int, tile int, fp long, home boolean")
+    return sent.groupBy("tree", "shard", "tile").applyInArrow(search, "fp long, other long, distance int")
 
 
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -262,15 +316,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows; extra columns are ignored.
     """
     own = materialize(fingerprints(docs, id_col, text_col, width), "simhash-fp")
-    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
+    fps = materialize(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     links = hamming_forest(fps, radius)
     comp = components(links.select(F.col("fp").alias("a"), F.col("other").alias("b")), "simhash-components")
-    of_fp = fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    of_fp = fps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("component", "fp").alias("component"))
     least_ = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
-    return (
-        own.join(of_fp.join(least_, "component").select("fp", "component_id"), "fp")
-        .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    )
+    found = materialize(of_fp.join(least_, "component").select("fp", "n", "component_id"), "simhash-found")
+    return attach(own, found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -424,26 +476,29 @@ def jaccard_near_duplicates(
     """(id, component): rows in groups of near duplicates, with the smallest id of the group.
 
     Rows are linked if the Jaccard similarity of their sets of ``width``-word shingles is
-    ``similarity`` or more; every such link counts.  Equal sets collapse to the smallest id.
-    SimHash then joins most groups at little cost: fingerprints within ``radius`` bits are linked
-    by a minimum spanning forest (closest pairs first), equal ones by a star, and each of
-    these links is checked.  Whatever that leaves apart is searched exactly: pairs of different
-    groups that share a shingle in the prefixes of their sets are checked, all of them.  So
-    ``radius`` sets only the work left to the second search.  Texts without words are equal to
-    each other.  Ids identify rows; null ids are in no group.
+    ``similarity`` or more; every such link counts.  Equal sets collapse to the smallest id, and
+    only these go on.  SimHash then joins most groups at little cost: fingerprints within
+    ``radius`` bits are linked by a minimum spanning forest (closest pairs first), equal ones by a
+    star, and each of these links is checked.  Whatever that leaves apart is searched exactly:
+    pairs of different groups that share a shingle in the prefixes of their sets are checked,
+    all of them.  So ``radius`` sets only the work left to the second search.  Texts without
+    words are equal to each other.  Ids must be unique; rows with a null id are in no group.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
     own = materialize(profiles(rows, width, similarity), "near-profiles")
-    least_ = own.groupBy("digest").agg(F.min("id").alias("a"))
-    star = materialize(own.join(least_, "digest").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "near-equal")
-    sets = own.join(star.select(F.col("b").alias("id")), "id", "left_anti")
-    fps = materialize(sets.groupBy("fp").agg(F.min("id").alias("least")), "near-distinct")
+    groups = materialize(own.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-equal")
+    sets = materialize(own.join(groups.select(F.col("least").alias("id")), "id", "left_semi"), "near-sets")  # one of each group
+    fps = materialize(sets.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-distinct")
     links = hamming_forest(fps, radius).select("fp", "other").distinct()
     far = links.join(fps, "fp").select("other", F.col("least").alias("a")).join(fps.withColumnRenamed("fp", "other"), "other").select("a", F.col("least").alias("b"))
-    same = sets.join(fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    same = attach(sets.select("id", "fp"), fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
-    near = components(similar(rows, pairs, width, similarity).unionByName(star), "near-components")
+    near = components(similar(rows, pairs, width, similarity), "near-components")
     nodes = sets.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "prefix")
     rest = materialize(prefix_pairs(nodes, similarity), "near-rest")
     good = similar(rows, rest, width, similarity).unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(good, "near-components").select(F.col("node").alias(id_col), "component")
+    last = components(good, "near-components").withColumnRenamed("node", "least")
+    # back to all rows of each set: only groups that say something
+    told = groups.join(last, "least", "left").select("digest", "n", F.coalesce("component", "least").alias("component"), F.col("component").isNotNull().alias("near"))
+    told = materialize(told.filter("near OR n > 1"), "near-told")
+    return attach(own.select("id", "digest"), told, "digest").filter("near OR id <> component").select(F.col("id").alias(id_col), "component")

@@ -71,9 +71,9 @@ def test_simhash_components(spark):
     assert sh.simhash_components(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 2, 3, 8, 11])
-def test_search_finds_every_link(spark, radius, monkeypatch):
-    monkeypatch.setattr(sh, "SHARD_ROWS", 20)  # several levels of shards
+@pytest.mark.parametrize("radius,tile", [(0, 10**6), (2, 10**6), (2, 3), (3, 10), (8, 10**6), (11, 4), (11, 10**6)])
+def test_search_finds_every_link(spark, radius, tile, monkeypatch):
+    monkeypatch.setattr(sh, "TILE_ROWS", tile)  # shards in several tiles
     rnd = random.Random(radius)
     fps = set()
     for _ in range(60):
@@ -88,6 +88,20 @@ def test_search_finds_every_link(spark, radius, monkeypatch):
     assert brute_components(fps, lambda a, b: frozenset((a, b)) in linked) == want
 
 
+def test_rows_sent_per_fingerprint_do_not_grow():
+    """Copies depend on the tree alone; each tree spreads fingerprints over all its shards."""
+    rnd = np.random.default_rng(4)
+    for radius in (2, 11):
+        parts = sh.trees(radius)
+        fp = rnd.integers(0, 2**64, 40_000, dtype=np.uint64)
+        grown = [sh.Tree(fp[: sh.SEEDS], levels, reach, sh.DEEP if len(parts) == 1 else sh.SHALLOW) for levels, reach in parts]
+        sent = [sum(len(rows) for t in grown for _, rows, _ in t.visits(fp[:n])) / n for n in (5_000, 40_000)]
+        assert abs(sent[0] - sent[1]) < 0.03 * sent[1] and sent[1] < 32
+        for t in grown:
+            home = [int(h.sum()) for _, _, h in t.visits(fp)]
+            assert sum(home) == len(fp) and max(home) < 6 * len(fp) / t.leaves
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in sh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
