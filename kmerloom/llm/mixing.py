@@ -6,18 +6,20 @@ source in order of (size, bucket, id), one random offset is added, and a documen
 once for each integer boundary that its interval crosses.  Sorting by size keeps the words
 taken within about one document of the target.
 
-The prefix sum is distributed: counts of (source, size, bucket) are summed up in two windows
-over *counts* and joined back, so no task ever sorts a whole source.
+Texts are read once, for their sizes.  The prefix sum is distributed: counts of (source, size,
+bucket) are summed up in two windows over *counts* and joined back, so no task ever sorts a
+whole source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD
+from .common import WORD, materialize
 
-#: Rows of one source and size are dealt over so many buckets.
-BUCKETS = 1024
+#: Hexadecimal digits of the digest of an id that name the bucket among the rows of one source and size,
+#: and buckets for rows without an id.
+DIGITS, WITHOUT = 3, 64
 
 
 def unit_offset(seed: int, key: Column) -> Column:
@@ -61,18 +63,23 @@ def mix(
     share: float = 1.5,
     cap: float = 2.0,
     seed: int = 7,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, copies, taken.
+    """One row per input row: id, source, size, source_size, target, copies, taken, and the
+    columns ``keep``.
 
     Size counts the words of the text; null text is size 0, a null source is a source of its
     own (ordered last), a null id sorts first.  A source of size 0 has target 0 and no copies.
-    Rows that repeat id and text are sampled one by one.  An empty table gives no rows; other
+    Rows that repeat id and text are sampled one by one; such rows, and rows without an id, differ
+    in nothing that the result shows, so their order is free.  An empty table gives no rows; other
     columns are ignored.  ``copies`` is at most ``ceil(cap)``; reruns agree for one seed.
     """
+    bucket = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, DIGITS), 16, 10).cast("long")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"),
+        *[F.col(c).alias(f"__keep_{c}") for c in keep], F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).withColumn("bucket", F.coalesce(F.pmod("id", F.lit(BUCKETS)), F.lit(-1))).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    ).withColumn("bucket", F.coalesce(bucket, -1 - F.spark_partition_id() % WITHOUT)).withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    rows = materialize(rows, "mix-sizes")
     counts = rows.groupBy("key", "size", "bucket").agg(F.count("*").alias("n"), F.first("source").alias("source"))
     upto = Window.unboundedPreceding
     in_size = Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(upto, -1)
@@ -90,5 +97,5 @@ def mix(
         rows.withColumn("place", place).join(offsets, ["key", "size", "bucket"])
         .withColumn("rate", rate).withColumn("offset", unit_offset(seed, F.col("key")))
         .withColumn("copies", crossed.cast("long"))
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
     )

@@ -25,7 +25,7 @@ targets AS (
   SELECT key, source_size, CASE WHEN cut IS NULL OR ratio < cut THEN ceiling ELSE cut * weight END AS target FROM levels, cut),
 placed AS (
   SELECT r.doc_id, r.size, t.source_size, t.target,
-         row_number() OVER (PARTITION BY r.key ORDER BY r.size, coalesce(((r.doc_id % 1024) + 1024) % 1024, -1), r.doc_id NULLS FIRST) AS place,
+         row_number() OVER (PARTITION BY r.key ORDER BY r.size, coalesce(('0x' || substr(md5(r.doc_id::VARCHAR), 1, 3))::BIGINT, -1), r.doc_id NULLS FIRST) AS place,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
          ('0x' || substr(md5('{seed}:' || r.key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off
   FROM rows_ r JOIN targets t USING (key))

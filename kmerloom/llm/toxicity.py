@@ -434,9 +434,10 @@ def unpacked(chunks: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.n
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_examples: int = 20_000, calibrate: int = 4_000, k: int = 15, threshold: float = 0.5,
+    max_examples: int = 20_000, calibrate: int = 4_000, k: int = 15, threshold: float = 0.5, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, held_out, score, predicted, evidence (ids of the nearest examples).
+    """One row per input row: id, held_out, score, predicted, evidence (ids of the nearest
+    examples), and the columns ``keep``.
 
     ``held_out`` is a condition on the id; held-out labels are never read.  The sample of
     examples is bounded by ``max_examples``, and the first ``calibrate`` of them, in that order,
@@ -448,7 +449,8 @@ def toxicity(
     example; of contradictory labels 1 counts.  Labels without a document and null labels are
     ignored, an empty table gives no rows, and without labels every score is one half.
     """
-    rows = spread(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")))
+    kept = [f"__keep_{c}" for c in keep]
+    rows = spread(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text"), *[F.col(c).alias(f"__keep_{c}") for c in keep]))
     chosen = (
         labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("long").alias("y")).filter(F.col("y").isin(0, 1)).filter(~held_out)
         .filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("y").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(max_examples)
@@ -463,7 +465,7 @@ def toxicity(
     full[np.searchsorted(keys, chosen_keys)] = True
     stems = {t: int(np.searchsorted(keys, np.uint64(key(t)))) for t in selected if t.endswith(b"*")}
     make_terms = lambda: Terms(keys, stems)
-    counted = materialize(term_counts(rows.withColumn("held_out", held_out), make_terms, [id_col, "held_out"]), "toxicity-counts")
+    counted = materialize(term_counts(rows.withColumn("held_out", held_out), make_terms, [id_col, "held_out", *kept]), "toxicity-counts")
     idf = np.log((1 + counted.count()) / (1 + frequencies(counted, len(keys)))) + 1
     idf[~full] *= ORDINARY
     chunks = packed_examples(sample, id_col, make_terms)
@@ -477,12 +479,12 @@ def toxicity(
 
     def index() -> Index:
         """The index, built once in each worker and kept while no other one is asked for."""
-        kept = getattr(sys, "_kmerloom_examples", None)
-        if kept is None or kept[0] != token:
+        held = getattr(sys, "_kmerloom_examples", None)
+        if held is None or held[0] != token:
             sys._kmerloom_examples = None
             head, t, n = unpacked(chunks)
-            kept = sys._kmerloom_examples = (token, Index(*head.T, t, n, idf, base))
-        return kept[1]
+            held = sys._kmerloom_examples = (token, Index(*head.T, t, n, idf, base))
+        return held[1]
 
     def vector(found: Index, size: int, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return weigh(t, 100 * n / max(size, 1), found.idf)
@@ -510,9 +512,10 @@ def toxicity(
                     votes[t], proof[t] = found.vote(cos, near, k), found.ids[near[:k]].tolist()
             s = curve(np.array([votes[t] for t in texts], float))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([proof[t] for t in texts], pa.list_(pa.int64()))],
-                names=[id_col, "held_out", "score", "predicted", "evidence"],
+                [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([proof[t] for t in texts], pa.list_(pa.int64())), *b.columns[3:]],
+                names=[id_col, "held_out", "score", "predicted", "evidence", *keep],
             )
 
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     # the table of counts is read in few tasks, but searching it is work: deal it out
-    return spread(counted).select(id_col, "held_out", "packed").mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>")
+    return spread(counted).select(id_col, "held_out", "packed", *kept).mapInArrow(run, f"`{id_col}` long, held_out boolean, score double, predicted int, evidence array<long>{more}")

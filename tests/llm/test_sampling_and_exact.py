@@ -29,13 +29,12 @@ def norm(t):
 
 def brute_exact(rows):
     groups = {}
-    for i, t, *_ in rows:
-        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, i))
+    for k, (i, t, *_) in enumerate(rows):
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, k, i))
     out = []
-    for i, t, *_ in rows:
-        g = sorted(groups[norm(t)])
-        keep = g[0][3]
-        out.append((i, keep, len(g), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+    for k, (i, t, *_) in enumerate(rows):
+        first = min(groups[norm(t)], key=lambda g: g[:4])
+        out.append((i, first[4], len(groups[norm(t)]), k == first[3], hashlib.sha256(norm(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -47,6 +46,13 @@ def test_exact_dedup(odd, digest):
     assert sorted(map(tuple, got.collect()), key=str) == brute_exact(ODD)
 
 
+def test_kept_columns_follow_their_rows(odd):
+    rows = odd.withColumn("mark", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("source", F.lit("none"))))
+    name = lambda x: "none" if x is None else str(x)
+    assert all(r.mark.split("/")[0] == name(r.doc_id) for r in exact_dedup(rows, keep=("mark",)).collect())
+    assert all(r.mark == f"{name(r.doc_id)}/{name(r.source)}" for r in mix(rows, keep=("mark",)).collect())
+
+
 def test_exact_dedup_of_many_copies(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same").otherwise(F.col("id").cast("string")).alias("text")).repartition(7)
     got = exact_dedup(rows)

@@ -124,3 +124,76 @@ def test_pipeline(spark, tmp_path):
             assert docs.count() == before.select(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).distinct().count()
     assert docs.filter("NOT round_trip").count() == 0
     assert pipeline.run(spark, data).count() == docs.count()
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, component string"
+LONG = " ".join(f"w{i}" for i in range(300))
+ROWS = [
+    (1, "same", "en", "a", 4, "x"), (None, "same", "en", "a", 4, "x"), (None, "unique text", "en", "a", 11, "x"), (None, None, "en", None, 0, "x"), (2, "", "en", "b", 0, "x"),
+    (5, "x y", "en", "b", 3, "x"), (5, "xy", "en", "b", 2, "x"), (6, "twice", "en", "b", 5, "x"), (6, "twice", "en", "b", 5, "x"), (7, LONG, "en", "c", 1, "x"), (8, LONG.replace("w150 ", "other "), "en", "c", 1, "x"),
+    (None, LONG.replace("w20 ", "another "), "en", "c", 1, "x"), (8, "a text of its own under a repeated id", "en", "c", 1, "x"), (9, "word " * 40_000, "en", "c", 1, "x"), (10, "vile words here", "en", "a", 1, "x"), (10, "clean words here", "en", "a", 1, "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with labels that make "vile" toxic, and documents to learn from."""
+    at = str(tmp_path_factory.mktemp("labelled"))
+    learn = [(100 + i, f"vile number{i} text here" if i % 2 else f"fine number{i} text here", "en", "z", 1, "x") for i in range(60)]
+    spark.createDataFrame([(i, 1, int("vile" in t)) for i, t, *_ in learn], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return at, learn
+
+
+def stage(spark, pipeline, k, rows, at):
+    got = pipeline.STAGES[k][1](spark, spark.createDataFrame(rows, DOCS).repartition(3), at)
+    if k < 4:
+        assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
+    return sorted(map(tuple, got.collect()), key=str)
+
+
+def test_toxicity_stage_drops_rows_not_ids(spark, labelled):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    at, learn = labelled
+    got = stage(spark, pipeline, 0, ROWS + learn, at)
+    assert got == sorted((r for r in ROWS + learn if "vile" not in (r[1] or "")), key=str)
+    assert stage(spark, pipeline, 0, [], at) == []
+
+
+def test_exact_stage_against_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    best = {}
+    for r in ROWS:
+        place = (-len(r[1] or ""), r[0] is None, r[0] or 0)
+        key = "".join((r[1] or "").split())
+        if key not in best or place < best[key][0]:
+            best[key] = (place, r)
+    assert stage(spark, pipeline, 1, ROWS, "") == sorted((r for _, r in best.values()), key=str)
+    assert stage(spark, pipeline, 1, [], "") == []
+
+
+def test_near_stage_against_brute_force(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    grams = [{tuple((r[1] or "").split()[i : i + 5]) for i in range(max(1, len((r[1] or "").split()) - 4))} for r in ROWS]
+    group = list(range(len(ROWS)))
+    for i in range(len(ROWS)):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    want = []
+    for g in set(group):
+        want.append(min((r for r, x in zip(ROWS, group) if x == g), key=lambda r: (r[0] is None, r[0] or 0)))
+    assert [r[:2] for r in stage(spark, pipeline, 2, ROWS, "")] == sorted((r[:2] for r in want), key=str)
+    assert stage(spark, pipeline, 2, [], "") == []
+
+
+def test_mixing_stage_emits_each_row_by_itself(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from kmerloom.llm.mixing import mix
+
+    docs = spark.createDataFrame(ROWS, DOCS)
+    got = stage(spark, pipeline, 3, ROWS, "")
+    total = mix(docs).agg(F.sum("copies")).first()[0]
+    assert len(got) == total and all(got.count(r) <= 2 * ROWS.count(r) for r in set(got))
+    assert stage(spark, pipeline, 3, [], "") == []
+    assert len(stage(spark, pipeline, 4, ROWS, "")) == len(ROWS) and stage(spark, pipeline, 4, [], "") == []
