@@ -13,35 +13,49 @@ from kmerloom.llm.simhash import jaccard_near_duplicates
 from kmerloom.llm.toxicity import toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id (null included) is not among ``ids``."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written once so that it stays what it is.  Stages drop
+    rows by it, since ids may be null or repeated."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents predicted toxic; null and empty texts stay."""
-    scored = toxicity(docs, table(spark, sf_dir, "labels"), held_out(5, 0))
-    return _without(docs, scored.filter("predicted = 1"))
+    """Rejects the rows predicted toxic; null and empty texts stay."""
+    rows = _numbered(docs)
+    return _without(rows, toxicity(rows, table(spark, sf_dir, "labels"), held_out(5, 0), keep=(ROW,)).filter("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) one row stays; rows that repeat a doc_id and text
-    pass or fall together."""
-    return _without(docs, exact_dedup(docs).filter(~F.col("kept")))
+    """Of equal texts (white space aside; null is empty) one row stays: the longest, then the
+    smallest doc_id, nulls last."""
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup(rows, keep=(ROW,)).filter("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the smallest
-    doc_id stays."""
-    return _without(docs, jaccard_near_duplicates(docs).filter("doc_id <> component"))
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the row with the
+    smallest doc_id stays, nulls last; of several such rows the first one."""
+    rows = _numbered(docs)
+    groups = materialize(jaccard_near_duplicates(rows, ROW), "pipeline-near")
+    every = groups.unionByName(groups.select(F.col("component").alias(ROW), "component")).distinct()  # the first row of a group too
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW))
+    members = materialize(every.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "component", order.alias("place")), "pipeline-members")
+    stays = members.groupBy("component").agg(F.min("place").alias("place")).select(F.col(f"place.{ROW}").alias(ROW))
+    return _without(rows, members.join(stays, ROW, "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Emits each document as often as the mix takes it (0, 1 or 2 times)."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0").withColumnRenamed("doc_id", "__id")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(docs.columns)
+    """Emits each row as often as the mix takes it (0, 1 or 2 times)."""
+    rows = _numbered(docs)
+    taken = mix(rows, keep=(ROW,)).filter("copies > 0").select(ROW, F.col("copies").cast("int").alias("__copies"))
+    return rows.join(taken, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
