@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,13 +44,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if (told := _recorder.get()) is not None:
+        told.append(path)
     return out
 
 
+_recorder: ContextVar[list[str] | None] = ContextVar("recorder", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables that are materialized inside, for `remove` once nothing reads them."""
+    paths: list[str] = []
+    token = _recorder.set(paths)
+    try:
+        yield paths
+    finally:
+        _recorder.reset(token)
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df._written_at)
 
 
 def attach(rows: DataFrame, values: DataFrame, key: str, n: str = "n") -> DataFrame:

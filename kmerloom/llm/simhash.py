@@ -31,8 +31,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import small
 from .common import attach, discard, materialize
 
 Level = tuple[int, int]  # (lowest bit, number of bits)
@@ -301,7 +303,9 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
         discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out._written_at = edges._written_at
+            return out
         before = now
     raise RuntimeError("components did not settle")
 
@@ -355,6 +359,17 @@ def rarest(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
     return grams[np.argsort(rank, kind="stable")[:size]]
 
 
+def narrow(grams: np.ndarray) -> bytes:
+    """The lower 48 bits of each hash: enough to find candidates, which are checked in full."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def widen(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def profiles(rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """(id, fp, n, digest, prefix): SimHash, and size, digest and prefix of the set of shingles."""
     common = common_shingles(rows, width)
@@ -368,7 +383,7 @@ def profiles(rows: DataFrame, width: int, similarity: float) -> DataFrame:
                 fp.append(fold(h))
                 n.append(len(grams))
                 digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                prefix.append(rarest(grams, common, similarity).tobytes())
+                prefix.append(narrow(rarest(grams, common, similarity)))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())],
                 names=["id", "fp", "n", "digest", "prefix"],
@@ -381,6 +396,21 @@ def profiles(rows: DataFrame, width: int, similarity: float) -> DataFrame:
 ENTRY = np.dtype([("gram", "u8"), ("id", "i8"), ("comp", "i8"), ("n", "i4"), ("place", "i4")])
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Entries as compressed byte planes of each field, which repeat themselves."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(x[f]).view(np.uint8).reshape(len(x), -1).T.tobytes() for f in ENTRY.names), 1)
+
+
+def expand(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(ENTRY.itemsize, -1)
+    out, at = np.empty(planes.shape[1], ENTRY), 0
+    for f in ENTRY.names:
+        wide = ENTRY[f].itemsize
+        out[f] = np.ascontiguousarray(planes[at : at + wide].T).view(ENTRY[f]).ravel()
+        at += wide
+    return out
+
+
 def meetings(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids (smaller, larger) of different components that share a shingle in ``x`` and
     that sizes and places do not rule out.
@@ -413,15 +443,15 @@ def meetings(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1]
 
 
-def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, similarity: float, entries: int) -> DataFrame:
     """(a, b): every pair of rows (id, component, n, prefix) of different components that can have
-    Jaccard ``similarity``, by prefix filtering; shingles are dealt to buckets by their hash."""
-    entries = nodes.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    buckets = max(16, entries // 8 // ENTRIES)
+    Jaccard ``similarity``, by prefix filtering; about ``entries`` shingles are dealt to buckets by
+    their hash."""
+    buckets = max(16, entries // ENTRIES)
 
     def deal(batches):
         for b in batches:
-            prefix = [np.frombuffer(p.as_py(), np.uint64) for p in b.column(3)]
+            prefix = [widen(p.as_py()) for p in b.column(3)]
             size = np.array([len(p) for p in prefix])
             if not size.sum():
                 continue
@@ -434,10 +464,10 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             x, bucket = x[order], bucket[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([p.tobytes() for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([squeeze(p) for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "entries"])
 
     def meet(t: pa.Table) -> pa.Table:
-        a, b = meetings(np.concatenate([np.frombuffer(e.as_py(), ENTRY) for e in t.column("entries")]), similarity)
+        a, b = meetings(np.concatenate([expand(e.as_py()) for e in t.column("entries")]), similarity)
         return pa.table({"a": a, "b": b})
 
     dealt = nodes.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket long, entries binary")
@@ -445,28 +475,25 @@ def prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have Jaccard ``similarity`` or more."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-
-    def shingle_sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashes(t.as_py(), width)).tobytes() for t in b.column(1)], pa.binary())], names=["id", "grams"])
-
-    sets = materialize(
-        rows.join(involved, "id", "left_semi").select("id", F.col("t").cast("binary").alias("t")).mapInArrow(shingle_sets, "id long, grams binary").dropDuplicates(["id"]), "near-grams"
-    )
+    """The pairs (a, b) of ids whose texts' shingle sets have Jaccard ``similarity`` or more.  Texts
+    travel, since they are smaller than their shingle hashes, but only those of listed ids."""
 
     def verify(batches):
+        last: tuple = (None, None)
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if last[0] != a:
+                    last = (a, np.unique(hashes(x, width)))
+                x, y = last[1], np.unique(hashes(y, width))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    listed = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())  # broadcast if a count finds few
+    texts = rows.join(listed, "id", "left_semi").select("id", F.col("t").cast("binary").alias("t"))
+    left, right = texts.select(F.col("id").alias("a"), F.col("t").alias("x")), texts.select(F.col("id").alias("b"), F.col("t").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
@@ -487,18 +514,22 @@ def jaccard_near_duplicates(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
     own = materialize(profiles(rows, width, similarity), "near-profiles")
     groups = materialize(own.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-equal")
-    sets = materialize(own.join(groups.select(F.col("least").alias("id")), "id", "left_semi"), "near-sets")  # one of each group
-    fps = materialize(sets.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-distinct")
+    sets = groups.select(F.col("least").alias("id"))  # one of each group goes on
+    prints = materialize(own.select("id", "fp").join(sets, "id", "left_semi"), "near-prints")
+    fps = materialize(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-distinct")
     links = hamming_forest(fps, radius).select("fp", "other").distinct()
     far = links.join(fps, "fp").select("other", F.col("least").alias("a")).join(fps.withColumnRenamed("fp", "other"), "other").select("a", F.col("least").alias("b"))
-    same = attach(sets.select("id", "fp"), fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    same = attach(prints, fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
     near = components(similar(rows, pairs, width, similarity), "near-components")
-    nodes = sets.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), "n", "prefix")
-    rest = materialize(prefix_pairs(nodes, similarity), "near-rest")
+    placed = sets.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    entries = (own.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 6
+    rest = materialize(prefix_pairs(own.select("id", "n", "prefix").join(placed, "id"), similarity, entries), "near-rest")
     good = similar(rows, rest, width, similarity).unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
     last = components(good, "near-components").withColumnRenamed("node", "least")
     # back to all rows of each set: only groups that say something
     told = groups.join(last, "least", "left").select("digest", "n", F.coalesce("component", "least").alias("component"), F.col("component").isNotNull().alias("near"))
     told = materialize(told.filter("near OR n > 1"), "near-told")
+    for done in (prints, fps, pairs, rest, near):
+        discard(done)
     return attach(own.select("id", "digest"), told, "digest").filter("near OR id <> component").select(F.col("id").alias(id_col), "component")

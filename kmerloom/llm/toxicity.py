@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import spread
-from .common import materialize
+from .common import discard, materialize
 
 #: Bytes that end a word: all of ASCII but letters; other characters count as letters, except MARKS.
 _BLANKED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -139,54 +139,77 @@ def in_blocks(x: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(split(np.arange(len(x)))) if len(x) else np.zeros(0, np.int64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class Index:
     """Unit vectors of examples: postings of rare terms, and blocks of common ones."""
 
     def __init__(self, ids, labels, size: np.ndarray, held: np.ndarray, t: np.ndarray, n: np.ndarray, idf: np.ndarray, base: float):
         """Examples of ``size`` words and ``held`` terms each; ``t`` and ``n`` are the terms and their
-        occurrences, example after example.  Examples without a term are never found."""
+        occurrences, example after example.  Examples without a term are never found.  Arrays
+        are dropped or written over as soon as they may be, since two workers share an executor."""
         self.ids, self.labels, self.base = np.array(ids, np.int64), np.array(labels, np.int64), base
         self.idf = np.append(idf, CONSTANT / np.log(2))  # the constant component is one more term
-        many, v = len(held), len(self.idf)
-        e = np.repeat(np.arange(many, dtype=np.int32), held)
-        w, norm = np.empty(len(t), np.float32), np.full(many, CONSTANT**2)
-        for at in range(0, len(t), 1 << 19):  # pieces keep temporary arrays small
-            cut = slice(at, at + (1 << 19))
-            x = np.log1p(100 * n[cut] / np.maximum(size[e[cut]], 1)) * self.idf[t[cut]]
-            w[cut] = x
-            norm += np.bincount(e[cut], x * x, minlength=many)
-        norm = np.sqrt(norm).astype(np.float32)
-        w /= norm[e]
+        many, v, start = len(held), len(self.idf), np.concatenate([[0], np.cumsum(held)])
+        w = n.view(np.float32) if n.dtype == np.int32 else np.empty(len(t), np.float32)  # weights take the place of counts
+        norm = np.empty(many, np.float32)
+
+        def pieces():
+            """(their entries, the example of each) of some examples at a time."""
+            for lo in range(0, many, 512):
+                yield slice(start[lo], start[min(lo + 512, many)]), np.repeat(np.arange(lo, min(lo + 512, many)), held[lo : lo + 512])
+
+        for cut, e in pieces():
+            x = np.log1p(100 * n[cut] / np.maximum(size[e], 1)) * self.idf[t[cut]]
+            if len(e):
+                lo, hi = e[0], e[-1] + 1
+                norm[lo:hi] = np.sqrt(np.bincount(e - lo, x * x, minlength=hi - lo) + CONSTANT**2)
+                w[cut] = x / norm[e]
+        del n
         df = np.bincount(t, minlength=v)
         df[-1] = many + 1
         common = np.argsort(-df, kind="stable")[:COMMON]
+        n_rare = len(t) + many + 1 - int(df[common].sum())
+        del df
         self.column = np.full(v, -1, np.int32)
         self.column[common] = np.arange(len(common), dtype=np.int32)
         self.blocks = -(-many // BLOCK)
-        col = self.column[t]
-        own = np.flatnonzero((col >= 0) & (col < 128))
         part = np.zeros((many, min(128, len(common))), np.float32)
-        part[e[own], col[own]] = w[own]
+        for cut, e in pieces():
+            col = self.column[t[cut]]
+            own = np.flatnonzero((col >= 0) & (col < part.shape[1]))
+            part[e[own], col[own]] = w[cut][own]
         self.order = in_blocks(part, BLOCK)  # block place -> example
         del part
         self.place = np.empty(many, np.int32)
         self.place[self.order] = np.arange(many, dtype=np.int32)
-        at = self.place[e]
-        del e
-        own = np.flatnonzero(col >= 0)
         self.dense = np.zeros((self.blocks * BLOCK, len(common)), np.float32)
-        self.dense[at[own], col[own]] = w[own]
         self.dense[self.place, self.column[-1]] = np.where(held > 0, CONSTANT / norm, 0.0)
+        term, found, at = np.empty(n_rare, np.int32), np.empty((n_rare, 2), np.int32), 0
+        for cut, e in pieces():
+            col, place = self.column[t[cut]], self.place[e]
+            own = np.flatnonzero(col >= 0)
+            self.dense[place[own], col[own]] = w[cut][own]
+            own = np.flatnonzero(col < 0)
+            to = slice(at, at + len(own))
+            term[to], found[to, 0], found[to, 1] = t[cut][own], place[own] % BLOCK * self.blocks + place[own] // BLOCK, w[cut][own].view(np.int32)
+            at += len(own)
+        del t, w
         self.dense = self.dense.reshape(self.blocks, BLOCK, len(common))
         self.most = self.dense.max(axis=1)
-        rare = np.flatnonzero(col < 0)
-        del col, own
-        rare = rare[np.argsort(t[rare], kind="stable")]
-        self.rare_start = np.searchsorted(t[rare], np.arange(v + 1))
-        self.rare = np.empty((len(rare), 2), np.int32)  # place, bits of the weight
-        at = at[rare]
-        self.rare[:, 0], self.rare[:, 1] = at % BLOCK * self.blocks + at // BLOCK, w[rare].view(np.int32)
-        self.rare = self.rare.view(np.int64).ravel()
+        by = np.argsort(term, kind="stable")
+        self.rare_start = np.searchsorted(term[by], np.arange(v + 1))
+        self.rare = found.view(np.int64).ravel()[by]  # place, bits of the weight
+        del term, found, by
+        give_back()
 
     @classmethod
     def build(cls, ids, labels, rows: list[Row], idf: np.ndarray, base: float) -> Index:
@@ -205,7 +228,7 @@ class Index:
 
     def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per unit vector (terms, weights) the (cosines, examples) of the k examples of largest positive cosine and all tied with
-        the last of them, by cosine and number.  ``skip`` names an example to leave out of each."""
+        the last of them, by cosine and id.  ``skip`` names an example to leave out of each."""
         out: list = []
         for at in range(0, len(vectors), TOGETHER):
             part = vectors[at : at + TOGETHER]
@@ -244,7 +267,7 @@ class Index:
         places = places[cos >= kth(cos)]
         exact = rare[places % BLOCK, places // BLOCK] + self.dense.reshape(-1, len(x))[places].astype(float) @ x
         near = self.order[places]
-        by = np.lexsort((near, -np.round(exact, 9)))
+        by = np.lexsort((self.ids[near], -np.round(exact, 9)))
         near, exact = near[by], exact[by]
         if len(near) > k:
             keep = exact >= exact[k - 1] - TIE
@@ -252,7 +275,7 @@ class Index:
         return exact, near
 
     def nearest(self, row: Row, k: int) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine as (cosine, example), ties to the smaller number."""
+        """The k examples of largest positive cosine as (cosine, example), ties to the smaller id."""
         cos, near = self.search([unit(row, self.idf)], k)[0]
         return list(zip(cos[:k].tolist(), near[:k].tolist()))
 
@@ -325,6 +348,7 @@ def select_terms(sample: DataFrame, least_docs: int = 3, least_z: float = 5.0, l
         return []
     a = counts(once.filter("y = 1"), None, least_docs)
     c = counts(once.filter("y = 0"), set(a), 1)
+    discard(once)
     found: dict[bytes, tuple] = {}
     for t, x in a.items():
         other = c.get(t, 0)
@@ -404,8 +428,9 @@ def frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
     return np.concatenate([parts.get(i, np.zeros(hi - lo, np.int64)) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
 
 
-def packed_examples(sample: DataFrame, id_col: str, make_terms) -> list[bytes]:
-    """The vectors of the examples (id, y, size, held; terms, counts), compressed, one or more for each task."""
+def packed_examples(sample: DataFrame, id_col: str, make_terms) -> list[tuple[bytes, bytes, bytes]]:
+    """The vectors of the examples (id, y, size, held; terms, counts), compressed, one or more for
+    each task."""
 
     def run(batches):
         terms = make_terms()
@@ -421,15 +446,17 @@ def packed_examples(sample: DataFrame, id_col: str, make_terms) -> list[bytes]:
 
 
 def unpacked(chunks: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(head rows by id, terms, counts) of `packed_examples`, in the order of the ids."""
-    heads = [np.frombuffer(h, np.int64).reshape(-1, 4) for h, _, _ in chunks]
-    head = np.concatenate([np.zeros((0, 4), np.int64), *heads])
-    t, n = (np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(zlib.decompress(c[i]), np.int32) for c in chunks)]) for i in (1, 2))
-    by = np.lexsort((head[:, 1], head[:, 0]))
-    start = np.cumsum(head[:, 3]) - head[:, 3]
-    held = head[by, 3]
-    at = np.arange(held.sum()) + np.repeat(start[by] - (np.cumsum(held) - held), held)
-    return head[by], t[at], n[at]
+    """(head rows, terms, counts) of `packed_examples`; the chunks are used up."""
+    head = np.concatenate([np.zeros((0, 4), np.int64), *(np.frombuffer(h, np.int64).reshape(-1, 4) for h, _, _ in chunks)])
+    t, n = (np.empty(head[:, 3].sum(), np.int32) for _ in range(2))
+    at = 0
+    while chunks:
+        _, *pair = chunks.pop(0)
+        for into, raw in zip((t, n), pair):
+            x = np.frombuffer(zlib.decompress(raw), np.int32)
+            into[at : at + len(x)] = x
+        at += len(x)
+    return head, t, n
 
 
 def toxicity(
@@ -482,8 +509,8 @@ def toxicity(
         held = getattr(sys, "_kmerloom_examples", None)
         if held is None or held[0] != token:
             sys._kmerloom_examples = None
-            head, t, n = unpacked(chunks)
-            held = sys._kmerloom_examples = (token, Index(*head.T, t, n, idf, base))
+            head, *pair = unpacked(chunks)
+            held = sys._kmerloom_examples = (token, Index(*head.T, pair.pop(0), pair.pop(0), idf, base))
         return held[1]
 
     def vector(found: Index, size: int, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -491,13 +518,15 @@ def toxicity(
 
     def left_out(batches):
         found, terms = index(), make_terms()
+        place = {i: e for e, i in enumerate(found.ids.tolist())}
         for b in batches:
-            at = np.searchsorted(found.ids, b.column(0).to_numpy()).tolist()
+            at = [place[i] for i in b.column(0).to_pylist()]
             got = found.search([vector(found, *terms.count(t)) for t in b.column(2).to_pylist()], k, at)
             yield pa.RecordBatch.from_arrays([pa.array([found.vote(*g, k) for g in got], pa.float64()), b.column(1)], names=["vote", "y"])
 
     part = sample.join(F.broadcast(chosen.select(id_col).limit(calibrate)), id_col, "left_semi") if known > calibrate else sample
     votes = spread(part.select(id_col, "y", "text")).mapInArrow(left_out, "vote double, y long").toArrow()
+    discard(sample)
     curve = Calibration.fit(votes.column("vote").to_numpy(), votes.column("y").to_numpy())
 
     def run(batches):
