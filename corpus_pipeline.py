@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kmerloom.llm.common import materialize, table
+from kmerloom.llm.common import materialize, recorded, remove, table
 from kmerloom.llm.exact_dedup import exact_dedup
 from kmerloom.llm.mixing import mix
 from kmerloom.llm.piece_codec import encode
 from kmerloom.llm.queries import held_out
 from kmerloom.llm.simhash import jaccard_near_duplicates
 from kmerloom.llm.toxicity import toxicity
+from kmerloom.session import small
 
 
 ROW = "__row"
+#: Tables in the shared folder that the stage called last reads, by session.
+_left: dict[str, list[str]] = {}
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage deletes the tables of the stage before it, whose result has been written by then."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        for path in _left.pop(app, []):
+            remove(spark, path)
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _left[app] = paths
+        return out
+
+    return run_stage
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -23,15 +45,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
+    """``rows`` less those of ``gone``, which are broadcast if a count finds few."""
+    return rows.join(small(materialize(gone.select(ROW), "pipeline-gone")), ROW, "left_anti").drop(ROW)
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects the rows predicted toxic; null and empty texts stay."""
     rows = _numbered(docs)
     return _without(rows, toxicity(rows, table(spark, sf_dir, "labels"), held_out(5, 0), keep=(ROW,)).filter("predicted = 1"))
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space aside; null is empty) one row stays: the longest, then the
     smallest doc_id, nulls last."""
@@ -39,6 +64,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(rows, exact_dedup(rows, keep=(ROW,)).filter("NOT kept"))
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the row with the
     smallest doc_id stays, nulls last; of several such rows the first one."""
@@ -51,6 +77,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _without(rows, members.join(stays, ROW, "left_anti"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each row as often as the mix takes it (0, 1 or 2 times)."""
     rows = _numbered(docs)
@@ -58,6 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(taken, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
+@_stage
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip of every row."""
     return encode(docs)
