@@ -1,9 +1,10 @@
 """Chat formatting with tool-call linking.
 
-Calls and results are hash-joined by (conversation, call identifier).  Each conversation is
-then ordered so that a call follows the calls it depends on (Kahn's algorithm, ties by turn),
-its arguments are validated against the tool's JSON schema, and everything is serialised as
-canonical JSON: sorted keys, no blanks, UTF-8 without escapes.
+Calls and results meet by conversation, whose row they share in the output, and are hash-joined
+there by call identifier.  Each conversation is then ordered so that a call follows the calls
+it depends on (Kahn's algorithm, ties by turn), its arguments are validated against the
+tool's JSON schema, and everything is serialised as canonical JSON: sorted keys, no blanks,
+UTF-8 without escapes.
 """
 
 from __future__ import annotations
@@ -23,8 +24,40 @@ _TYPES = {
 }
 
 
+#: Arguments nested more deeply than this are reported, not kept; half of a surrogate pair becomes U+FFFD.
+DEPTH = 100
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _LONE.sub("\ufffd", json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def deep(value) -> bool:
+    """Whether lists and objects are nested in more than DEPTH levels; needs no recursion."""
+    level = [value]
+    for _ in range(DEPTH + 1):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return False
+    return True
+
+
+def parse(text: str | None) -> tuple[object, str | None]:
+    """(arguments, what is wrong with them); null is an empty object."""
+    if text is None:
+        return {}, None
+    try:
+        value = json.loads(text)
+        if deep(value):
+            return None, "$: nested too deeply"
+        if _LONE.search(json.dumps(value, ensure_ascii=False, allow_nan=False)):
+            return json.loads(canonical(value)), "$: half a surrogate pair"
+        return value, None
+    except RecursionError:
+        return None, "$: nested too deeply"
+    except ValueError:
+        return None, "$: not JSON"
 
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
@@ -87,18 +120,25 @@ def order_calls(calls: list[dict]) -> tuple[list[dict], list[dict]]:
     return [calls[i] for i in done], [calls[i] for i in stuck]
 
 
+def link(calls: list[dict], results: list[dict]) -> tuple[list[dict], list[dict]]:
+    """(calls with their results, results without a call): a hash join by call identifier."""
+    table: dict[str, list[dict]] = {}
+    for r in results:
+        if r["call_id"] is not None:
+            table.setdefault(r["call_id"], []).append(r)
+    linked = [c | {"results": table.get(c["call_id"])} for c in calls]
+    known = {c["call_id"] for c in calls} - {None}
+    return linked, [r for r in results if r["call_id"] not in known]
+
+
 def format_conversation(calls: list[dict], orphans: list[dict], schemas: dict[str, dict]) -> tuple[int, int, int, int, str]:
     """(linked, invalid, cyclic, violations, canonical JSON) of one conversation."""
     done, stuck = order_calls(calls)
     linked = invalid = 0
     steps = []
     for place, c in enumerate(done + stuck):
-        try:
-            arguments = json.loads(c["arguments"]) if c["arguments"] is not None else {}
-            wrong = violations(arguments, schemas[c["tool"]]) if c["tool"] in schemas else ["$: unknown tool"]
-            canonical(arguments)
-        except ValueError:
-            arguments, wrong = None, ["$: not JSON"]
+        arguments, broken = parse(c["arguments"])
+        wrong = [broken] if broken else violations(arguments, schemas[c["tool"]]) if c["tool"] in schemas else ["$: unknown tool"]
         linked += bool(c["results"])
         invalid += bool(wrong)
         results = sorted(c["results"] or [], key=lambda r: (r["turn"] is None, r["turn"] or 0, r["content"] or ""))
@@ -116,28 +156,25 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     ``calls`` has the columns CALL, ``results`` RESULT; others are ignored.  Several results of
     one call are all kept, in order of turn; repeated calls are steps of their own.  A result
     without a call is an orphan; a null identifier links to nothing.  Null arguments are an
-    empty object; text that is not JSON, unknown tools and broken schemas are reported, not
-    raised.  Rows of a null conversation form one.  Empty tables give no rows.  A conversation
-    is one output row, so its calls meet in one row; conversations never meet.
+    empty object; text that is not JSON or nested more than DEPTH levels, halves of surrogate
+    pairs (written as U+FFFD), unknown tools and broken schemas are reported, not raised.
+    Rows of a null conversation form one.  Empty tables give no rows.  A conversation is one
+    output row, so its calls and results meet in one row; conversations never meet.
     """
-    call_cols, result_cols = ([c.split()[0] for c in s.split(", ")] for s in (CALL, RESULT))
-    nil = F.lit(-(2**63))
-    c = calls.select(call_cols).withColumn("conv", F.coalesce("conv_id", nil))
-    r = results.select(result_cols).withColumn("conv", F.coalesce("conv_id", nil))
-    answers = r.filter("call_id IS NOT NULL").groupBy("conv", "call_id").agg(F.collect_list(F.struct("turn", "content")).alias("results"))
-    linked = c.join(answers.hint("shuffle_hash"), ["conv", "call_id"], "left")
-    known = c.select("conv", "call_id").filter("call_id IS NOT NULL").distinct()
-    orphans = r.join(known.hint("shuffle_hash"), ["conv", "call_id"], "left_anti")
-    events = linked.select("conv", F.struct("call_id", "turn", "tool", "arguments", "after", "results").alias("call"), F.lit(None).cast("struct<call_id:string,turn:bigint,content:string>").alias("orphan"))
-    loose = orphans.select("conv", F.lit(None).cast(events.schema["call"].dataType).alias("call"), F.struct("call_id", "turn", "content").alias("orphan"))
-    grouped = events.unionByName(loose).groupBy("conv").agg(F.collect_list("call").alias("calls"), F.collect_list("orphan").alias("orphans"))
+    nil = F.col("conv_id").isNull().alias("nil"), F.coalesce("conv_id", F.lit(0)).alias("conv")
+    c = calls.select(*nil, F.struct("call_id", "turn", "tool", "arguments", "after").alias("call"))
+    r = results.select(*nil, F.struct("call_id", "turn", "content").alias("result"))
+    empty = lambda df, col: F.lit(None).cast(df.schema[col].dataType).alias(col)
+    events = c.select("nil", "conv", "call", empty(r, "result")).unionByName(r.select("nil", "conv", empty(c, "call"), "result"))
+    grouped = events.groupBy("nil", "conv").agg(F.collect_list("call").alias("calls"), F.collect_list("result").alias("results"))
 
     def run(batches):
         for b in batches:
             out = []
-            for conv, cs, os_ in zip(*(b.column(i).to_pylist() for i in range(3))):
-                n_linked, invalid, cyclic, _, text = format_conversation(cs, os_, schemas)
-                out.append((None if conv == -(2**63) else conv, len(cs), n_linked, invalid, cyclic, len(os_), text))
+            for none, conv, cs, rs in zip(*(b.column(i).to_pylist() for i in range(4))):
+                linked, loose = link(cs, rs)
+                n_linked, invalid, cyclic, _, text = format_conversation(linked, loose, schemas)
+                out.append((None if none else conv, len(cs), n_linked, invalid, cyclic, len(loose), text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[i] for o in out], pa.string() if i == 6 else pa.int64()) for i in range(7)], names=["conv_id", "n_calls", "n_linked", "n_invalid", "n_cyclic", "n_orphans", "json"]
             )
@@ -155,11 +192,15 @@ SCHEMAS = {
 
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of a table (conv_id, turn, role, text): every user turn calls the tool
-    "reply" after the call of the turn two before it, and every assistant turn is the result
-    of the call of the turn before it."""
+    """Calls and results of a table (conv_id, turn, role, text): every user turn is a call, after
+    the call of the turn two before it, and every other turn is the result of the call of the
+    turn before it.  A text that is a JSON object with the members "name" and "arguments", and
+    perhaps "id", is that call; any other text calls the tool "reply" with it."""
     name = lambda back: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    member = lambda n: F.get_json_object("text", f"$.{n}")
+    real = F.col("text").rlike(r"^\s*\{") & member("name").isNotNull() & member("arguments").isNotNull()
     calls = turns.filter("role = 'user'").select(
-        "conv_id", "turn", name(0).alias("call_id"), F.lit("reply").alias("tool"), F.to_json(F.struct(F.col("text").alias("prompt"))).alias("arguments"), F.array(name(2)).alias("after")
+        "conv_id", "turn", F.when(real, F.coalesce(member("id"), name(0))).otherwise(name(0)).alias("call_id"), F.when(real, member("name")).otherwise("reply").alias("tool"),
+        F.when(real, member("arguments")).otherwise(F.to_json(F.struct(F.col("text").alias("prompt")))).alias("arguments"), F.array(name(2)).alias("after"),
     )
     return calls, turns.filter("role <> 'user' OR role IS NULL").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))

@@ -411,6 +411,20 @@ def expand(raw: bytes) -> np.ndarray:
     return out
 
 
+def neighbours(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids (smaller, larger) of different components that follow each other among the sets
+    with a shingle of ``x``, in an order of its own for each shingle, unless sizes rule them
+    out: fewer than entries."""
+    with np.errstate(over="ignore"):
+        mixed = (x["id"].astype(np.uint64) ^ x["gram"]) * np.uint64(0x9E3779B97F4A7C15)
+    x = x[np.lexsort((mixed ^ mixed >> np.uint64(31), x["gram"]))]
+    a, b = x[:-1], x[1:]
+    ok = (a["gram"] == b["gram"]) & (a["comp"] != b["comp"]) & (np.minimum(a["n"], b["n"]) >= similarity * np.maximum(a["n"], b["n"]) - 1e-6)
+    a, b = a["id"][ok], b["id"][ok]
+    out = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return out[:, 0], out[:, 1]
+
+
 def meetings(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids (smaller, larger) of different components that share a shingle in ``x`` and
     that sizes and places do not rule out.
@@ -443,9 +457,9 @@ def meetings(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     return out[:, 0], out[:, 1]
 
 
-def prefix_pairs(nodes: DataFrame, similarity: float, entries: int) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meetings) -> DataFrame:
     """(a, b): every pair of rows (id, component, n, prefix) of different components that can have
-    Jaccard ``similarity``, by prefix filtering; about ``entries`` shingles are dealt to buckets by
+    Jaccard ``similarity``, by prefix filtering (or those of `neighbours`); about ``entries`` shingles are dealt to buckets by
     their hash."""
     buckets = max(16, entries // ENTRIES)
 
@@ -467,7 +481,7 @@ def prefix_pairs(nodes: DataFrame, similarity: float, entries: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([squeeze(p) for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "entries"])
 
     def meet(t: pa.Table) -> pa.Table:
-        a, b = meetings(np.concatenate([expand(e.as_py()) for e in t.column("entries")]), similarity)
+        a, b = pair_up(np.concatenate([expand(e.as_py()) for e in t.column("entries")]), similarity)
         return pa.table({"a": a, "b": b})
 
     dealt = nodes.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket long, entries binary")
@@ -479,17 +493,25 @@ def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
     travel, since they are smaller than their shingle hashes, but only those of listed ids."""
 
     def verify(batches):
-        last: tuple = (None, None)
-        for b in batches:
+        sets: dict[int, np.ndarray] = {}  # the sets met last
+
+        def grams(i: int, text: bytes | None) -> np.ndarray:
+            got = sets.pop(i, None)
+            if got is None:
+                got = np.unique(hashes(text, width))
+                if len(sets) >= 1_000:
+                    del sets[next(iter(sets))]
+            sets[i] = got
+            return got
+
+        for batch in batches:
             ok = []
-            for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if last[0] != a:
-                    last = (a, np.unique(hashes(x, width)))
-                x, y = last[1], np.unique(hashes(y, width))
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                x, y = grams(a, x), grams(b, y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     listed = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())  # broadcast if a count finds few
     texts = rows.join(listed, "id", "left_semi").select("id", F.col("t").cast("binary").alias("t"))
@@ -507,9 +529,10 @@ def jaccard_near_duplicates(
     only these go on.  SimHash then joins most groups at little cost: fingerprints within
     ``radius`` bits are linked by a minimum spanning forest (closest pairs first), equal ones by a
     star, and each of these links is checked.  Whatever that leaves apart is searched exactly:
-    pairs of different groups that share a shingle in the prefixes of their sets are checked,
-    all of them.  So ``radius`` sets only the work left to the second search.  Texts without
-    words are equal to each other.  Ids must be unique; rows with a null id are in no group.
+    of different groups that share a shingle in the prefixes of their sets, first some neighbours
+    are checked, then all pairs that are still apart.  So ``radius`` sets only the work left to
+    the second search.  Texts without words are equal to each other.  Ids must be unique; rows
+    with a null id are in no group.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
     own = materialize(profiles(rows, width, similarity), "near-profiles")
@@ -522,14 +545,25 @@ def jaccard_near_duplicates(
     same = attach(prints, fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
     near = components(similar(rows, pairs, width, similarity), "near-components")
-    placed = sets.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     entries = (own.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 6
-    rest = materialize(prefix_pairs(own.select("id", "n", "prefix").join(placed, "id"), similarity, entries), "near-rest")
-    good = similar(rows, rest, width, similarity).unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    last = components(good, "near-components").withColumnRenamed("node", "least")
+
+    def apart(found: DataFrame, pair_up) -> DataFrame:
+        """Candidates between the groups found so far."""
+        placed = sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        return prefix_pairs(own.select("id", "n", "prefix").join(placed, "id"), similarity, entries, pair_up)
+
+    def joined(found: DataFrame, candidates: DataFrame) -> DataFrame:
+        links = similar(rows, candidates, width, similarity).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return components(links, "near-components")
+
+    # neighbours first: large groups of near copies fall together before all pairs are listed
+    tried = materialize(apart(near, neighbours), "near-tried")
+    nearer = joined(near, tried)
+    rest = materialize(apart(nearer, meetings).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    last = joined(nearer, rest).withColumnRenamed("node", "least")
     # back to all rows of each set: only groups that say something
     told = groups.join(last, "least", "left").select("digest", "n", F.coalesce("component", "least").alias("component"), F.col("component").isNotNull().alias("near"))
     told = materialize(told.filter("near OR n > 1"), "near-told")
-    for done in (prints, fps, pairs, rest, near):
+    for done in (prints, fps, pairs, near, tried, nearer, rest):
         discard(done)
     return attach(own.select("id", "digest"), told, "digest").filter("near OR id <> component").select(F.col("id").alias(id_col), "component")

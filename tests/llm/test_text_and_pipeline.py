@@ -90,6 +90,41 @@ def test_linking(spark):
     assert empty.count() == 0
 
 
+def test_odd_arguments_are_reported(spark):
+    odd = ["[" * 100_000 + "]" * 100_000, "[" * 500 + "]" * 500, '{"x": "\\ud800"}', '{"\\udc00": 1}', "1e999", "NaN", '{"x": "' + "long " * 100_000 + '"}', "9" * 5000, "", '{"x": 1, "x": 2}']
+    calls = spark.createDataFrame([(7, i, str(i), "t", a, None) for i, a in enumerate(odd)], cf.CALL)
+    r = cf.link_tool_calls(calls, spark.createDataFrame([(7, 1, "6", "done " * 100_000)], cf.RESULT), {"t": {"type": "object"}}).first()
+    steps = json.loads(r.json)["calls"]
+    assert [s["errors"] for s in steps] == [["$: nested too deeply"]] * 2 + [["$: half a surrogate pair"]] * 2 + [["$: not JSON"]] * 2 + [[], ["$: not JSON"], ["$: not JSON"], []]
+    assert steps[2]["arguments"] == {"x": "\ufffd"} and steps[9]["arguments"] == {"x": 2} and r.n_linked == 1 and r.n_invalid == 8
+
+
+def test_linking_is_brute_force(spark):
+    """Random calls and results against a nested loop."""
+    rnd = random.Random(5)
+    convs = [1, 2, 3, None, 0, -(2**63)]
+    calls = [(rnd.choice(convs), rnd.randint(0, 9), rnd.choice([None, "a", "b", "c", "d"]), "t", rnd.choice(["{}", "[]", "{"]), [rnd.choice("abcd")]) for _ in range(120)]
+    results = [(rnd.choice(convs), rnd.randint(0, 9), rnd.choice([None, "a", "b", "z"]), str(i)) for i in range(60)]
+    got = {r.conv_id: r for r in cf.link_tool_calls(spark.createDataFrame(calls, cf.CALL), spark.createDataFrame(results, cf.RESULT), {"t": {"type": "object"}}).collect()}
+    assert got.keys() == set(convs)
+    for conv in convs:
+        cs, rs = [c for c in calls if c[0] == conv], [r for r in results if r[0] == conv]
+        answers = [sorted((r[1], r[3]) for r in rs if r[2] is not None and r[2] == c[2]) for c in cs]
+        loose = [r for r in rs if not any(r[2] is not None and r[2] == c[2] for c in cs)]
+        g, body = got[conv], json.loads(got[conv].json)
+        assert (g.n_calls, g.n_linked, g.n_orphans) == (len(cs), sum(map(bool, answers)), len(loose))
+        assert g.n_invalid == sum(c[4] != "{}" for c in cs)
+        assert sorted([(r["turn"], r["content"]) for r in s["results"]] for s in body["calls"]) == sorted(answers)
+        assert sorted(r["content"] for r in body["orphans"]) == sorted(r[3] for r in loose)
+
+
+def test_calls_in_texts(spark):
+    turns = [(1, 0, "user", '{"name": "sum", "arguments": {"x": 1}, "id": "q"}'), (1, 1, "assistant", "1"), (1, 2, "user", "{no call}"), (1, 3, "tool", None)]
+    calls, results = cf.calls_of_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {c.call_id: (c.tool, json.loads(c.arguments)) for c in calls.collect()}
+    assert got == {"q": ("sum", {"x": 1}), "call-1-2": ("reply", {"prompt": "{no call}"})} and results.count() == 2
+
+
 def test_order_is_topological():
     rnd = random.Random(1)
     for _ in range(50):
