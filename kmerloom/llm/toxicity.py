@@ -22,7 +22,9 @@
 
 from __future__ import annotations
 
+import gc
 import sys
+import threading
 import uuid
 import zlib
 from collections import Counter
@@ -46,6 +48,8 @@ ORDINARY = 0.3
 CONSTANT = 2.0
 #: Terms held densely, examples in a block, queries searched together, slices of the table of frequencies.
 COMMON, BLOCK, TOGETHER, SLICES = 512, 16, 64, 16
+#: Seconds for which an idle worker keeps the index: the next task mostly starts at once.
+IDLE = 3.0
 #: Rounding of single precision: bounds are widened by it, and cosines closer than TIE are tied.
 SLACK, TIE = 1e-5, 1e-8
 
@@ -149,6 +153,15 @@ def give_back() -> None:
         pass
 
 
+def forget(token: str) -> None:
+    """Drops the index of that token from this worker, whose memory other operators need."""
+    held = getattr(sys, "_kmerloom_examples", None)
+    if held is not None and held[0] == token:
+        sys._kmerloom_examples = held = None
+        gc.collect()
+        give_back()
+
+
 class Index:
     """Unit vectors of examples: postings of rare terms, and blocks of common ones."""
 
@@ -505,7 +518,11 @@ def toxicity(
     base = (bare_toxic + 0.5) / (bare + 1)
 
     def index() -> Index:
-        """The index, built once in each worker and kept while no other one is asked for."""
+        """The index, built once in each worker and kept until the worker is idle or another one
+        is asked for."""
+        timer = getattr(sys, "_kmerloom_timer", None)
+        if timer is not None:
+            timer.cancel()
         held = getattr(sys, "_kmerloom_examples", None)
         if held is None or held[0] != token:
             sys._kmerloom_examples = None
@@ -513,6 +530,12 @@ def toxicity(
             held = sys._kmerloom_examples = (token, Index(*head.T, pair.pop(0), pair.pop(0), idf, base))
         return held[1]
 
+    def leave() -> None:
+        """To be called at the end of a task."""
+        timer = sys._kmerloom_timer = threading.Timer(IDLE, forget, [token])
+        timer.daemon = True
+        timer.start()
+
     def vector(found: Index, size: int, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return weigh(t, 100 * n / max(size, 1), found.idf)
 
@@ -523,6 +546,7 @@ def toxicity(
             at = [place[i] for i in b.column(0).to_pylist()]
             got = found.search([vector(found, *terms.count(t)) for t in b.column(2).to_pylist()], k, at)
             yield pa.RecordBatch.from_arrays([pa.array([found.vote(*g, k) for g in got], pa.float64()), b.column(1)], names=["vote", "y"])
+        leave()
 
     part = sample.join(F.broadcast(chosen.select(id_col).limit(calibrate)), id_col, "left_semi") if known > calibrate else sample
     votes = spread(part.select(id_col, "y", "text")).mapInArrow(left_out, "vote double, y long").toArrow()
@@ -544,6 +568,7 @@ def toxicity(
                 [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([proof[t] for t in texts], pa.list_(pa.int64())), *b.columns[3:]],
                 names=[id_col, "held_out", "score", "predicted", "evidence", *keep],
             )
+        leave()
 
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     # the table of counts is read in few tasks, but searching it is work: deal it out
