@@ -86,5 +86,39 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM v, {last}"""
 
 
+MIDDLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+u AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (
+  SELECT *, len(units)::BIGINT AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS i, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS j,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, array_to_string(units[1:i], '') AS p, array_to_string(units[i + 1:j], '') AS m, array_to_string(units[j + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c"""
+
+#: Links are counted from the sets of shingles themselves; equal sets stand for one another.
+OVERLAP = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS grams FROM w),
+d AS MATERIALIZED (SELECT doc_id, len(grams)::BIGINT AS n, md5(array_to_string(list_sort(grams), chr(10))) AS digest, grams FROM g),
+e AS MATERIALIZED (SELECT digest, min(doc_id) AS id, min(n) AS n FROM d WHERE n > 0 GROUP BY digest),
+x AS MATERIALIZED (SELECT id, n, hash(gram) AS gram FROM (SELECT e.id, e.n, unnest(d.grams) AS gram FROM e JOIN d ON d.doc_id = e.id)),
+l AS MATERIALIZED (
+  SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.gram = b.gram AND a.id < b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+sides AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON s.a = r.b),
+c AS (SELECT a AS id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(c.component_id, e.id, d.doc_id) AS component_id
+FROM d LEFT JOIN e ON e.digest = d.digest AND d.n > 0 LEFT JOIN c ON c.id = e.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing(), "op4_exact_dedup": EXACT, "op9_quality_rules": quality()}
+    return {"op1_mix_sources": mixing(), "op4_exact_dedup": EXACT, "op9_quality_rules": quality(), "op11_part_enum": OVERLAP, "op12_fill_in_middle": MIDDLE}

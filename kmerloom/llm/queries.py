@@ -8,7 +8,9 @@ from .common import table
 from .chat_format import SCHEMAS, calls_of_turns, link_tool_calls
 from .chunk_dedup import chunk_dedup
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle
 from .mixing import mix
+from .part_enum import part_enum_components
 from .piece_codec import encode
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
@@ -61,9 +63,17 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+def op11_part_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_enum_components(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
 def queries() -> dict:
     found = (
         op1_mix_sources, op2_simhash, op3_quality_classifier, op4_exact_dedup, op5_suffix_dedup,
-        op6_chat_format, op7_chunk_dedup, op8_toxicity, op9_quality_rules, op10_piece_codec,
+        op6_chat_format, op7_chunk_dedup, op8_toxicity, op9_quality_rules, op10_piece_codec, op11_part_enum, op12_fill_in_middle,
     )
     return {f.__name__: f for f in found}
