@@ -6,11 +6,17 @@ are counted; pairs without a common k-mer have similarity 0 and no row, except i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import packed
 from ..functions.sequences import canonical_kmers, is_acgt
 from ..session import small
 
+#: Windows of a sequence that are packed at once, and sets that share an element before it is tiled.
+PIECE, TILE = 1 << 20, 2_000
+
 
 def explode_kmers(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """(id, pos, kmer): every window, canonical."""
@@ -29,6 +35,59 @@ def kmer_sets(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq",
     return rows if whole else rows.distinct()
 
 
+def packed_type(k: int) -> str:
+    """One LONG up to k = 31, else a struct of two; unsigned order is signed order with the top bits flipped."""
+    if not 0 <= k <= packed.LONGEST:
+        raise ValueError(f"packed k-mers have up to {packed.LONGEST} bases")
+    return "long" if k <= packed.NARROW else "struct<hi: long, lo: long>"
+
+
+def packed_sets(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq", whole: bool = False, sizes: bool = False) -> DataFrame:
+    """(id, kmer[, n]): distinct canonical ACGT k-mers in two bits a base; other windows go.
+
+    ``whole`` says that every id has one row: a row's set is made in its task (eight or sixteen bytes a
+    window) and nothing is shuffled; ``sizes`` then adds the size n of the set.  Otherwise
+    sequences of any length are cut in pieces that overlap by k - 1 bases, and Spark merges them.
+    Null and short sequences have no row.
+    """
+    if sizes and not whole:
+        raise ValueError("sizes are known of whole sets only")
+    kind, key = packed_type(k), seqs.schema[id_col].dataType.simpleString()
+    extra = ", n long" if sizes else ""
+
+    def pieces(seq: bytes):
+        if whole:
+            yield packed.distinct(*packed.canonical_windows(seq, k))
+        else:
+            for at in range(0, max(1, len(seq) - k + 1), PIECE):
+                yield packed.distinct(*packed.canonical_windows(seq[at : at + PIECE + k - 1], k))
+
+    def batch(ids: pa.Array, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        size = np.array([len(low) for _, low in found])
+        high, low = ([x[i] for x in found] for i in (0, 1))
+        flat = lambda x: pa.array(np.concatenate(x).view(np.int64))
+        kmer = flat(low) if kind == "long" else pa.StructArray.from_arrays([flat(high), flat(low)], names=["hi", "lo"])
+        cols = [ids.take(pa.array(np.repeat(rows, size))), kmer, *[pa.array(np.repeat(size, size))] * sizes]
+        return pa.RecordBatch.from_arrays(cols, names=[id_col, "kmer", *["n"] * sizes])
+
+    def run(batches):
+        for b in batches:
+            rows, found, held = [], [], 0
+            for i, seq in enumerate(b.column(1)):
+                for part in pieces(seq.as_py() or b""):
+                    rows.append(i)
+                    found.append(part)
+                    held += len(part[1])
+                    if held >= PIECE:
+                        yield batch(b.column(0), rows, found)
+                        rows, found, held = [], [], 0
+            if held:
+                yield batch(b.column(0), rows, found)
+
+    made = seqs.select(id_col, F.col(seq_col).cast("binary").alias("__seq")).mapInArrow(run, f"`{id_col}` {key}, kmer {kind}{extra}")
+    return made if whole else made.distinct()
+
+
 def whole_set_sizes(seqs: DataFrame, k: int, id_col: str = "id", seq_col: str = "seq") -> DataFrame:
     """(id, n) of tables with one row per id, counted in the row (0 where there is none)."""
     return seqs.select(id_col, F.size(F.array_distinct(canonical_kmers(F.col(seq_col), k))).cast("long").alias("n"))
@@ -43,12 +102,30 @@ def _jaccard(inter: Column, n1: Column, n2: Column) -> Column:
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
 
 
-def jaccard_all_pairs(sets: DataFrame, id_col: str = "id") -> DataFrame:
+def tiles_of(sets: DataFrame, tile: int = TILE) -> DataFrame:
+    """``sets`` with ``tiles``: 1, or for an element of more than ``tile`` sets their number over ``tile``.  There
+    are few such elements, and they are broadcast if a count finds so."""
+    often = sets.groupBy("kmer").agg(F.count("*").alias("__m")).filter(F.col("__m") > tile)
+    often = small(often.select("kmer", F.ceil(F.col("__m") / tile).cast("int").alias("__tiles")))
+    return sets.join(often, "kmer", "left").withColumn("tiles", F.coalesce("__tiles", F.lit(1))).drop("__tiles")
+
+
+def shared_pairs(sets: DataFrame, id_col: str = "id", tile: int = TILE) -> DataFrame:
+    """(id1, id2, inter) of pairs id1 < id2 that share an element.
+
+    Sets with a frequent element are dealt to tiles by their id, and every two tiles meet under a key
+    of their own: no key of the join makes much more than ``tile`` ** 2 pairs, however many sets hold the element."""
+    rows = tiles_of(sets.select(F.col(id_col).alias("id"), "kmer"), tile).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    low = rows.select(F.col("id").alias("x"), "kmer", F.col("own").alias("i"), F.explode(F.filter(every, lambda j: j >= F.col("own"))).alias("j"))
+    high = rows.select(F.col("id").alias("y"), "kmer", F.explode(F.filter(every, lambda i: i <= F.col("own"))).alias("i"), F.col("own").alias("j"))
+    met = low.join(high, ["kmer", "i", "j"]).filter("x < y OR (i < j AND x <> y)")
+    return met.groupBy(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2")).agg(F.count("*").alias("inter"))
+
+
+def jaccard_all_pairs(sets: DataFrame, id_col: str = "id", tile: int = TILE) -> DataFrame:
     """(id1, id2, inter, n1, n2, jaccard) of pairs id1 < id2 that share an element."""
-    n = set_sizes(sets, id_col)
-    a = sets.select(F.col(id_col).alias("id1"), "kmer")
-    b = sets.select(F.col(id_col).alias("id2"), "kmer")
-    inter = a.join(b, "kmer").filter("id1 < id2").groupBy("id1", "id2").agg(F.count("*").alias("inter"))
+    n, inter = set_sizes(sets, id_col), shared_pairs(sets, id_col, tile)
     return (
         inter.join(n.select(F.col(id_col).alias("id1"), F.col("n").alias("n1")), "id1").join(n.select(F.col(id_col).alias("id2"), F.col("n").alias("n2")), "id2")
         .select("id1", "id2", "inter", "n1", "n2", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")).alias("jaccard"))
@@ -68,24 +145,36 @@ def jaccard_pairs(pairs: DataFrame, sets: DataFrame, id_col: str = "id") -> Data
     return out.withColumn("jaccard", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")))
 
 
-def jaccard_bipartite(queries: DataFrame, base: DataFrame, id_col: str = "id", exclude: Column | None = None, base_sizes: DataFrame | None = None) -> DataFrame:
+def jaccard_bipartite(queries: DataFrame, base: DataFrame, id_col: str = "id", exclude: Column | None = None, base_sizes: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """(query, db, inter, n1, n2, jaccard) of query and base sets that share an element.
-    ``exclude`` is a condition on query and db that removes pairs (equal base names, say);
-    ``base_sizes`` are (id, n) rows where they are known.  The queries are broadcast if a count
-    finds them small; otherwise both sides are shuffled by k-mer."""
-    q, d = (x.select(F.col(id_col).alias(name), "kmer") for x, name in ((queries, "query"), (base, "db")))
-    joined = d.join(small(q), "kmer")
-    inter = (joined if exclude is None else joined.filter(~exclude)).groupBy("query", "db").agg(F.count("*").alias("inter"))
-    n1 = set_sizes(queries, id_col).select(F.col(id_col).alias("query"), F.col("n").alias("n1"))
-    n2 = (set_sizes(base, id_col) if base_sizes is None else base_sizes).select(F.col(id_col).alias("db"), F.col("n").alias("n2"))
-    return inter.join(n1, "query").join(n2, "db").select("query", "db", "inter", "n1", "n2", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")).alias("jaccard"))
+    ``exclude`` is a condition on query and db that removes pairs (equal base names, say).  Sizes of
+    the base are in its column n (`packed_sets` with ``sizes``), in ``base_sizes`` (id, n), or counted.
+
+    The queries are broadcast if a count finds them small, and then nothing of the base moves before pairs are
+    counted.  Otherwise both sides are shuffled by element, and base sets of one that more than ``tile`` of
+    them hold go to tiles, each of which the queries of that element meet."""
+    q, own = queries.select(F.col(id_col).alias("query"), "kmer"), [c for c in ("n",) if c in base.columns]
+    d, near = base.select(F.col(id_col).alias("db"), "kmer", *own), small(q)
+    if near is q:
+        d = tiles_of(d, tile)
+        often = small(d.filter("tiles > 1").select("kmer", "tiles").distinct())
+        q = q.join(often, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1))).drop("tiles")
+        joined = d.withColumn("part", F.pmod(F.xxhash64("db"), F.col("tiles")).cast("int")).join(q, ["kmer", "part"])
+    else:
+        joined = d.join(near, "kmer")
+    inter = (joined if exclude is None else joined.filter(~exclude)).groupBy("query", "db").agg(F.count("*").alias("inter"), *[F.first(c).alias("n2") for c in own])
+    out = inter.join(set_sizes(queries, id_col).select(F.col(id_col).alias("query"), F.col("n").alias("n1")), "query")
+    if not own:
+        out = out.join((set_sizes(base, id_col) if base_sizes is None else base_sizes).select(F.col(id_col).alias("db"), F.col("n").alias("n2")), "db")
+    return out.select("query", "db", "inter", "n1", "n2", _jaccard(F.col("inter"), F.col("n1"), F.col("n2")).alias("jaccard"))
 
 
 def nearest(pairs: DataFrame, order: str = "db", queries: DataFrame | None = None) -> DataFrame:
-    """(query, nn, jaccard): the best base entry of each query, ties to the smaller ``order``.
+    """(query, nn, jaccard): the best base entry of each query, ties to the smaller ``order``.  The best
+    so far is merged before the shuffle, so a query may have any number of pairs.
     Of ``queries`` (query) each keeps a row: without a pair nn is null and jaccard 0."""
-    w = Window.partitionBy("query").orderBy(F.desc("jaccard"), order)
-    best = pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("query", F.col("db").alias("nn"), "jaccard")
+    best = pairs.groupBy("query").agg(F.min(F.struct((-F.col("jaccard")).alias("far"), F.col(order).alias("place"), F.col("db").alias("nn"))).alias("b"))
+    best = best.select("query", "b.nn", F.abs("b.far").alias("jaccard"))
     if queries is None:
         return best
     return queries.select("query").distinct().join(best, "query", "left").select("query", "nn", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))

@@ -88,30 +88,24 @@ def nonempty_counts(minima: DataFrame, id_col: str = "id") -> DataFrame:
     return minima.groupBy(id_col).agg(F.count("*").alias("nonempty"))
 
 
-def densify_minima(minima: DataFrame, p: SketchParams, buckets: int | None = None, attempts: int = 2000, id_col: str = "id") -> DataFrame:
+def densify_minima(minima: DataFrame, p: SketchParams, buckets: int | None = None, id_col: str = "id") -> DataFrame:
     """(id, bucket, rank) for every bucket: empty ones take their first non-empty donor.
 
-    Donors depend on the bucket alone, so the (bucket, attempt, donor) table of buckets *
-    attempts rows is the same for all sequences.  A bucket without a donor within ``attempts``
-    fails the query instead of getting a wrong value.
+    The rows of one sequence, at most one a bucket, meet in one task.  There rounds go over the
+    buckets that are still empty, one attempt each, until none is left: the donors of a bucket visit
+    every bucket in the end, so one register is enough and no number of attempts is too many.
+    Sequences without a register have no row.
     """
     n = buckets or p.buckets
-    spark = minima.sparkSession
-    a, b = p.universal
-    with u64.wrapping(spark):
-        grid = spark.range(n).select(F.col("id").cast("int").alias("bucket"), F.explode(F.sequence(F.lit(1), F.lit(attempts))).alias("attempt"))
-        packed = F.shiftleft(F.col("bucket").cast("long"), 32).bitwiseXOR(F.col("attempt").cast("long"))
-        donors = grid.select("bucket", "attempt", u64.universal(packed, a, b, n).alias("donor"))
-    every = minima.select(id_col).distinct().crossJoin(spark.range(n).select(F.col("id").cast("int").alias("bucket")))  # one row per register: the result
-    empty = every.join(minima, [id_col, "bucket"], "left_anti")
-    filled = (
-        empty.join(donors, "bucket").join(minima.select(id_col, F.col("bucket").alias("donor"), "rank"), [id_col, "donor"])
-        .groupBy(id_col, "bucket").agg(F.min_by("rank", "attempt").alias("rank"))
-    )
-    checked = empty.join(filled, [id_col, "bucket"], "left").withColumn(
-        "rank", F.when(F.col("rank").isNull(), F.raise_error(F.lit("no donor: raise attempts")).cast("long")).otherwise(F.col("rank"))
-    )
-    return minima.select(id_col, "bucket", "rank").unionByName(checked.select(id_col, "bucket", "rank"))
+    key = f"`{id_col}` {minima.schema[id_col].dataType.simpleString()}"
+
+    def fill(t: pa.Table) -> pa.Table:
+        reg = np.full(n, kernels.EMPTY, np.uint64)
+        reg[t.column("bucket").to_numpy()] = t.column("rank").to_numpy().view(np.uint64)
+        ids = t.column(id_col).combine_chunks().slice(0, 1).take(pa.array(np.zeros(n, np.int32)))
+        return pa.table([ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(kernels.densify(reg, p).view(np.int64))], names=[id_col, "bucket", "rank"])
+
+    return minima.select(id_col, "bucket", "rank").groupBy(id_col).applyInArrow(fill, f"{key}, bucket int, rank long")
 
 
 def bit_positions(values: DataFrame, p: SketchParams, buckets: int | None = None) -> DataFrame:

@@ -81,6 +81,12 @@ def sets(source: str, k: int, where: str = "") -> str:
     return f"(SELECT DISTINCT id, kmer FROM {windows(source, k)}{where})"
 
 
+def pack(kmer: str, first: int, n: int, view: bool = True) -> str:
+    """Bases first.. (from 1) of a k-mer in two bits each, as a signed 64-bit number (or unsigned)."""
+    digits = " + ".join(f"(instr('ACGT', substr({kmer}, {first + j}, 1)) - 1)::UBIGINT * {u(1 << 2 * (n - 1 - j))}" for j in range(n))
+    return signed(f"({digits})") if view else f"({digits})"
+
+
 def neighbours(ids: str) -> str:
     return f"(SELECT id AS pair_idx, id AS \"left\", nxt AS \"right\" FROM (SELECT id, lead(id) OVER (ORDER BY id) AS nxt FROM ({ids})) WHERE nxt IS NOT NULL)"
 
@@ -243,6 +249,7 @@ SELECT rule, count(*) AS n FROM v GROUP BY rule"""
 def oracle_sql() -> dict[str, str]:
     W1 = r"[\x09-\x0D\x20]"
     bench, docs = seqs(), seqs("documents")
+    only_acgt = " WHERE regexp_full_match(kmer, '[ACGT]+')"
     stripped = "regexp_replace(url, '[?#].*$', '')"
     out_path = f"'/out/' || regexp_replace(regexp_extract({stripped}, '[^/]*$'), '\\.gz$', '') || '.sketch'"
     word_rows = lambda p: f"WITH {words(p, p.buckets)} SELECT id, word, {signed('w')} AS bits FROM words WHERE w <> 0"
@@ -263,9 +270,18 @@ SELECT id1, id2, inter, x.n AS n1, y.n AS n2, round(inter::DOUBLE / (x.n + y.n -
         "kmer_canonical": f"SELECT kmer, count(*) AS n FROM {windows(docs, 5)} GROUP BY kmer",
         "kmer_distinct_count": f"SELECT s.id, greatest(length(seq) - {K - 1}, 0)::BIGINT AS n_windows, coalesce(n, 0)::BIGINT AS n_distinct FROM ({docs}) s LEFT JOIN (SELECT id, count(*) AS n FROM {sets(docs, K)} GROUP BY id) USING (id)",
         "kmer_set_sizes": f"SELECT id, count(*) AS n FROM {sets(bench, K)} GROUP BY id",
+        "kmer_packed": f"SELECT id, {pack('kmer', 1, K)} AS kmer FROM {sets(bench, K)}",
+        "kmer_packed_wide": f"SELECT id, {pack('kmer', 1, 8)} AS hi, {pack('kmer', 9, 32)} AS lo FROM {sets(bench, 40)}",
+        "kmer_packed_text": f"""WITH c AS (SELECT doc_id AS id, string_split(upper(text), '') AS c FROM documents),
+w AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]))) AS w FROM c),
+k AS (SELECT DISTINCT id, least(w, {rc('w')}) AS kmer FROM w{only_acgt.replace('kmer', 'w')}) SELECT id, {pack('kmer', 1, 2)} AS kmer FROM k""",
         "kmer_non_acgt_filter": "SELECT kmer, count(*) AS n FROM " + sets("SELECT doc_id AS id, upper(text) AS seq FROM documents", 4, " WHERE regexp_full_match(kmer, '[ACGTacgt]+')") + " GROUP BY kmer",
         "exact_jaccard_all_pairs": all_pairs(sets(bench, K)),
         "exact_jaccard_bipartite": bipartite(sets(bench, 31), sets(docs, 31)),
+        "kmer_index_append": f"SELECT id, coalesce(n, 0)::BIGINT AS n, CASE WHEN id % 2 = 1 THEN 1 ELSE 2 END::BIGINT AS batch FROM ({bench}) LEFT JOIN (SELECT id, count(*) AS n FROM {sets(bench, 40)} GROUP BY id) USING (id)",
+        "kmer_index_probe": bipartite(sets(bench, 31), sets(docs, 31)),
+        "kmer_index_records": f"""SELECT id, count(*) AS n, count(*) AS n_read, sha256(unhex(string_agg(printf('%016x%016x', hi, lo), '' ORDER BY kmer))) AS sha256
+FROM (SELECT id, kmer, {pack('kmer', 1, 8, False)} AS hi, {pack('kmer', 9, 32, False)} AS lo FROM {sets(bench, 40)}) GROUP BY id""",
         "exact_jaccard_pairlist": f"WITH {pairwise(neighbours('SELECT item_id AS id FROM benchmark'), sets(bench, 11))} SELECT pair_idx, \"left\", \"right\", inter, n1, n2, {JACCARD} AS jaccard FROM r",
         "exact_nearest_neighbor": f"SELECT query, arg_min(db, (-jaccard, db)) AS nn, max(jaccard) AS jaccard FROM ({bipartite(sets(bench, K), sets(bench, K), 'WHERE q.id <> d.id')}) GROUP BY query",
         "basename_exclusion_join": bipartite(sets(bench, K), sets(bench, K), "WHERE q.id % 10 <> d.id % 10"),

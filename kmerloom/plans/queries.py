@@ -12,7 +12,7 @@ from ..functions import paths, sequences as sq, u64
 from ..operators import checks, dist, estimate, kmers, manifest, metrics, simulate, sketch
 from ..params import SketchParams
 from ..session import scratch, spread
-from ..sources import sequences as files, sketch_files, tables
+from ..sources import kmer_index, sequences as files, sketch_files, tables
 from ..streaming.registers import streaming_minima
 from . import experiment
 
@@ -78,7 +78,23 @@ def kmer_distinct_count(spark, d):
 
 def kmer_set_sizes(spark, d):
     """The same sizes from sets that are merged over rows."""
-    return kmers.set_sizes(kmers.kmer_sets(_seqs(spark, d), K))
+    return kmers.set_sizes(kmers.packed_sets(_seqs(spark, d), K))
+
+
+def kmer_packed(spark, d):
+    """Two bits a base in one LONG."""
+    return kmers.packed_sets(_seqs(spark, d), K)
+
+
+def kmer_packed_wide(spark, d):
+    """The same of 40 bases, in two."""
+    return kmers.packed_sets(_seqs(spark, d), 40).select("id", "kmer.hi", "kmer.lo")
+
+
+def kmer_packed_text(spark, d):
+    """Sets of texts as they are: windows with another character than ACGT of either case go."""
+    raw = spread(_table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
+    return kmers.packed_sets(raw, 2, whole=True)
 
 
 def kmer_non_acgt_filter(spark, d):
@@ -87,28 +103,27 @@ def kmer_non_acgt_filter(spark, d):
 
 
 def exact_jaccard_all_pairs(spark, d):
-    return kmers.jaccard_all_pairs(kmers.kmer_sets(_seqs(spark, d), K)).withColumn("jaccard", F.round("jaccard", 12))
+    return kmers.jaccard_all_pairs(kmers.packed_sets(_seqs(spark, d), K, whole=True)).withColumn("jaccard", F.round("jaccard", 12))
 
 
 def exact_jaccard_bipartite(spark, d):
-    docs = _seqs(spark, d, "documents")
-    q, db = kmers.kmer_sets(_seqs(spark, d), 31), kmers.kmer_sets(docs, 31, whole=True)
-    return kmers.jaccard_bipartite(q, db, base_sizes=kmers.whole_set_sizes(docs, 31)).withColumn("jaccard", F.round("jaccard", 12))
+    q, db = kmers.packed_sets(_seqs(spark, d), 31, whole=True), kmers.packed_sets(_seqs(spark, d, "documents"), 31, whole=True, sizes=True)
+    return kmers.jaccard_bipartite(q, db).withColumn("jaccard", F.round("jaccard", 12))
 
 
 def exact_jaccard_pairlist(spark, d):
     s = _seqs(spark, d)
-    return kmers.jaccard_pairs(_neighbours(s.select("id")), kmers.kmer_sets(s, 11)).withColumn("jaccard", F.round("jaccard", 12))
+    return kmers.jaccard_pairs(_neighbours(s.select("id")), kmers.packed_sets(s, 11, whole=True)).withColumn("jaccard", F.round("jaccard", 12))
 
 
 def exact_nearest_neighbor(spark, d):
-    s = kmers.kmer_sets(_seqs(spark, d), K)
+    s = kmers.packed_sets(_seqs(spark, d), K, whole=True)
     return kmers.nearest(kmers.jaccard_bipartite(s, s, exclude=F.col("query") == F.col("db"))).withColumn("jaccard", F.round("jaccard", 12))
 
 
 def basename_exclusion_join(spark, d):
     """Passages stand for files; two have one base name when their ids agree mod 10."""
-    s = kmers.kmer_sets(_seqs(spark, d), K)
+    s = kmers.packed_sets(_seqs(spark, d), K, whole=True)
     return kmers.jaccard_bipartite(s, s, exclude=F.col("query") % 10 == F.col("db") % 10).withColumn("jaccard", F.round("jaccard", 12))
 
 
@@ -121,6 +136,30 @@ def truth_columns(spark, d):
     return got.withColumn("jaccard_true", F.round("jaccard_true", 12)).withColumn("mutation_rate", F.round("mutation_rate", 12))
 
 
+def kmer_index_append(spark, d):
+    """Sizes and batches of an index of passages: odd ids first, then all of them."""
+    s = _seqs(spark, d)
+    index = kmer_index.create_index(spark, scratch(spark, "kmer-index"), 40, 8)
+    kmer_index.append(index, s.filter("id % 2 = 1"), 1)
+    kmer_index.append(index, s, 2)
+    return index.sizes
+
+
+def kmer_index_probe(spark, d):
+    """Passages against a stored index of all documents."""
+    path = scratch(spark, "kmer-index")
+    kmer_index.append(kmer_index.create_index(spark, path, 31, 16), _seqs(spark, d, "documents"), 1)
+    found = kmer_index.probe(kmer_index.open_index(spark, path), kmers.packed_sets(_seqs(spark, d), 31, whole=True))
+    return found.withColumn("jaccard", F.round("jaccard", 12))
+
+
+def kmer_index_records(spark, d):
+    """Number and digest of the records of each passage, read back from them."""
+    made = kmer_index.to_records(_seqs(spark, d), 40).withColumn("path", F.col("id").cast("string"))
+    back = kmer_index.read_records(made, 40).groupBy("path").agg(F.count("*").alias("n_read"))
+    return made.join(back, "path").select("id", "n", "n_read", F.sha2("content", 256).alias("sha256"))
+
+
 # -- unsigned arithmetic --
 
 
@@ -431,8 +470,8 @@ def streaming_registers(spark, d):
 
 def queries() -> dict:
     found = (
-        seq_translate, acgt_segments, kmer_explode, kmer_revcomp, kmer_canonical, kmer_distinct_count, kmer_set_sizes, kmer_non_acgt_filter, exact_jaccard_all_pairs,
-        exact_jaccard_bipartite, exact_jaccard_pairlist, exact_nearest_neighbor, basename_exclusion_join, truth_columns, mix64, rotate_left_right, unsigned_min,
+        seq_translate, acgt_segments, kmer_explode, kmer_revcomp, kmer_canonical, kmer_distinct_count, kmer_set_sizes, kmer_packed, kmer_packed_wide, kmer_packed_text, kmer_non_acgt_filter, exact_jaccard_all_pairs,
+        exact_jaccard_bipartite, kmer_index_append, kmer_index_probe, kmer_index_records, exact_jaccard_pairlist, exact_nearest_neighbor, basename_exclusion_join, truth_columns, mix64, rotate_left_right, unsigned_min,
         unsigned_mod, nt_hash_kmer, oph_bucket_min, oph_nonempty_count, oph_densify, oph_registers_kernel, oph_match_estimate, bit_position_value,
         bit_position_stripe, bit_position_mix, odd_sketch_words, odd_sketch_kernel, seeded_sketch, hamming_popcount, odd_estimate, dist_all_to_all,
         dist_bipartite, dist_pairlist, sketch_documents, eval_pairlist, seeded_eval, bbit_estimate, jaccard_binning, pooled_rmse, pooled_rmse_bins,
