@@ -17,7 +17,7 @@ from .functions.paths import sketch_path
 from .operators import dist, sketch
 from .params import SketchParams
 from .session import session
-from .sources import sequences, sketch_files, tables
+from .sources import lists, sequences, sketch_files, tables
 
 USAGE = """usage: kmerloom sketch [--input-paths FILE] [--out-dir DIR] [--sketch-paths-out FILE] [--skip-existing] [sketch options]
        kmerloom dist (--all-to-all | --bipartite --qlist FILE --dblist FILE | --pairlist FILE) [--j0 X]
@@ -120,30 +120,33 @@ def check(r: Request) -> None:
             raise UsageError(said)
 
 
-def _segments(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(id, segments) of each distinct path; files without bases have none."""
-    files = sequences.file_contents(spark, sorted(set(paths)))
+def _segments(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """(id, segments) of the distinct paths (idx, path); files without bases have none."""
+    files = sequences.file_contents(spark, paths.dropDuplicates(["path"]))
     runs = sequences.read_segments(files).groupBy("path").agg(F.collect_list("seq").alias("segments"))
     return files.select("path").join(runs, "path", "left").select(F.col("path").alias("id"), F.coalesce("segments", F.array().cast("array<string>")).alias("segments"))
 
 
 def run_sketch(spark: SparkSession, r: Request, paths: list[str]) -> list[str]:
+    """Writes the sketches; with --skip-existing only those that are missing, damaged or of other parameters."""
     p = r.params()
     inputs = spark.createDataFrame(list(enumerate(paths)), "idx long, path string")
     named = sketch_files.reject_duplicates(inputs.withColumn("output", sketch_path(F.col("path"), r.options.get("out-dir", ""))))
-    outputs = named.orderBy("idx").collect()  # the list of files, given on the driver
-    todo = [x for x in outputs if not ("skip-existing" in r.flags and Path(x.output).exists() and Path(x.output).stat().st_size > 0)]
-    if todo:
-        made = sketch.sketch_sequences(_segments(spark, [x.path for x in todo]), p)
-        names = spark.createDataFrame([(x.path, x.output) for x in todo], "id string, path string")
-        sketch_files.write_files(made.join(names, "id").select("path", "words", F.lit(p.sketch_bits).cast("long").alias("nbits"), F.col("num_buckets").cast("long").alias("kbuckets"), F.lit(p.j0).alias("j0")))
-    names = [x.output for x in outputs]
+    outputs = [x.output for x in named.orderBy("idx").collect()]  # the list of files, given on the driver
+    todo = named
+    if "skip-existing" in r.flags:
+        folders = sorted({str(Path(x).parent) for x in outputs})
+        todo = sketch_files.pending(named, [x for x in folders if Path(x).exists()], p.sketch_bits, p.buckets, p.j0)
+    if todo.limit(1).count():
+        made = sketch.sketch_sequences(_segments(spark, todo.select("idx", "path")), p)
+        rows = made.join(todo.select(F.col("path").alias("id"), F.col("output").alias("path")), "id")
+        sketch_files.write_files(rows.select("path", "words", F.lit(p.sketch_bits).cast("long").alias("nbits"), F.col("num_buckets").cast("long").alias("kbuckets"), F.lit(p.j0).alias("j0")))
     if "sketch-paths-out" in r.options:
-        tables.write_list(r.options["sketch-paths-out"], names)
-    return names
+        tables.write_list(r.options["sketch-paths-out"], outputs)
+    return outputs
 
 
-def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _load(spark: SparkSession, paths: DataFrame | list[str]) -> DataFrame:
     """(idx, path, words, kbuckets) by list position, repetitions included."""
     files = sequences.file_contents(spark, paths)
     once = sketch_files.read_sketches(files.dropDuplicates(["path"])).select("path", "words", "kbuckets")
@@ -152,21 +155,19 @@ def _load(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def run_dist(spark: SparkSession, r: Request, stdin: list[str]) -> DataFrame:
     p, o = r.params(), r.options
-    lines = lambda f: tables.path_list(tables._read_text(f).split("\n"))
+    read = lambda f: tables.path_list(tables._read_text(f).split("\n"))
     if "pairlist" in o:
-        pairs = tables.read_pairs(spark, o["pairlist"])
-        sides = {x for row in pairs.collect() for x in (row.left, row.right)}
-        got = dist.pair_list(pairs, _load(spark, sorted(sides)), p).orderBy("pair_idx")
-        return dist.format_dist(got.select(F.col("left").alias("path1"), F.col("right").alias("path2"), "jaccard", "pair_idx")) if sides else got
+        pairs = lists.read_pairs(spark, o["pairlist"])
+        got = dist.pair_list(pairs, _load(spark, lists.sides(pairs)), p).orderBy("pair_idx")
+        return dist.format_dist(got.select(F.col("left").alias("path1"), F.col("right").alias("path2"), "jaccard", "pair_idx"))
     if "qlist" in o:
-        return dist.format_dist(dist.bipartite(_load(spark, lines(o["qlist"])), _load(spark, lines(o["dblist"])), p))
+        return dist.format_dist(dist.bipartite(_load(spark, read(o["qlist"])), _load(spark, read(o["dblist"])), p))
     return dist.format_dist(dist.all_to_all(_load(spark, tables.path_list(stdin)), p))
 
 
 def run_eval(spark: SparkSession, r: Request) -> DataFrame:
-    pairs = tables.read_pairs(spark, r.options["pairlist"])
-    sides = sorted({x for row in pairs.collect() for x in (row.left, row.right)})
-    return dist.evaluate_pairs(pairs, _segments(spark, sides), r.params()).orderBy("pair_idx").drop("pair_idx")
+    pairs = lists.read_pairs(spark, r.options["pairlist"])
+    return dist.evaluate_pairs(pairs, _segments(spark, lists.sides(pairs)), r.params()).orderBy("pair_idx").drop("pair_idx")
 
 
 def main(argv: list[str] | None = None, stdin=None, out=None) -> int:

@@ -9,6 +9,23 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def folder(path: str) -> str:
+    """The folder of a path on the driver's side of a call."""
+    return path.rstrip("/").rpartition("/")[0]
+
+
+def absolute(path: Column, base: str = "", home: str = "") -> Column:
+    """A path from ``base`` if it is relative, ~ replaced by ``home``, without empty, . and .. parts.
+    Schemes (``hdfs://host``) stay; links are not followed."""
+    at = F.when((path == "~") | path.startswith("~/"), F.concat(F.lit(home), F.substring(path, 2, 1 << 30))) if home else F.lit(None)
+    full = F.coalesce(at, F.when(path.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?/"), path).otherwise(F.concat(F.lit(base + "/" if base else ""), path)))
+    scheme = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", 0)
+    rest = F.expr("array()").cast("array<string>")
+    step = lambda done, p: F.when(p.isin("", "."), done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p))
+    parts = F.aggregate(F.split(F.substr(full, F.length(scheme) + 1), "/"), rest, step)
+    return F.concat(scheme, F.lit("/"), F.array_join(parts, "/"))
+
+
 def without_gz(name: Column) -> Column:
     return F.regexp_replace(name, r"\.gz$", "")
 

@@ -328,6 +328,10 @@ CASE WHEN "left" % 5 > 0 THEN round(("left" % 7)::DOUBLE / ("left" % 5 * 100), 1
         "manifest_status_counts": "SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS bytes FROM orders GROUP BY ALL",
         "duplicate_output_guard": f"SELECT output, count(*) AS n, list_extract(list_sort(list(page_id)), 1) AS first_idx, list_extract(list_sort(list(page_id)), 2) AS second_idx FROM (SELECT page_id, {out_path} AS output FROM pages) GROUP BY output HAVING count(*) > 1",
         "path_functions": r"SELECT page_id, regexp_extract(url, '[^/]*$') AS base, regexp_replace(url, '[^\p{L}\p{N}._-]', '_', 'g') AS safe, regexp_replace(url, '\.gz$', '') AS plain, ends_with(url, '.gz') AS gz FROM pages",
+        "genome_list": """SELECT n AS idx, printf('local_%06d', n) AS name, CASE WHEN page_id % 2 = 0 THEN '/b/p' ELSE '/data/p' END || page_id || '.fna' AS path
+FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages) WHERE page_id % 5 <> 0 AND page_id % 7 <> 0""",
+        "download_manifest": """SELECT '/data/g/' || user_id || '.gz' AS path, max(event_id)::VARCHAR AS assembly_accession, 'u/' || arg_max(event_type, event_id) AS genomic_fna_url
+FROM events WHERE user_id % 2 = 1 GROUP BY user_id UNION ALL SELECT '/data/' || r_name, '', '' FROM region""",
         "missing_pair_check": "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
         "last_row_by_key": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
         "part_set_jaccard": all_pairs(sup),

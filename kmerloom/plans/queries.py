@@ -12,7 +12,7 @@ from ..functions import paths, sequences as sq, u64
 from ..operators import checks, dist, estimate, kmers, manifest, metrics, simulate, sketch
 from ..params import SketchParams
 from ..session import scratch, spread
-from ..sources import kmer_index, sequences as files, sketch_files, tables
+from ..sources import kmer_index, lists, sequences as files, sketch_files, tables
 from ..streaming.registers import streaming_minima
 from . import experiment
 
@@ -438,6 +438,31 @@ def path_functions(spark, d):
     return _table(spark, d, "pages").select("page_id", paths.basename(url).alias("base"), paths.safe_name(url).alias("safe"), paths.without_gz(url).alias("plain"), paths.is_gzip(url).alias("gz"))
 
 
+def genome_list(spark, d):
+    """Pages as a list of genomes with comments, blank lines and relative paths, checked against a listing."""
+    at = scratch(spark, "genome-list")
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".fna"))
+    line = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit(" # "), name)).when(F.col("page_id") % 7 == 0, " \t").when(F.col("page_id") % 2 == 0, F.concat(F.lit(" ./a//../b/"), name)).otherwise(F.concat(F.lit("/data/"), name))
+    pages = _table(spark, d, "pages").select("page_id", line.alias("value"))
+    pages.repartitionByRange("page_id").sortWithinPartitions("page_id").select("value").write.text(f"{at}/list")
+    own = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(f"{at}/b/"), name)).otherwise(F.concat(F.lit("/data/"), name))
+    found = lists.read_genome_list(spark, f"{at}/list", _table(spark, d, "pages").select(own.alias("path")))
+    return found.select("idx", "name", F.regexp_replace("path", ".*/genome-list-[0-9a-f]+", "").alias("path"))
+
+
+def download_manifest(spark, d):
+    """Events as manifest rows of their users' files, the last one of a file counting; users of odd number ask."""
+    at = scratch(spark, "manifest")
+    rows = _table(spark, d, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    path = F.concat(F.when(F.col("event_id") % 2 == 0, "g/./").otherwise("x/../g/"), F.col("user_id").cast("string"), F.lit(".gz"))
+    rows = rows.select(F.col("event_id").cast("string").alias("assembly_accession"), path.alias("gzip_path"), F.concat(F.lit("u/"), F.col("event_type")).alias("genomic_fna_url"))
+    tables.write_tsv(rows, f"{at}/m")
+    known = lists.download_manifest(spark, f"{at}/m", "/data")
+    asked = _table(spark, d, "events").filter("user_id % 2 = 1").select(F.concat(F.lit("/data/g/"), F.col("user_id").cast("string"), F.lit(".gz")).alias("path")).distinct()
+    none = _table(spark, d, "region").select(F.concat(F.lit("/data/"), "r_name").alias("path"))
+    return lists.with_manifest(asked.union(none), known)
+
+
 def missing_pair_check(spark, d):
     docs = _table(spark, d, "documents").select("doc_id")
     return checks.one_sided(docs, _table(spark, d, "labels").select("doc_id"), "doc_id")
@@ -476,7 +501,7 @@ def queries() -> dict:
         bit_position_stripe, bit_position_mix, odd_sketch_words, odd_sketch_kernel, seeded_sketch, hamming_popcount, odd_estimate, dist_all_to_all,
         dist_bipartite, dist_pairlist, sketch_documents, eval_pairlist, seeded_eval, bbit_estimate, jaccard_binning, pooled_rmse, pooled_rmse_bins,
         macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, observation_checks, synthetic_pairs, accuracy_experiment, accuracy_macro, schedule, sketch_binary_roundtrip,
-        fasta_parse, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, missing_pair_check, last_row_by_key,
+        fasta_parse, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, genome_list, download_manifest, missing_pair_check, last_row_by_key,
         part_set_jaccard, streaming_registers,
     )
     return {f.__name__: f for f in found}

@@ -75,10 +75,33 @@ def write_files(sketches: DataFrame) -> None:
     to_files(sketches).foreachPartition(run)
 
 
-def pending(outputs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
-    """Rows whose ``output`` is not yet a non-empty file of ``folder``."""
-    done = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter("length > 0").select(F.regexp_replace("path", "^file:/+", "/").alias("output"))
-    return outputs.join(done, "output", "left_anti")
+def intact(files: DataFrame, nbits: int, kbuckets: int, j0: float) -> DataFrame:
+    """(path): the (path, content) rows that hold a whole sketch with these parameters."""
+    head = HEADER, HEADER_BYTES, (MAGIC, nbits, kbuckets, j0)
+
+    def run(batches):
+        layout, size, (magic, *want) = head
+        for b in batches:
+            ok = []
+            for c in b.column(1).to_pylist():
+                good = len(c) == size + nbits // 8
+                if good:
+                    found, version, *rest = struct.unpack_from(layout, c)
+                    good = found == magic and version >= 1 and rest == want
+                ok.append(good)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok, pa.bool_()))], names=["path"])
+
+    return files.select("path", "content").mapInArrow(run, "path string")
+
+
+def pending(outputs: DataFrame, folders: list[str], nbits: int, kbuckets: int, j0: float) -> DataFrame:
+    """Rows whose ``output`` is not yet a whole sketch with these parameters in one of the ``folders``: a
+    damaged one, or one of another size, is made again."""
+    if not folders:
+        return outputs
+    files = outputs.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.sketch").load(folders).filter("length > 0")
+    named = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content").join(outputs.select(F.col("output").alias("path")).distinct(), "path", "left_semi")
+    return outputs.join(intact(named, nbits, kbuckets, j0).withColumnRenamed("path", "output"), "output", "left_anti")
 
 
 def reject_duplicates(outputs: DataFrame) -> DataFrame:

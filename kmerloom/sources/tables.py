@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 PAIR_INFO = "pair_id int, file1 string, file2 string, mutation_count long, genome_length long"
 # Column names of published assembly summaries, in file order.
 ASSEMBLY_COLUMNS = (
-    "assembly_accession bioproject biosample wgs_master refseq_category taxid species_taxid organism_name infraspecific_name "
-    "isolate version_status assembly_level release_type genome_rep seq_rel_date asm_name submitter gbrs_paired_asm paired_asm_comp "
-    "ftp_path excluded_from_refseq relation_to_type_material"
-).split()
+    "assembly_accession", "bioproject", "biosample", "wgs_master", "refseq_category", "taxid", "species_taxid", "organism_name",
+    "infraspecific_name", "isolate", "version_status", "assembly_level", "release_type", "genome_rep", "seq_rel_date", "asm_name",
+    "submitter", "gbrs_paired_asm", "paired_asm_comp", "ftp_path", "excluded_from_refseq", "relation_to_type_material",
+)
 
 
 def path_list(lines: list[str]) -> list[str]:
@@ -49,10 +49,6 @@ def parse_pairs(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(parse_pairs(_read_text(path)), "pair_idx long, left string, right string")
-
-
 def pairs_of_lines(lines: DataFrame) -> DataFrame:
     """The same rules for (line_no, value) rows of a distributed table; a bad line fails the query."""
     parts = F.split("value", "\t", -1)
