@@ -12,7 +12,7 @@ from ..functions import paths, sequences as sq, u64
 from ..operators import checks, dist, estimate, kmers, manifest, metrics, simulate, sketch
 from ..params import SketchParams
 from ..session import scratch, spread
-from ..sources import kmer_index, lists, sequences as files, sketch_files, tables
+from ..sources import kmer_index, lists, scan, sequences as files, sketch_files, tables
 from ..streaming.registers import streaming_minima
 from . import experiment
 
@@ -414,6 +414,17 @@ def fasta_parse(spark, d):
     return got.groupBy("path").agg(F.count("*").alias("n_records"), F.sum(F.length("seq")).cast("long").alias("bases"))
 
 
+def fasta_scan(spark, d):
+    """Documents as FASTA files of many records, read block by block: runs and bases of each record."""
+    at = scratch(spark, "fasta")
+    seq = F.replace(sq.translate_text(F.col("text")), F.lit("TTTT"), F.lit("NNTT"))
+    record = sq.wrap_fasta(F.col("doc_id").cast("string"), seq)
+    spread(_table(spark, d, "documents")).select(F.regexp_replace(record, "\n$", "").alias("value")).write.text(at)
+    pieces = scan.scan(spark, at, K)
+    new = F.length("seq") - F.col("carry")
+    return pieces.groupBy(F.col("header").alias("id")).agg(F.count_if(F.col("carry") == 0).alias("n_segments"), F.sum(new).cast("long").alias("bases"))
+
+
 def assembly_filter_url(spark, d):
     """Customers as an assembly summary of 22 columns."""
     ftp = F.when(F.col("c_nationkey") == 3, "na").when(F.col("c_nationkey") == 4, "").otherwise(F.concat(F.lit("ftp://host/genomes/"), "c_name"))
@@ -501,7 +512,7 @@ def queries() -> dict:
         bit_position_stripe, bit_position_mix, odd_sketch_words, odd_sketch_kernel, seeded_sketch, hamming_popcount, odd_estimate, dist_all_to_all,
         dist_bipartite, dist_pairlist, sketch_documents, eval_pairlist, seeded_eval, bbit_estimate, jaccard_binning, pooled_rmse, pooled_rmse_bins,
         macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, observation_checks, synthetic_pairs, accuracy_experiment, accuracy_macro, schedule, sketch_binary_roundtrip,
-        fasta_parse, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, genome_list, download_manifest, missing_pair_check, last_row_by_key,
+        fasta_parse, fasta_scan, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, genome_list, download_manifest, missing_pair_check, last_row_by_key,
         part_set_jaccard, streaming_registers,
     )
     return {f.__name__: f for f in found}
