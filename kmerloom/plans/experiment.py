@@ -64,7 +64,7 @@ def replicate_pairs(spark: SparkSession, e: Experiment, replicate: int) -> DataF
 def observe(pairs: DataFrame, e: Experiment, replicate: int, k: int, sizes: tuple[int, ...]) -> DataFrame:
     """One row per pair and sketch size: truth, both estimates and their side figures."""
     long = pairs.select(F.col("file1").alias("id"), F.col("seq1").alias("seq")).unionByName(pairs.select(F.col("file2").alias("id"), F.col("seq2").alias("seq")))
-    truth = kmers.truth_rows(pairs.select("pair_id", "file1", "file2", "mutation_count", "genome_length"), kmers.kmer_sets(long, k))
+    truth = kmers.truth_rows(pairs.select("pair_id", "file1", "file2", "mutation_count", "genome_length"), kmers.packed_sets(long, k, whole=True))
     listed = pairs.select(F.col("pair_id").alias("pair_idx"), F.col("file1").alias("left"), F.col("file2").alias("right"))
     seqs = long.select("id", segments(F.col("seq")).alias("segments"))
     parts = []
@@ -78,8 +78,8 @@ def observe(pairs: DataFrame, e: Experiment, replicate: int, k: int, sizes: tupl
     )
 
 
-def run(spark: SparkSession, e: Experiment, store: str | None = None) -> DataFrame:
-    """All observations.  With ``store`` every replicate is kept there as Parquet and reused if
+def run(spark: SparkSession, e: Experiment, store: str | None = None, source=None) -> DataFrame:
+    """All observations of generated pairs, or of ``source(replicate)``, PAIRS rows made of given sequences.  With ``store`` every replicate is kept there as Parquet and reused if
     it is complete, so a run that was cut short goes on where it stopped."""
     parts = []
     for r in range(1, e.replicates + 1):
@@ -87,7 +87,7 @@ def run(spark: SparkSession, e: Experiment, store: str | None = None) -> DataFra
         complete = lambda df: checks.observation_violations(df.filter(F.col("kmerlen") == e.ks[0]).withColumn("replicate", F.lit(1)), 1, e.pairs, list(e.sizes), ["jaccard_true"], ["jaccard_true", "jaccard_odd"])
         kept = checks.resumable(spark, path, complete) if path else None
         if kept is None:
-            pairs = replicate_pairs(spark, e, r)
+            pairs = source(r) if source else replicate_pairs(spark, e, r)
             kept = reduce(DataFrame.unionByName, [observe(pairs, e, r, k, e.sizes) for k in e.ks])
             if path:
                 kept.write.mode("overwrite").parquet(path)
@@ -103,11 +103,10 @@ def analyse(rows: DataFrame, e: Experiment) -> dict[str, DataFrame]:
     rated = metrics.empty_rates(both)
     high = both.filter(F.col("jaccard_true") >= F.col("j0"))
     macro = [metrics.macro_summary(rated, ["kmerlen", "sketch_size"], c, r).withColumn("method", F.lit(m)) for c, r, m in (("jaccard_odd", "empty_rate", "odd"), ("jaccard_oph", "oph_empty_rate", "oph"))]
-    binned = metrics.with_bins(both, list(e.edges), strict=True)
     return {
         "pooled": metrics.pooled_with_intervals(both, ["sketch_size"], e.resamples, e.bootstrap_seed, 2),
         "pooled_high": metrics.pooled_with_intervals(high, ["sketch_size"], e.resamples, e.bootstrap_seed + 1, 2),
-        "pooled_bins": metrics.pooled_with_intervals(binned, ["sketch_size", "bin_id"], e.resamples, e.bootstrap_seed + 10_000),
+        "pooled_bins": metrics.binned_with_intervals(both, list(e.edges), e.resamples, e.bootstrap_seed),
         "macro": macro[0].unionByName(macro[1]),
         "difference": metrics.method_pivot(macro[0].unionByName(macro[1]), ["kmerlen", "sketch_size"], ("odd", "oph")),
         "coverage": metrics.coverage(rows),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from ..params import BASE_SEEDS, MASK, SketchParams, bucket_count
 from .queries import EDGES, K, MIX, SEEDED, SMALL, STRIPE
 
@@ -231,6 +233,38 @@ def macro(estimate: str) -> str:
 FROM (SELECT sketch_size, replicate, avg(({estimate} - jaccard_true) * ({estimate} - jaccard_true)) AS mse, avg({estimate} - jaccard_true) AS bias, avg(clipped) AS clip, avg(empty_rate) AS empty, count(*) AS n FROM {OBS} GROUP BY ALL) GROUP BY sketch_size"""
 
 
+def picks(draws: list) -> str:
+    """(g, b, at): the replicates (by place) that resample b of group g takes."""
+    rows = ", ".join(f"({g}, {b}, {at})" for g, group in enumerate(draws) for b, row in enumerate(group) for at in row)
+    return f"picks(g, b, spot) AS (VALUES {rows})"
+
+
+def binned_intervals(edges: list[float], resamples: int, seed: int) -> str:
+    """Intervals of seven replicates in every bin of three sizes, which the tables have."""
+    bins = len(edges) - 1
+    case = " ".join(f"WHEN jaccard_true >= {lo!r}::DOUBLE AND jaccard_true < {hi!r}::DOUBLE THEN {i}" for i, (lo, hi) in enumerate(zip(edges, edges[1:])))
+    draws = [np.random.default_rng(seed + g).integers(0, 7, size=(resamples, 7)) for g in range(3 * bins)]
+    at = lambda c: f"list_extract([{', '.join(f'{e!r}::DOUBLE' for e in edges)}], bin_id + {c})"
+    ends = ", ".join(f"round(quantile_cont({x}, {q}), 9) AS {n}_{end}" for x, n in (("e1", "rmse1"), ("e2", "rmse2"), ("e1 - e2", "difference")) for q, end in ((0.025, "low"), (0.975, "high")))
+    return f"""WITH o AS (SELECT *, CASE WHEN jaccard_true = {edges[-1]!r}::DOUBLE THEN {bins - 1} {case} END AS bin_id FROM {OBS}),
+r AS (SELECT sketch_size, bin_id, replicate, count(*) AS n, sum((jaccard_odd - jaccard_true) ** 2) AS s1, sum((jaccard_base - jaccard_true) ** 2) AS s2, sum(clipped) AS c FROM o GROUP BY ALL),
+k AS (SELECT *, dense_rank() OVER (ORDER BY sketch_size, bin_id) - 1 AS g, row_number() OVER (PARTITION BY sketch_size, bin_id ORDER BY replicate) - 1 AS spot FROM r), {picks(draws)},
+e AS (SELECT sketch_size, bin_id, b, sqrt(sum(s1) / sum(n)) AS e1, sqrt(sum(s2) / sum(n)) AS e2 FROM k JOIN picks USING (g, spot) GROUP BY ALL), i AS (SELECT sketch_size, bin_id, {ends} FROM e GROUP BY ALL),
+p AS (SELECT sketch_size, bin_id, count(*) AS replicates, sum(n)::BIGINT AS n_total, round(sqrt(sum(s1) / sum(n)), 9) AS rmse1, round(sqrt(sum(s2) / sum(n)), 9) AS rmse2,
+  round(sqrt(sum(s1) / sum(n)) - sqrt(sum(s2) / sum(n)), 9) AS rmse_difference, sum(c)::BIGINT AS clip_count, round(sum(c)::DOUBLE / sum(n)::DOUBLE, 9) AS clip_rate FROM r GROUP BY ALL)
+SELECT p.* REPLACE (bin_id::INTEGER AS bin_id), i.* EXCLUDE (sketch_size, bin_id), round({at(1)}, 9) AS bin_lo, round({at(2)}, 9) AS bin_hi, round(({at(1)} + {at(2)}) / 2, 9) AS bin_center FROM p JOIN i USING (sketch_size, bin_id)"""
+
+
+def macro_intervals(resamples: int, seed: int) -> str:
+    draw = np.random.default_rng(seed)
+    draws = [[draw.integers(0, 7, size=7) for _ in range(resamples)] for _ in range(3)]
+    ends = ", ".join(f"round(quantile_cont({x}, {q}), 9) AS {n}_ci_{end}" for x, n in (("sqrt(m)", "rmse"), ("s", "bias"), ("c", "clip")) for q, end in ((0.025, "low"), (0.975, "high")))
+    return f"""WITH r AS (SELECT sketch_size, replicate, avg((jaccard_odd - jaccard_true) * (jaccard_odd - jaccard_true)) AS mse, avg(jaccard_odd - jaccard_true) AS bias, avg(clipped) AS clip FROM {OBS} GROUP BY ALL),
+k AS (SELECT *, dense_rank() OVER (ORDER BY sketch_size) - 1 AS g, row_number() OVER (PARTITION BY sketch_size ORDER BY replicate) - 1 AS spot FROM r), {picks(draws)},
+e AS (SELECT sketch_size, b, avg(mse) AS m, avg(bias) AS s, avg(clip) AS c FROM k JOIN picks USING (g, spot) GROUP BY ALL), i AS (SELECT sketch_size, {ends} FROM e GROUP BY ALL)
+SELECT * FROM ({macro('jaccard_odd')}) JOIN i USING (sketch_size)"""
+
+
 def simple_mix(table: str, key: str, keep: str) -> str:
     return f"WITH m0 AS (SELECT {keep}, ({key})::UBIGINT AS k FROM {table}), {chain('m0', 'm', 'k', mix_steps(), 'h')}"
 
@@ -321,7 +355,9 @@ CASE WHEN "left" % 5 > 0 THEN round(("left" % 7)::DOUBLE / ("left" % 5 * 100), 1
         "method_pivot": f"""SELECT sketch_size, round(o, 9) AS odd, round(b, 9) AS oph, round(o - b, 9) AS rmse_difference FROM (SELECT sketch_size, sqrt(avg(o)) AS o, sqrt(avg(b)) AS b FROM
 (SELECT sketch_size, replicate, avg((jaccard_odd - jaccard_true) ** 2) AS o, avg((jaccard_base - jaccard_true) ** 2) AS b FROM {OBS} GROUP BY ALL) GROUP BY sketch_size)""",
         "observation_checks": checks(),
-        "schedule": "SELECT r AS replicate, k::INTEGER AS kmerlen, s::INTEGER AS sketch_size, 2000 + r * 100000 AS genome_seed, r AS hash_seed FROM range(1, 21) a(r), (SELECT unnest([21, 31, 64]) AS k), (SELECT unnest([2048, 8192, 32768]) AS s)",
+        "schedule": "SELECT r::BIGINT AS replicate, k::INTEGER AS kmerlen, s::INTEGER AS sketch_size, 2000 + r::BIGINT * 100000 AS genome_seed, r::BIGINT AS hash_seed FROM (SELECT DISTINCT l_linenumber AS r FROM lineitem), (SELECT unnest([21, 31, 64]) AS k), (SELECT unnest([2048, 8192, 32768]) AS s)",
+        "pooled_bin_intervals": binned_intervals([0.0, 0.3, 0.6, 0.9, 1.0], 50, 10_007),
+        "macro_intervals": macro_intervals(50, 7),
         "sketch_binary_roundtrip": "SELECT item_id::VARCHAR AS path, true AS same FROM benchmark",
         "fasta_parse": f"SELECT conv_id::VARCHAR AS path, count(*) AS n_records, sum(length({TRANSLATE.format(t='text')}))::BIGINT AS bases FROM conversations GROUP BY conv_id",
         "fasta_scan": f"SELECT id, len(r)::BIGINT AS n_segments, length(array_to_string(r, ''))::BIGINT AS bases FROM (SELECT doc_id::VARCHAR AS id, regexp_extract_all(replace({TRANSLATE.format(t='text')}, 'TTTT', 'NNTT'), '[ACGT]+') AS r FROM documents) WHERE len(r) > 0",

@@ -377,15 +377,20 @@ def observation_checks(spark, d):
 # -- generators, files, manifests, streams --
 
 
+def _mutated(spark, d, replicate):
+    """Every passage with a copy of 1 to 20 mutations, other ones for each replicate."""
+    return simulate.mutated_copies(_seqs(spark, d), 1, 20, 2000 + 100_000 * replicate)
+
+
 def synthetic_pairs(spark, d):
-    pairs = simulate.synthetic_pairs(spark, 20, 2000, 10, 100, 2000)
-    sets = kmers.kmer_sets(pairs.select(F.col("file1").alias("id"), F.col("seq1").alias("seq")).union(pairs.select("file2", "seq2")), K)
+    pairs = _mutated(spark, d, 0)
+    sets = kmers.packed_sets(pairs.select(F.col("file1").alias("id"), F.col("seq1").alias("seq")).union(pairs.select("file2", "seq2")), K, whole=True)
     return kmers.truth_rows(pairs.select("pair_id", "file1", "file2", "mutation_count", "genome_length"), sets)
 
 
 def accuracy_experiment(spark, d):
-    """Seeded pairs, exact truth and both estimates: one row per replicate, k, size and pair."""
-    return experiment.run(spark, experiment.Experiment(replicates=2, pairs=10, ks=(21, 31), sizes=(1024, 4096)))
+    """Mutated passages, exact truth and both estimates: one row per replicate, k, size and pair."""
+    return experiment.run(spark, experiment.Experiment(replicates=2, ks=(21, 31), sizes=(1024, 4096)), source=lambda r: _mutated(spark, d, r))
 
 
 def accuracy_macro(spark, d):
@@ -393,7 +398,20 @@ def accuracy_macro(spark, d):
 
 
 def schedule(spark, d):
-    return simulate.schedule(spark, 20, [21, 31, 64], [2048, 8192, 32768], 2000, 100000, 0)
+    """A replicate for each line number of orders."""
+    numbers = _table(spark, d, "lineitem").select(F.col("l_linenumber").cast("long").alias("replicate")).distinct()
+    return simulate.schedule_of(numbers, [21, 31, 64], [2048, 8192, 32768], 2000, 100000, 0)
+
+
+def pooled_bin_intervals(spark, d):
+    """Bins that the data extend at both ends, with intervals of 50 resamples."""
+    found = metrics.binned_with_intervals(observations(spark, d), [0.3, 0.6, 0.9], 50, 7)
+    return _rounded(found, *[c for c, t in found.dtypes if t == "double"])
+
+
+def macro_intervals(spark, d):
+    found = metrics.macro_with_intervals(observations(spark, d), ["sketch_size"], "jaccard_odd", 50, 7)
+    return _rounded(found, *[c for c, t in found.dtypes if t == "double"])
 
 
 def sketch_binary_roundtrip(spark, d):
@@ -511,7 +529,7 @@ def queries() -> dict:
         unsigned_mod, nt_hash_kmer, oph_bucket_min, oph_nonempty_count, oph_densify, oph_registers_kernel, oph_match_estimate, bit_position_value,
         bit_position_stripe, bit_position_mix, odd_sketch_words, odd_sketch_kernel, seeded_sketch, hamming_popcount, odd_estimate, dist_all_to_all,
         dist_bipartite, dist_pairlist, sketch_documents, eval_pairlist, seeded_eval, bbit_estimate, jaccard_binning, pooled_rmse, pooled_rmse_bins,
-        macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, observation_checks, synthetic_pairs, accuracy_experiment, accuracy_macro, schedule, sketch_binary_roundtrip,
+        macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, pooled_bin_intervals, macro_intervals, observation_checks, synthetic_pairs, accuracy_experiment, accuracy_macro, schedule, sketch_binary_roundtrip,
         fasta_parse, fasta_scan, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, genome_list, download_manifest, missing_pair_check, last_row_by_key,
         part_set_jaccard, streaming_registers,
     )
