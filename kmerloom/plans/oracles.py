@@ -361,6 +361,8 @@ CASE WHEN "left" % 5 > 0 THEN round(("left" % 7)::DOUBLE / ("left" % 5 * 100), 1
         "sketch_binary_roundtrip": "SELECT item_id::VARCHAR AS path, true AS same FROM benchmark",
         "fasta_parse": f"SELECT conv_id::VARCHAR AS path, count(*) AS n_records, sum(length({TRANSLATE.format(t='text')}))::BIGINT AS bases FROM conversations GROUP BY conv_id",
         "fasta_scan": f"SELECT id, len(r)::BIGINT AS n_segments, length(array_to_string(r, ''))::BIGINT AS bases FROM (SELECT doc_id::VARCHAR AS id, regexp_extract_all(replace({TRANSLATE.format(t='text')}, 'TTTT', 'NNTT'), '[ACGT]+') AS r FROM documents) WHERE len(r) > 0",
+        "ordered_output": """WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, trunc(o_totalprice * 100), o_orderkey) - 1 AS place FROM orders)
+SELECT (place // 700)::BIGINT AS file, count(*) AS n, arg_min(o_orderkey, place) AS first_key, arg_max(o_orderkey, place) AS last_key FROM r GROUP BY ALL""",
         "assembly_filter_url": "SELECT c_name AS assembly_accession, 'https://host/genomes/' || c_name || '/' || c_name || '_genomic.fna.gz' AS genomic_fna_url, c_name || '_genomic.fna.gz' AS local_filename FROM customer WHERE c_nationkey NOT IN (3, 4) AND c_name <> 'Customer#000000001'",
         "manifest_status_counts": "SELECT o_orderstatus AS status, count(*) AS n, sum(o_custkey)::BIGINT AS bytes FROM orders GROUP BY ALL",
         "duplicate_output_guard": f"SELECT output, count(*) AS n, list_extract(list_sort(list(page_id)), 1) AS first_idx, list_extract(list_sort(list(page_id)), 2) AS second_idx FROM (SELECT page_id, {out_path} AS output FROM pages) GROUP BY output HAVING count(*) > 1",

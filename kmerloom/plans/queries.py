@@ -12,7 +12,7 @@ from ..functions import paths, sequences as sq, u64
 from ..operators import checks, dist, estimate, kmers, manifest, metrics, simulate, sketch
 from ..params import SketchParams
 from ..session import scratch, spread
-from ..sources import kmer_index, lists, scan, sequences as files, sketch_files, tables
+from ..sources import kmer_index, lists, ordered, scan, sequences as files, sketch_files, tables
 from ..streaming.registers import streaming_minima
 from . import experiment
 
@@ -443,6 +443,16 @@ def fasta_scan(spark, d):
     return pieces.groupBy(F.col("header").alias("id")).agg(F.count_if(F.col("carry") == 0).alias("n_segments"), F.sum(new).cast("long").alias("bases"))
 
 
+def ordered_output(spark, d):
+    """Orders as files of 700 rows in order of status, price and key: first and last key of each, and its rows."""
+    rows = _table(spark, d, "orders").select("o_orderstatus", (F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderkey")
+    at = scratch(spark, "ordered-output")
+    ordered.write_ordered(rows, ["o_orderstatus", "cents", "o_orderkey"], at, 700)
+    back = ordered.read_ordered(spark, at, "o_orderstatus string, cents long, o_orderkey long")
+    place = F.struct("o_orderstatus", "cents", "o_orderkey")
+    return back.groupBy("file").agg(F.count("*").alias("n"), F.min(place).o_orderkey.alias("first_key"), F.max(place).o_orderkey.alias("last_key"))
+
+
 def assembly_filter_url(spark, d):
     """Customers as an assembly summary of 22 columns."""
     ftp = F.when(F.col("c_nationkey") == 3, "na").when(F.col("c_nationkey") == 4, "").otherwise(F.concat(F.lit("ftp://host/genomes/"), "c_name"))
@@ -530,7 +540,7 @@ def queries() -> dict:
         bit_position_stripe, bit_position_mix, odd_sketch_words, odd_sketch_kernel, seeded_sketch, hamming_popcount, odd_estimate, dist_all_to_all,
         dist_bipartite, dist_pairlist, sketch_documents, eval_pairlist, seeded_eval, bbit_estimate, jaccard_binning, pooled_rmse, pooled_rmse_bins,
         macro_rmse_bias, coverage_fraction_median, method_pivot, bootstrap_ci, pooled_bin_intervals, macro_intervals, observation_checks, synthetic_pairs, accuracy_experiment, accuracy_macro, schedule, sketch_binary_roundtrip,
-        fasta_parse, fasta_scan, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, genome_list, download_manifest, missing_pair_check, last_row_by_key,
+        fasta_parse, fasta_scan, ordered_output, assembly_filter_url, manifest_status_counts, duplicate_output_guard, path_functions, genome_list, download_manifest, missing_pair_check, last_row_by_key,
         part_set_jaccard, streaming_registers,
     )
     return {f.__name__: f for f in found}
