@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash over the last 32 bytes marks cut candidates, so an insertion moves only
-the chunks around it.  The first cut candidate at least ``least`` bytes into a chunk ends it,
-or ``most`` bytes do.  Chunks are deduplicated by a 128-bit digest: the earliest chunk of the
+A gear rolling hash over the last 32 bytes marks one place in ``mean`` as a cut, so an insertion moves only
+the chunks around it.  Every cut at least ``least`` bytes into a chunk ends it, or ``most`` bytes do.  By
+default every cut counts, so the chunks of a passage agree from its first cut on, wherever it stands.  Chunks are deduplicated by a 128-bit digest: the earliest chunk of the
 corpus stays, later ones are duplicates.  Adjacent duplicates form a run, and runs of ``run``
 bytes or more are removed: single short chunks, such as the last one of a text, meet by chance.
 
@@ -23,20 +23,22 @@ from pyspark.sql import DataFrame, functions as F
 from .suffix_dedup import blocks, expand
 
 GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
+#: Bytes that the hash of a place covers.
+WINDOW = 32
 #: Blocks whose digests one salt of a shard gathers.
 SALT_BLOCKS = 4096
 #: Bytes of text whose digests one shard gathers, and shards that one task takes in turn.
 SHARD_BYTES, SHARDS = 8 << 20, 8
 
 
-def cut_candidates(data: np.ndarray, bits: int) -> np.ndarray:
-    """Places after which the gear hash of the last 32 bytes has ``bits`` leading zero bits."""
+def cut_candidates(data: np.ndarray, mean: int) -> np.ndarray:
+    """Places after which the gear hash of the last 32 bytes is in the lowest ``mean``-th of its range."""
     h, span = GEAR[data], 1
-    while span < 32 and span < len(h):
+    while span < WINDOW and span < len(h):
         h = h.copy() if span == 1 else h
         h[span:] = h[span:] + (h[:-span] << np.uint32(span))
         span *= 2
-    return np.flatnonzero(h < np.uint32(1 << (32 - bits))) + 1
+    return np.flatnonzero(h < np.uint32((1 << 32) // mean)) + 1
 
 
 def chunk_ends(size: int, candidates: list[int], least: int, most: int) -> list[int]:
@@ -50,17 +52,15 @@ def chunk_ends(size: int, candidates: list[int], least: int, most: int) -> list[
     return ends
 
 
-def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 32, bits: int = 5, most: int = 256, run: int = 100, salt_blocks: int = SALT_BLOCKS) -> DataFrame:
+def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1, mean: int = 40, most: int = 256, run: int = 80, salt_blocks: int = SALT_BLOCKS) -> DataFrame:
     """One row per input row: id, n_bytes, n_chunks, n_removed_chunks, n_removed, kept_sha256,
-    kept (the bytes left).  ``least`` must be 32 or more.
+    kept (the bytes left).
 
     Earlier means a smaller id, then the order of the packed rows (repeated rows), then a
     smaller offset; a null id comes first and is returned as null.  Null texts are empty and
     have no chunks.  A text under ``run`` bytes is kept whole.  Extra columns are ignored; an
     empty table gives no rows.
     """
-    if least < 32:
-        raise ValueError("least must be 32 or more")
     packed = blocks(docs, id_col, text_col)
     total, n_blocks = packed.agg(F.sum("bytes"), F.count("*")).first()
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -72,12 +72,13 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """(digest, document, offset, end) of every chunk of a block."""
         size = np.frombuffer(sizes, np.int64)
         off = np.concatenate([[0], np.cumsum(size)])
-        marks = cut_candidates(np.frombuffer(data, np.uint8), bits)
+        marks = cut_candidates(np.frombuffer(data, np.uint8), mean)
         first = np.searchsorted(marks, off, "right")
+        whole = np.searchsorted(marks, off + WINDOW)  # a cut looks at bytes of its own text only
         for d in range(len(size)):
             lo = int(off[d])
             at = 0
-            for end in chunk_ends(int(size[d]), (marks[first[d] : first[d + 1]] - lo).tolist(), least, most):
+            for end in chunk_ends(int(size[d]), (marks[whole[d] : first[d + 1]] - lo).tolist(), least, most):
                 yield hashlib.blake2b(data[lo + at : lo + end], digest_size=16).digest(), d, at, end
                 at = end
 
