@@ -1,7 +1,7 @@
 """Chat formatting with tool-call linking.
 
-Calls and results meet by conversation, whose row they share in the output, and are hash-joined
-there by call identifier.  Each conversation is then ordered so that a call follows the calls
+Calls and results are hash-joined by conversation and call identifier; results of one call are
+gathered before, and results that no call names are found by an anti-join.  Each conversation is then ordered so that a call follows the calls
 it depends on (Kahn's algorithm, ties by turn), its arguments are validated against the
 tool's JSON schema, and everything is serialised as canonical JSON: sorted keys, no blanks,
 UTF-8 without escapes.
@@ -120,17 +120,6 @@ def order_calls(calls: list[dict]) -> tuple[list[dict], list[dict]]:
     return [calls[i] for i in done], [calls[i] for i in stuck]
 
 
-def link(calls: list[dict], results: list[dict]) -> tuple[list[dict], list[dict]]:
-    """(calls with their results, results without a call): a hash join by call identifier."""
-    table: dict[str, list[dict]] = {}
-    for r in results:
-        if r["call_id"] is not None:
-            table.setdefault(r["call_id"], []).append(r)
-    linked = [c | {"results": table.get(c["call_id"])} for c in calls]
-    known = {c["call_id"] for c in calls} - {None}
-    return linked, [r for r in results if r["call_id"] not in known]
-
-
 def format_conversation(calls: list[dict], orphans: list[dict], schemas: dict[str, dict]) -> tuple[int, int, int, int, str]:
     """(linked, invalid, cyclic, violations, canonical JSON) of one conversation."""
     done, stuck = order_calls(calls)
@@ -161,25 +150,28 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     Rows of a null conversation form one.  Empty tables give no rows.  A conversation is one
     output row, so its calls and results meet in one row; conversations never meet.
     """
+    key = ["nil", "conv"]
     nil = F.col("conv_id").isNull().alias("nil"), F.coalesce("conv_id", F.lit(0)).alias("conv")
-    c = calls.select(*nil, F.struct("call_id", "turn", "tool", "arguments", "after").alias("call"))
-    r = results.select(*nil, F.struct("call_id", "turn", "content").alias("result"))
-    empty = lambda df, col: F.lit(None).cast(df.schema[col].dataType).alias(col)
-    events = c.select("nil", "conv", "call", empty(r, "result")).unionByName(r.select("nil", "conv", empty(c, "call"), "result"))
-    grouped = events.groupBy("nil", "conv").agg(F.collect_list("call").alias("calls"), F.collect_list("result").alias("results"))
+    c = calls.select(*nil, "call_id", "turn", "tool", "arguments", "after")
+    r = results.select(*nil, "call_id", F.struct("call_id", "turn", "content").alias("result"))
+    by_call = r.filter("call_id IS NOT NULL").groupBy(*key, "call_id").agg(F.collect_list("result").alias("results"))
+    linked = c.join(by_call.hint("shuffle_hash"), [*key, "call_id"], "left")
+    steps = linked.groupBy(*key).agg(F.collect_list(F.struct("call_id", "turn", "tool", "arguments", "after", "results")).alias("calls"))
+    loose = r.join(c.select(*key, "call_id").distinct(), [*key, "call_id"], "left_anti").groupBy(*key).agg(F.collect_list("result").alias("orphans"))
+    grouped = steps.join(loose, key, "full_outer")
 
     def run(batches):
         for b in batches:
             out = []
-            for none, conv, cs, rs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                linked, loose = link(cs, rs)
-                n_linked, invalid, cyclic, _, text = format_conversation(linked, loose, schemas)
-                out.append((None if none else conv, len(cs), n_linked, invalid, cyclic, len(loose), text))
+            for none, conv, cs, orphans in zip(*(b.column(i).to_pylist() for i in range(4))):
+                cs, orphans = cs or [], orphans or []
+                n_linked, invalid, cyclic, _, text = format_conversation(cs, orphans, schemas)
+                out.append((None if none else conv, len(cs), n_linked, invalid, cyclic, len(orphans), text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[i] for o in out], pa.string() if i == 6 else pa.int64()) for i in range(7)], names=["conv_id", "n_calls", "n_linked", "n_invalid", "n_cyclic", "n_orphans", "json"]
             )
 
-    return grouped.mapInArrow(run, "conv_id long, n_calls long, n_linked long, n_invalid long, n_cyclic long, n_orphans long, json string")
+    return grouped.select(*key, "calls", "orphans").mapInArrow(run, "conv_id long, n_calls long, n_linked long, n_invalid long, n_cyclic long, n_orphans long, json string")
 
 
 #: The tools of `calls_of_turns`.
@@ -195,12 +187,24 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table (conv_id, turn, role, text): every user turn is a call, after
     the call of the turn two before it, and every other turn is the result of the call of the
     turn before it.  A text that is a JSON object with the members "name" and "arguments", and
-    perhaps "id", is that call; any other text calls the tool "reply" with it."""
+    perhaps "id", is that call; any other text calls the tool "reply" with it.
+
+    A call without an id of its own is named by its turn.  Results and later calls use the id that a call has
+    (the smallest, if a turn comes twice); a result that is a JSON object with "call_id" names its call itself."""
     name = lambda back: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     member = lambda n: F.get_json_object("text", f"$.{n}")
-    real = F.col("text").rlike(r"^\s*\{") & member("name").isNotNull() & member("arguments").isNotNull()
-    calls = turns.filter("role = 'user'").select(
+    object_ = F.col("text").rlike(r"^\s*\{")
+    real = object_ & member("name").isNotNull() & member("arguments").isNotNull()
+    asked, said = turns.filter("role = 'user'"), turns.filter("role <> 'user' OR role IS NULL")
+    own = asked.filter(real & member("id").isNotNull()).groupBy(F.col("conv_id").alias("in"), F.col("turn").alias("at")).agg(F.min(member("id")).alias("id"))
+
+    def named(rows: DataFrame, back: int) -> DataFrame:
+        """``rows`` with the id, if any, that the call of the turn ``back`` before has of its own."""
+        return rows.join(own, F.col("conv_id").eqNullSafe(F.col("in")) & (F.col("turn") - back == F.col("at")), "left").drop("in", "at")
+
+    calls = named(asked, 2).select(
         "conv_id", "turn", F.when(real, F.coalesce(member("id"), name(0))).otherwise(name(0)).alias("call_id"), F.when(real, member("name")).otherwise("reply").alias("tool"),
-        F.when(real, member("arguments")).otherwise(F.to_json(F.struct(F.col("text").alias("prompt")))).alias("arguments"), F.array(name(2)).alias("after"),
+        F.when(real, member("arguments")).otherwise(F.to_json(F.struct(F.col("text").alias("prompt")))).alias("arguments"), F.array(F.coalesce("id", name(2))).alias("after"),
     )
-    return calls, turns.filter("role <> 'user' OR role IS NULL").select("conv_id", "turn", name(1).alias("call_id"), F.col("text").alias("content"))
+    to = F.coalesce(F.when(object_, member("call_id")), F.col("id"), name(1))
+    return calls, named(said, 1).select("conv_id", "turn", to.alias("call_id"), F.col("text").alias("content"))

@@ -125,6 +125,33 @@ def test_calls_in_texts(spark):
     assert got == {"q": ("sum", {"x": 1}), "call-1-2": ("reply", {"prompt": "{no call}"})} and results.count() == 2
 
 
+def test_calls_with_ids_link_to_their_results(spark):
+    """Conversations of JSON calls and plain ones, linked by brute force."""
+    rnd = random.Random(3)
+    turns, want = [], {}
+    for conv in [*range(40), None]:
+        ids, given, linked, orphans = {}, [], 0, 0
+        for turn in range(12):
+            if turn % 2 == 0:
+                ids[turn] = f"id{turn % 6}-{turn}" if rnd.random() < 0.6 else f"call-{conv}-{turn}" if conv is not None else f"call-{turn}"
+                own = ids[turn].startswith("id")
+                call = {"name": "sum", "arguments": {"x": turn}} | ({"id": ids[turn]} if own else {})
+                turns.append((conv, turn, "user", json.dumps(call) if own or rnd.random() < 0.5 else f"text {turn}"))
+            elif rnd.random() < 0.8:
+                other = rnd.choice([*ids.values(), "unknown"])
+                direct = rnd.random() < 0.3
+                turns.append((conv, turn, rnd.choice(["assistant", "tool"]), json.dumps({"call_id": other, "v": 1}) if direct else "done"))
+                given.append(other if direct else ids[turn - 1])
+        want[conv] = (len(ids), sum(i in given for i in ids.values()), sum(g not in ids.values() for g in given), ids)
+    rnd.shuffle(turns)
+    calls, results = cf.calls_of_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3))
+    got = cf.link_tool_calls(calls, results, cf.SCHEMAS).collect()
+    assert {r.conv_id: (r.n_calls, r.n_linked, r.n_orphans) for r in got} == {c: w[:3] for c, w in want.items()}
+    for c in calls.filter("turn >= 2").collect():
+        assert c.after == [want[c.conv_id][3][c.turn - 2]]
+    assert all(r.n_cyclic == 0 and [s["turn"] for s in json.loads(r.json)["calls"]] == list(range(0, 12, 2)) for r in got)
+
+
 def test_order_is_topological():
     rnd = random.Random(1)
     for _ in range(50):
