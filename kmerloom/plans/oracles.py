@@ -137,14 +137,15 @@ def registers(p: SketchParams, buckets: int) -> str:
     )
 
 
-def densified(p: SketchParams, buckets: int, attempts: int = 2000) -> str:
-    """CTEs up to dense (id, bucket, v)."""
+def densified(p: SketchParams, buckets: int, attempts: int = 2000, zeros: bool = False) -> str:
+    """CTEs up to dense (id, bucket, v); with ``zeros`` sequences without a k-mer have registers 0."""
+    bare = f" UNION ALL SELECT s.id, y.i::INTEGER, 0::UBIGINT FROM ({seqs()}) s, range(0, {buckets}) y(i) WHERE s.id NOT IN (SELECT id FROM minima)" if zeros else ""
     a, b = p.universal
     m = (buckets - 1).bit_length()
     return registers(p, buckets) + (
         f", donors AS (SELECT i AS bucket, t, {shr(add(mul(f'(i::UBIGINT * 4294967296::UBIGINT + t::UBIGINT)', u(a)), u(b)), 64 - m)}::INTEGER AS donor FROM range(0, {buckets}) x(i), range(1, {attempts + 1}) y(t)), "
         f"empties AS (SELECT DISTINCT x.id, y.i AS bucket FROM minima x, range(0, {buckets}) y(i) WHERE NOT EXISTS (SELECT 1 FROM minima z WHERE z.id = x.id AND z.bucket = y.i)), "
-        f"dense AS MATERIALIZED (SELECT id, bucket::INTEGER AS bucket, v FROM minima UNION ALL SELECT e.id, e.bucket::INTEGER, arg_min(m.v, d.t) FROM empties e JOIN donors d ON d.bucket = e.bucket JOIN minima m ON m.id = e.id AND m.bucket = d.donor GROUP BY ALL)"
+        f"dense AS MATERIALIZED (SELECT id, bucket::INTEGER AS bucket, v FROM minima UNION ALL SELECT e.id, e.bucket::INTEGER, arg_min(m.v, d.t) FROM empties e JOIN donors d ON d.bucket = e.bucket JOIN minima m ON m.id = e.id AND m.bucket = d.donor GROUP BY ALL{bare})"
     )
 
 
@@ -152,10 +153,10 @@ def densified(p: SketchParams, buckets: int, attempts: int = 2000) -> str:
 _P = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
 
 
-def positioned(p: SketchParams, buckets: int) -> str:
+def positioned(p: SketchParams, buckets: int, zeros: bool = False) -> str:
     """CTEs up to pos (id, bucket, v, position)."""
     stride = p.sketch_bits // buckets
-    head = densified(p, buckets)
+    head = densified(p, buckets, zeros=zeros)
     if p.mode == "value":
         return head + f", pos AS (SELECT *, (v % {u(p.sketch_bits)})::BIGINT AS position FROM dense)"
     if p.mode == "stripe" and stride >= 2:
@@ -171,8 +172,8 @@ def positioned(p: SketchParams, buckets: int) -> str:
 
 
 def words(p: SketchParams, buckets: int) -> str:
-    """CTEs up to words (id, word, w), all words of all sketches."""
-    return positioned(p, buckets) + (
+    """CTEs up to words (id, word, w), all words of all sketches, those of sequences without a k-mer too."""
+    return positioned(p, buckets, True) + (
         f", flips AS (SELECT id, position // 64 AS word, bit_xor(1::UBIGINT << (position % 64)::UBIGINT) AS w FROM pos GROUP BY ALL), "
         f"words AS MATERIALIZED (SELECT i.id, x.word::INTEGER AS word, coalesce(f.w, 0::UBIGINT) AS w FROM (SELECT DISTINCT id FROM dense) i CROSS JOIN range(0, {p.sketch_bits // 64}) x(word) LEFT JOIN flips f ON f.id = i.id AND f.word = x.word)"
     )
@@ -195,14 +196,14 @@ def neighbour_ids(source: str) -> str:
 
 
 def oph_pairs(p: SketchParams, select: str) -> str:
-    return f"""WITH {densified(p, p.buckets)}, nb AS ({neighbour_ids('dense')})
+    return f"""WITH {densified(p, p.buckets, zeros=True)}, nb AS ({neighbour_ids('dense')})
 SELECT pair_idx, {select} FROM nb JOIN dense x ON x.id = nb.pair_idx JOIN dense y ON y.id = nb.nxt AND y.bucket = x.bucket GROUP BY pair_idx"""
 
 
 def evaluation(p: SketchParams) -> str:
     L = p.buckets
     return f"""WITH {words(p, L)}, nb AS ({neighbour_ids('dense')}),
-full_ AS (SELECT id, count(*) AS n FROM minima GROUP BY id),
+full_ AS (SELECT s.id, count(m.id) AS n FROM (SELECT DISTINCT id FROM dense) s LEFT JOIN minima m ON m.id = s.id GROUP BY s.id),
 ham AS (SELECT pair_idx, nxt, sum(bit_count(xor(a.w, b.w)))::BIGINT AS h FROM nb JOIN words a ON a.id = pair_idx JOIN words b ON b.id = nxt AND b.word = a.word GROUP BY ALL),
 mis AS (SELECT pair_idx, count(*) FILTER (x.v <> y.v) AS m FROM nb JOIN dense x ON x.id = pair_idx JOIN dense y ON y.id = nxt AND y.bucket = x.bucket GROUP BY pair_idx)
 SELECT pair_idx, pair_idx AS file1, nxt AS file2, round(least(greatest({raw_estimate(p, 'h')}, 0.0), 1.0), 9) AS jaccard_odd, round(1.0 - m::DOUBLE / {L}, 9) AS jaccard_oph,
@@ -289,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
     word_rows = lambda p: f"WITH {words(p, p.buckets)} SELECT id, word, {signed('w')} AS bits FROM words WHERE w <> 0"
     positions = lambda p, n: f"WITH {positioned(p, n)} SELECT id, bucket, position FROM pos"
     dense = f"WITH {densified(SMALL, SMALL.buckets)} SELECT id, bucket, {signed('v')} AS rank FROM dense"
+    kernel = f"WITH {densified(SMALL, SMALL.buckets, zeros=True)} SELECT id, bucket, {signed('v')} AS rank FROM dense"
     minima = f"WITH {registers(SMALL, SMALL.buckets)} SELECT id, bucket, {signed('v')} AS rank FROM minima"
     dist = lambda theta: f"SELECT a::VARCHAR AS path1, b::VARCHAR AS path2, hamming, raw, est AS jaccard, clipped FROM ({estimates(SMALL, theta)})"
     pair = f"SELECT t.* FROM ({estimates(SMALL, 'a.id < b.id')}) t JOIN ({neighbour_ids('benchmark_ids')}) nb ON nb.pair_idx = t.a AND nb.nxt = t.b"
@@ -330,7 +332,7 @@ CASE WHEN "left" % 5 > 0 THEN round(("left" % 7)::DOUBLE / ("left" % 5 * 100), 1
         "streaming_registers": minima,
         "oph_nonempty_count": f"WITH {registers(SMALL, SMALL.buckets)} SELECT id, count(*) AS nonempty FROM minima GROUP BY id",
         "oph_densify": dense,
-        "oph_registers_kernel": dense,
+        "oph_registers_kernel": kernel,
         "oph_match_estimate": oph_pairs(SMALL, f"count(*) FILTER (x.v <> y.v) AS mismatches, round(1.0 - (count(*) FILTER (x.v <> y.v))::DOUBLE / {SMALL.buckets}, 12) AS jaccard"),
         "bbit_estimate": oph_pairs(SMALL, "round(greatest(0.0, ((count(*) FILTER (x.v % 16::UBIGINT = y.v % 16::UBIGINT))::DOUBLE / count(*) - 0.0625::DOUBLE) / 0.9375::DOUBLE), 12) AS jaccard"),
         "bit_position_value": positions(SMALL, SMALL.buckets),

@@ -212,12 +212,12 @@ def oph_densify(spark, d):
 
 
 def oph_registers_kernel(spark, d):
-    rows = sketch.registers_of(_segments(spark, d), SMALL, SMALL.buckets).filter("nonempty > 0")
+    rows = sketch.registers_of(_segments(spark, d), SMALL, SMALL.buckets)
     return rows.select("id", F.posexplode("values").alias("bucket", "rank"))
 
 
 def oph_match_estimate(spark, d):
-    r = sketch.registers_of(_segments(spark, d), SMALL, SMALL.buckets).filter("nonempty > 0")
+    r = sketch.registers_of(_segments(spark, d), SMALL, SMALL.buckets)
     pairs = _neighbours(r.select("id"))
     got = pairs.join(r.select(F.col("id").alias("left"), F.col("values").alias("a")), "left").join(r.select(F.col("id").alias("right"), F.col("values").alias("b")), "right")
     est = estimate.oph_estimate(F.col("a"), F.col("b"))
@@ -248,17 +248,17 @@ def odd_sketch_words(spark, d):
 
 def odd_sketch_kernel(spark, d):
     """The kernel form of the same words."""
-    rows = sketch.sketch_sequences(_segments(spark, d), SMALL).filter("nonempty > 0")
+    rows = sketch.sketch_sequences(_segments(spark, d), SMALL)
     return rows.select("id", F.posexplode("words").alias("word", "bits")).filter("bits <> 0")
 
 
 def seeded_sketch(spark, d):
-    rows = sketch.sketch_sequences(_segments(spark, d), SEEDED).filter("nonempty > 0")
+    rows = sketch.sketch_sequences(_segments(spark, d), SEEDED)
     return rows.select("id", F.posexplode("words").alias("word", "bits")).filter("bits <> 0")
 
 
 def _stored(spark, d, p, table="benchmark"):
-    rows = sketch.sketch_sequences(_segments(spark, d, table), p).filter("nonempty > 0")
+    rows = sketch.sketch_sequences(_segments(spark, d, table), p)
     return dist.indexed(rows.select("id", F.col("id").cast("string").alias("path"), "words", F.col("num_buckets").cast("long").alias("kbuckets")), "id")
 
 
@@ -273,7 +273,7 @@ def hamming_popcount(spark, d):
 
 
 def odd_estimate(spark, d):
-    s = sketch.sketch_sequences(_segments(spark, d), SMALL).filter("nonempty > 0")
+    s = sketch.sketch_sequences(_segments(spark, d), SMALL)
     pairs = _neighbours(s.select("id"))
     got = pairs.join(s.select(F.col("id").alias("left"), F.col("words").alias("a")), "left").join(s.select(F.col("id").alias("right"), F.col("words").alias("b")), "right")
     got = got.select("pair_idx", estimate.words_estimate(F.col("a"), F.col("b"), F.lit(SMALL.buckets)).alias("est"))
@@ -315,7 +315,7 @@ def seeded_eval(spark, d):
 
 
 def bbit_estimate(spark, d):
-    r = sketch.registers_of(_segments(spark, d), SMALL, SMALL.buckets).filter("nonempty > 0")
+    r = sketch.registers_of(_segments(spark, d), SMALL, SMALL.buckets)
     pairs = _neighbours(r.select("id"))
     got = pairs.join(r.select(F.col("id").alias("left"), F.col("values").alias("a")), "left").join(r.select(F.col("id").alias("right"), F.col("values").alias("b")), "right")
     return got.select("pair_idx", F.round(estimate.bbit_estimate(F.col("a"), F.col("b"), 4), 12).alias("jaccard"))

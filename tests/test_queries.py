@@ -72,6 +72,25 @@ def test_bin_intervals_follow_bins_with_rows(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("name", ["oph_registers_kernel", "odd_sketch_kernel", "oph_match_estimate", "bbit_estimate", "odd_estimate", "dist_all_to_all", "dist_bipartite", "dist_pairlist", "hamming_popcount", "eval_pairlist", "oph_densify"])
+def test_sequences_without_kmers_are_compared(name, spark, data, tmp_path_factory):
+    """Null, empty and short passages among others: zero sketches, as in the SQL."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("bare")
+    rows = spark.read.parquet(f"{data}/benchmark.parquet").limit(3).collect()
+    texts = [rows[0].text, None, rows[1].text, "", "short", rows[2].text]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{folder}/benchmark.parquet/*.parquet'")
+    want = c.execute(SQL[name]).df()
+    got = queries()[name](spark, str(folder)).toPandas()
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns) and len(want)
+    as_rows = lambda x: sorted(map(str, x[cols].astype(object).values.tolist()))
+    assert as_rows(got) == as_rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
