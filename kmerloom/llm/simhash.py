@@ -3,13 +3,17 @@
 A tree splits fingerprints by their Hamming distance to a vantage point: those within the
 median distance go left, the others right.  Vantage points (the candidate that spreads
 distances most) and medians come from a bounded sample of the fingerprints; every fingerprint
-is placed.  A tree has a fixed number of levels and its leaves are shards, so how often a
-fingerprint is sent does not depend on how many there are.  A fingerprint lives in one shard.
+is placed.  A tree has a fixed number of levels and its leaves are shards.  A fingerprint lives in one shard.
 By the triangle inequality two fingerprints within radius r have distances to any vantage
 point that differ by r at most: a fingerprint of a left branch whose ball crosses the median is
 sent into the right branch as a query, and a query enters every branch that its ball
-overlaps.  Shards with many fingerprints are cut in tiles, which are searched by all that would
-search the shard.  Inside a shard the same bound is applied to the distances of groups of
+overlaps.  Every shard is cut once more without any overlap: fingerprints within r of each other
+are at distance zero in one of r + 1 disjoint parts of the tree's bits, so each is sent once for
+each part, to a bucket named by its bits there.  Only the number of buckets grows with the data: how often a fingerprint is
+sent does not depend on how many there are, as long as a part has more values than a shard needs buckets (about 10 ** 10 fingerprints up to
+radius 2, 10 ** 8 at radius 11).  A bucket that is still too large, since its
+fingerprints agree in the part, is cut in tiles, which all of the bucket search.  Inside a bucket the triangle
+bound is applied to the distances of groups of
 bits, summed up, and every surviving pair is compared exactly, in all 64 bits.
 
 Up to radius 2 one tree measures all 64 bits, in groups of a byte inside a shard.  For a larger
@@ -40,8 +44,8 @@ from .common import attach, discard, materialize
 Level = tuple[int, int]  # (lowest bit, number of bits)
 
 #: Fingerprints sampled for the trees, candidates for each vantage point, levels of one tree and of several.
-SEEDS, CANDIDATES, DEEP, SHALLOW = 2_000, 12, 6, 4
-#: Fingerprints in a tile of a shard, and candidate pairs compared at once.
+SEEDS, CANDIDATES, DEEP, SHALLOW = 2_000, 12, 3, 2
+#: Fingerprints aimed at in a bucket of a shard, and candidate pairs compared at once.
 TILE_ROWS, CHUNK = 1_000_000, 400_000
 #: Texts sampled for frequent shingles, how many of these are told apart, and prefix entries in a bucket.
 SAMPLE, COMMON, ENTRIES = 4_000, 20_000, 250_000
@@ -137,9 +141,10 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64)
 
 
-def shard_links(home: np.ndarray, query: np.ndarray, levels: list[Level], vantage: int, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shard_links(home: np.ndarray, query: np.ndarray, levels: list[Level], vantage: int, reach: int, radius: int, fixed: slice = slice(0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forest of links within ``radius`` among ``home`` and between ``home`` and ``query``
-    (unique uint64) whose rings on the ``levels`` differ by at most ``reach``."""
+    (unique uint64) whose rings on the ``levels`` differ by at most ``reach``, and not at all on
+    the levels ``fixed``."""
     scale, most = scales(levels), np.array([bits for _, bits in levels])
     order = np.argsort(rings(home, levels, vantage) @ scale, kind="stable")
     home = home[order]
@@ -154,7 +159,8 @@ def shard_links(home: np.ndarray, query: np.ndarray, levels: list[Level], vantag
     held = 0
     cell = probe @ scale
     column = np.ascontiguousarray(probe.T)
-    for m in moves(levels, reach):
+    every = moves(levels, reach)
+    for m in every[~every[:, fixed].any(axis=1)]:
         ok = np.ones(len(cell), bool)
         for i in np.flatnonzero(m):
             ok &= column[i] + m[i] >= 0 if m[i] < 0 else column[i] + m[i] <= most[i]
@@ -236,51 +242,98 @@ class Tree:
         return out
 
 
+def stirred(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up in which every bit of ``x`` counts."""
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)).astype(np.int64) & (2**62 - 1)
+
+
+def thirds(levels: list[Level], reach: int) -> list[slice]:
+    """``reach`` + 1 disjoint parts of the levels."""
+    n = min(reach + 1, len(levels))
+    return [slice(len(levels) * i // n, len(levels) * (i + 1) // n) for i in range(n)]
+
+
+class Shards:
+    """Where fingerprints go: tree, leaf, part of the tree's bits, bucket of the part's value, tile."""
+
+    def __init__(self, sample: np.ndarray, radius: int, total: int):
+        parts = trees(radius)
+        self.trees = [Tree(sample, levels, reach, DEEP if len(parts) == 1 else SHALLOW) for levels, reach in parts]
+        self.parts = [thirds(levels, reach) for levels, reach in parts]
+        self.buckets = [max(1, -(-total // (TILE_ROWS * t.leaves))) for t in self.trees]
+        #: Tiles of the buckets with more than twice TILE_ROWS homes, by key.
+        self.tiles: dict[int, int] = {}
+
+    def key(self, tree: int, leaf: int, part: int, bucket: np.ndarray) -> np.ndarray:
+        return ((tree * 64 + leaf) * 64 + part) * (1 << 40) + bucket
+
+    def place(self, key: int) -> tuple[Tree, slice]:
+        """The tree and the part of a key."""
+        tree, part = key // (1 << 40) // 64 // 64, key // (1 << 40) % 64
+        return self.trees[tree], self.parts[tree][part]
+
+    def visits(self, fp: np.ndarray, queries: bool = True):
+        """(keys, places of the fingerprints sent there, whether they live there) of each leaf and part."""
+        for tree, t in enumerate(self.trees):
+            for leaf, rows, home in t.visits(fp, queries):
+                for part, where in enumerate(self.parts[tree]):
+                    own, n = t.levels[where], self.buckets[tree]
+                    wide = sum(bits for _, bits in own)  # neighbouring bits
+                    value = fp[rows] >> np.uint64(own[0][0]) & np.uint64((1 << wide) - 1)
+                    # few values are dealt evenly only if each has a bucket of its own
+                    bucket = value.astype(np.int64) if 1 << wide <= 4 * n else stirred(value) % n
+                    yield self.key(tree, leaf, part, bucket), rows, home
+
+    def sent(self, fp: np.ndarray):
+        """(keys, tiles, places, whether they live there) of everything that is sent."""
+        for key, rows, home in self.visits(fp):
+            if not self.tiles:
+                yield key, np.zeros(len(key), np.int32), rows, home
+                continue
+            n = np.array([self.tiles.get(k, 1) for k in key.tolist()], np.int64)
+            mine = stirred(~fp[rows]) % n
+            # a fingerprint of this bucket searches the tiles behind its own, a query all
+            first = np.where(home, mine, 0)
+            again = np.repeat(np.arange(len(key)), n - first)
+            tile = np.arange(len(again)) - np.repeat(np.cumsum(n - first) - (n - first), n - first) + first[again]
+            yield key[again], tile.astype(np.int32), rows[again], home[again] & (tile == mine[again])
+
+
 def hamming_forest(fps: DataFrame, radius: int) -> DataFrame:
     """(fp, other, distance): links that connect all distinct fingerprints within ``radius``."""
     seeds = [r.fp for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SEEDS).collect()]
-    sample = np.array(seeds, np.int64).view(np.uint64)
-    parts = trees(radius)
-    grown = [Tree(sample, levels, reach, DEEP if len(parts) == 1 else SHALLOW) for levels, reach in parts]
+    shards = Shards(np.array(seeds, np.int64).view(np.uint64), radius, fps.count())
+
+    def unsigned(b: pa.RecordBatch) -> np.ndarray:
+        return np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
 
     def count(batches):
-        n = [np.zeros(t.leaves, np.int64) for t in grown]
         for b in batches:
-            own = np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
-            for tree, t in enumerate(grown):
-                for leaf, rows, _ in t.visits(own, queries=False):
-                    n[tree][leaf] += len(rows)
-        for tree, x in enumerate(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["tree", "shard", "n"])
+            for key, rows, _ in shards.visits(unsigned(b), queries=False):
+                if len(key):
+                    k, n = np.unique(key, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    # one row for each shard, of which there is a fixed number, reaches the driver
-    homes = fps.select("fp").mapInArrow(count, "tree int, shard int, n long").groupBy("tree", "shard").agg(F.sum("n").alias("n")).collect()
-    tiles = {(r.tree, r.shard): -(-r.n // TILE_ROWS) or 1 for r in homes}
+    # only buckets of more than twice TILE_ROWS reach the driver: at most a row for so many fingerprints
+    large = fps.select("fp").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * TILE_ROWS).collect()
+    shards.tiles = {r.key: -(-r.n // TILE_ROWS) for r in large}
 
     def spread(batches):
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False)
-            own = np.ascontiguousarray(fp).view(np.uint64)
-            for tree, t in enumerate(grown):
-                for leaf, rows, home in t.visits(own):
-                    n = tiles.get((tree, leaf), 1)
-                    mine = (own[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
-                    for tile in range(n):
-                        # a fingerprint of this shard searches the tiles behind its own, a query all
-                        go = np.flatnonzero(~home | (mine <= tile))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(go), x, np.int32)) for x in (tree, leaf, tile)] + [pa.array(fp[rows[go]]), pa.array((home & (mine == tile))[go])], names=["tree", "shard", "tile", "fp", "home"]
-                        )
+            own = unsigned(b)
+            for key, tile, rows, home in shards.sent(own):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(tile), pa.array(own[rows].view(np.int64)), pa.array(home)], names=["key", "tile", "fp", "home"])
 
     def search(t: pa.Table) -> pa.Table:
         fp = t.column("fp").to_numpy().view(np.uint64)
         home = t.column("home").to_numpy()
-        tree = grown[t.column("tree")[0].as_py()]
-        a, b, d = shard_links(fp[home], fp[~home], tree.levels, tree.vantage, tree.reach, radius)
+        tree, part = shards.place(t.column("key")[0].as_py())
+        a, b, d = shard_links(fp[home], fp[~home], tree.levels, tree.vantage, tree.reach, radius, part)
         return pa.table({"fp": a.view(np.int64), "other": b.view(np.int64), "distance": d.astype(np.int32)})
 
-    sent = fps.select("fp").mapInArrow(spread, "tree int, shard int, tile int, fp long, home boolean")
-    return sent.groupBy("tree", "shard", "tile").applyInArrow(search, "fp long, other long, distance int")
+    sent = fps.select("fp").mapInArrow(spread, "key long, tile int, fp long, home boolean")
+    return sent.groupBy("key", "tile").applyInArrow(search, "fp long, other long, distance int")
 
 
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -329,9 +382,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return attach(own, found, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the shingles most frequent in a sample of about SAMPLE texts, by hash.
-    They only order shingles, so the sample decides how many candidates there are, not which links are found."""
+def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, counts) of the shingles most frequent in a sample of about SAMPLE texts, by hash, and how many rows a sampled one stands for.
+    They only order and deal shingles, so the sample decides how many candidates there are, not which links are found."""
 
     def run(batches):
         for b in batches:
@@ -343,10 +396,18 @@ def common_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     top = seen.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
     h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order], part
+
 
+def hot_shingles(common: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(narrow hashes, tiles) of shingles that may have more than ENTRIES entries, by the sample."""
+    h, n, part = common
+    tiles = -(-n * part // ENTRIES)
+    h, first = np.unique(h[tiles > 1] & np.uint64(2**48 - 1), return_index=True)
+    return h, tiles[tiles > 1][first]
 
-def rarest(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+
+def rarest(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray, int], similarity: float) -> np.ndarray:
     """The prefix of a shingle set (sorted) in the order of (frequency, hash): two sets of Jaccard
     ``similarity`` or more have a shingle in common within both prefixes."""
     if not len(grams):
@@ -370,9 +431,8 @@ def widen(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def profiles(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+def profiles(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
     """(id, fp, n, digest, prefix): SimHash, and size, digest and prefix of the set of shingles."""
-    common = common_shingles(rows, width)
 
     def run(batches):
         for b in batches:
@@ -425,43 +485,108 @@ def neighbours(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray
     return out[:, 0], out[:, 1]
 
 
-def meetings(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def reach_of(n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """The largest size of a set that can have Jaccard ``similarity`` with a set of size ``n`` if
+    their first shingle in common is at ``place`` of the latter."""
+    return np.floor(np.minimum((n - place) * (1 + similarity) / similarity - n, n / similarity) + 1e-6).astype(np.int64)
+
+
+def met(x: np.ndarray, similarity: float) -> np.ndarray:
+    """Entries that can name the smaller set of a pair: those whose reach covers their own size."""
+    return reach_of(x["n"], x["place"], similarity) >= x["n"]
+
+
+def unique_pairs(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros((0, 2), np.int64), *parts]), axis=0)
+
+
+def meetings(x: np.ndarray, similarity: float, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids (smaller, larger) of different components that share a shingle in ``x`` and
-    that sizes and places do not rule out.
+    that sizes and places do not rule out; with ``home``, those whose larger set (by size, then id) is marked there.
 
     Nothing of the required Jaccard is lost: the first shingle in common has at most
-    min(size - place) in common from there on."""
-    x = x[np.lexsort((x["id"], x["comp"], x["gram"]))]
-    new = np.ones(len(x), bool)
-    new[1:] = x["gram"][1:] != x["gram"][:-1]
-    run = new.copy()
-    run[1:] |= x["comp"][1:] != x["comp"][:-1]
-    ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], len(x)), np.diff(np.append(np.flatnonzero(first), len(x))))
-    at, end = ends(run), ends(new)  # partners of an entry: from the end of its component to that of its shingle
-    i = np.flatnonzero(at < end)
-    at, end = at[i], end[i]
-    found: set[tuple[int, int]] = set()
-    size = np.cumsum(end - at)
-    cut = 0
-    while cut < len(i):  # expand ranges to pairs in bounded pieces
-        stop = max(cut + 1, int(np.searchsorted(size, (size[cut - 1] if cut else 0) + CHUNK, "right")))
-        m = end[cut:stop] - at[cut:stop]
-        a = x[np.repeat(i[cut:stop], m)]
-        b = x[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(at[cut:stop], m)]
-        least_ = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6
-        ok = np.minimum(a["n"] - a["place"], b["n"] - b["place"]) >= least_
-        a, b = a["id"][ok], b["id"][ok]
-        found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-        cut = stop
-    out = np.array(sorted(found), np.int64).reshape(-1, 2)
+    min(size - place) in common from there on.  So every entry admits a range of sizes, and the
+    smaller set must lie early enough in its own order; only entries with a partner of another component in
+    range go on, and each lists either its range of sizes or the other components of its shingle, whichever is
+    shorter."""
+    order = np.lexsort((x["id"], x["n"], x["gram"]))
+    x = x[order]
+    home = np.ones(len(x), bool) if home is None else home[order]
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gram = np.cumsum(np.append(False, x["gram"][1:] != x["gram"][:-1])).astype(np.int64)
+    by_comp = np.lexsort((x["comp"], gram))
+    run = np.empty(len(x), np.int64)  # number of an entry's (shingle, component)
+    run[by_comp] = np.cumsum(np.append(False, (gram[by_comp][1:] != gram[by_comp][:-1]) | (x["comp"][by_comp][1:] != x["comp"][by_comp][:-1])))
+    n, reach = x["n"].astype(np.int64), reach_of(x["n"], x["place"], similarity)
+    least_ = np.ceil(similarity * n - 1e-6).astype(np.int64)
+    wide = int(max(n.max(), reach.max())) + 2
+
+    small = np.flatnonzero(met(x, similarity))  # in the order of shingle, size and id
+    sized = gram[small] * wide + n[small]
+    comps = small[np.argsort(run[small] * wide + n[small], kind="stable")]
+    sized_in_comp = run[comps] * wide + n[comps]
+    a = np.flatnonzero(home & (reach >= least_))
+    top = np.minimum(reach, n)[a]
+    lo, hi = np.searchsorted(sized, gram[a] * wide + least_[a]), np.searchsorted(sized, gram[a] * wide + top, "right")
+    own = np.searchsorted(sized_in_comp, run[a] * wide + top, "right") - np.searchsorted(sized_in_comp, run[a] * wide + least_[a])
+    go = hi - lo > own
+    a, lo, hi = a[go], lo[go], hi[go]
+    # the other components of the shingle: before and behind the entry's own
+    grams = gram[comps]
+    first, last = np.searchsorted(grams, gram[a]), np.searchsorted(grams, gram[a], "right")
+    mine, after = np.searchsorted(run[comps], run[a]), np.searchsorted(run[comps], run[a], "right")
+    others = (mine - first) + (last - after) < hi - lo
+    lists = [(small, a[~others], lo[~others], hi[~others]), (comps, a[others], first[others], mine[others]), (comps, a[others], after[others], last[others])]
+
+    found: list[np.ndarray] = []
+    held = 0
+    for partners, i, at, end in lists:
+        size = np.cumsum(end - at)
+        cut = 0
+        while cut < len(i):  # expand ranges to pairs in bounded pieces
+            stop = max(cut + 1, int(np.searchsorted(size, (size[cut - 1] if cut else 0) + CHUNK, "right")))
+            m = end[cut:stop] - at[cut:stop]
+            p = np.repeat(i[cut:stop], m)
+            q = partners[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(at[cut:stop], m)]
+            # q before p in the order of size and id; both reach the other's size
+            ok = (q < p) & (run[q] != run[p]) & (reach[p] >= n[q]) & (reach[q] >= n[p])
+            u, v = x["id"][p[ok]], x["id"][q[ok]]
+            found.append(np.column_stack([np.minimum(u, v), np.maximum(u, v)]))
+            held += len(u)
+            cut = stop
+            if held > 2_000_000:
+                found = [unique_pairs(found)]
+                held = 0
+    out = unique_pairs(found)
     return out[:, 0], out[:, 1]
 
 
-def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meetings) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meetings, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 2) -> DataFrame:
     """(a, b): every pair of rows (id, component, n, prefix) of different components that can have
     Jaccard ``similarity``, by prefix filtering (or those of `neighbours`); about ``entries`` shingles are dealt to buckets by
-    their hash."""
+    their hash.
+
+    ``hot`` are narrow hashes of shingles, sorted, that may have more entries than a bucket takes, and
+    tiles for each: an entry goes to one tile of its shingle, by its id, and only entries that can name the smaller set of a pair go to all."""
     buckets = max(16, entries // ENTRIES)
+    tiles = [np.int64(t) for t in hot[1]]
+    begin = np.cumsum([buckets, *tiles])  # buckets of hot shingles come behind the others
+
+    def tile_of(ids: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        return stirred(ids.view(np.uint64)) % n
+
+    def deal_hot(x: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(hot[0], x["gram"]), len(hot[0]) - 1)
+        is_hot = hot[0][at] == x["gram"]
+        n = np.array(tiles)[at]
+        tile = tile_of(np.ascontiguousarray(x["id"]), n)
+        bucket = np.where(is_hot, begin[at] + tile, bucket)
+        more = np.flatnonzero(is_hot & met(x, similarity))
+        again = np.repeat(more, n[more] - 1)
+        step = np.arange(len(again)) - np.repeat(np.cumsum(n[more] - 1) - (n[more] - 1), n[more] - 1)
+        others = begin[at[again]] + (tile[again] + 1 + step) % n[again]
+        return np.concatenate([x, x[again]]), np.concatenate([bucket, others])
 
     def deal(batches):
         for b in batches:
@@ -475,13 +600,20 @@ def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meet
                 x[name] = np.repeat(c.to_numpy(), size)
             x["place"] = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
             bucket = (x["gram"] % np.uint64(buckets)).astype(np.int64)
+            if len(tiles):
+                x, bucket = deal_hot(x, bucket)
             order = np.argsort(bucket, kind="stable")
             x, bucket = x[order], bucket[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([squeeze(p) for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "entries"])
 
     def meet(t: pa.Table) -> pa.Table:
-        a, b = pair_up(np.concatenate([expand(e.as_py()) for e in t.column("entries")]), similarity)
+        x, bucket = np.concatenate([expand(e.as_py()) for e in t.column("entries")]), t.column("bucket")[0].as_py()
+        if bucket >= buckets and pair_up is meetings:
+            shingle = int(np.searchsorted(begin, bucket, "right")) - 1
+            a, b = pair_up(x, similarity, tile_of(np.ascontiguousarray(x["id"]), tiles[shingle]) == bucket - begin[shingle])
+        else:
+            a, b = pair_up(x, similarity)
         return pa.table({"a": a, "b": b})
 
     dealt = nodes.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket long, entries binary")
@@ -535,7 +667,8 @@ def jaccard_near_duplicates(
     with a null id are in no group.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
-    own = materialize(profiles(rows, width, similarity), "near-profiles")
+    common = common_shingles(rows, width)
+    own = materialize(profiles(rows, width, similarity, common), "near-profiles")
     groups = materialize(own.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-equal")
     sets = groups.select(F.col("least").alias("id"))  # one of each group goes on
     prints = materialize(own.select("id", "fp").join(sets, "id", "left_semi"), "near-prints")
@@ -546,11 +679,12 @@ def jaccard_near_duplicates(
     pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
     near = components(similar(rows, pairs, width, similarity), "near-components")
     entries = (own.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 6
+    hot = hot_shingles(common)
 
     def apart(found: DataFrame, pair_up) -> DataFrame:
         """Candidates between the groups found so far."""
         placed = sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        return prefix_pairs(own.select("id", "n", "prefix").join(placed, "id"), similarity, entries, pair_up)
+        return prefix_pairs(own.select("id", "n", "prefix").join(placed, "id"), similarity, entries, pair_up, hot)
 
     def joined(found: DataFrame, candidates: DataFrame) -> DataFrame:
         links = similar(rows, candidates, width, similarity).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))

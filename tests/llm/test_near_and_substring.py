@@ -102,6 +102,59 @@ def test_rows_sent_per_fingerprint_do_not_grow():
             assert sum(home) == len(fp) and max(home) < 6 * len(fp) / t.leaves
 
 
+@pytest.mark.parametrize("radius,sizes", [(2, (10**6, 10**9, 25 * 10**9)), (11, (10**6, 10**8))])
+def test_rows_sent_through_buckets_and_tiles_do_not_grow(radius, sizes):
+    """Counts of buckets at large sizes are those of a sample, scaled."""
+    rnd = np.random.default_rng(5)
+    fp = rnd.integers(0, 2**64, 1_000_000, dtype=np.uint64)
+    rates = []
+    for total in sizes:
+        shards = sh.Shards(fp[: sh.SEEDS], radius, total)
+        keys, n = np.unique(np.concatenate([k for k, _, _ in shards.visits(fp, queries=False)]), return_counts=True)
+        n = n * (total // len(fp))
+        shards.tiles = {k: -(-m // sh.TILE_ROWS) for k, m in zip(keys.tolist(), n.tolist()) if m > 2 * sh.TILE_ROWS}
+        rates.append(sum(len(rows) for _, _, rows, _ in shards.sent(fp[:20_000])) / 20_000)
+    assert max(rates) < 1.1 * min(rates) and max(rates) < 32
+
+
+def brute_meetings(x, similarity=0.8):
+    out = set()
+    for a, b in itertools.combinations(x.tolist(), 2):
+        if a[0] == b[0] and a[2] != b[2] and min(a[3] - a[4], b[3] - b[4]) >= similarity / (1 + similarity) * (a[3] + b[3]) - 1e-9 and min(a[3], b[3]) >= similarity * max(a[3], b[3]) - 1e-9:
+            out.add((min(a[1], b[1]), max(a[1], b[1])))
+    return out
+
+
+def test_meetings_against_brute_force():
+    rnd = np.random.default_rng(6)
+    for comps in (3, 40, 10**6):
+        x = np.zeros(600, sh.ENTRY)
+        x["gram"], x["id"], x["n"] = rnd.integers(0, 4, 600), np.arange(600), rnd.integers(1, 60, 600)
+        x["comp"], x["place"] = rnd.integers(0, comps, 600), (rnd.random(600) * 0.2 * x["n"]).astype(int)
+        want = brute_meetings(x)
+        assert want and set(zip(*(c.tolist() for c in sh.meetings(x, 0.8)))) == want
+        part = x["id"] % 3
+        tiled = [set(zip(*(c.tolist() for c in sh.meetings(x[(part == t) | sh.met(x, 0.8)], 0.8, part[(part == t) | sh.met(x, 0.8)] == t)))) for t in range(3)]
+        assert set.union(*tiled) == want and sum(map(len, tiled)) == len(want)
+
+
+def test_meetings_of_a_template_make_no_pairs():
+    """Texts that share 85 of 100 shingles: six shared ones in each prefix, and no pair to list."""
+    x = np.zeros(6 * 100_000, sh.ENTRY)
+    x["gram"], x["id"] = np.repeat(np.arange(6), 100_000), np.tile(np.arange(100_000), 6)
+    x["comp"], x["n"], x["place"] = x["id"], 100, 15 + x["gram"]
+    assert len(sh.meetings(x, 0.8)[0]) == 0
+
+
+def test_hot_shingles_in_tiles_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(sh, "ENTRIES", 3)
+    monkeypatch.setattr(sh, "fold", lambda h: 0)
+    rows = near_rows()
+    assert len(sh.hot_shingles(sh.common_shingles(spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id id", "text t"), 5))[0])
+    got = {r.doc_id: r.component for r in sh.jaccard_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_near(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in sh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
