@@ -259,3 +259,26 @@ def test_mixing_stage_emits_each_row_by_itself(spark):
     assert len(got) == total and all(got.count(r) <= 2 * ROWS.count(r) for r in set(got))
     assert stage(spark, pipeline, 3, [], "") == []
     assert len(stage(spark, pipeline, 4, ROWS, "")) == len(ROWS) and stage(spark, pipeline, 4, [], "") == []
+
+
+def test_stages_chained_without_writing(spark):
+    """Tables go only when nothing reads them, and columns may have the names that stages use inside."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clash = [F.lit(c).alias(c) for c in ("__row", "__copy", "__copies")]
+    docs = spark.createDataFrame(ROWS, DOCS).select("*", *clash)
+    once = pipeline.drop_near_copies(spark, pipeline.drop_copies(spark, docs, ""), "")
+    more = pipeline.mix_sources(spark, once, "")
+    assert once.columns == more.columns == docs.columns
+    got = sorted(map(tuple, once.collect()), key=str)
+    assert got == [(*r, "__row", "__copy", "__copies") for r in stage(spark, pipeline, 2, [r[:6] for r in map(tuple, pipeline.drop_copies(spark, docs, "").collect())], "")]
+    assert {tuple(r) for r in more.collect()} <= set(got)
+
+
+def test_runs_in_one_session_do_not_share_tables(spark, labelled):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    at, learn = labelled
+    spark.createDataFrame(ROWS + learn, DOCS).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    first = pipeline.run(spark, at)
+    pipeline.drop_copies(spark, spark.createDataFrame(ROWS, DOCS), "")
+    second = pipeline.run(spark, at)
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect())) and first.count()
