@@ -5,8 +5,12 @@ adjacent pair re-encodes to itself.  That is a max-plus (tropical) path problem
 (compatible) and minus infinity: a state is the last piece and where it ends, and one path
 survives.  A giant document is cut into chunks.  For each chunk, in parallel, a transfer
 matrix maps every state that may straddle its left edge to the states that straddle its right
-edge; the matrices are combined associatively along the document; then the surviving states
-fix where each chunk's pieces begin and end, and every chunk is traced back on its own.
+edge.  The matrices are combined in a tree: products of ``fan`` neighbours, level by level up to one matrix a document,
+then down again, where the states at the two edges of a node fix those between its children.  So no task
+holds more than ``fan`` matrices of a document, however long it is, and every chunk is traced back on its own
+between its two states.
+
+The vocabulary is expected to leave one path.  Where it does not (none, or several), the document is encoded as one text.
 
 A document of one chunk has the single entry state "start of text", so its trace-back is the
 encoding itself and needs no matrix.
@@ -14,7 +18,7 @@ encoding itself and needs no matrix.
 
 from __future__ import annotations
 
-import itertools
+import functools
 import json
 from collections import defaultdict
 
@@ -67,6 +71,7 @@ class Codec:
         self.chars = {c for p in pieces for c in p}
         self.longest = max(map(len, pieces), default=1)
         self.memo: dict[tuple[str, str], bool] = {}
+        self.ids: dict[str, list[int]] = {}
 
     def follows(self, a: str, b: str) -> bool:
         """Whether piece b may stand after piece a ("": nothing) in an encoding."""
@@ -124,26 +129,65 @@ class Codec:
                             out[e].add((i, t))
         return {e: frozenset(x) for e, x in out.items() if x}
 
+    def trace(self, norm: str, base: int, p: int, q: int, end: int, entry: State, leaves: State) -> list[int] | None:
+        """Ids of the pieces after ``entry`` up to ``leaves`` in the chunk of `transfer`; None unless there is just one path."""
+        ends = self.matches(norm)
+        nodes: dict[int, dict[str, list[str]]] = defaultdict(dict)  # place -> piece -> pieces before it
+        nodes[entry[0]][entry[1]] = []
+        for i in range(p + 1, min(q + self.longest, end + 1)):
+            for t in ends.get(i - base, ()):
+                s = i - len(t)
+                if p <= s < q and s in nodes and (before := [r for r in nodes[s] if self.follows(r, t)]):
+                    nodes[i][t] = before
+        path, at = [], tuple(leaves)
+        while at != tuple(entry):
+            before = nodes.get(at[0], {}).get(at[1], ())
+            if len(before) != 1:
+                return None
+            path.append(at[1])
+            at = (at[0] - len(at[1]), before[0])
+        return [i for piece in reversed(path) for i in self.spelt(piece)]
+
+    def spelt(self, piece: str) -> list[int]:
+        """The id of a piece, or the bytes of a character outside the vocabulary."""
+        got = self.ids.get(piece)
+        if got is None:
+            got = self.ids[piece] = self.fragment(piece) if piece[0] not in self.chars else [self.sp.piece_to_id(piece)]
+        return got
+
 
 def combine(a: Matrix, b: Matrix) -> Matrix:
     """Max-plus product; associative."""
     return {e: out for e, mid in a.items() if (out := frozenset().union(*(b.get(m, frozenset()) for m in mid)))}
 
 
-def cuts(matrices: list[Matrix], end: int) -> list[int]:
-    """Where the pieces of each chunk begin, and the end: from prefix products of the matrices."""
-    prefix = list(itertools.accumulate(matrices, combine))
-    states = [s for s in prefix[-1].get((0, ""), ()) if s[0] == end]
-    if len(states) != 1:
-        raise ValueError(f"{len(states)} encodings reach the end")
-    at = [states[0]]
-    for k in range(len(matrices) - 1, -1, -1):
-        before = prefix[k - 1].get((0, ""), frozenset()) if k else frozenset([(0, "")])
-        came = [s for s in before if at[-1] in matrices[k].get(s, ())]
+def between(matrices: list[Matrix], entry: State, leaves: State) -> list[State] | None:
+    """The states at the edges of neighbouring matrices, from ``entry`` to ``leaves``; None unless there is just one path of them."""
+    reached = [frozenset([entry])]
+    for m in matrices:
+        reached.append(frozenset().union(*(m.get(s, frozenset()) for s in reached[-1])))
+    if leaves not in reached[-1]:
+        return None
+    at = [leaves]
+    for m, before in zip(reversed(matrices), reversed(reached[:-1])):
+        came = [s for s in before if at[-1] in m.get(s, ())]
         if len(came) != 1:
-            raise ValueError(f"{len(came)} encodings cross a chunk")
+            return None
         at.append(came[0])
-    return [c for c, _ in reversed(at)]
+    return at[::-1]
+
+
+def only_end(m: Matrix, end: int) -> State | None:
+    """The state that a whole text of ``end`` characters ends in, if there is just one."""
+    states = [s for s in m.get((0, ""), ()) if s[0] == end]
+    return states[0] if len(states) == 1 else None
+
+
+def cuts(matrices: list[Matrix], end: int) -> list[int] | None:
+    """Where the pieces of each chunk of one text begin, and the end."""
+    last = only_end(functools.reduce(combine, matrices), end)
+    states = last and between(matrices, (0, ""), last)
+    return states and [c for c, _ in states]
 
 
 def pack(m: Matrix) -> str:
@@ -164,18 +208,21 @@ def _slices(texts: pa.Array, most: int = 1_000_000):
         at = to
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = 65_536, reach: int = 64) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = 65_536, reach: int = 64, fan: int = 16) -> DataFrame:
     """One row per input row: id, n_tokens, token_ids, round_trip (decoding gives the text).
 
     Null and empty texts have no tokens and decode to the empty text.  Texts longer than
     ``chunk`` characters go through the scan; results do not depend on ``chunk``.  ``reach``
-    is the context around a chunk and must exceed the longest piece.  Repeated rows are
+    is the context around a chunk and must exceed the longest piece; ``fan`` matrices are multiplied in
+    one task.  Repeated rows are
     encoded one by one, null ids pass through, extra columns are ignored, and an empty table
     gives no rows.  A text that holds U+2581 is encoded as if that were a blank, as the
     library does, and so has round_trip false.
     """
     if chunk < reach:
         raise ValueError("chunk must be at least reach")
+    if fan < 2:
+        raise ValueError("fan must be at least 2")
     proto = open(model, "rb").read()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -211,28 +258,75 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 out.append(pack(codec.transfer(part, lo, k * chunk, min(end, (k + 1) * chunk), end)))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(out, pa.string())], names=["row", "end", "k", "matrix"])
 
-    def settle(t: pa.Table) -> pa.Table:
+    chunks = parts.agg(F.max("k")).first()[0]
+    if chunks is None:
+        return small.withColumnRenamed("id", id_col)
+
+    def product(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        m = functools.reduce(combine, map(unpack, t.column("matrix").to_pylist()))
+        return pa.table({"row": t.column("row")[:1], "end": t.column("end")[:1], "k": pa.array([t.column("k")[0].as_py() // fan], pa.int32()), "matrix": [pack(m)]})
+
+    def edges(batches):
+        for b in batches:
+            last = [only_end(unpack(m), end) for m, end in zip(b.column(3).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([json.dumps((0, ""))] * b.num_rows), pa.array([x and json.dumps(x) for x in last], pa.string())], names=["row", "node", "enters", "leaves"]
+            )
+
+    def opened(t: pa.Table) -> pa.Table:
         t = t.sort_by("k")
-        c = cuts([unpack(x) for x in t.column("matrix").to_pylist()], t.column("end")[0].as_py())
-        return pa.table({"row": t.column("row"), "k": t.column("k"), "lo": pa.array(c[:-1], pa.int32()), "hi": pa.array(c[1:], pa.int32())})
+        enters, leaves = (t.column(c)[0].as_py() for c in ("enters", "leaves"))
+        at = leaves and between([unpack(x) for x in t.column("matrix").to_pylist()], tuple(json.loads(enters)), tuple(json.loads(leaves)))
+        states = [json.dumps(x) for x in at] if at else [None] * (t.num_rows + 1)
+        return pa.table({"row": t.column("row"), "node": t.column("k"), "enters": pa.array(states[:-1], pa.string()), "leaves": pa.array(states[1:], pa.string())})
 
     def trace(batches):
         codec = Codec(proto)
         for b in batches:
             ids, same = [], []
-            for base_, literal, part, lo, hi in zip(*(b.column(i).to_pylist() for i in range(3, 8))):
-                text = part[lo - base_ : hi - base_]
-                ids.append(codec.fragment(text))
-                same.append(not literal and codec.fragment_text(ids[-1]) == text)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["id", "row", "k", "ids", "same"])
-
-    matrices = parts.mapInArrow(matrix, "row long, end int, k int, matrix string")
-    found = matrices.groupBy("row").applyInArrow(settle, "row long, k int, lo int, hi int")
-    traced = parts.join(found, ["row", "k"]).select("id", "row", "k", "base", "literal", "part", "lo", "hi").mapInArrow(trace, "id long, row long, k int, ids array<int>, same boolean")
-    giant = traced.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"), F.min("same").alias("same"))
+            for end, k, lo, literal, part, enters, leaves in zip(*(b.column(i).to_pylist() for i in range(2, 9))):
+                got = None
+                if leaves is not None:
+                    codec.automaton or codec._prepare()
+                    enters, leaves = tuple(json.loads(enters)), tuple(json.loads(leaves))
+                    got = codec.trace(part, lo, k * chunk, min(end, (k + 1) * chunk), end, enters, leaves)
+                ids.append(got)
+                same.append(got is not None and not literal and codec.fragment_text(got) == part[enters[0] - lo : leaves[0] - lo])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=["id", "row", "k", "ids", "same"])
+
+    node = F.floor(F.col("k") / fan).cast("int")
+    tree = [materialize(parts.mapInArrow(matrix, "row long, end int, k int, matrix string"), "piece-matrices")]
+    while chunks > 0:
+        chunks //= fan
+        tree.append(materialize(tree[-1].groupBy("row", node.alias("node")).applyInArrow(product, "row long, end int, k int, matrix string"), "piece-matrices"))
+    states = tree.pop().mapInArrow(edges, "row long, node int, enters string, leaves string")
+    for level in reversed(tree):
+        children = level.withColumn("node", node).join(states, ["row", "node"])
+        states = children.groupBy("row", "node").applyInArrow(opened, "row long, node int, enters string, leaves string")
+    found = states.withColumnRenamed("node", "k")
+    placed = parts.join(found, ["row", "k"]).select("id", "row", "end", "k", "base", "literal", "part", "enters", "leaves")
+    traced = materialize(placed.mapInArrow(trace, "id long, row long, k int, ids array<int>, same boolean"), "piece-traced")
+    stray = traced.groupBy("row").agg(F.bool_or(F.col("ids").isNull()).alias("stray")).filter("stray").select("row")
+    giant = traced.join(stray, "row", "left_anti").groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"), F.min("same").alias("same"))
     giant = giant.select("row", "id", F.flatten(F.transform("x", lambda p: p.ids)).alias("token_ids"), "same")
     giant = giant.select("id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.col("same").alias("round_trip"))
-    return small.unionByName(giant).withColumnRenamed("id", id_col)
+    # texts of another number of paths are put together again, without the first blank
+    own = F.substring("part", F.col("k") * chunk - F.col("base") + 1, F.lit(chunk))
+    again = parts.join(stray, "row").groupBy("row").agg(F.first("id").alias("id"), F.first("literal").alias("literal"), F.array_sort(F.collect_list(F.struct("k", own.alias("own")))).alias("x"))
+    again = again.select("id", F.translate(F.expr("substring(array_join(transform(x, p -> p.own), ''), 2)"), BLANK, " ").alias("text"), "literal")
+    rest = again.select("id", "text", "literal").mapInArrow(lambda bs: with_literal(bs, whole), schema)
+    return small.unionByName(giant).unionByName(rest).withColumnRenamed("id", id_col)
+
+
+def with_literal(batches, encode_batches):
+    """``encode_batches`` on (id, text); round_trip is false where a third column says that the text held U+2581 itself."""
+    for b in batches:
+        literal, at = b.column(2), 0
+        for out in encode_batches([b.select([0, 1])]):
+            same = pc.and_(out.column(3), pc.invert(literal.slice(at, out.num_rows)))
+            at += out.num_rows
+            yield pa.RecordBatch.from_arrays([*out.columns[:3], same], names=out.schema.names)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", model: str = MODEL) -> DataFrame:

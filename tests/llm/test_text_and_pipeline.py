@@ -64,6 +64,38 @@ def test_encode_and_decode(spark, codec, data):
     assert all(r.token_ids == codec.encode([texts[r.doc_id]])[0] for r in whole.collect())
 
 
+@pytest.mark.parametrize("chunk, fan", [(64, 2), (64, 3), (200, 16)])
+def test_tree_of_products_gives_the_librarys_encoding(spark, codec, chunk, fan):
+    texts = {1: "The thing, then; another 12345. " * 40, 2: "a" * 700, 3: "😀é\n word" * 60, 4: " " * 300, 5: "short", 6: "word ▁ " * 50}
+    docs = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r for r in pcod.encode(docs, chunk=chunk, fan=fan).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        assert got[i].token_ids == codec.encode([t])[0] and got[i].round_trip == ("▁" not in t)
+
+
+def test_trace_follows_the_matrices(codec):
+    norm = pcod.BLANK + "several words in a row, 😀 then some more of them".replace(" ", pcod.BLANK)
+    end, chunk = len(norm), 9
+    spans = [(p, min(end, p + chunk)) for p in range(0, end, chunk)]
+    ms = [codec.transfer(norm, 0, p, q, end) for p, q in spans]
+    states = pcod.between(ms, (0, ""), pcod.only_end(pcod.functools.reduce(pcod.combine, ms), end))
+    ids = [codec.trace(norm, 0, p, q, end, a, b) for (p, q), a, b in zip(spans, states, states[1:])]
+    assert sum(ids, []) == codec.fragment(norm)
+    assert pcod.between(ms, (0, ""), (end, "no piece")) is None and pcod.cuts([{}], 3) is None
+
+
+def test_texts_without_one_path_are_encoded_as_one(spark, codec, monkeypatch):
+    monkeypatch.setattr(pcod, "only_end", lambda m, end: None)
+    texts = {1: "words and words " * 30, 2: "with ▁ itself " * 40, 3: "\n  x" * 90}
+    docs = spark.createDataFrame([(i, t, "") for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r for r in pcod.encode(docs, chunk=100).collect()}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        assert got[i].token_ids == codec.encode([t])[0] and got[i].round_trip == ("▁" not in t)
+
+
+
 def test_schema_violations():
     s = {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": ["integer", "null"], "minimum": 1}, "b": {"type": "array", "items": {"enum": ["x"]}, "maxItems": 1}, "c": {"type": "string", "pattern": "^q", "maxLength": 2}}}
     assert cf.violations({"a": 1}, s) == [] and cf.violations({"a": None, "b": ["x"], "c": "q"}, s) == []
