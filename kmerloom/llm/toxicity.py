@@ -485,6 +485,8 @@ def toxicity(
     text with a word of any example is searched; others (null and empty ones too) have no
     neighbour and score the calibrated rate of toxic examples without a selected term.  The
     driver holds the hashes of the examples' words and the compressed examples, both bounded by the sample.
+    An example finds itself among its neighbours, while the calibration leaves each one out: scores of labelled training rows
+    are surer than those of other rows.  A null id has a null held_out.
     Repeated rows score alike.  Of a labelled id that several rows have, the smallest text is the
     example; of contradictory labels 1 counts.  Labels without a document and null labels are
     ignored, an empty table gives no rows, and without labels every score is one half.
