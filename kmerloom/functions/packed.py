@@ -44,12 +44,19 @@ def canonical_windows(seq: bytes, k: int) -> tuple[np.ndarray | None, np.ndarray
         seen = np.concatenate([[0], np.cumsum(bad)])
         whole = seen[k:] == seen[:n]
         code = np.where(bad, 0, code).astype(np.uint8)
+    high, low = canonical_of(code, k)
+    return None if high is None else high[whole], low[whole]
+
+
+def canonical_of(code: np.ndarray, k: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """(high, low) words of every window of ``k`` of at least ``k`` base codes (0 to 3)."""
     if k <= NARROW:
-        return None, np.minimum(*strands(code, k))[whole]
+        return None, np.minimum(*strands(code, k))
+    n = len(code) - k + 1
     (a, b), (low, back) = strands(code, k - 32), strands(code, 32)
     f, r = (a[:n], low[k - 32 :]), (b[32 : 32 + n], back[:n])
     swap = (r[0] < f[0]) | (r[0] == f[0]) & (r[1] < f[1])
-    return np.where(swap, r[0], f[0])[whole], np.where(swap, r[1], f[1])[whole]
+    return np.where(swap, r[0], f[0]), np.where(swap, r[1], f[1])
 
 
 def distinct(high: np.ndarray | None, low: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
@@ -74,3 +81,93 @@ def words(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(high, low) of 16-byte records; a rest of fewer bytes is ignored."""
     x = np.frombuffer(content, ">u8", len(content) // 16 * 2).astype(U).reshape(-1, 2)
     return x[:, 0], x[:, 1]
+
+
+# Runs: neighbouring k-mers with one minimizer, stored as the bases that hold them.
+
+#: The longest minimizer, and k-mers of a run at most (their number is one byte).
+LONGEST_MINIMIZER, LONGEST_RUN = 12, 192
+
+
+def minimizer_length(k: int) -> int:
+    return min(LONGEST_MINIMIZER, (k + 1) // 2)
+
+
+def _mixed_words(code: np.ndarray, m: int) -> np.ndarray:
+    """The canonical words of ``m`` bases in another order (one to one), in which poor sequence does not come first."""
+    x, mask = np.minimum(*strands(code, m)), U((1 << 2 * m) - 1)
+    x = x * U(0x9E3779B97F4A7C15) & mask
+    return (x ^ x >> U(m)) * U(0xBF58476D1CE4E5B9) & mask
+
+
+def minimizers(code: np.ndarray, k: int) -> np.ndarray:
+    """The least mixed word of every window of ``k`` base codes: equal for equal canonical k-mers."""
+    m = minimizer_length(k)
+    h, width, size = _mixed_words(code, m), 1, k - m + 1
+    while width < size:
+        step = min(width, size - width)
+        h, width = np.minimum(h[: len(h) - step], h[step:]), width + step
+    return h
+
+
+def minimizers_of(high: np.ndarray | None, low: np.ndarray, k: int) -> np.ndarray:
+    """The same of packed k-mers."""
+    code = np.empty((len(low), k), np.uint8)
+    for i in range(k):
+        word, at = (low, i) if i < 32 else (high, i - 32)
+        code[:, k - 1 - i] = word >> U(2 * at) & U(3)
+    return minimizers(code.ravel(), k)[::k] if len(low) else np.zeros(0, U)
+
+
+def runs(seq: bytes, k: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct k-mers, minimizers, byte offsets, bytes) of the runs that hold every distinct canonical ACGT
+    k-mer of ``seq`` once.  A run is a byte with its number of k-mers and their bases, four a byte."""
+    code = _CODE[np.frombuffer(seq, np.uint8)]
+    n = len(code) - k + 1
+    if k <= 0 or n <= 0:
+        return 0, np.zeros(0, U), np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    seen = np.concatenate([[0], np.cumsum(code == 4)])
+    code[code == 4] = 0
+    high, low = canonical_of(code, k)
+    order = np.argsort(low, kind="stable") if high is None else np.lexsort((low, high))
+    order = order[(seen[k:] == seen[:n])[order]]
+    new = np.ones(len(order), bool)
+    new[1:] = low[order[1:]] != low[order[:-1]]
+    if high is not None:
+        new[1:] |= high[order[1:]] != high[order[:-1]]
+    keep = np.zeros(n, bool)
+    keep[order[new]] = True
+    least = minimizers(code, k)
+    joint = np.zeros(n, bool)  # goes on with the run of the window before
+    joint[1:] = keep[1:] & keep[:-1] & (least[1:] == least[:-1])
+    first = np.maximum.accumulate(np.where(joint, 0, np.arange(n)))
+    begin = np.flatnonzero(keep & ((np.arange(n) - first) % LONGEST_RUN == 0))
+    held = np.cumsum(np.append(0, keep))
+    number = np.diff(np.append(held[begin], held[-1]))
+    return int(held[-1]), least[begin], *_written(code, begin, number, k)
+
+
+def _written(code: np.ndarray, begin: np.ndarray, number: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    width = (number + k + 2) // 4  # bytes of number + k - 1 bases
+    at = np.append(0, np.cumsum(width))
+    base = np.repeat(begin - 4 * at[:-1], 4 * width) + np.arange(4 * at[-1])
+    four = np.append(code, np.zeros(4, np.uint8))[np.minimum(base, len(code))].reshape(-1, 4)
+    out = np.empty(at[-1] + len(begin), np.uint8)
+    offsets = at + np.arange(len(at))
+    body = np.ones(len(out), bool)
+    body[offsets[:-1]] = False
+    out[offsets[:-1]] = number
+    out[body] = four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]
+    return offsets, out
+
+
+def read_runs(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """(place of the run, high, low) of the k-mers of runs."""
+    if len(offsets) < 2:
+        return np.zeros(0, np.int64), None if k <= NARROW else np.zeros(0, U), np.zeros(0, U)
+    code = np.stack([data >> 6, data >> 4 & 3, data >> 2 & 3, data & 3], axis=1).ravel()
+    high, low = canonical_of(code, k)
+    number = data[offsets[:-1]].astype(np.int64)
+    run = np.repeat(np.arange(len(number)), number)
+    at = 4 * (offsets[:-1][run] + 1) + np.arange(len(run)) - np.repeat(np.cumsum(number) - number, number)
+    return run, None if high is None else high[at], low[at]

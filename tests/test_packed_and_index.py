@@ -153,3 +153,31 @@ def test_densify_of_one_register_in_16384_buckets(spark):
                 reg[b] = np.int64(r).view(np.uint64)
         want = kernels.densify(reg, p).view(np.int64).tolist()
         assert [r.rank for r in got.filter(F.col("id") == name).orderBy("bucket").collect()] == want
+
+
+@pytest.mark.parametrize("k", [1, 9, 31, 40, 64])
+def test_runs_hold_every_kmer_once(k):
+    rng = random.Random(k)
+    for letters in ("ACGT", "acgtACGTN", "A"):
+        for n in (0, k - 1, k, 300, 1000):
+            seq = "".join(rng.choice(letters) for _ in range(n))
+            size, least, offsets, data = packed.runs((seq + seq[: n // 2]).encode(), k)
+            run, high, low = packed.read_runs(offsets, data, k)
+            want = sorted(set(brute(seq + seq[: n // 2], k)))
+            assert size == len(want) and sorted(whole(high, low)) == want
+            assert (packed.minimizers_of(high, low, k) == least[run]).all()
+
+
+def test_index_takes_few_bytes_a_kmer_and_shuffles_none(spark, tmp_path):
+    """A row for each k-mer took at least eight bytes, and all of them were shuffled."""
+    from pathlib import Path
+
+    rng = random.Random(5)
+    seqs = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(20_000))) for i in range(8)], "id long, seq string").coalesce(2)
+    index = kmer_index.create_index(spark, str(tmp_path / "index"), 31, 4)
+    kmer_index.append(index, seqs, 1)
+    n = index.sizes.agg(F.sum("n")).first()[0]
+    files = list(Path(tmp_path / "index" / "postings").rglob("*.parquet"))
+    assert n == 8 * 19_970 and sum(f.stat().st_size for f in files) < 3 * n
+    assert len(files) > 4  # each task's own, none dealt
+    index.close()
