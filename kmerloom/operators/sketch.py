@@ -18,6 +18,14 @@ from ..params import BASE_SEEDS, SketchParams
 
 SKETCH = "num_buckets int, nonempty int, words array<long>"
 
+#: Numbers of words and registers that a task holds before it gives them on.
+HELD = 1 << 18
+
+
+def rows_held(width: int) -> int:
+    """Rows of ``width`` numbers each that are held at once."""
+    return max(1, HELD // max(1, width))
+
 
 def sketch_sequences(seqs: DataFrame, p: SketchParams, id_col: str = "id", segments_col: str = "segments", keep_values: bool = False) -> DataFrame:
     """(id, num_buckets, nonempty, words[, values]) of rows with an array of ACGT segments.
@@ -27,20 +35,26 @@ def sketch_sequences(seqs: DataFrame, p: SketchParams, id_col: str = "id", segme
     key = f"`{id_col}` {seqs.schema[id_col].dataType.simpleString()}"
     extra = ", values array<long>" if keep_values else ""
 
+    def batch(ids: pa.Array, words: list[np.ndarray], values: list[np.ndarray], full: list[int]) -> pa.RecordBatch:
+        n = len(full)
+        flat = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.concatenate(x)))
+        cols = [ids, pa.array(np.full(n, p.buckets), pa.int32()), pa.array(full, pa.int32()), flat(words, p.sketch_bits // 64)]
+        return pa.RecordBatch.from_arrays([*cols, *([flat(values, p.buckets)] if keep_values else [])], names=[id_col, "num_buckets", "nonempty", "words", *["values"] * keep_values])
+
+    most = rows_held(p.sketch_bits // 64 + p.buckets * keep_values)
+
     def run(batches):
+        known: dict[int, np.ndarray] = {}
         for b in batches:
-            words, values, full = [], [], []
-            for segs in b.column(1).to_pylist():
-                w, v, n = kernels.sketch([s.encode() for s in segs or ()], p)
-                words.append(w.view(np.int64))
-                values.append(v.view(np.int64))
-                full.append(n)
-            n = len(full)
-            flat = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
-            cols = [b.column(0), pa.array(np.full(n, p.buckets), pa.int32()), pa.array(full, pa.int32()), flat(words, p.sketch_bits // 64)]
-            if keep_values:
-                cols.append(flat(values, p.buckets))
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "num_buckets", "nonempty", "words", *["values"] * keep_values])
+            for at in range(0, b.num_rows, most):
+                words, values, full = [], [], []
+                for segs in b.column(1).slice(at, most):
+                    w, v, n = kernels.sketch([s.encode() for s in segs.as_py() or ()], p, known)
+                    words.append(w.view(np.int64))
+                    if keep_values:  # they are the larger part
+                        values.append(v.view(np.int64))
+                    full.append(n)
+                yield batch(b.column(0).slice(at, most), words, values, full)
 
     return seqs.select(id_col, segments_col).mapInArrow(run, f"{key}, {SKETCH}{extra}")
 
@@ -49,12 +63,17 @@ def registers_of(seqs: DataFrame, p: SketchParams, buckets: int, id_col: str = "
     """(id, values, nonempty): densified registers with a bucket count of their own."""
     key = f"`{id_col}` {seqs.schema[id_col].dataType.simpleString()}"
 
+    most = rows_held(buckets)
+
     def run(batches):
+        known: dict[int, np.ndarray] = {}
         for b in batches:
-            regs = [kernels.registers([s.encode() for s in segs or ()], p, buckets) for segs in b.column(1).to_pylist()]
-            full = [int((r != kernels.U(kernels.EMPTY)).sum()) for r in regs]
-            values = [kernels.densify(r, p).view(np.int64).tolist() for r in regs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.int64())), pa.array(full, pa.int32())], names=[id_col, "values", "nonempty"])
+            for at in range(0, b.num_rows, most):
+                regs = [kernels.registers([s.encode() for s in segs.as_py() or ()], p, buckets) for segs in b.column(1).slice(at, most)]
+                full = [int((r != kernels.U(kernels.EMPTY)).sum()) for r in regs]
+                flat = pa.array(np.concatenate([kernels.densify(r, p, known).view(np.int64) for r in regs]))
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1) * buckets, pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, most), values, pa.array(full, pa.int32())], names=[id_col, "values", "nonempty"])
 
     return seqs.select(id_col, segments_col).mapInArrow(run, f"{key}, values array<long>, nonempty int")
 

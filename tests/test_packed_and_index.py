@@ -5,6 +5,7 @@ import struct
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,24 @@ def test_index_takes_few_bytes_a_kmer_and_shuffles_none(spark, tmp_path):
     assert n == 8 * 19_970 and sum(f.stat().st_size for f in files) < 3 * n
     assert len(files) > 4  # each task's own, none dealt
     index.close()
+
+
+def test_kernels_hold_few_sketches_at_once(spark, monkeypatch):
+    """Registers of every row of an Arrow batch (10,000 rows) were held: 128 KB a row at 16,384 buckets."""
+    p = SketchParams(8192, 21, True, 0.9, "mix")
+    rng = random.Random(9)
+    rows = [(i, ["".join(rng.choice("ACGT") for _ in range(3000))] * (i % 3)) for i in range(40)] + [(40, None)]
+    seqs = spark.createDataFrame(rows, "id long, segments array<string>").coalesce(1)
+    assert sketch.rows_held(p.buckets + 128) * (p.buckets + 128) * 8 <= 1 << 21
+    got = sketch.sketch_sequences(seqs, p, keep_values=True).orderBy("id").collect()
+    regs = sketch.registers_of(seqs, p, p.buckets).orderBy("id").collect()
+    assert [r.id for r in got] == [r.id for r in regs] == list(range(41))
+    for i in (0, 1, 2, 14, 15, 16, 17, 39, 40):
+        words, values, full = kernels.sketch([s.encode() for s in rows[i][1] or ()], p)
+        assert got[i]["words"] == words.view(np.int64).tolist() and got[i]["values"] == regs[i]["values"] == values.view(np.int64).tolist() and got[i].nonempty == full
+    run = {}
+    monkeypatch.setattr(type(seqs), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
+    sketch.sketch_sequences(seqs, p, keep_values=True)
+    batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "segments": [r[1] for r in rows]})
+    held = [b.num_rows for b in run["f"](iter([batch]))]
+    assert sum(held) == 41 and max(held) <= 16
