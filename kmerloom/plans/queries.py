@@ -67,13 +67,13 @@ def kmer_revcomp(spark, d):
 
 
 def kmer_canonical(spark, d):
-    return kmers.explode_kmers(_seqs(spark, d, "documents"), 5).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmers.count_kmers(_seqs(spark, d, "documents"), 5)
 
 
 def kmer_distinct_count(spark, d):
     """Documents have one row each, so their sets are counted in the row."""
-    distinct = F.size(F.array_distinct(sq.canonical_kmers(F.col("seq"), K))).cast("long")
-    return _seqs(spark, d, "documents").select("id", sq.kmer_count(F.length("seq"), K).cast("long").alias("n_windows"), distinct.alias("n_distinct"))
+    rows = _seqs(spark, d, "documents").select(F.struct("id", sq.kmer_count(F.length("seq"), K).cast("long").alias("n_windows")).alias("row"), "seq")
+    return kmers.whole_set_sizes(rows, K, "row").select("row.id", "row.n_windows", F.col("n").alias("n_distinct"))
 
 
 def kmer_set_sizes(spark, d):
@@ -99,7 +99,7 @@ def kmer_packed_text(spark, d):
 
 def kmer_non_acgt_filter(spark, d):
     raw = spread(_table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.upper(F.col("text")).alias("seq"))
-    return kmers.kmer_sets(raw, 4, acgt_only=True, whole=True).groupBy("kmer").agg(F.count("*").alias("n"))
+    return kmers.count_kmers(raw, 4, distinct=True)
 
 
 def exact_jaccard_all_pairs(spark, d):

@@ -203,3 +203,24 @@ def test_kernels_hold_few_sketches_at_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"id": [r[0] for r in rows], "segments": [r[1] for r in rows]})
     held = [b.num_rows for b in run["f"](iter([batch]))]
     assert sum(held) == 41 and max(held) <= 16
+
+
+def test_counts_leave_tasks_summed_up(spark, monkeypatch):
+    """Every window was a row of strings; now a piece gives each k-mer once.  Sets and counts equal those of strings."""
+    monkeypatch.setattr(kmers, "PIECE", 50)
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ACGTACGTNac") for _ in range(i * 5))) for i in range(20)] + [(20, "ACGT" * 20), (21, None), (22, ""), (23, "ACG\u00e9ACGTA"), (24, "T" * 70)]
+    seqs = spark.createDataFrame(rows, "id long, seq string").repartition(3)
+    plan = kmers.count_kmers(seqs, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    plain = {}
+    for _, s in rows:
+        for i in range(len(s or "") - 2):
+            if set(w := s[i : i + 3]) <= set("ACGT"):
+                w = min(w, "".join(PAIR[c] for c in reversed(w)))
+                plain[w] = plain.get(w, 0) + 1
+    assert {r.kmer: r.n for r in kmers.count_kmers(seqs, 3).collect()} == plain
+    held = {w: sum(w in {min(s[i : i + 3], "".join(PAIR.get(c, "N") for c in reversed(s[i : i + 3]))) for i in range(len(s or "") - 2)} for _, s in rows) for w in plain}
+    assert {r.kmer: r.n for r in kmers.count_kmers(seqs, 3, distinct=True).collect()} == held
+    sizes = seqs.select("id", F.size(F.array_distinct(kmers.canonical_kmers(F.col("seq"), 3))).cast("long").alias("n"))
+    assert sorted(map(tuple, kmers.whole_set_sizes(seqs, 3).collect()), key=str) == sorted(map(tuple, sizes.collect()), key=str)
