@@ -49,6 +49,10 @@ SEEDS, CANDIDATES, DEEP, SHALLOW = 2_000, 12, 3, 2
 TILE_ROWS, CHUNK = 1_000_000, 400_000
 #: Texts sampled for frequent shingles, how many of these are told apart, and prefix entries in a bucket.
 SAMPLE, COMMON, ENTRIES = 4_000, 20_000, 250_000
+#: One shingle of so many (by its hash) is looked up in all sets, and those looked up together, about.
+PICK, LOOKED_UP = 3, 1_000_000
+#: Bits of the parity sketch of a set (a power of two).
+SKETCH = 512
 
 
 def hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -407,16 +411,39 @@ def hot_shingles(common: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray
     return h, tiles[tiles > 1][first]
 
 
-def rarest(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray, int], similarity: float) -> np.ndarray:
-    """The prefix of a shingle set (sorted) in the order of (frequency, hash): two sets of Jaccard
-    ``similarity`` or more have a shingle in common within both prefixes."""
+def prefix_size(n: int, similarity: float) -> int:
+    """Shingles in the prefix of a set of ``n``: in any order of all shingles, two sets of Jaccard ``similarity`` or more have
+    one in common within both prefixes."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def picked(grams: np.ndarray) -> np.ndarray:
+    """Which shingles are looked up in all sets."""
+    return (grams >> np.uint64(48)) % np.uint64(PICK) == 0
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of SKETCH cells, as words: a shingle that only one of two sets has flips one
+    bit, so sketches never differ in more bits than sets differ in shingles."""
+    cell = (grams >> np.uint64(32)).astype(np.int64) & (SKETCH - 1)
+    return np.packbits((np.bincount(cell, minlength=SKETCH) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches of the sets ``a`` and ``b`` (places in ``n`` and ``sketch``) allow Jaccard ``similarity``."""
+    most = (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-6
+    away = [np.bitwise_count(sketch[a[at : at + CHUNK]] ^ sketch[b[at : at + CHUNK]]).sum(axis=1, dtype=np.int64) for at in range(0, len(a), CHUNK)]
+    return np.concatenate([np.zeros(0, np.int64), *away]) <= most
+
+
+def rarest(grams: np.ndarray, common: tuple[np.ndarray, np.ndarray, int], size: int) -> np.ndarray:
+    """The first ``size`` shingles (sorted) in the order of (frequency, hash)."""
     if not len(grams):
         return grams
     rank = np.zeros(len(grams), np.int64)
     if len(common[0]):
         at = np.minimum(np.searchsorted(common[0], grams), len(common[0]) - 1)
         rank = np.where(common[0][at] == grams, common[1][at], 0)
-    size = len(grams) - math.ceil(similarity * len(grams) - 1e-9) + 1
     return grams[np.argsort(rank, kind="stable")[:size]]
 
 
@@ -432,24 +459,26 @@ def widen(raw: bytes) -> np.ndarray:
 
 
 def profiles(rows: DataFrame, width: int, similarity: float, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
-    """(id, fp, n, digest, prefix): SimHash, and size, digest and prefix of the set of shingles."""
+    """(id, fp, n, digest, sketch, picks, prefix): SimHash, size, digest and parities of the set of shingles, those that are looked
+    up, and of the others as many as a prefix takes."""
 
     def run(batches):
         for b in batches:
-            fp, n, digest, prefix = [], [], [], []
+            fp, n, digest, sketch, picks, prefix = [], [], [], [], [], []
             for t in b.column(1):
                 h = hashes(t.as_py(), width)
                 grams = np.unique(h)
                 fp.append(fold(h))
                 n.append(len(grams))
                 digest.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                prefix.append(narrow(rarest(grams, common, similarity)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())],
-                names=["id", "fp", "n", "digest", "prefix"],
-            )
+                sketch.append(parities(grams).tobytes())
+                mine, size = picked(grams), prefix_size(len(grams), similarity)
+                picks.append(narrow(rarest(grams[mine], common, len(grams))))
+                prefix.append(narrow(rarest(grams[~mine], common, size)))
+            raw = [pa.array(c, pa.binary()) for c in (digest, sketch, picks, prefix)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *raw], names=["id", "fp", "n", "digest", "sketch", "picks", "prefix"])
 
-    return rows.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id long, fp long, n int, digest binary, prefix binary")
+    return rows.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id long, fp long, n int, digest binary, sketch binary, picks binary, prefix binary")
 
 
 #: An element of a prefix: shingle, its set (id, component found so far, size) and its place there.
@@ -458,19 +487,93 @@ ENTRY = np.dtype([("gram", "u8"), ("id", "i8"), ("comp", "i8"), ("n", "i4"), ("p
 
 def squeeze(x: np.ndarray) -> bytes:
     """Entries as compressed byte planes of each field, which repeat themselves."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(x[f]).view(np.uint8).reshape(len(x), -1).T.tobytes() for f in ENTRY.names), 1)
+    return zstandard.compress(b"".join(np.ascontiguousarray(x[f]).view(np.uint8).reshape(len(x), x.dtype[f].itemsize).T.tobytes() for f in x.dtype.names), 1)
 
 
-def expand(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(ENTRY.itemsize, -1)
-    out, at = np.empty(planes.shape[1], ENTRY), 0
-    for f in ENTRY.names:
-        wide = ENTRY[f].itemsize
-        out[f] = np.ascontiguousarray(planes[at : at + wide].T).view(ENTRY[f]).ravel()
+def expand(raw: bytes, kind: np.dtype = ENTRY) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(kind.itemsize, -1)
+    out, at = np.empty(planes.shape[1], kind), 0
+    for f in kind.names:
+        wide = kind[f].itemsize
+        out[f] = np.ascontiguousarray(planes[at : at + wide].T).view(kind[f]).ravel()
         at += wide
     return out
 
 
+#: A shingle that is looked up and its set; a set and how many of these no other set has.
+PICKED, LONE = np.dtype([("gram", "u8"), ("id", "i8")]), np.dtype([("id", "i8"), ("lone", "i8")])
+
+
+def lone_picks(nodes: DataFrame, picks: int) -> DataFrame:
+    """(id, lone): of the looked-up shingles of each row (id, picks), how many no other row has; ids are unique and there are about
+    ``picks`` shingles.  A bucket of shingles answers each batch that asked, and a batch sums up its answers."""
+    buckets = max(16, picks // LOOKED_UP)
+
+    def ask(batches):
+        for b in batches:
+            grams = [widen(p.as_py()) for p in b.column(1)]
+            size = np.array([len(g) for g in grams])
+            if not size.sum():
+                continue
+            x = np.empty(size.sum(), PICKED)
+            x["gram"], x["id"] = np.concatenate(grams), np.repeat(b.column(0).to_numpy(), size)
+            bucket = (x["gram"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            x, bucket = x[order], bucket[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            own = pa.array(np.full(len(first), b.column(0)[0].as_py()), pa.int64())  # an id names its batch
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), own, pa.array([squeeze(p) for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "batch", "asked"])
+
+    def counted(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        order = np.argsort(ids, kind="stable")
+        ids, n = ids[order], n[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        out = np.empty(len(first), LONE)
+        out["id"], out["lone"] = ids[first], np.add.reduceat(n, first) if len(first) else 0
+        return out
+
+    def answer(t: pa.Table) -> pa.Table:
+        asked = [expand(a.as_py(), PICKED) for a in t.column("asked")]
+        gram = np.concatenate([x["gram"] for x in asked])
+        order = np.argsort(gram)
+        new = gram[order][1:] != gram[order][:-1]
+        lone = np.empty(len(gram), bool)
+        lone[order] = np.append(True, new) & np.append(new, True)
+        found = [counted(x["id"][at], np.ones(at.sum(), np.int64)) for x, at in zip(asked, np.split(lone, np.cumsum([len(x) for x in asked])[:-1]))]
+        return pa.table({"batch": t.column("batch"), "lone": pa.array([squeeze(x) for x in found], pa.binary())})
+
+    def sum_up(t: pa.Table) -> pa.Table:
+        x = np.concatenate([expand(a.as_py(), LONE) for a in t.column("lone")])
+        out = counted(x["id"], x["lone"])
+        return pa.table({"id": out["id"], "lone": out["lone"]})
+
+    asked = nodes.select("id", "picks").mapInArrow(ask, "bucket long, batch long, asked binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "batch long, lone binary")
+    return answers.groupBy("batch").applyInArrow(sum_up, "id long, lone long")
+
+
+def shared_prefixes(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(id, n, sketch, place, prefix): what is left of the prefix of each row (id, n, sketch, picks, prefix, lone) without the shingles known to be in
+    no other set, and the place of its first shingle; rows without a rest go.
+
+    Shingles have one order for all sets: those looked up that one set has, those not looked up, the others looked up.  The
+    first are met by nobody, so a set with more of them than its prefix takes has no partner.  A set that comes to the last
+    ones gives all it looked up behind the others, counted from place 0, which is no later than where they are."""
+
+    def run(batches):
+        for b in batches:
+            place, rest = [], []
+            for n, picks, prefix, lone in zip(*(b.column(c).to_pylist() for c in ("n", "picks", "prefix", "lone"))):
+                left = max(0, prefix_size(n, similarity) - lone)
+                short = 6 * left > len(prefix)
+                place.append(0 if short else lone)
+                rest.append(prefix + picks if short else prefix[: 6 * left])
+            made = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(place, pa.int64()), pa.array(rest, pa.binary())], names=["id", "n", "sketch", "place", "prefix"])
+            yield made.filter(pa.array([len(r) > 0 for r in rest], pa.bool_()))
+
+    return nodes.select("id", "n", "sketch", "picks", "prefix", "lone").mapInArrow(run, "id long, n int, sketch binary, place long, prefix binary")
+
+
 def neighbours(x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids (smaller, larger) of different components that follow each other among the sets
     with a shingle of ``x``, in an order of its own for each shingle, unless sizes rule them
@@ -563,9 +666,9 @@ def meetings(x: np.ndarray, similarity: float, home: np.ndarray | None = None) -
 
 
 def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meetings, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64),) * 2) -> DataFrame:
-    """(a, b): every pair of rows (id, component, n, prefix) of different components that can have
-    Jaccard ``similarity``, by prefix filtering (or those of `neighbours`); about ``entries`` shingles are dealt to buckets by
-    their hash.
+    """(a, b): every pair of rows (id, component, n, sketch, place, prefix) of different components that can have
+    Jaccard ``similarity``, by prefix filtering (or those of `neighbours`) and by their sketches; about ``entries`` shingles are dealt to buckets by
+    their hash, and the first of a row is at ``place`` of its set.
 
     ``hot`` are narrow hashes of shingles, sorted, that may have more entries than a bucket takes, and
     tiles for each: an entry goes to one tile of its shingle, by its id, and only entries that can name the smaller set of a pair go to all."""
@@ -590,7 +693,7 @@ def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meet
 
     def deal(batches):
         for b in batches:
-            prefix = [widen(p.as_py()) for p in b.column(3)]
+            prefix = [widen(p.as_py()) for p in b.column("prefix")]
             size = np.array([len(p) for p in prefix])
             if not size.sum():
                 continue
@@ -598,25 +701,35 @@ def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meet
             x["gram"] = np.concatenate(prefix)
             for name, c in zip(("id", "comp", "n"), b.columns):
                 x[name] = np.repeat(c.to_numpy(), size)
-            x["place"] = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+            x["place"] = np.arange(len(x)) - np.repeat(np.cumsum(size) - size - b.column("place").to_numpy(), size)
             bucket = (x["gram"] % np.uint64(buckets)).astype(np.int64)
             if len(tiles):
                 x, bucket = deal_hot(x, bucket)
             order = np.argsort(bucket, kind="stable")
             x, bucket = x[order], bucket[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([squeeze(p) for p in np.split(x, first[1:])], pa.binary())], names=["bucket", "entries"])
+            parts = np.split(x, first[1:])
+            ids, sketch = b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            by_id = np.argsort(ids)
+            sketches = [sketch[by_id[np.searchsorted(ids, np.unique(p["id"]), sorter=by_id)]].tobytes() for p in parts]  # one for each set of a part
+            raw = [pa.array(c, pa.binary()) for c in ([squeeze(p) for p in parts], sketches)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *raw], names=["bucket", "entries", "sketches"])
 
     def meet(t: pa.Table) -> pa.Table:
-        x, bucket = np.concatenate([expand(e.as_py()) for e in t.column("entries")]), t.column("bucket")[0].as_py()
+        parts, bucket = [expand(e.as_py()) for e in t.column("entries")], t.column("bucket")[0].as_py()
+        x = np.concatenate(parts)
         if bucket >= buckets and pair_up is meetings:
             shingle = int(np.searchsorted(begin, bucket, "right")) - 1
             a, b = pair_up(x, similarity, tile_of(np.ascontiguousarray(x["id"]), tiles[shingle]) == bucket - begin[shingle])
         else:
             a, b = pair_up(x, similarity)
-        return pa.table({"a": a, "b": b})
+        ids, first = np.unique(x["id"], return_index=True)
+        known = np.concatenate([np.unique(p["id"]) for p in parts])
+        sketch = np.frombuffer(b"".join(t.column("sketches").to_pylist()), np.uint64).reshape(len(known), -1)[np.unique(known, return_index=True)[1]]
+        keep = may_reach(np.searchsorted(ids, a), np.searchsorted(ids, b), x["n"][first], sketch, similarity)
+        return pa.table({"a": a[keep], "b": b[keep]})
 
-    dealt = nodes.select("id", "component", "n", "prefix").mapInArrow(deal, "bucket long, entries binary")
+    dealt = nodes.select("id", "component", "n", "sketch", "place", "prefix").mapInArrow(deal, "bucket long, entries binary, sketches binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -661,7 +774,8 @@ def jaccard_near_duplicates(
     only these go on.  SimHash then joins most groups at little cost: fingerprints within
     ``radius`` bits are linked by a minimum spanning forest (closest pairs first), equal ones by a
     star, and each of these links is checked.  Whatever that leaves apart is searched exactly:
-    of different groups that share a shingle in the prefixes of their sets, first some neighbours
+    a third of the shingles of each set are looked up in all sets, and those that no other set has fill most prefixes; of
+    different groups that share a shingle in what is left of their prefixes, first some neighbours
     are checked, then all pairs that are still apart.  So ``radius`` sets only the work left to
     the second search.  Texts without words are equal to each other.  Ids must be unique; rows
     with a null id are in no group.
@@ -678,13 +792,17 @@ def jaccard_near_duplicates(
     same = attach(prints, fps, "fp").filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     pairs = materialize(far.unionByName(same).distinct(), "near-pairs")
     near = components(similar(rows, pairs, width, similarity), "near-components")
-    entries = (own.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 6
+    length = lambda df, c: (df.agg(F.sum(F.length(c))).first()[0] or 0) // 6
+    asking = own.select("id", "n", "sketch", "picks", "prefix").join(sets, "id", "left_semi")
+    told = lone_picks(asking, length(own, "picks"))
+    shared = materialize(shared_prefixes(asking.join(told, "id", "left").fillna(0, "lone"), similarity), "near-shared")
+    entries = length(shared, "prefix")
     hot = hot_shingles(common)
 
     def apart(found: DataFrame, pair_up) -> DataFrame:
         """Candidates between the groups found so far."""
-        placed = sets.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        return prefix_pairs(own.select("id", "n", "prefix").join(placed, "id"), similarity, entries, pair_up, hot)
+        placed = shared.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return prefix_pairs(placed, similarity, entries, pair_up, hot)
 
     def joined(found: DataFrame, candidates: DataFrame) -> DataFrame:
         links = similar(rows, candidates, width, similarity).unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -698,6 +816,6 @@ def jaccard_near_duplicates(
     # back to all rows of each set: only groups that say something
     told = groups.join(last, "least", "left").select("digest", "n", F.coalesce("component", "least").alias("component"), F.col("component").isNotNull().alias("near"))
     told = materialize(told.filter("near OR n > 1"), "near-told")
-    for done in (prints, fps, pairs, near, tried, nearer, rest):
+    for done in (prints, fps, pairs, near, shared, tried, nearer, rest):
         discard(done)
     return attach(own.select("id", "digest"), told, "digest").filter("near OR id <> component").select(F.col("id").alias(id_col), "component")

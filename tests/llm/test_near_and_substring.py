@@ -155,6 +155,51 @@ def test_hot_shingles_in_tiles_lose_no_pair(spark, monkeypatch):
     assert got == brute_near(rows)
 
 
+@pytest.mark.parametrize("pick", [1, 2, 10**6])
+def test_looked_up_shingles_lose_no_pair(spark, monkeypatch, pick):
+    """Whether all shingles are looked up, half of them or next to none; one-bit fingerprints leave all pairs to the exact search."""
+    monkeypatch.setattr(sh, "PICK", pick)
+    monkeypatch.setattr(sh, "LOOKED_UP", 50)
+    monkeypatch.setattr(sh, "fold", lambda h: 0)
+    rows = near_rows()
+    got = {r.doc_id: r.component for r in sh.jaccard_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_near(rows)
+
+
+def test_shared_passages_make_no_candidates(spark, monkeypatch):
+    """Crowds of five texts with a passage of their own (three tenths) that a small sample cannot see: no pair reaches 0.8."""
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randint(0, 10**9)}"
+    rows = []
+    for crowd in range(80):
+        passage = [word() for _ in range(60)]
+        rows += [(5 * crowd + i, " ".join([*(word() for _ in range(140)), *passage]), "") for i in range(5)]
+    rows += [(1000, rows[0][1] + " more", "")]
+    counted, plain = [], sh.similar
+
+    def similar(texts, pairs, *rest):
+        counted.append(pairs.count())
+        return plain(texts, pairs, *rest)
+
+    monkeypatch.setattr(sh, "SAMPLE", 20)
+    monkeypatch.setattr(sh, "similar", similar)
+    got = {r.doc_id: r.component for r in sh.jaccard_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1000: 0} and sum(counted) <= 10
+
+
+def test_sketches_never_overstate_a_difference():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 30, 400, 5000):
+        a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        for kept in (n, n * 9 // 10, n // 2, 0):
+            b = np.unique(np.append(a[:kept], rnd.integers(0, 2**64, n - kept, dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            sketch, size = np.stack([sh.parities(a), sh.parities(b)]), np.array([len(a), len(b)])
+            assert np.bitwise_count(sketch[0] ^ sketch[1]).sum() <= len(a) + len(b) - 2 * both
+            if both >= 0.8 * (len(a) + len(b) - both):
+                assert sh.may_reach(np.array([0]), np.array([1]), size, sketch, 0.8).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in sh.components(spark.createDataFrame(edges, "a long, b long")).collect()}
