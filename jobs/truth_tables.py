@@ -17,9 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kmerloom.functions.sequences import translate_text
 from kmerloom.operators import truth
-from kmerloom.operators.kmers import jaccard_bipartite, packed_sets
+from kmerloom.operators.kmers import few_kmers, jaccard_bipartite, packed_sets
 from kmerloom.session import spread
 
 from .common import log, main
@@ -30,7 +29,7 @@ NEAREST = "query long, nn_true long, jaccard_true string"
 
 
 def _sequences(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return spread(table).select(F.col(id_col).cast("long").alias("id"), translate_text(F.col(text_col)).alias("seq"))
+    return spread(table).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("seq"))
 
 
 def read_tables(spark: SparkSession, output: str) -> tuple[DataFrame, DataFrame]:
@@ -43,13 +42,14 @@ def run(spark: SparkSession, queries: str, collection: str, output: str, config:
     k = config["k"]
     q = _sequences(spark.read.parquet(queries), config["query_id"], config["query_text"])
     d = _sequences(spark.read.parquet(collection), config["id"], config["text"])
-    found = jaccard_bipartite(packed_sets(q, k, whole=True), packed_sets(d, k, whole=True, sizes=True))
+    asked = packed_sets(q, k, whole=True, text=True)
+    found = jaccard_bipartite(asked, packed_sets(d, k, whole=True, sizes=True, text=True, among=few_kmers(asked)))
     found.write.mode("overwrite").parquet(f"{output}/found")  # both tables are made of it
     found = spark.read.schema(found.schema).parquet(f"{output}/found")
     listed, base = (x.select("id", F.col("id").alias("place")) for x in (q, d))
     pairs = found
     if config["zeros"]:
-        n = lambda x: x.select("id").join(packed_sets(x, k, whole=True, sizes=True).select("id", "n").distinct(), "id", "left").fillna(0, "n")
+        n = lambda x: x.select("id").join(packed_sets(x, k, whole=True, sizes=True, text=True).select("id", "n").distinct(), "id", "left").fillna(0, "n")
         pairs = truth.all_pairs(found, n(q), n(d))
     truth.write_pairs(truth.pair_text(pairs, listed, base), f"{output}/pairs", config["block"])
     truth.write_nearest(truth.nearest_listed(found, listed, base), f"{output}/nearest")

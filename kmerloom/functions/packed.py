@@ -48,6 +48,35 @@ def canonical_windows(seq: bytes, k: int) -> tuple[np.ndarray | None, np.ndarray
     return None if high is None else high[whole], low[whole]
 
 
+def text_windows(text: bytes, k: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """The same of the two bases that stand for each byte of any text (`sequences.translate_text`)."""
+    raw = np.frombuffer(text, np.uint8)
+    if k <= 0 or 2 * len(raw) < k:
+        return (None if k <= NARROW else np.zeros(0, U)), np.zeros(0, U)
+    return canonical_of(np.stack([raw >> 4 & 3, raw & 3], axis=1).ravel(), k)
+
+
+class Few:
+    """A bounded number of low words, to tell which of many words are among them."""
+
+    def __init__(self, low: np.ndarray):
+        self.low = np.unique(low)
+        self.bits = max(16, 4 + len(self.low).bit_length())
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self._cell(self.low)] = True
+
+    def _cell(self, low: np.ndarray) -> np.ndarray:
+        return (low * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
+
+    def holds(self, low: np.ndarray) -> np.ndarray:
+        out = self.seen[self._cell(low)]
+        at = np.flatnonzero(out)  # few words go on from the table to the search
+        if len(at):
+            place = np.minimum(np.searchsorted(self.low, low[at]), len(self.low) - 1)
+            out[at] = self.low[place] == low[at]
+        return out
+
+
 def canonical_of(code: np.ndarray, k: int) -> tuple[np.ndarray | None, np.ndarray]:
     """(high, low) words of every window of ``k`` of at least ``k`` base codes (0 to 3)."""
     if k <= NARROW:

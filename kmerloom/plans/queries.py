@@ -107,7 +107,8 @@ def exact_jaccard_all_pairs(spark, d):
 
 
 def exact_jaccard_bipartite(spark, d):
-    q, db = kmers.packed_sets(_seqs(spark, d), 31, whole=True), kmers.packed_sets(_seqs(spark, d, "documents"), 31, whole=True, sizes=True)
+    q = kmers.packed_sets(_seqs(spark, d), 31, whole=True)
+    db = kmers.packed_sets(_seqs(spark, d, "documents"), 31, whole=True, sizes=True, among=kmers.few_kmers(q))
     return kmers.jaccard_bipartite(q, db).withColumn("jaccard", F.round("jaccard", 12))
 
 

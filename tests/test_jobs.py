@@ -127,6 +127,20 @@ def test_truth_text_is_in_list_order(spark, tmp_path, zeros):
     assert {p.name for p in Path(out, "pairs").glob("block=*")} == {f"block={int(w.split()[0]) // 2}" for w in want}
 
 
+def test_truth_moves_only_kmers_of_the_queries(spark, tmp_path, monkeypatch):
+    """Of a collection only what the queries share leaves its tasks."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    q = [(i, word(60)) for i in range(3)]
+    d = [(i, word(400)) for i in range(50)] + [(60, q[0][1] + word(300))]
+    a, b = text_table(spark, q, str(tmp_path / "q"), "item_id"), text_table(spark, d, str(tmp_path / "d"), "doc_id")
+    moved, plain = [], truth_tables.jaccard_bipartite
+    monkeypatch.setattr(truth_tables, "jaccard_bipartite", lambda x, y: moved.append(y.count()) or plain(x, y))
+    pairs, _ = truth_tables.run(spark, a, b, str(tmp_path / "out"))
+    assert [(r.query, r.db, r.inter, r.n2) for r in pairs.collect()] == [(0, 60, len(kmer_sets(q[0][1], 31)), len(kmer_sets(d[-1][1], 31)))]
+    assert moved == [len(kmer_sets(q[0][1], 31))]
+
+
 def test_a_shuffled_list_changes_only_ties(spark):
     found = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 8, 0.4), (2, 7, 0.1)], "query long, db long, jaccard double")
     asked = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "id long, place long")

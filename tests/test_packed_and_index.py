@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kernels, packed
+from kmerloom.functions.sequences import translate_text
 from kmerloom.operators import kmers, sketch
 from kmerloom.params import SketchParams
 from kmerloom.sources import kmer_index
@@ -65,6 +66,25 @@ def test_sets_of_pieces_are_those_of_the_sequence(spark, monkeypatch, k):
     assert dict(map(tuple, sized)) == {i: len(set(brute(s or "", k))) for i, s in rows if brute(s or "", k)}
 
 
+@pytest.mark.parametrize("k", [7, 31, 40])
+def test_sets_among_few_kmers(spark, k):
+    rng = random.Random(k)
+    part = "".join(rng.choice("abcxyz") for _ in range(40))
+    rows = [(i, "".join(rng.choice("abcxyz\u00e9") for _ in range(60)) + part * (i % 2)) for i in range(20)] + [(20, None), (21, ""), (22, "a")]
+    texts = spark.createDataFrame(rows, "id long, seq string").repartition(3)
+    plain = texts.withColumn("seq", translate_text(F.col("seq")))
+    asked = kmers.packed_sets(texts.filter("id = 1"), k, whole=True, text=True)
+    every = kmers.packed_sets(plain, k, whole=True, sizes=True)
+    assert sorted(map(str, kmers.packed_sets(texts, k, whole=True, sizes=True, text=True).collect())) == sorted(map(str, every.collect()))
+    few = kmers.few_kmers(asked)
+    want = sorted(map(str, every.join(asked.select("kmer"), "kmer", "left_semi").select("id", "kmer", "n").collect()))
+    for table, text in ((texts, True), (plain, False)):
+        got = kmers.packed_sets(table, k, whole=True, sizes=True, text=text, among=few)  # beyond k = 31 by their low words
+        assert sorted(map(str, got.join(asked.select("kmer"), "kmer", "left_semi").select("id", "kmer", "n").collect())) == want
+        assert k > 31 or got.count() == len(want)
+    assert kmers.few_kmers(asked, 3) is None
+
+
 def sets_with_hot(seed):
     rng = random.Random(seed)
     return {i: {0, *rng.sample(range(1, 400), rng.randrange(1, 12))} for i in range(120)}  # 0 is in every set
