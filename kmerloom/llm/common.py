@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A word is a maximal run of characters outside ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of texts handed to a kernel at once: as many rows as Arrow allows would hold 64 MB for each task, in the JVM and in Python.
+TEXTS = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +77,28 @@ def discard(df: DataFrame) -> None:
     remove(df.sparkSession, df._written_at)
 
 
+@contextmanager
+def few_texts(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside hands TEXTS bytes at once to a kernel."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Returns freed memory of a worker to the system, where the libraries can: idle workers keep it otherwise, beside
+    whatever the executor does next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def attach(rows: DataFrame, values: DataFrame, key: str, n: str = "n") -> DataFrame:
     """``rows`` joined with ``values``, a materialized table with one row for each ``key`` and the
     number ``n`` of rows that have it.

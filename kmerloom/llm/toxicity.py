@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import spread
-from .common import discard, materialize
+from .common import discard, few_texts, give_back, materialize
 
 #: Bytes that end a word: all of ASCII but letters; other characters count as letters, except MARKS.
 _BLANKED = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
@@ -78,8 +78,11 @@ class Terms:
     """Numbers of terms: the place of a term's hash among all of them, sorted."""
 
     def __init__(self, keys: np.ndarray, stems: dict[bytes, int]):
-        self.keys, self.stems = keys, stems
-        self.heads = {s[: STEMS[0]] for s in stems}  # first bytes of words that can have a stem
+        self.keys = keys
+        #: Stems without their star and their numbers, by the first bytes that their words have in common.
+        self.heads: dict[bytes, list[tuple[bytes, int]]] = {}
+        for s, i in stems.items():
+            self.heads.setdefault(s[: STEMS[0]], []).append((s[:-1], i))
 
     def count(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
         """(words, numbers of the terms in the text, how often each occurs)."""
@@ -95,11 +98,12 @@ class Terms:
         own = np.flatnonzero(self.keys[np.minimum(t, len(self.keys) - 1)] == k) if len(self.keys) else np.zeros(0, np.int64)
         t, n = t[own], n[own]
         stems: Counter = Counter()
-        if self.stems:
-            for w in [w for w in seen if w[: STEMS[0]] in self.heads]:
-                for f in forms(w)[1:]:
-                    if f in self.stems:
-                        stems[self.stems[f]] += seen[w]
+        if self.heads:
+            head = self.heads.get
+            for w in seen:
+                for s, i in head(w[: STEMS[0]], ()):
+                    if w.startswith(s) and len(w) > len(s):  # in UTF-8 too, beginnings are those of characters
+                        stems[i] += seen[w]
         if stems:
             t, n = np.append(t, list(stems)), np.append(n, list(stems.values()))
             by = np.argsort(t)
@@ -143,16 +147,6 @@ def in_blocks(x: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(split(np.arange(len(x)))) if len(x) else np.zeros(0, np.int64)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system, where the C library can."""
-    import ctypes
-
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
-
-
 def forget(token: str) -> None:
     """Drops the index of that token from this worker, whose memory other operators need."""
     held = getattr(sys, "_kmerloom_examples", None)
@@ -388,14 +382,15 @@ def vocabulary(sample: DataFrame) -> np.ndarray:
     return np.sort(np.ascontiguousarray(got).view(np.uint64))
 
 
-def pack(size: int, t: np.ndarray, n: np.ndarray) -> bytes:
-    """A text's size, sorted terms (as differences) and counts, compressed byte plane by byte plane."""
+def pack(size: int, t: np.ndarray, n: np.ndarray, codec: zstandard.ZstdCompressor | None = None) -> bytes:
+    """A text's size, sorted terms (as differences) and counts, compressed byte plane by byte plane; a ``codec`` that is used
+    again saves its own making, which takes longer than a text."""
     x = np.concatenate([[size], np.diff(t, prepend=0), n]).astype("<i4").view(np.uint8)
-    return zstandard.compress(x.reshape(-1, 4).T.tobytes(), 1)
+    return (codec or zstandard.ZstdCompressor(level=1)).compress(x.reshape(-1, 4).T.tobytes())
 
 
-def unpack(b: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    x = np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def unpack(b: bytes, codec: zstandard.ZstdDecompressor | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    x = np.ascontiguousarray(np.frombuffer((codec or zstandard.ZstdDecompressor()).decompress(b), np.uint8).reshape(4, -1).T).view("<i4").ravel()
     half = len(x) // 2 + 1
     return int(x[0]), np.cumsum(x[1:half], dtype=np.int64), x[half:]
 
@@ -406,9 +401,10 @@ def term_counts(docs: DataFrame, make_terms, keep: list[str]) -> DataFrame:
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "packed binary"
 
     def run(batches):
-        terms = make_terms()
+        terms, codec = make_terms(), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([pack(*terms.count(t.as_py())) for t in b.column(at)], pa.binary())], names=[*keep, "packed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array([pack(*terms.count(t.as_py()), codec) for t in b.column(at)], pa.binary())], names=[*keep, "packed"])
+        give_back()
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
@@ -421,10 +417,10 @@ def frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
     def run(batches):
         from pyspark import TaskContext
 
-        df = np.zeros(n_terms, np.int32)
+        df, codec = np.zeros(n_terms, np.int32), zstandard.ZstdDecompressor()
         for b in batches:
             for x in b.column(0):
-                df[unpack(x.as_py())[1]] += 1
+                df[unpack(x.as_py(), codec)[1]] += 1
         if df.any():
             salt = TaskContext.get().partitionId() % salts
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int64()), pa.array([df[lo:hi].astype(np.int64).tobytes() for lo, hi in zip(edges, edges[1:])])], names=["slice", "salt", "n"])
@@ -507,7 +503,8 @@ def toxicity(
     full[np.searchsorted(keys, chosen_keys)] = True
     stems = {t: int(np.searchsorted(keys, np.uint64(key(t)))) for t in selected if t.endswith(b"*")}
     make_terms = lambda: Terms(keys, stems)
-    counted = materialize(term_counts(rows.withColumn("held_out", held_out), make_terms, [id_col, "held_out", *kept]), "toxicity-counts")
+    with few_texts(docs.sparkSession):
+        counted = materialize(term_counts(rows.withColumn("held_out", held_out), make_terms, [id_col, "held_out", *kept]), "toxicity-counts")
     idf = np.log((1 + counted.count()) / (1 + frequencies(counted, len(keys)))) + 1
     idf[~full] *= ORDINARY
     chunks = packed_examples(sample, id_col, make_terms)
@@ -530,6 +527,7 @@ def toxicity(
             sys._kmerloom_examples = None
             head, *pair = unpacked(chunks)
             held = sys._kmerloom_examples = (token, Index(*head.T, pair.pop(0), pair.pop(0), idf, base))
+        chunks.clear()  # a worker that holds the index does not need them
         return held[1]
 
     def leave() -> None:
@@ -556,14 +554,14 @@ def toxicity(
     curve = Calibration.fit(votes.column("vote").to_numpy(), votes.column("y").to_numpy())
 
     def run(batches):
-        found = index()
+        found, codec = index(), zstandard.ZstdDecompressor()
         for b in batches:
             texts = b.column(2).to_pylist()
             once = list(dict.fromkeys(texts))  # copies are searched once
             votes, proof = {}, {}
             for at in range(0, len(once), 512):
                 some = once[at : at + 512]
-                for t, (cos, near) in zip(some, found.search([vector(found, *unpack(t)) for t in some], k)):
+                for t, (cos, near) in zip(some, found.search([vector(found, *unpack(t, codec)) for t in some], k)):
                     votes[t], proof[t] = found.vote(cos, near, k), found.ids[near[:k]].tolist()
             s = curve(np.array([votes[t] for t in texts], float))
             yield pa.RecordBatch.from_arrays(

@@ -1,10 +1,12 @@
 """Classifiers and rules: held-out accuracy, exact search, odd rows."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kmerloom.llm import quality_classifier as qc, toxicity as tx
+from kmerloom.llm import common, quality_classifier as qc, toxicity as tx
 from kmerloom.llm.quality_rules import Model, RULES, counts, fit_em, quality_rules
 from kmerloom.llm.queries import held_out, queries
 
@@ -73,6 +75,36 @@ def test_every_example_is_indexed_and_every_text_searched(spark):
     assert got[107].score > max(got[100 + i].score for i in range(60) if i != 7)
 
 
+def test_stems_are_proper_beginnings(monkeypatch):
+    texts = ["Vile vileness vilest VILEX vi", "évité éviter évi évit", "ünü ünüx 日本語話 日本語", ""]
+    every = sorted({f for t in texts for w in tx.words(t) for f in tx.forms(w)})
+    stems = [f for f in every if f.endswith(b"*")]
+    keys = np.sort(np.array([tx.key(f) for f in every], np.uint64))
+    terms = tx.Terms(keys, {f: int(np.searchsorted(keys, np.uint64(tx.key(f)))) for f in stems})
+    wanted = [Counter(int(np.searchsorted(keys, np.uint64(tx.key(f)))) for w in tx.words(text) for f in tx.forms(w)) for text in texts]
+    monkeypatch.delattr(tx, "forms")  # counting does not make the forms of each word, which took most of its time
+    for text, want in zip(texts, wanted):
+        found = tx.words(text)
+        size, t, n = terms.count(text)
+        assert (size, dict(zip(t.tolist(), n.tolist()))) == (len(found), dict(want))
+
+
+def test_texts_reach_kernels_in_small_batches(spark, monkeypatch):
+    seen = []
+    write = tx.materialize
+
+    def spy(df, label):
+        seen.append((label, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+        return write(df, label)
+
+    monkeypatch.setattr(tx, "materialize", spy)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(i, f"word{i % 7} here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert tx.toxicity(docs, labels, F.col("doc_id") >= 30).count() == 40
+    assert dict(seen)["toxicity-counts"] == common.TEXTS and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_counts(spark):
     rows = [(1, "a b c a b c x"), (2, "l\nl\n\nm l\n \n"), (3, None), (4, "é#b $$ A!"), (5, "q q q q")]
     got = {r.doc_id: r for r in counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
