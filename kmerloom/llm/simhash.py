@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import small
-from .common import attach, discard, materialize
+from .common import attach, discard, few_texts, give_back, materialize
 
 Level = tuple[int, int]  # (lowest bit, number of bits)
 
@@ -477,6 +477,7 @@ def profiles(rows: DataFrame, width: int, similarity: float, common: tuple[np.nd
                 prefix.append(narrow(rarest(grams[~mine], common, size)))
             raw = [pa.array(c, pa.binary()) for c in (digest, sketch, picks, prefix)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int32()), *raw], names=["id", "fp", "n", "digest", "sketch", "picks", "prefix"])
+        give_back()
 
     return rows.select("id", F.col("t").cast("binary").alias("t")).mapInArrow(run, "id long, fp long, n int, digest binary, sketch binary, picks binary, prefix binary")
 
@@ -734,8 +735,9 @@ def prefix_pairs(nodes: DataFrame, similarity: float, entries: int, pair_up=meet
 
 
 def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have Jaccard ``similarity`` or more.  Texts
-    travel, since they are smaller than their shingle hashes, but only those of listed ids."""
+    """The pairs (a, b) of ids whose texts' shingle sets have Jaccard ``similarity`` or more, written.  Texts
+    travel, since they are smaller than their shingle hashes, but only those of listed ids, and a
+    task gets few at a time: by number of rows, the two texts of each would fill the memory of an executor."""
 
     def verify(batches):
         sets: dict[int, np.ndarray] = {}  # the sets met last
@@ -757,11 +759,14 @@ def similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) ->
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        sets.clear()
+        give_back()
 
     listed = small(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())  # broadcast if a count finds few
     texts = rows.join(listed, "id", "left_semi").select("id", F.col("t").cast("binary").alias("t"))
     left, right = texts.select(F.col("id").alias("a"), F.col("t").alias("x")), texts.select(F.col("id").alias("b"), F.col("t").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    with few_texts(rows.sparkSession):
+        return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near-similar")
 
 
 def jaccard_near_duplicates(
@@ -782,7 +787,8 @@ def jaccard_near_duplicates(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).filter("id IS NOT NULL")
     common = common_shingles(rows, width)
-    own = materialize(profiles(rows, width, similarity, common), "near-profiles")
+    with few_texts(docs.sparkSession):
+        own = materialize(profiles(rows, width, similarity, common), "near-profiles")
     groups = materialize(own.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")), "near-equal")
     sets = groups.select(F.col("least").alias("id"))  # one of each group goes on
     prints = materialize(own.select("id", "fp").join(sets, "id", "left_semi"), "near-prints")

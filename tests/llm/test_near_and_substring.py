@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import kmerloom.llm.chunk_dedup as cd
 import kmerloom.llm.suffix_dedup as sd
-from kmerloom.llm import simhash as sh
+from kmerloom.llm import common, simhash as sh
 
 SCHEMA = "doc_id long, text string, extra string"
 
@@ -249,6 +249,22 @@ def near_rows():
     return [(i, " ".join(t), "") for i, t in enumerate(out)] + [(1000, "", ""), (1001, None, ""), (1002, "a b", ""), (1003, "A  b", "")]
 
 
+def test_texts_are_compared_in_small_batches(spark, monkeypatch):
+    name, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", {}, sh.materialize
+
+    def spy(df, label):
+        seen[label] = spark.conf.get(name)
+        return write(df, label)
+
+    monkeypatch.setattr(sh, "materialize", spy)
+    before = spark.conf.get(name)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + ["x"])), (3, "else")], "doc_id long, text string")
+    got = {(r.doc_id, r.component) for r in sh.jaccard_near_duplicates(docs).collect()}
+    assert got | {(1, 1)} == {(1, 1), (2, 1)}
+    assert seen["near-profiles"] == seen["near-similar"] == common.TEXTS and spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("fold", [sh.fold, lambda h: int(np.bitwise_xor.reduce(h) & np.uint64(15))])
 def test_near_duplicates_lose_no_pair(spark, monkeypatch, fold):
     """Also where fingerprints tell nothing, so that unrelated texts crowd into the radius."""
