@@ -515,8 +515,8 @@ def last_row_by_key(spark, d):
 
 def part_set_jaccard(spark, d):
     """Sets other than k-mers: the parts of each supplier."""
-    sets = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").cast("string").alias("kmer")).distinct()
-    return kmers.jaccard_all_pairs(sets).withColumn("jaccard", F.round("jaccard", 12))
+    sets = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").cast("string").alias("kmer"))
+    return kmers.jaccard_all_pairs(sets, repeated=True).withColumn("jaccard", F.round("jaccard", 12))
 
 
 def streaming_registers(spark, d):
