@@ -48,12 +48,17 @@ def canonical_windows(seq: bytes, k: int) -> tuple[np.ndarray | None, np.ndarray
     return None if high is None else high[whole], low[whole]
 
 
-def text_windows(text: bytes, k: int) -> tuple[np.ndarray | None, np.ndarray]:
-    """The same of the two bases that stand for each byte of any text (`sequences.translate_text`)."""
+def text_codes(text: bytes) -> np.ndarray:
+    """Codes of the two bases that stand for each byte of any text (`sequences.translate_text`)."""
     raw = np.frombuffer(text, np.uint8)
-    if k <= 0 or 2 * len(raw) < k:
+    return np.stack([raw >> 4 & 3, raw & 3], axis=1).ravel()
+
+
+def text_windows(text: bytes, k: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """The same of the bases that stand for a text."""
+    if k <= 0 or 2 * len(text) < k:
         return (None if k <= NARROW else np.zeros(0, U)), np.zeros(0, U)
-    return canonical_of(np.stack([raw >> 4 & 3, raw & 3], axis=1).ravel(), k)
+    return canonical_of(text_codes(text), k)
 
 
 class Few:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import kernels, u64
+from ..functions.packed import text_codes
 from ..params import BASE_SEEDS, SketchParams
 
 SKETCH = "num_buckets int, nonempty int, words array<long>"
@@ -27,10 +28,11 @@ def rows_held(width: int) -> int:
     return max(1, HELD // max(1, width))
 
 
-def sketch_sequences(seqs: DataFrame, p: SketchParams, id_col: str = "id", segments_col: str = "segments", keep_values: bool = False) -> DataFrame:
+def sketch_sequences(seqs: DataFrame, p: SketchParams, id_col: str = "id", segments_col: str = "segments", keep_values: bool = False, text: bool = False) -> DataFrame:
     """(id, num_buckets, nonempty, words[, values]) of rows with an array of ACGT segments.
 
-    Sequences without a k-mer have zero registers; nonempty tells them apart.
+    Sequences without a k-mer have zero registers; nonempty tells them apart.  ``text`` says that the column is text, whose bytes
+    stand for two bases each (`translate_text`) and become codes in the kernel.
     """
     key = f"`{id_col}` {seqs.schema[id_col].dataType.simpleString()}"
     extra = ", values array<long>" if keep_values else ""
@@ -44,19 +46,19 @@ def sketch_sequences(seqs: DataFrame, p: SketchParams, id_col: str = "id", segme
     most = rows_held(p.sketch_bits // 64 + p.buckets * keep_values)
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}
         for b in batches:
             for at in range(0, b.num_rows, most):
                 words, values, full = [], [], []
                 for segs in b.column(1).slice(at, most):
-                    w, v, n = kernels.sketch([s.encode() for s in segs.as_py() or ()], p, known)
+                    w, v, n = kernels.sketch([text_codes(segs.as_py() or b"")] if text else [s.encode() for s in segs.as_py() or ()], p)
                     words.append(w.view(np.int64))
                     if keep_values:  # they are the larger part
                         values.append(v.view(np.int64))
                     full.append(n)
                 yield batch(b.column(0).slice(at, most), words, values, full)
 
-    return seqs.select(id_col, segments_col).mapInArrow(run, f"{key}, {SKETCH}{extra}")
+    segments = F.col(segments_col)
+    return seqs.select(id_col, segments.cast("binary") if text else segments).mapInArrow(run, f"{key}, {SKETCH}{extra}")
 
 
 def registers_of(seqs: DataFrame, p: SketchParams, buckets: int, id_col: str = "id", segments_col: str = "segments") -> DataFrame:
@@ -66,12 +68,11 @@ def registers_of(seqs: DataFrame, p: SketchParams, buckets: int, id_col: str = "
     most = rows_held(buckets)
 
     def run(batches):
-        known: dict[int, np.ndarray] = {}
         for b in batches:
             for at in range(0, b.num_rows, most):
                 regs = [kernels.registers([s.encode() for s in segs.as_py() or ()], p, buckets) for segs in b.column(1).slice(at, most)]
                 full = [int((r != kernels.U(kernels.EMPTY)).sum()) for r in regs]
-                flat = pa.array(np.concatenate([kernels.densify(r, p, known).view(np.int64) for r in regs]))
+                flat = pa.array(np.concatenate([kernels.densify(r, p).view(np.int64) for r in regs]))
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1) * buckets, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, most), values, pa.array(full, pa.int32())], names=[id_col, "values", "nonempty"])
 

@@ -298,7 +298,8 @@ def dist_pairlist(spark, d):
 
 def sketch_documents(spark, d):
     """Sketches of whole documents with production parameters: popcount and filled buckets."""
-    rows = sketch.sketch_sequences(_segments(spark, d, "documents"), WIDE)
+    docs = spread(_table(spark, d, "documents")).select(F.col("doc_id").alias("id"), "text")
+    rows = sketch.sketch_sequences(docs, WIDE, segments_col="text", text=True)
     return rows.select("id", "num_buckets", "nonempty", F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + F.bit_count(w)).alias("ones"))
 
 
